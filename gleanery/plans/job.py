@@ -50,7 +50,9 @@ def read_records(spark: SparkSession, archives: str, **options) -> DataFrame:
     """The response records of a directory of archives.  ``error`` is set on
     the rows that report an archive, or a record, that could not be read."""
     register(spark)
-    return spark.read.format("warc").options(**options).load(archives)
+    pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
+    return spark.read.format("warc").option("filter_pushdown", pushdown) \
+        .options(**options).load(archives)
 
 
 def new_run_dir(out: str, now: datetime) -> str:

@@ -31,3 +31,14 @@ def search_table(df: DataFrame, keys: list[str], name: Column | str, text: Colum
     prepared = prepare_table(df, keys, name, text,
                              search_binary=search_binary, is_text=is_text)
     return search.search_pairs(prepared, keys, definitions, dialect)
+
+
+def spread(df: DataFrame, partitions: int, below_bytes: int = 1 << 30) -> DataFrame:
+    """``df`` over ``partitions`` tasks if it is a small scan.
+
+    A small file has fewer row groups than there are cores, and a search is
+    bound by the processor.  A large table has enough splits as it is, and its
+    texts are not shuffled.
+    """
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    return df.repartition(partitions) if size < below_bytes else df

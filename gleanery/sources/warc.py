@@ -221,15 +221,6 @@ class WarcReader(DataSourceReader):
         self.trailers = flag("trailers", "false")
         self.errors = True
 
-    def pushFilters(self, filters):
-        for f in filters:
-            if isinstance(f, EqualTo) and f.attribute == ("warc_type",):
-                wanted = {f.value}
-                self.types = wanted if self.types is None else self.types & wanted
-                self.errors = False
-            else:
-                yield f
-
     def _splits(self) -> Iterator[Split]:
         if self.ranges:
             yield from (Split(*r) for r in self.ranges)
@@ -348,6 +339,19 @@ class WarcReader(DataSourceReader):
         return kind, name, payload if self.http_headers else http_body(payload, headers), None
 
 
+class PushdownWarcReader(WarcReader):
+    """Takes an equality on ``warc_type``, which error rows never satisfy."""
+
+    def pushFilters(self, filters):
+        for f in filters:
+            if isinstance(f, EqualTo) and f.attribute == ("warc_type",):
+                wanted = {f.value}
+                self.types = wanted if self.types is None else self.types & wanted
+                self.errors = False
+            else:
+                yield f
+
+
 class WarcDataSource(DataSource):
     """Options, with their defaults:
 
@@ -361,6 +365,8 @@ class WarcDataSource(DataSource):
     ``http_headers`` (false): true keeps the HTTP header block in the payload.
     ``trailers`` (false): adds one row per range with the number of records
     read, the member offsets it began and ended at, and whether it broke off.
+    ``filter_pushdown`` (false): true makes the reader apply filters on
+    ``warc_type``; needs ``spark.sql.python.filterPushdown.enabled``.
     ``ranges``: JSON list of [archive, start, end, first member] to read
     instead of the whole path.
     """
@@ -375,4 +381,6 @@ class WarcDataSource(DataSource):
         return RECORD_SCHEMA
 
     def reader(self, schema):
-        return WarcReader(dict(self.options))
+        options = dict(self.options)
+        pushdown = options.get("filter_pushdown", "false").lower() == "true"
+        return (PushdownWarcReader if pushdown else WarcReader)(options)

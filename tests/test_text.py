@@ -62,10 +62,10 @@ def test_elapsed(spark):
 
 
 PATTERNS = [
-    "", "abc", "aba", "a.c", "[a-z]+", "[^a-z]+", "[0-9]{2,}", "ab|cd", "(?:ab|cd)e?", "x[a-z]?y",
+    "abc", "aba", "a.c", "[a-z]+", "[^a-z]+", "[0-9]{2,}", "ab|cd", "(?:ab|cd)e?", "x[a-z]?y",
     r"\.", "[^<>\"]+", "^ab", "ab$", "k", "i", "s", "[aiks]+", "a{2}b", "(ab)?c", "K[a-z0-9]+",
     # not for the native path
-    r"\w+", r"\d+", r"\s", r"\bab", "a*", "a*?", "|a", "(?:|ab)c?", "[A-Z]+", r"\Z", "(?P<n>a)b",
+    "", r"\w+", r"\d+", r"\s", r"\bab", "a*", "a*?", "|a", "(?:|ab)c?", "[A-Z]+", r"\Z", "(?P<n>a)b",
     "x{,2}", "[[a]", "[a&&b]", "(a|b)*", "(?=a)", "a++", r"(a)\1", "(?s).", "ß", "é+", "(?-i:Ab)",
 ]
 
@@ -107,8 +107,8 @@ def test_only_known_characters_fold_to_ascii():
 def test_single_characters_agree(spark):
     """Every code point against native classes and letters."""
     patterns = ["[a-z]", "[^a-z]", "[0-9]", ".", "k", "i", "s", "[^<\"]", "[aeks]", "a"]
-    df = spark.range(1, 0x30000).where("id < 55296 or id > 57343") \
-        .select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32BE").alias("t"))
+    df = spark.range(1, 0x30000).where("(id < 55296 or id > 57343) and id <> 65279") \
+        .select("id", F.decode(F.unhex(F.lpad(F.hex("id"), 8, "0")), "UTF-32").alias("t"))
     assert all(regex.runs_native(p) for p in patterns)
     native = df.select("id", "t", *[F.expr("1").alias("one")], *[
         (F.size(find_all(F.col("t"), p)) > 0).alias(f"n{i}") for i, p in enumerate(patterns)])
@@ -119,7 +119,7 @@ def test_single_characters_agree(spark):
     for i, p in enumerate(patterns):
         rx = re.compile(p, re.IGNORECASE)
         found = [c for c in range(1, 0x30000)
-                 if not 55296 <= c <= 57343 and rx.search(chr(c))]
+                 if not 55296 <= c <= 57343 and c != 0xFEFF and rx.search(chr(c))]
         assert (counts[f"n{i}"], counts[f"s{i}"]) == (len(found), sum(found)), p
 
 
