@@ -14,6 +14,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 from re import _constants as ops
 from re import _parser as parser
 from typing import NamedTuple
@@ -36,7 +38,7 @@ NATIVE_FLAGS_NO_LETTER = "(?d)"
 FOLDS_TO_ASCII = ("\u0130", "\u0131", "\u017f")
 
 # Up to this many definitions the JVM is as fast as the Arrow UDF; with more,
-# the substring test of Python (see required_literal) wins, by a factor of two
+# the substring test of Python (see required_literals) wins, by a factor of two
 # at 20 definitions.  Measured; see the README.
 MAX_NATIVE = 2
 
@@ -111,31 +113,47 @@ def split_by_engine(definitions: Sequence[Definition], dialect: str):
     return [], list(definitions)
 
 
-def required_literal(pattern: str) -> str | None:
-    """Longest ASCII text that every match must contain, in lower case.
+def required_literals(pattern: str) -> tuple[str, ...]:
+    """ASCII texts, in lower case, one of which every match must contain.
 
-    Only literals that are neither optional nor part of an alternative count.
-    A record without this text cannot match, and looking for a plain substring
-    is far cheaper than running the pattern.
+    Empty if the pattern has no such texts.  A record without any of them
+    cannot match, and looking for plain substrings is far cheaper than running
+    the pattern.
     """
-    runs, run = [], ""
+    needed = _needed(parser.parse(pattern, re.IGNORECASE))
+    return max(needed, key=lambda texts: min(map(len, texts)), default=())
+
+
+def _needed(items) -> list[tuple[str, ...]]:
+    """Every group of texts of which a match of ``items`` must contain one."""
+    needed, run = [], ""
+
+    def end_run():
+        nonlocal run
+        if run:
+            needed.append((run,))
+        run = ""
 
     def walk(items):
         nonlocal run
         for op, value in items:
             if op is ops.LITERAL and value < 128:
                 run += chr(value).lower()
-                continue
-            if op is ops.SUBPATTERN:
+            elif op is ops.SUBPATTERN:
                 walk(value[3])
-                continue
-            if op is ops.AT:
-                continue
-            runs.append(run)
-            run = ""
+            elif op is not ops.AT:
+                end_run()
+                if op is ops.MAX_REPEAT and value[0] > 0:
+                    needed.extend(_needed(value[2]))
+                elif op is ops.BRANCH:
+                    groups = [_needed(branch) for branch in value[1]]
+                    if all(groups):
+                        best = [max(g, key=lambda texts: min(map(len, texts))) for g in groups]
+                        needed.append(tuple(text for texts in best for text in texts))
 
-    walk(parser.parse(pattern, re.IGNORECASE))
-    return max([*runs, run], key=len) or None
+    walk(items)
+    end_run()
+    return needed
 
 
 def fold(text: Column) -> Column:
@@ -155,17 +173,18 @@ def native_pattern(pattern: str) -> Column:
 
 
 def _may_match(folded: Column | None, pattern: str) -> Column | None:
-    literal = None if folded is None else required_literal(pattern)
-    if literal is None:
+    literals = () if folded is None else required_literals(pattern)
+    if not literals:
         return None
-    return F.coalesce(F.contains(folded, F.lit(literal)), F.lit(True))
+    holds = reduce(or_, [F.contains(folded, F.lit(literal)) for literal in literals])
+    return F.coalesce(holds, F.lit(True))
 
 
 def find_all(text: Column, pattern: str, folded: Column | None = None) -> Column:
     """All matches of ``pattern`` in order; NULL text has none.
 
-    With ``folded`` (see ``fold``) the pattern only runs on text that holds its
-    required literal.
+    With ``folded`` (see ``fold``) the pattern only runs on text that holds one
+    of its required literals.
     """
     none = F.array().cast("array<string>")
     found = F.regexp_extract_all(text, native_pattern(pattern), F.lit(0))
@@ -185,7 +204,7 @@ def contains(text: Column, pattern: str, folded: Column | None = None) -> Column
 
 
 def _compile(definitions: Sequence[Definition]):
-    return [(d.definition, re.compile(d.pattern, re.IGNORECASE), required_literal(d.pattern))
+    return [(d.definition, re.compile(d.pattern, re.IGNORECASE), required_literals(d.pattern))
             for d in definitions]
 
 
@@ -195,6 +214,12 @@ def _python_fold(value: str | None) -> str | None:
     return value.lower()
 
 
+def _may_hold(literals: tuple[str, ...], value: str | None, folded: str | None) -> bool:
+    if value is None or not literals or folded is None:
+        return value is not None
+    return any(literal in folded for literal in literals)
+
+
 def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -> Column:
     """``array<HIT_TYPE>`` of the definitions that match, by Python ``re``."""
     compiled = _compile(definitions)
@@ -202,21 +227,25 @@ def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -
     hit = pa.struct([("definition", pa.string()), ("name_matches", strings),
                      ("content_matches", strings)])
 
-    def found(rx, literal, value, folded):
-        if value is None or (literal and folded is not None and literal not in folded):
+    def found(rx, literals, value, folded):
+        if not _may_hold(literals, value, folded):
             return []
-        return [m.group() for m in rx.finditer(value)]
+        if rx.groups:
+            return [m.group() for m in rx.finditer(value)]
+        return rx.findall(value)
 
     @F.arrow_udf(f"array<{HIT_TYPE}>")
     def hits(names: pa.Array, texts: pa.Array) -> pa.Array:
         rows = []
-        for n, t in zip(names, texts):
-            n, t = n.as_py(), t.as_py()
+        for n, t in zip(names.to_pylist(), texts.to_pylist()):
             folded_n, folded_t = _python_fold(n), _python_fold(t)
-            per_definition = ((d, found(rx, lit, n, folded_n), found(rx, lit, t, folded_t))
-                              for d, rx, lit in compiled)
-            rows.append([{"definition": d, "name_matches": nm, "content_matches": cm}
-                         for d, nm, cm in per_definition if nm or cm])
+            row = []
+            for definition, rx, literals in compiled:
+                in_name = found(rx, literals, n, folded_n)
+                in_text = found(rx, literals, t, folded_t)
+                if in_name or in_text:
+                    row.append((definition, in_name, in_text))
+            rows.append(row)
         return pa.array(rows, type=pa.list_(hit))
 
     return hits(name, text)
@@ -226,19 +255,16 @@ def python_matching(name: Column, text: Column, definitions: Sequence[Definition
     """Names of the definitions that match anywhere, by Python ``re``."""
     compiled = _compile(definitions)
 
-    def occurs(rx, literal, value, folded):
-        if value is None or (literal and folded is not None and literal not in folded):
-            return False
-        return rx.search(value) is not None
+    def occurs(rx, literals, value, folded):
+        return _may_hold(literals, value, folded) and rx.search(value) is not None
 
     @F.arrow_udf("array<string>")
     def matching(names: pa.Array, texts: pa.Array) -> pa.Array:
         rows = []
-        for n, t in zip(names, texts):
-            n, t = n.as_py(), t.as_py()
+        for n, t in zip(names.to_pylist(), texts.to_pylist()):
             folded_n, folded_t = _python_fold(n), _python_fold(t)
-            rows.append([d for d, rx, lit in compiled
-                         if occurs(rx, lit, n, folded_n) or occurs(rx, lit, t, folded_t)])
+            rows.append([d for d, rx, lits in compiled
+                         if occurs(rx, lits, n, folded_n) or occurs(rx, lits, t, folded_t)])
         return pa.array(rows, type=pa.list_(pa.string()))
 
     return matching(name, text)

@@ -123,12 +123,15 @@ def test_single_characters_agree(spark):
         assert (counts[f"n{i}"], counts[f"s{i}"]) == (len(found), sum(found)), p
 
 
-@pytest.mark.parametrize("pattern, literal", [
-    ("license", "license"), ("a+bcd", "bcd"), ("(?:ab|cd)efg", "efg"), ("(Foo)bar", "foobar"),
-    ("x?y?", None), ("[a-z]+@", "@"), ("", None), ("a|b", None), (r"foo\bbar", "foobar"),
-    ("abé", "ab"), ("(?x) a b # c", "ab")])
-def test_required_literal(pattern, literal):
-    assert regex.required_literal(pattern) == literal
+@pytest.mark.parametrize("pattern, literals", [
+    ("license", ("license",)), ("a+bcd", ("bcd",)), ("(?:ab|cd)efg", ("efg",)),
+    ("(Foo)bar", ("foobar",)), ("x?y?", ()), ("[a-z]+@", ("@",)), ("", ()),
+    ("ab|cd", ("ab", "cd")), ("ab|", ()), (r"foo\bbar", ("foobar",)), ("abé", ("ab",)),
+    ("(?x) a b # c", ("ab",)), ("(?:key|token)[a-z]*", ("key", "token")),
+    ("(?:abc)+x", ("abc",)), ("(?:abc)*x", ("x",)), ("(?=abc)x", ("x",)),
+    ("(?:a(?:bc|de)|f)", ("bc", "de", "f"))])
+def test_required_literals(pattern, literals):
+    assert regex.required_literals(pattern) == literals
 
 
 def test_rejection():
