@@ -5,7 +5,6 @@ from __future__ import annotations
 import json
 import time
 import uuid
-from contextlib import contextmanager
 from datetime import datetime
 from typing import NamedTuple
 
@@ -24,7 +23,6 @@ RECORD_KEY = ["archive", "record_offset", "record_index"]
 SPLIT = ["archive", "split_start"]
 SPLIT_BYTES = 256 << 20
 ZIP_BYTES = 256 << 20
-ARROW_BATCH_BYTES = 64 << 20
 # A row that names a split is about 100 bytes.
 MAX_BROADCAST_SPLITS = 100_000
 
@@ -52,6 +50,7 @@ def read_records(spark: SparkSession, archives: str, **options) -> DataFrame:
     register(spark)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format("warc").option("filter_pushdown", pushdown) \
+        .option("parallelism", spark.sparkContext.defaultParallelism) \
         .options(**options).load(archives)
 
 
@@ -77,20 +76,8 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-@contextmanager
-def _setting(spark: SparkSession, key: str, value: str):
-    """Set ``key`` for a while unless the session has its own value."""
-    if spark.conf.get(key, None) is not None:
-        yield
-        return
-    spark.conf.set(key, value)
-    try:
-        yield
-    finally:
-        spark.conf.unset(key)
-
-
-def _stage(spark, archives, definitions, path, *, extract, search_binary, dialect, options):
+def _stage(spark, archives, definitions, path, *, extract, search_binary, dialect,
+           redistribute, options):
     """Read, decode and search everything once; keep what later steps need.
 
     One row per matched record with all its hits (and its payload, if it is to
@@ -98,6 +85,8 @@ def _stage(spark, archives, definitions, path, *, extract, search_binary, dialec
     """
     trailer = [c.split()[0] for c in TRAILER_SCHEMA.split(", ")]
     records = read_records(spark, archives, trailers="true", **options)
+    if redistribute:
+        records = records.repartition(redistribute)
     carry = ["error", *trailer, F.octet_length("payload").alias("payload_size")]
     if extract:
         carry.append("payload")
@@ -183,41 +172,44 @@ def _export_table(matches, staged, run_dir) -> None:
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
                     extract: bool = False, extract_format: str = "zip",
                     search_binary: bool = False, dialect: str = "auto",
-                    split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES) -> SearchResult:
+                    split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES,
+                    redistribute: int = 0) -> SearchResult:
     """Search all archives of a directory with all definitions of another.
 
     Writes below a fresh directory in ``out``: ``matches`` (table), ``reports``
     (text), ``exports`` (with ``extract``), ``problems`` and ``summary``.
     The archives are read once.
+
+    An archive that is one single gzip member can only be decompressed by one
+    task; ``redistribute`` then spreads the search over that many tasks, at
+    the price of a shuffle of the payloads.
     """
     if extract_format not in ("zip", "table"):
         raise ValueError("extract_format must be 'zip' or 'table'")
     started, now = time.time(), datetime.now()
     loaded = load_definitions(definitions)
     require_valid(loaded)
-    listed = list_archives(archives)
+    archive_count = len(list_archives(archives))
     run_dir = new_run_dir(out, now)
     staging = _staging_dir(spark, run_dir)
-    how = dict(extract=extract, search_binary=search_binary, dialect=dialect)
+    how = dict(extract=extract, search_binary=search_binary, dialect=dialect,
+               redistribute=redistribute)
 
     try:
-        with _setting(spark, "spark.sql.execution.arrow.maxBytesPerBatch",
-                      str(ARROW_BATCH_BYTES)):
-            _stage(spark, archives, loaded.definitions, f"{staging}/pass=0",
-                   options={"split_bytes": split_bytes}, **how)
-            passes = 1
-            while True:
-                staged = spark.read.parquet(staging)
-                splits = _splits(staged)
-                # Splits that began inside an archive stored within an archive.
-                wrong = splits.where("wrong").select(
-                    *SPLIT, "split_end", "expected").collect()
-                if not wrong:
-                    break
-                _stage(spark, archives, loaded.definitions, f"{staging}/pass={passes}",
-                       options={"split_bytes": split_bytes, "ranges": json.dumps(
-                           [list(row) for row in wrong])}, **how)
-                passes += 1
+        options, passes = {"split_bytes": split_bytes}, 0
+        while True:
+            _stage(spark, archives, loaded.definitions, f"{staging}/rows/pass={passes}",
+                   options=options, **how)
+            passes += 1
+            staged = spark.read.parquet(f"{staging}/rows")
+            # A small table, read several times below; the rows are many files.
+            _splits(staged).write.parquet(f"{staging}/splits{passes}")
+            splits = spark.read.parquet(f"{staging}/splits{passes}")
+            # Splits that began inside an archive stored within an archive.
+            wrong = splits.where("wrong").select(*SPLIT, "split_end", "expected").collect()
+            if not wrong:
+                break
+            options = {"ranges": json.dumps([list(row) for row in wrong])}
 
         staged = _valid(staged, splits, repaired=passes > 1)
         hit = staged.where("hits is not null")
@@ -239,7 +231,6 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
         errors = staged.where("error is not null").select("archive", "error")
-        paths = spark.createDataFrame(listed, "archive string, size bigint")
         seen = counts.where("records_read > 0").select("archive") \
             .unionByName(errors.select("archive"))
         nameless = matches.where("name is null") if extract else matches.where("false")
@@ -248,14 +239,14 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
             ("error", loaded.rejected_table(spark), "definition", "reason"),
             ("error", nameless, "definition",
              "concat('no name to export under: ', archive, ' at ', record_offset)"),
-            ("warning", summary.archives_without_records(paths, seen), "archive",
-             "'no records found'"))
+            ("warning", summary.archives_without_records(counts.select("archive"), seen),
+             "archive", "'no records found'"))
         problems.write.json(f"{run_dir}/problems")
 
         written = spark.read.schema(problems.schema).json(f"{run_dir}/problems")
         seconds = F.lit(time.time() - started)
         summary.run_totals(counts, written).select(
-            F.lit(len(listed)).alias("archives"), "records_read",
+            F.lit(archive_count).alias("archives"), "records_read",
             (F.col("errors") + failed).alias("errors"), "warnings",
             seconds.alias("elapsed_seconds"),
             text.elapsed_text(seconds).alias("elapsed")) \

@@ -27,8 +27,10 @@ RECORD_SCHEMA = ("archive string, record_offset bigint, record_index bigint, war
 TRAILER_SCHEMA = ("split_start bigint, split_end bigint, first_start bigint,"
                   " next_start bigint, records_read bigint, stopped bigint")
 
-# Archives are packed up to this size per partition.
+# Splits are packed up to this size per partition, and not cut below the other
+# unless asked for.
 PACK_BYTES = 256 << 20
+MIN_SPLIT_BYTES = 4 << 20
 # An Arrow batch is handed to Spark at this many rows or payload bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
@@ -215,26 +217,38 @@ class WarcReader(DataSourceReader):
         types = options.get("record_types", "response").lower()
         self.types = None if types == "all" else set(types.split(","))
         self.split_bytes = int(options.get("split_bytes", "0"))
+        self.min_split_bytes = min(self.split_bytes, MIN_SPLIT_BYTES)
+        self.parallelism = max(int(options.get("parallelism", "1")), 1)
         self.ranges = json.loads(options.get("ranges", "[]"))
         self.payload = flag("payload", "true")
         self.http_headers = flag("http_headers", "false")
         self.trailers = flag("trailers", "false")
         self.errors = True
 
-    def _splits(self) -> Iterator[Split]:
+    def _share(self, limit: int, total: int) -> int:
+        """``limit``, or less if there would be fewer partitions than cores."""
+        return max(min(limit, -(-total // self.parallelism)), 1)
+
+    def _splits(self) -> list[Split]:
         if self.ranges:
-            yield from (Split(*r) for r in self.ranges)
-            return
-        for archive, size in list_archives(self.path):
-            step = self.split_bytes or max(size, 1)
-            for start in range(0, max(size, 1), step):
-                yield Split(archive, start, min(start + step, max(size, 1)),
-                            0 if start == 0 else None)
+            return [Split(*r) for r in self.ranges]
+        archives = list_archives(self.path)
+        total = sum(size for _, size in archives)
+        splits = []
+        for archive, size in archives:
+            size = max(size, 1)
+            step = size
+            if self.split_bytes:
+                step = max(self._share(self.split_bytes, total), self.min_split_bytes)
+            splits += [Split(archive, start, min(start + step, size), 0 if start == 0 else None)
+                       for start in range(0, size, step)]
+        return splits
 
     def partitions(self):
-        limit = self.split_bytes or PACK_BYTES
+        splits = self._splits()
+        limit = self._share(PACK_BYTES, sum(s.end - s.start for s in splits))
         packed, group, filled = [], [], 0
-        for split in self._splits():
+        for split in splits:
             length = split.end - split.start
             if group and filled + length > limit:
                 packed.append(PackedSplits(group))
@@ -361,6 +375,8 @@ class WarcDataSource(DataSource):
     archive whole.  A range begins at the first member found in it, which is
     wrong only if an archive stores another one uncompressed; ``trailers``
     gives what is needed to notice, and ``search`` does.
+    ``parallelism`` (1): the number of partitions to aim for if the archives
+    are small.
     ``payload`` (true): false leaves the payload out if only names matter.
     ``http_headers`` (false): true keeps the HTTP header block in the payload.
     ``trailers`` (false): adds one row per range with the number of records
