@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text
 from gleanery.operators import export, search, summary
+from gleanery.plans.table import scan_bytes
 from gleanery.sinks import report, zip_export
 from gleanery.sources.definitions import load_definitions, require_valid
 from gleanery.sources.files import list_archives, resolve
@@ -23,6 +24,7 @@ RECORD_KEY = ["archive", "record_offset", "record_index"]
 SPLIT = ["archive", "split_start"]
 SPLIT_BYTES = 256 << 20
 ZIP_BYTES = 256 << 20
+PARTITION_BYTES = 128 << 20
 # A row that names a split is about 100 bytes.
 MAX_BROADCAST_SPLITS = 100_000
 
@@ -135,38 +137,64 @@ def _valid(staged: DataFrame, splits: DataFrame, repaired: bool) -> DataFrame:
     return staged.join(bad, [*SPLIT, "pass"], "left_anti")
 
 
-def _export_zip(spark, matches, staged, run_dir, zip_bytes) -> dict[str, int]:
-    """Write one zip per definition, or several where one would be too large."""
+def _partitions(spark: SparkSession, size: int) -> int:
+    """Partitions for ``size`` bytes, and no fewer than there are cores."""
+    return max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism)
+
+
+def _winners(spark, matches, path, shard_bytes) -> DataFrame:
+    """The records to export: one per definition and entry name, each with its
+    ``shard`` out of ``shards``, as many per definition as its size calls for.
+
+    Keys and sizes only; the hot definition of a run is spread by entry name.
+    """
     named = export.entries(matches.select(*RECORD_KEY, "name", "definition", "payload_size"))
-    winners = export.first_per_entry(named, [*RECORD_KEY, "payload_size"])
+    export.first_per_entry(named, [*RECORD_KEY, "payload_size"]).write.parquet(path)
+    winners = spark.read.parquet(path)
     # One row per definition, as many as the plan has literals.
     sizes = winners.groupBy("definition").agg(F.sum("payload_size").alias("bytes")).collect()
-    if not sizes:
-        return {"files": 0, "entries": 0, "failed": 0}
-    shards = {row["definition"]: -(-row["bytes"] // zip_bytes) or 1 for row in sizes}
-    shard_map = F.create_map(*[F.lit(v) for pair in shards.items() for v in pair])
-    count = shard_map[F.col("definition")]
-    shard = F.pmod(F.xxhash64("entry_name"), count)
+    shards = {row["definition"]: max(-(-row["bytes"] // shard_bytes), 1) for row in sizes}
+    if shards:
+        count = F.create_map(*[F.lit(v) for pair in shards.items() for v in pair])[
+            F.col("definition")]
+    else:
+        count = F.lit(1)
+    return winners.withColumn("shards", count) \
+        .withColumn("shard", F.pmod(F.xxhash64("entry_name"), "shards"))
+
+
+def _with_payload(spark, winners, staged) -> tuple[DataFrame, int]:
+    """Winners with their payloads, and the number of partitions that suits.
+
+    A record is on the payload side once, however many definitions it matches,
+    so the keys of this join are not skewed.
+    """
+    payloads = staged.where("hits is not null")
+    size = payloads.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
+    n = _partitions(spark, size)
+    joined = winners.repartition(n, *RECORD_KEY).join(
+        payloads.select(*RECORD_KEY, "payload").repartition(n, *RECORD_KEY), RECORD_KEY)
+    size = winners.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
+    return joined, _partitions(spark, size)
+
+
+def _export_zip(spark, winners, staged, path) -> dict[str, int]:
+    """Write one zip per definition, or several where one would be too large."""
+    rows, n = _with_payload(spark, winners, staged)
     base = text.base_name(text.report_name(F.col("definition")))
-    file = F.when(count == 1, text.export_name(F.col("definition"))).otherwise(
-        F.format_string("%s-%05d-of-%05d.zip", base, shard, count))
-    payloads = staged.where("hits is not null").select(*RECORD_KEY, "payload")
-    rows = winners.select(*RECORD_KEY, "entry_name", file.alias("file")) \
-        .join(payloads, RECORD_KEY).select("file", "entry_name", "payload")
-    rows.repartition("file").sortWithinPartitions("file", "entry_name") \
-        .write.format("zip").mode("append").save(f"{run_dir}/exports")
-    return zip_export.read_summary(f"{run_dir}/exports")
+    file = F.when(F.col("shards") == 1, text.export_name(F.col("definition"))).otherwise(
+        F.format_string("%s-%05d-of-%05d.zip", base, "shard", "shards"))
+    rows.select(file.alias("file"), "entry_name", "payload").repartition(n, "file") \
+        .sortWithinPartitions("file", "entry_name") \
+        .write.format("zip").mode("append").save(path)
+    return zip_export.read_summary(path)
 
 
-def _export_table(matches, staged, run_dir) -> None:
+def _export_table(spark, winners, staged, path) -> None:
     """Write the exported records as a table partitioned by definition."""
-    named = export.entries(matches.select(*RECORD_KEY, "name", "definition"))
-    winners = export.first_per_entry(named, RECORD_KEY)
-    payloads = staged.where("hits is not null").select(*RECORD_KEY, "payload")
-    winners.join(payloads, RECORD_KEY) \
-        .repartitionByRange("definition", "entry_name") \
-        .sortWithinPartitions("definition", "entry_name") \
-        .write.partitionBy("definition").parquet(f"{run_dir}/exports")
+    rows, n = _with_payload(spark, winners, staged)
+    rows.repartition(n, "definition", "shard").drop("shard", "shards") \
+        .write.partitionBy("definition").parquet(path)
 
 
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
@@ -219,14 +247,17 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
         created = F.lit(now.strftime(report.CREATED_FORMAT))
         lines = report.report_lines(matches, loaded.definitions_table(spark), RECORD_KEY,
-                                    F.col("archive"), created)
+                                    F.col("archive"), created,
+                                    _partitions(spark, scan_bytes(matches)))
         report.write_reports(lines, f"{run_dir}/reports")
 
         failed = 0
-        if extract and extract_format == "zip":
-            failed = _export_zip(spark, matches, staged, run_dir, zip_bytes)["failed"]
-        elif extract:
-            _export_table(matches, staged, run_dir)
+        if extract:
+            winners = _winners(spark, matches, f"{staging}/winners", zip_bytes)
+            if extract_format == "zip":
+                failed = _export_zip(spark, winners, staged, f"{run_dir}/exports")["failed"]
+            else:
+                _export_table(spark, winners, staged, f"{run_dir}/exports")
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))

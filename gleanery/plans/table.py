@@ -33,6 +33,11 @@ def search_table(df: DataFrame, keys: list[str], name: Column | str, text: Colum
     return search.search_pairs(prepared, keys, definitions, dialect)
 
 
+def scan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of the size of ``df``; for a scan, of its files."""
+    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+
+
 def spread(df: DataFrame, partitions: int, below_bytes: int = 1 << 30) -> DataFrame:
     """``df`` over ``partitions`` tasks if it is a small scan.
 
@@ -40,5 +45,4 @@ def spread(df: DataFrame, partitions: int, below_bytes: int = 1 << 30) -> DataFr
     bound by the processor.  A large table has enough splits as it is, and its
     texts are not shuffled.
     """
-    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
-    return df.repartition(partitions) if size < below_bytes else df
+    return df.repartition(partitions) if scan_bytes(df) < below_bytes else df

@@ -57,12 +57,15 @@ def report_header(definition: Column, pattern: Column, created: Column) -> Colum
 
 
 def report_lines(pairs: DataFrame, definitions: DataFrame, order: list[str], archive: Column,
-                 created: Column) -> DataFrame:
+                 created: Column, partitions: int | None = None) -> DataFrame:
     """All reports as (``report``, ``value``), range-partitioned in report order.
 
     Ranges and not a hash of the definition, so that the report of a definition
     that matches a third of all records is spread over many tasks.  The text is
     put together after the shuffle, which moves the matches only.
+
+    ``pairs`` should be a stored table: finding the ranges samples it, which
+    would otherwise run the search once more.
     """
     report = F.coalesce(text.report_name(F.col("definition")), F.lit(""))
     body = pairs.select(report.alias("report"), *order, archive.alias("in_archive"), "name",
@@ -72,7 +75,8 @@ def report_lines(pairs: DataFrame, definitions: DataFrame, order: list[str], arc
         F.col("definition"), F.col("pattern"), created).alias("header"))
     rows = body.unionByName(header, allowMissingColumns=True)
     position = ["report", *[F.col(c).asc_nulls_first() for c in order]]
-    ordered = rows.repartitionByRange(*position).sortWithinPartitions(*position)
+    by = position if partitions is None else [partitions, *position]
+    ordered = rows.repartitionByRange(*by).sortWithinPartitions(*position)
     block = F.coalesce("header", record_block(
         F.col("in_archive"), F.col("name"), F.col("name_matches"), F.col("content_matches")))
     # The text sink ends every value with a line feed of its own.
