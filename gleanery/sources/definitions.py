@@ -53,7 +53,7 @@ def load_definitions(directory: str) -> Loaded:
         files = []
     valid, rejected = [], []
     for path, _ in files:
-        name = path.rsplit("/", 1)[1][: -len(SUFFIX)] or SUFFIX
+        name = path.rsplit("/", 1)[1][: -len(SUFFIX)]
         try:
             pattern = _read_pattern(path)
         except (OSError, UnicodeDecodeError) as e:

@@ -34,6 +34,8 @@ MIN_SPLIT_BYTES = 4 << 20
 # An Arrow batch is handed to Spark at this many rows or payload bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
+# What is taken for a header line at most; more is no archive.
+MAX_LINE = 64 << 20
 # The most bytes one Spark value can hold.
 MAX_PAYLOAD = (1 << 31) - 64
 
@@ -60,12 +62,6 @@ class Split(NamedTuple):
     first: int | None
 
 
-class PackedSplits(InputPartition):
-    def __init__(self, splits: list[Split]):
-        super().__init__(splits)
-        self.splits = splits
-
-
 class Members:
     """Decompressed bytes of consecutive gzip members, with their offsets."""
 
@@ -138,6 +134,8 @@ class Members:
         searched = self._cursor
         while (at := self._buffer.find(b"\n", searched)) < 0:
             seen = len(self._buffer) - self._cursor
+            if seen > MAX_LINE:
+                raise ArchiveError("header line without an end")
             if not self._fill():
                 at = len(self._buffer) - 1
                 break
@@ -247,22 +245,22 @@ class WarcReader(DataSourceReader):
     def partitions(self):
         splits = self._splits()
         limit = self._share(PACK_BYTES, sum(s.end - s.start for s in splits))
-        packed, group, filled = [], [], 0
+        packed, filled = [], limit
         for split in splits:
             length = split.end - split.start
-            if group and filled + length > limit:
-                packed.append(PackedSplits(group))
-                group, filled = [], 0
-            group.append(split)
+            if filled + length > limit:
+                packed.append([])
+                filled = 0
+            # Plain tuples: a partition is pickled on its own, and a large scan
+            # has many.
+            packed[-1].append(tuple(split))
             filled += length
-        if group:
-            packed.append(PackedSplits(group))
-        return packed
+        return [InputPartition(group) for group in packed]
 
-    def read(self, partition: PackedSplits) -> Iterator[pa.RecordBatch]:
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         batch, filled = [], 0
-        for split in partition.splits:
-            for row in self._read_split(split):
+        for split in partition.value:
+            for row in self._read_split(Split(*split)):
                 batch.append(row)
                 filled += len(row[5] or b"")
                 if len(batch) >= BATCH_ROWS or filled >= BATCH_BYTES:
@@ -338,7 +336,9 @@ class WarcReader(DataSourceReader):
         try:
             length = int(headers["content-length"])
         except (KeyError, ValueError):
-            raise ArchiveError("record without a valid content length") from None
+            length = -1
+        if length < 0:
+            raise ArchiveError("record without a valid content length")
         name = headers.get("warc-target-uri")
         if self.types is not None and kind not in self.types:
             members.take(length, keep=False)

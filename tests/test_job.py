@@ -142,6 +142,28 @@ def test_sharded_zip_and_table_export(spark, dirs):
     assert table.where("definition = 'w'").count() == 30
 
 
+@pytest.mark.parametrize("extract_format", ["zip", "table"])
+def test_nothing_matches(spark, dirs, extract_format):
+    define(dirs, none="zzz")
+    write_archive(dirs / "in" / "a.gz", [response("http://x", b"x")])
+    result = run(spark, dirs, extract=True, extract_format=extract_format)
+    assert result.matches.count() == 0
+    assert report_text(result, "none").startswith("[none_results.txt]\n")
+    total = result.summary.first()
+    assert (total.records_read, total.errors, total.warnings) == (1, 0, 0)
+
+
+def test_redistribute_and_shared_staging(spark, dirs):
+    define(dirs, w="w[0-9]+")
+    write_archive(dirs / "in" / "a.gz", [response(f"http://x/w{i}", b"w1") for i in range(20)],
+                  single_member=True)
+    result = run(spark, dirs, redistribute=3)
+    assert result.matches.count() == 20
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert job._staging_dir(spark, result.run_dir).startswith(f"{shared}/_staging_")
+    assert not glob.glob(f"{shared}/_staging_*")
+
+
 def test_fails_before_scanning(spark, dirs):
     define(dirs, bad="(")
     write_archive(dirs / "in" / "a.gz", [response("http://x", b"x")])
