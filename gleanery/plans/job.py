@@ -142,29 +142,53 @@ def _partitions(spark: SparkSession, size: int) -> int:
     return max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism)
 
 
-def _winners(spark, matches, path, shard_bytes) -> DataFrame:
-    """The records to export: one per definition and entry name, each with its
-    ``shard`` out of ``shards``, as many per definition as its size calls for.
+def _place(sizes: list[tuple[str, int]], shard_bytes: int, cores: int):
+    """``{definition: (shards, first partition)}`` and the number of partitions.
 
-    Keys and sizes only; the hot definition of a run is spread by entry name.
+    Every shard of a large definition has a partition of its own; small
+    definitions share partitions, but leave no core idle.
+    """
+    share = min(shard_bytes, -(-sum(size for _, size in sizes) // cores))
+    places, n, room = {}, 0, 0
+    for definition, size in sizes:
+        shards = max(-(-size // shard_bytes), 1)
+        if shards == 1 and size <= room:
+            places[definition] = (1, n - 1)
+            room -= size
+        else:
+            places[definition] = (shards, n)
+            n += shards
+            room = share - size if shards == 1 else 0
+    return places, n
+
+
+def _winners(spark, matches, path, shard_bytes) -> tuple[DataFrame, int]:
+    """The records to export, and the number of partitions to write them from.
+
+    One row per definition and entry name, with its ``shard`` out of ``shards``,
+    as many per definition as its size calls for, and its ``partition``.  Keys
+    and sizes only; a hot definition is spread by entry name.
     """
     named = export.entries(matches.select(*RECORD_KEY, "name", "definition", "payload_size"))
     export.first_per_entry(named, [*RECORD_KEY, "payload_size"]).write.parquet(path)
     winners = spark.read.parquet(path)
     # One row per definition, as many as the plan has literals.
-    sizes = winners.groupBy("definition").agg(F.sum("payload_size").alias("bytes")).collect()
-    shards = {row["definition"]: max(-(-row["bytes"] // shard_bytes), 1) for row in sizes}
-    if shards:
-        count = F.create_map(*[F.lit(v) for pair in shards.items() for v in pair])[
-            F.col("definition")]
-    else:
-        count = F.lit(1)
-    return winners.withColumn("shards", count) \
-        .withColumn("shard", F.pmod(F.xxhash64("entry_name"), "shards"))
-
-
-def _with_payload(spark, winners, staged) -> tuple[DataFrame, int]:
-    """Winners with their payloads, and the number of partitions that suits.
+    sizes = winners.groupBy("definition").agg(F.sum("payload_size")).orderBy("definition")
+    places, n = _place([tuple(row) for row in sizes.collect()], shard_bytes,
+                       spark.sparkContext.defaultParallelism)
+    if not places:
+        places = {"": (1, 0)}
+    place = F.create_map(*[c for d, (shards, first) in places.items() for c in (
+        F.lit(d), F.struct(F.lit(shards).alias("shards"), F.lit(first).alias("first")))])
+    placed = winners.withColumn("place", place[F.col("definition")])
+    shard = F.pmod(F.xxhash64("entry_name"), F.col("place.shards")).cast("int")
+    return placed.select(
+        *winners.columns, F.col("place.shards").alias("shards"), shard.alias("shard"),
+        (F.col("place.first") + shard).alias("partition")), max(n, 1)
+
+
+def _with_payload(spark, winners, staged) -> DataFrame:
+    """Winners with their payloads.
 
     A record is on the payload side once, however many definitions it matches,
     so the keys of this join are not skewed.
@@ -172,29 +196,26 @@ def _with_payload(spark, winners, staged) -> tuple[DataFrame, int]:
     payloads = staged.where("hits is not null")
     size = payloads.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
     n = _partitions(spark, size)
-    joined = winners.repartition(n, *RECORD_KEY).join(
+    return winners.repartition(n, *RECORD_KEY).join(
         payloads.select(*RECORD_KEY, "payload").repartition(n, *RECORD_KEY), RECORD_KEY)
-    size = winners.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
-    return joined, _partitions(spark, size)
 
 
-def _export_zip(spark, winners, staged, path) -> dict[str, int]:
+def _export_zip(spark, winners, n, staged, path) -> dict[str, int]:
     """Write one zip per definition, or several where one would be too large."""
-    rows, n = _with_payload(spark, winners, staged)
     base = text.base_name(text.report_name(F.col("definition")))
     file = F.when(F.col("shards") == 1, text.export_name(F.col("definition"))).otherwise(
         F.format_string("%s-%05d-of-%05d.zip", base, "shard", "shards"))
-    rows.select(file.alias("file"), "entry_name", "payload").repartition(n, "file") \
-        .sortWithinPartitions("file", "entry_name") \
-        .write.format("zip").mode("append").save(path)
+    _with_payload(spark, winners, staged) \
+        .select(file.alias("file"), "entry_name", "payload", "partition") \
+        .repartitionById(n, F.col("partition")).sortWithinPartitions("file", "entry_name") \
+        .drop("partition").write.format("zip").mode("append").save(path)
     return zip_export.read_summary(path)
 
 
-def _export_table(spark, winners, staged, path) -> None:
+def _export_table(spark, winners, n, staged, path) -> None:
     """Write the exported records as a table partitioned by definition."""
-    rows, n = _with_payload(spark, winners, staged)
-    rows.repartition(n, "definition", "shard").drop("shard", "shards") \
-        .write.partitionBy("definition").parquet(path)
+    _with_payload(spark, winners, staged).repartitionById(n, F.col("partition")) \
+        .drop("shard", "shards", "partition").write.partitionBy("definition").parquet(path)
 
 
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
@@ -253,11 +274,12 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
         failed = 0
         if extract:
-            winners = _winners(spark, matches, f"{staging}/winners", zip_bytes)
+            winners, n = _winners(spark, matches, f"{staging}/winners", zip_bytes)
             if extract_format == "zip":
-                failed = _export_zip(spark, winners, staged, f"{run_dir}/exports")["failed"]
+                failed = _export_zip(spark, winners, n, staged,
+                                     f"{run_dir}/exports")["failed"]
             else:
-                _export_table(spark, winners, staged, f"{run_dir}/exports")
+                _export_table(spark, winners, n, staged, f"{run_dir}/exports")
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))

@@ -164,6 +164,15 @@ def test_redistribute_and_shared_staging(spark, dirs):
     assert not glob.glob(f"{shared}/_staging_*")
 
 
+def test_places_of_definitions():
+    places, n = job._place([("a", 10), ("b", 1000), ("c", 20), ("d", 0), ("e", 95)], 100, 4)
+    assert places == {"a": (1, 0), "b": (10, 1), "c": (1, 11), "d": (1, 11), "e": (1, 12)}
+    assert n == 13
+    places, n = job._place([(str(i), 10) for i in range(8)], 1000, 4)
+    assert n == 4 and {first for _, first in places.values()} == {0, 1, 2, 3}
+    assert job._place([], 100, 4) == ({}, 0)
+
+
 def test_fails_before_scanning(spark, dirs):
     define(dirs, bad="(")
     write_archive(dirs / "in" / "a.gz", [response("http://x", b"x")])
