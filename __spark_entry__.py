@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-from archive_fixture import work_dir, write_archives  # noqa: E402
+from archive_fixture import (  # noqa: E402
+    make_dir, work_dir, write_archives, write_definitions)
 from gleanery.functions import regex, text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
@@ -215,6 +216,13 @@ def base_names(spark, sf_dir):
         text.export_name(base).alias("export"))
 
 
+def _stored(spark, df):
+    """``df`` by way of a table, where a plan would evaluate it twice."""
+    path = f"{work_dir(spark)}/table"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
 def _host(name):
     """A URL cut down to its host, so that names collide."""
     return F.regexp_extract(name, "^(https?://[^/]*)", 1)
@@ -238,7 +246,7 @@ def export_merge(spark, sf_dir):
         named = _host_entries(some).select("definition", "entry_name", "page_id")
         winners = export.first_per_entry(named, ["page_id"])
         payload = some.select("page_id", F.md5(F.encode("html", "UTF-8")).alias("payload"))
-        return winners.join(payload, "page_id")
+        return _stored(spark, winners.join(payload, "page_id"))
 
     merged = export.merge_exports(
         [exported(pages.where("url like 'https:%'")), exported(pages)], ["page_id"])
@@ -279,13 +287,6 @@ def report_blocks(spark, sf_dir):
         .alias("block"))
 
 
-def _stored(spark, df):
-    """``df`` by way of a table, where a plan would evaluate it twice."""
-    path = f"{work_dir(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def report_lines(spark, sf_dir):
     definitions = spark.createDataFrame(list(PAGE_DEFS.items()), "definition string, pattern string")
     return report.report_lines(_stored(spark, _page_pairs(spark, sf_dir)), definitions,
@@ -317,13 +318,9 @@ def archive_records(spark, sf_dir):
 
 def _archive_search(spark, sf_dir, **options):
     directory = _archives(spark, sf_dir)
-    os.makedirs(f"{directory}/definitions")
-    os.makedirs(f"{directory}/out")
-    for name, pattern in PAGE_DEFS.items():
-        with open(f"{directory}/definitions/{name}.txt", "w", encoding="utf-8") as f:
-            f.write(pattern)
+    write_definitions(PAGE_DEFS, f"{directory}/definitions")
     return search_archives(spark, f"{directory}/archives", f"{directory}/definitions",
-                           f"{directory}/out", split_bytes=1 << 20, **options)
+                           make_dir(f"{directory}/out"), split_bytes=1 << 20, **options)
 
 
 def archive_search(spark, sf_dir):

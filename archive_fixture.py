@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gzip
-import os
 import sys
 import tempfile
 import uuid
@@ -12,29 +11,46 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
+from gleanery.sources.files import resolve
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html\r\n\r\n"
 
 
+def make_dir(path: str) -> str:
+    filesystem, inner = resolve(path)
+    filesystem.create_dir(inner, recursive=True)
+    return path
+
+
 def work_dir(spark: SparkSession) -> str:
     """A new directory that all executors see."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    path = (shared or tempfile.gettempdir()).removeprefix("file:")
-    path = f"{path.rstrip('/')}/gleanery-{uuid.uuid4().hex}"
-    os.makedirs(path)
-    return path
+    if shared is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors see")
+        shared = tempfile.gettempdir()
+    return make_dir(f"{shared.rstrip('/')}/gleanery-{uuid.uuid4().hex}")
+
+
+def write_definitions(definitions: dict[str, str], directory: str) -> None:
+    filesystem, inner = resolve(make_dir(directory))
+    for name, pattern in definitions.items():
+        with filesystem.open_output_stream(f"{inner}/{name}.txt") as out:
+            out.write(pattern.encode())
 
 
 def write_archives(pages: DataFrame, directory: str) -> int:
     """One archive per partition of (name string, payload binary); returns the
     number of records written."""
-    os.makedirs(directory, exist_ok=True)
+    make_dir(directory)
 
     def write(batches):
-        path = f"{directory}/part-{TaskContext.get().partitionId():05d}.warc.gz"
+        filesystem, inner = resolve(directory)
+        path = f"{inner}/part-{TaskContext.get().partitionId():05d}.warc.gz"
         attempt, count = f"{path}.{uuid.uuid4().hex}", 0
-        with open(attempt, "wb") as out:
+        with filesystem.open_output_stream(attempt) as out:
             for batch in batches:
                 for name, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
                     block = HTTP + payload
@@ -44,7 +60,7 @@ def write_archives(pages: DataFrame, directory: str) -> int:
                          f"Content-Length: {len(block)}\r\n\r\n").encode()
                         + block + b"\r\n\r\n"))
                     count += 1
-        os.replace(attempt, path)
+        filesystem.move(attempt, path)
         yield pa.RecordBatch.from_pydict({"records": pa.array([count], pa.int64())})
 
     written = pages.mapInArrow(write, "records bigint")

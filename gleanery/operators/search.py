@@ -12,6 +12,9 @@ from gleanery.functions import regex, text
 SCOPE_NAME = "file name"
 SCOPE_CONTENTS = "file contents"
 
+# More searches than this in one generated method exceed what the JVM compiles.
+MAX_GENERATED = 32
+
 _SEARCH_ONLY = ("text", "folded_name", "folded")
 
 
@@ -58,6 +61,10 @@ def search_pairs(prepared: DataFrame, keys: list[str], definitions,
     decoded and searched once, in the stage of the scan and without a shuffle.
     The filter sits above the generator, so the searches are not repeated.
     """
+    native, _ = regex.split_by_engine(regex.as_definitions(definitions), dialect)
+    if len(native) > MAX_GENERATED:
+        found = search_records(prepared, definitions, dialect)
+        return found.select(*keys, "name", F.inline("hits"))
     pairs = prepared.select(*keys, "name", F.inline(_hits(definitions, dialect)))
     return pairs.where(_matched("name_matches", "content_matches"))
 
