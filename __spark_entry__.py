@@ -8,27 +8,21 @@ from __future__ import annotations
 
 import os
 import sys
-import zipfile
 from collections.abc import Callable
-from io import BytesIO
 
-import pyarrow as pa
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from archive_fixture import (  # noqa: E402
-    make_dir, work_dir, write_archives, write_definitions)
+    make_dir, unzip, work_dir, write_archives, write_definitions)
 from gleanery.functions import regex, text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
 from gleanery.plans.table import prepare_table, search_table, spread  # noqa: E402
 from gleanery.sinks import report  # noqa: E402
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 PAGE_DEFS = {
     "links": '<a href="[^"]*"',
     "comments": "<!--[^>]*-->",
@@ -223,6 +217,12 @@ def _stored(spark, df):
     return spark.read.parquet(path)
 
 
+def elapsed(spark, sf_dir):
+    """Text lengths, taken for hundredths of a second."""
+    return _table(spark, sf_dir, "documents").select(
+        "doc_id", text.elapsed_text(F.col("n_chars") / 100).alias("elapsed"))
+
+
 def _host(name):
     """A URL cut down to its host, so that names collide."""
     return F.regexp_extract(name, "^(https?://[^/]*)", 1)
@@ -338,23 +338,12 @@ def archive_report(spark, sf_dir):
     return kept.groupBy("report", "value").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def _unzip(batches):
-    for batch in batches:
-        for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-            definition = os.path.basename(path).split("_results")[0]
-            with zipfile.ZipFile(BytesIO(content)) as z:
-                for name in z.namelist():
-                    yield pa.RecordBatch.from_pydict({
-                        "definition": [definition], "entry_name": [name],
-                        "payload": [z.read(name)]})
-
-
 def archive_export(spark, sf_dir):
     """The zip exports as written."""
     result = _archive_search(spark, sf_dir, extract=True, zip_bytes=1 << 20)
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip") \
         .load(f"{result.run_dir}/exports").select("path", "content")
-    return zips.mapInArrow(_unzip, "definition string, entry_name string, payload binary") \
+    return zips.mapInArrow(unzip, "definition string, entry_name string, payload binary") \
         .select("definition", "entry_name", F.md5("payload").alias("payload_digest"))
 
 
@@ -363,7 +352,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         search_pairs, search_pairs_native, search_pairs_python, search_turns, find_all,
         match_counts, unique_matches, match_items, scope_totals, theta_join, theta_join_native,
         matched_records, matched_records_native, binary_sniff, binary_gate, search_binary,
-        decode_text, project_records, sanitize_names, base_names, export_dedup, export_merge,
+        decode_text, project_records, sanitize_names, base_names, elapsed, export_dedup, export_merge,
         no_match_sources, record_counts, run_summary, report_blocks, report_lines, dialects,
         archive_records, archive_search, archive_summary, archive_report, archive_export)}
 
@@ -509,6 +498,10 @@ def oracle_sql() -> dict[str, str]:
         "base_names":
             f"SELECT page_id, base, base || '_results.txt' AS report,"
             f" base || '_results.zip' AS export FROM (SELECT page_id, {base} AS base FROM pages)",
+        "elapsed":
+            "SELECT doc_id, CAST(floor(n_chars / 6000) AS BIGINT) || ' minutes and '"
+            " || CAST(round((n_chars % 6000) / 100, 2) AS VARCHAR) || ' seconds' AS elapsed"
+            " FROM documents",
         "export_dedup":
             f"WITH {pages} SELECT definition, {host_entry} AS entry_name, min(page_id) AS page_id"
             " FROM pairs GROUP BY ALL",

@@ -6,6 +6,8 @@ import gzip
 import sys
 import tempfile
 import uuid
+import zipfile
+from io import BytesIO
 
 import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
@@ -65,3 +67,15 @@ def write_archives(pages: DataFrame, directory: str) -> int:
 
     written = pages.mapInArrow(write, "records bigint")
     return written.agg({"records": "sum"}).first()[0]
+
+
+def unzip(batches):
+    """(path, content) of zip exports to (definition, entry_name, payload)."""
+    for batch in batches:
+        for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
+            definition = path.rsplit("/", 1)[1].split("_results")[0]
+            with zipfile.ZipFile(BytesIO(content)) as z:
+                for name in z.namelist():
+                    yield pa.RecordBatch.from_pydict({
+                        "definition": [definition], "entry_name": [name],
+                        "payload": [z.read(name)]})

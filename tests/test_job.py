@@ -2,8 +2,10 @@ import glob
 import gzip
 import json
 import os
+import re
 import tempfile
 import zipfile
+from datetime import datetime
 
 import pytest
 
@@ -153,6 +155,34 @@ def test_nothing_matches(spark, dirs, extract_format):
     assert (total.records_read, total.errors, total.warnings) == (1, 0, 0)
 
 
+def test_report_order(spark, dirs):
+    """Archives by name, records as stored, over several parts."""
+    define(dirs, w="w[0-9]+", x="x")
+    for archive in "cab":
+        write_archive(dirs / "in" / f"{archive}.gz", [
+            response(f"http://{archive}/{i}", b"w3 w1 w2 w1") for i in range(200)])
+    result = run(spark, dirs)
+    parts = glob.glob(f"{result.run_dir}/reports/report=w_results.txt/part-*")
+    assert len(parts) > 1
+    text = report_text(result, "w")
+    assert re.findall(r"\[File: http://(.*)\]", text) == [
+        f"{archive}/{i}" for archive in "abc" for i in range(200)]
+    assert text.count('"w3"\n\n[Match #2 in file contents]\n\n"w1"') == 600
+    assert text.count("[Matches found in file contents: 4 (1 duplicates omitted)]") == 600
+    assert re.fullmatch(r"results_\d\d-\d\d-\d\d_\d\d_\d\d_\d\d",
+                        os.path.basename(result.run_dir))
+
+
+def test_run_directories_are_fresh(tmp_path):
+    now = datetime(2024, 3, 1, 12, 5, 9)
+    made = job.new_run_dir(f"{tmp_path}/", now)
+    assert made == f"{tmp_path}/results_03-01-24_12_05_09" and os.path.isdir(made)
+    with pytest.raises(FileExistsError):
+        job.new_run_dir(str(tmp_path), now)
+    with pytest.raises(FileNotFoundError):
+        job.new_run_dir(f"{tmp_path}/missing", now)
+
+
 def test_redistribute_and_shared_staging(spark, dirs):
     define(dirs, w="w[0-9]+")
     write_archive(dirs / "in" / "a.gz", [response(f"http://x/w{i}", b"w1") for i in range(20)],
