@@ -220,12 +220,9 @@ def _may_hold(literals: tuple[str, ...], value: str | None, folded: str | None)
     return any(literal in folded for literal in literals)
 
 
-def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -> Column:
-    """``array<HIT_TYPE>`` of the definitions that match, by Python ``re``."""
+def python_search(definitions: Sequence[Definition]):
+    """A function of name and text that gives the hits as tuples."""
     compiled = _compile(definitions)
-    strings = pa.list_(pa.string())
-    hit = pa.struct([("definition", pa.string()), ("name_matches", strings),
-                     ("content_matches", strings)])
 
     def found(rx, literals, value, folded):
         if not _may_hold(literals, value, folded):
@@ -234,18 +231,29 @@ def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -
             return [m.group() for m in rx.finditer(value)]
         return rx.findall(value)
 
+    def search(name: str | None, text: str | None) -> list[tuple]:
+        folded_name, folded = _python_fold(name), _python_fold(text)
+        hits = []
+        for definition, rx, literals in compiled:
+            in_name = found(rx, literals, name, folded_name)
+            in_text = found(rx, literals, text, folded)
+            if in_name or in_text:
+                hits.append((definition, in_name, in_text))
+        return hits
+
+    return search
+
+
+def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -> Column:
+    """``array<HIT_TYPE>`` of the definitions that match, by Python ``re``."""
+    search = python_search(definitions)
+    strings = pa.list_(pa.string())
+    hit = pa.struct([("definition", pa.string()), ("name_matches", strings),
+                     ("content_matches", strings)])
+
     @F.arrow_udf(f"array<{HIT_TYPE}>")
     def hits(names: pa.Array, texts: pa.Array) -> pa.Array:
-        rows = []
-        for n, t in zip(names.to_pylist(), texts.to_pylist()):
-            folded_n, folded_t = _python_fold(n), _python_fold(t)
-            row = []
-            for definition, rx, literals in compiled:
-                in_name = found(rx, literals, n, folded_n)
-                in_text = found(rx, literals, t, folded_t)
-                if in_name or in_text:
-                    row.append((definition, in_name, in_text))
-            rows.append(row)
+        rows = [search(n, t) for n, t in zip(names.to_pylist(), texts.to_pylist())]
         return pa.array(rows, type=pa.list_(hit))
 
     return hits(name, text)

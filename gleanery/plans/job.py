@@ -3,24 +3,26 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from datetime import datetime
 from typing import NamedTuple
 
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions import text
+from gleanery.functions import regex, text
 from gleanery.operators import export, search, summary
 from gleanery.plans.table import scan_bytes
 from gleanery.sinks import report, zip_export
 from gleanery.sources.definitions import load_definitions, require_valid
 from gleanery.sources.files import list_archives, resolve
-from gleanery.sources.warc import TRAILER_SCHEMA, WarcDataSource
+from gleanery.sources.warc import MAX_PAYLOAD, TRAILER_SCHEMA, WarcDataSource, read_payload
 
-RECORD_KEY = ["archive", "record_offset", "record_index"]
+RECORD_KEY = ["archive", "record_offset", "record_position"]
 SPLIT = ["archive", "split_start"]
 SPLIT_BYTES = 256 << 20
 ZIP_BYTES = 256 << 20
@@ -89,7 +91,7 @@ def _stage(spark, archives, definitions, path, *, extract, search_binary, dialec
     records = read_records(spark, archives, trailers="true", **options)
     if redistribute:
         records = records.repartition(redistribute)
-    carry = ["error", *trailer, F.octet_length("payload").alias("payload_size")]
+    carry = ["error", *trailer, F.octet_length("payload").cast("bigint").alias("payload_size")]
     if extract:
         carry.append("payload")
     prepared = search.prepare(records, RECORD_KEY, F.col("name"), F.col("payload"),
@@ -100,6 +102,42 @@ def _stage(spark, archives, definitions, path, *, extract, search_binary, dialec
     found.write.parquet(path)
 
 
+def _large_records(spark, staged, definitions, search_binary) -> DataFrame:
+    """Matches of the records whose payload is too large for a row.
+
+    Each is read and searched where it lies, by its place in the archive; only
+    its matches become rows.
+    """
+    find = regex.python_search(definitions)
+    binary = re.compile(text.BINARY_BYTES.encode("latin-1"))
+    strings = pa.list_(pa.string())
+    fields = pa.schema([
+        ("archive", pa.string()), ("record_offset", pa.int64()),
+        ("record_position", pa.int64()), ("name", pa.string()), ("payload_size", pa.int64()),
+        ("definition", pa.string()), ("name_matches", strings), ("content_matches", strings)])
+
+    def search_in_place(batches):
+        for batch in batches:
+            for archive, offset, position, name in zip(*(c.to_pylist() for c in batch.columns)):
+                payload = read_payload(archive, offset, position)
+                content = None
+                if search_binary or not binary.search(payload[:text.SNIFF_BYTES]):
+                    content = payload.decode("utf-8", "ignore")
+                rows = [(archive, offset, position, name, len(payload), *hit)
+                        for hit in find(name, content)]
+                if rows:
+                    columns = [pa.array(column, f.type) for column, f in zip(zip(*rows), fields)]
+                    yield pa.RecordBatch.from_arrays(columns, schema=fields)
+
+    large = staged.where("error is not null and record_position is not null")
+    places = large.select(*RECORD_KEY, "name") \
+        .repartition(spark.sparkContext.defaultParallelism, *RECORD_KEY)
+    return places.mapInArrow(search_in_place, (
+        "archive string, record_offset bigint, record_position bigint, name string,"
+        " payload_size bigint, definition string, name_matches array<string>,"
+        " content_matches array<string>"))
+
+
 def _splits(staged: DataFrame) -> DataFrame:
     """The latest reading of every split, with the place where it had to begin.
 
@@ -193,7 +231,7 @@ def _with_payload(spark, winners, staged) -> DataFrame:
     A record is on the payload side once, however many definitions it matches,
     so the keys of this join are not skewed.
     """
-    payloads = staged.where("hits is not null")
+    payloads = staged.where("hits is not null and error is null")
     size = payloads.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
     n = _partitions(spark, size)
     return winners.repartition(n, *RECORD_KEY).join(
@@ -222,7 +260,8 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
                     extract: bool = False, extract_format: str = "zip",
                     search_binary: bool = False, dialect: str = "auto",
                     split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES,
-                    redistribute: int = 0) -> SearchResult:
+                    redistribute: int = 0,
+                    max_payload_bytes: int = MAX_PAYLOAD) -> SearchResult:
     """Search all archives of a directory with all definitions of another.
 
     Writes below a fresh directory in ``out``: ``matches`` (table), ``reports``
@@ -231,7 +270,8 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
     An archive that is one single gzip member can only be decompressed by one
     task; ``redistribute`` then spreads the search over that many tasks, at
-    the price of a shuffle of the payloads.
+    the price of a shuffle of the payloads.  Payloads above
+    ``max_payload_bytes`` are searched outside of rows, and not exported.
     """
     if extract_format not in ("zip", "table"):
         raise ValueError("extract_format must be 'zip' or 'table'")
@@ -245,7 +285,8 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
                redistribute=redistribute)
 
     try:
-        options, passes = {"split_bytes": split_bytes}, 0
+        size_limit = {"max_payload_bytes": max_payload_bytes}
+        options, passes = {"split_bytes": split_bytes, **size_limit}, 0
         while True:
             _stage(spark, archives, loaded.definitions, f"{staging}/rows/pass={passes}",
                    options=options, **how)
@@ -258,12 +299,14 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
             wrong = splits.where("wrong").select(*SPLIT, "split_end", "expected").collect()
             if not wrong:
                 break
-            options = {"ranges": json.dumps([list(row) for row in wrong])}
+            options = {"ranges": json.dumps([list(row) for row in wrong]), **size_limit}
 
         staged = _valid(staged, splits, repaired=passes > 1)
-        hit = staged.where("hits is not null")
-        hit.select(*RECORD_KEY, "name", "payload_size", F.inline("hits")) \
-            .write.parquet(f"{run_dir}/matches")
+        columns = [*RECORD_KEY, "name", "payload_size"]
+        small = staged.where("hits is not null and error is null") \
+            .select(*columns, F.col("name").isNotNull().alias("exportable"), F.inline("hits"))
+        large = _large_records(spark, staged, loaded.definitions, search_binary)
+        small.unionByName(large.withColumn("exportable", F.lit(False))).write.parquet(f"{run_dir}/matches")
         matches = spark.read.parquet(f"{run_dir}/matches")
 
         created = F.lit(now.strftime(report.CREATED_FORMAT))
@@ -274,7 +317,8 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
         failed = 0
         if extract:
-            winners, n = _winners(spark, matches, f"{staging}/winners", zip_bytes)
+            winners, n = _winners(spark, matches.where("exportable"), f"{staging}/winners",
+                                  zip_bytes)
             if extract_format == "zip":
                 failed = _export_zip(spark, winners, n, staged,
                                      f"{run_dir}/exports")["failed"]
@@ -283,15 +327,19 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
-        errors = staged.where("error is not null").select("archive", "error")
+        errors = staged.where("error is not null and record_position is null") \
+            .select("archive", "error")
         seen = counts.where("records_read > 0").select("archive") \
             .unionByName(errors.select("archive"))
-        nameless = matches.where("name is null") if extract else matches.where("false")
+        lost = F.when(F.col("name").isNull(), "no name to export under:") \
+            .otherwise("too large to export:")
+        unexported = matches.where("not exportable" if extract else "false").select(
+            "definition", F.concat_ws(" ", lost, "archive", F.lit("at"), "record_offset")
+            .alias("message"))
         problems = summary.problems(
             ("error", errors, "archive", "error"),
             ("error", loaded.rejected_table(spark), "definition", "reason"),
-            ("error", nameless, "definition",
-             "concat('no name to export under: ', archive, ' at ', record_offset)"),
+            ("error", unexported, "definition", "message"),
             ("warning", summary.archives_without_records(counts.select("archive"), seen),
              "archive", "'no records found'"))
         problems.write.json(f"{run_dir}/problems")

@@ -3,6 +3,10 @@
     spark.dataSource.register(WarcDataSource)
     spark.read.format("warc").load("/archives")
 
+A record is known by its archive, the offset of the gzip member it begins in
+(``record_offset``) and the place in the decompressed member
+(``record_position``).  An ``error`` without a position ends its archive.
+
 Small archives share a partition and large ones can be cut into byte ranges
 (``split_bytes``), since web archives hold one gzip member per record and a
 reader may start at any member.
@@ -22,7 +26,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 
 from gleanery.sources.files import list_archives, resolve
 
-RECORD_SCHEMA = ("archive string, record_offset bigint, record_index bigint, warc_type string,"
+RECORD_SCHEMA = ("archive string, record_offset bigint, record_position bigint, warc_type string,"
                  " name string, payload binary, error string")
 TRAILER_SCHEMA = ("split_start bigint, split_end bigint, first_start bigint,"
                   " next_start bigint, records_read bigint, stopped bigint")
@@ -36,8 +40,9 @@ BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
 # What is taken for a header line at most; more is no archive.
 MAX_LINE = 64 << 20
-# The most bytes one Spark value can hold.
-MAX_PAYLOAD = (1 << 31) - 64
+# Larger payloads stay out of the rows: a row cannot exceed 2 GiB, and holds the
+# payload up to three times over while it is searched.
+MAX_PAYLOAD = 512 << 20
 
 _READ_AHEAD = 4 << 20
 _CHUNK = 64 << 10
@@ -120,15 +125,15 @@ class Members:
             pass
         return self._buffer[self._cursor:self._cursor + n]
 
-    def locate(self) -> tuple[int, bool] | None:
-        """Offset of the member of the next byte, and whether it is its first."""
+    def locate(self) -> tuple[int, int] | None:
+        """Offset of the member of the next byte, and the place of it in there."""
         if not self.peek(1):
             return None
         position = self._total - (len(self._buffer) - self._cursor)
         while len(self._starts) > 1 and self._starts[1][0] <= position:
             self._starts.popleft()
         begin, offset = self._starts[0]
-        return offset, begin == position
+        return offset, position - begin
 
     def line(self) -> bytes:
         searched = self._cursor
@@ -186,6 +191,26 @@ def http_body(payload: bytes, headers: dict[str, str]) -> bytes:
     return payload[end.end():] if end else b""
 
 
+def payload_length(headers: dict[str, str]) -> int:
+    try:
+        length = int(headers["content-length"])
+    except (KeyError, ValueError):
+        length = -1
+    if length < 0:
+        raise ArchiveError("record without a valid content length")
+    return length
+
+
+def read_payload(archive: str, offset: int, position: int) -> bytes:
+    """The payload, without HTTP headers, of one record of known place."""
+    filesystem, inner = resolve(archive)
+    with filesystem.open_input_file(inner) as file:
+        members = Members(file, offset)
+        members.take(position, keep=False)
+        headers = read_headers(members)
+        return http_body(members.take(payload_length(headers), keep=True), headers)
+
+
 def find_member(file, start: int, end: int) -> int | None:
     """First offset in [start, end) at which a member with a record begins."""
     position = start
@@ -219,6 +244,7 @@ class WarcReader(DataSourceReader):
         self.parallelism = max(int(options.get("parallelism", "1")), 1)
         self.ranges = json.loads(options.get("ranges", "[]"))
         self.payload = flag("payload", "true")
+        self.max_payload = int(options.get("max_payload_bytes", MAX_PAYLOAD))
         self.http_headers = flag("http_headers", "false")
         self.trailers = flag("trailers", "false")
         self.errors = True
@@ -271,7 +297,7 @@ class WarcReader(DataSourceReader):
 
     def _to_arrow(self, rows: list[tuple]) -> pa.RecordBatch:
         text, number = pa.string(), pa.int64()
-        fields = [("archive", text), ("record_offset", number), ("record_index", number),
+        fields = [("archive", text), ("record_offset", number), ("record_position", number),
                   ("warc_type", text), ("name", text), ("payload", pa.binary()),
                   ("error", text)]
         if self.trailers:
@@ -308,37 +334,30 @@ class WarcReader(DataSourceReader):
             if first is None or first >= split.end or not size:
                 return
             state["first"] = first
-            members, current, index = Members(file, first), None, 0
+            members = Members(file, first)
             while True:
                 place = members.locate()
                 if place is None:
                     state["next"] = size
                     return
-                offset, fresh = place
+                offset, position = place
                 head = members.peek(len(_RECORD))
-                if fresh and offset >= split.end and head == _RECORD:
+                if position == 0 and offset >= split.end and head == _RECORD:
                     state["next"] = offset
                     return
                 if head[:1] in b"\r\n":
                     members.line()
                     continue
-                index = index + 1 if offset == current else 0
-                current = offset
                 row = self._record(members)
                 if row is not None:
-                    state["read"] += row[-1] is None
-                    yield (offset, index), row
+                    state["read"] += 1
+                    yield place, row
 
     def _record(self, members: Members) -> tuple | None:
         """(warc_type, name, payload, error) of the next record, if wanted."""
         headers = read_headers(members)
         kind = headers.get("warc-type", "").lower()
-        try:
-            length = int(headers["content-length"])
-        except (KeyError, ValueError):
-            length = -1
-        if length < 0:
-            raise ArchiveError("record without a valid content length")
+        length = payload_length(headers)
         name = headers.get("warc-target-uri")
         if self.types is not None and kind not in self.types:
             members.take(length, keep=False)
@@ -346,9 +365,9 @@ class WarcReader(DataSourceReader):
         if not self.payload:
             members.take(length, keep=False)
             return kind, name, None, None
-        if length > MAX_PAYLOAD:
+        if length > self.max_payload:
             members.take(length, keep=False)
-            return kind, name, None, f"payload of {length} bytes is too large for a row"
+            return kind, name, None, f"payload of {length} bytes is left out"
         payload = members.take(length, keep=True)
         return kind, name, payload if self.http_headers else http_body(payload, headers), None
 
@@ -378,6 +397,8 @@ class WarcDataSource(DataSource):
     ``parallelism`` (1): the number of partitions to aim for if the archives
     are small.
     ``payload`` (true): false leaves the payload out if only names matter.
+    ``max_payload_bytes`` (512 MiB): a larger payload is left out, and the row
+    of its record says so in ``error``.
     ``http_headers`` (false): true keeps the HTTP header block in the payload.
     ``trailers`` (false): adds one row per range with the number of records
     read, the member offsets it began and ended at, and whether it broke off.

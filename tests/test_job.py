@@ -155,6 +155,32 @@ def test_nothing_matches(spark, dirs, extract_format):
     assert (total.records_read, total.errors, total.warnings) == (1, 0, 0)
 
 
+def test_large_payloads_are_searched_in_place(spark, dirs):
+    define(dirs, w="w[0-9]+", tail="the end")
+    records = [response("http://x/w1", b"x" * 5000 + b" w2 the end"),
+               response("http://x/w1", b"w3 the end"),
+               response("http://x/w4", b"\0" + b"w5" * 2000),
+               response("http://x/none", b"y" * 5000)]
+    write_archive(dirs / "in" / "a.gz", records)
+    write_archive(dirs / "in" / "b.gz", records, single_member=True)
+
+    def found(result):
+        return sorted(map(str, result.matches.drop("exportable").collect()))
+
+    plain = run(spark, dirs)
+    small = run(spark, dirs, max_payload_bytes=1000, extract=True)
+    assert len(found(plain)) == 10 and found(small) == found(plain)
+    assert plain.summary.first().errors == 0
+    # per archive: one record for two definitions, one for one
+    assert small.summary.first().errors == 6
+    assert small.summary.first().records_read == plain.summary.first().records_read == 8
+    with zipfile.ZipFile(f"{small.run_dir}/exports/w_results.zip") as z:
+        assert {n: z.read(n) for n in z.namelist()} == {"xw1": b"w3 the end"}
+    binary = run(spark, dirs, search_binary=True)
+    in_place = run(spark, dirs, search_binary=True, max_payload_bytes=1000)
+    assert found(in_place) == found(binary) != found(plain)
+
+
 def test_report_order(spark, dirs):
     """Archives by name, records as stored, over several parts."""
     define(dirs, w="w[0-9]+", x="x")

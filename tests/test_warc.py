@@ -10,12 +10,12 @@ import pytest
 from conftest import warc_record, write_archive
 from gleanery.plans.job import read_records
 from gleanery.sources.files import list_archives
-from gleanery.sources.warc import WarcReader
+from gleanery.sources.warc import WarcReader, read_payload
 
 
 def rows(spark, directory, **options):
     found = read_records(spark, str(directory), **options).collect()
-    return sorted(((os.path.basename(r.archive), r.record_offset, r.record_index, r.name,
+    return sorted(((os.path.basename(r.archive), r.record_offset, r.record_position, r.name,
                     None if r.payload is None else bytes(r.payload)) for r in found
                    if r.error is None), key=lambda r: r[:3])
 
@@ -96,9 +96,13 @@ def test_split_reading_covers_every_record_once(tmp_path, layout):
 
     whole = read()
     assert [r["name"] for r in whole] == [f"http://x/{i}" for i in range(80)]
-    assert len({(r["record_offset"], r["record_index"]) for r in whole}) == 80
+    assert len({(r["record_offset"], r["record_position"]) for r in whole}) == 80
     split = read(split_bytes="7000")
     assert split == whole
+    for r in whole[::9]:
+        assert read_payload(path, r["record_offset"], r["record_position"]) == r["payload"]
+    large = [r for r in read(max_payload_bytes="1000") if r["error"]]
+    assert 0 < len(large) < 80 and all(r["payload"] is None for r in large)
 
 
 def test_partitions_are_small(tmp_path):
