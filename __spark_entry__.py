@@ -303,9 +303,11 @@ def dialects(spark, sf_dir):
 
 
 def _archives(spark, sf_dir):
-    """The pages as web archives."""
+    """The pages as web archives, in the order of their ids."""
     directory = work_dir(spark)
-    pages = _pages(spark, sf_dir)
+    pages = _table(spark, sf_dir, "pages") \
+        .repartitionByRange(spark.sparkContext.defaultParallelism, "page_id") \
+        .sortWithinPartitions("page_id")
     write_archives(pages.select("url", F.encode("html", "UTF-8")), f"{directory}/archives")
     return directory
 
@@ -548,6 +550,8 @@ def oracle_sql() -> dict[str, str]:
             " FROM lines GROUP BY ALL",
         "archive_export":
             f"WITH {pages}, named AS (SELECT definition, {_ENTRY.format('name')} AS entry_name,"
-            " page_id FROM pairs) SELECT definition, entry_name, md5(html) AS payload_digest"
-            " FROM named JOIN pages USING (page_id)",
+            " page_id FROM pairs), firsts AS (SELECT definition, entry_name,"
+            " min(page_id) AS page_id FROM named GROUP BY ALL)"
+            " SELECT definition, entry_name, md5(html) AS payload_digest"
+            " FROM firsts JOIN pages USING (page_id)",
     }
