@@ -256,6 +256,24 @@ def _export_table(spark, winners, n, staged, path) -> None:
         .drop("shard", "shards", "partition").write.partitionBy("definition").parquet(path)
 
 
+def _problems(spark, staged, matches, counts, loaded, extract) -> DataFrame:
+    errors = staged.where("error is not null and record_position is null") \
+        .select("archive", "error")
+    seen = counts.where("records_read > 0").select("archive") \
+        .unionByName(errors.select("archive"))
+    lost = F.when(F.col("name").isNull(), "no name to export under:") \
+        .otherwise("too large to export:")
+    unexported = matches.where("not exportable" if extract else "false").select(
+        "definition", F.concat_ws(" ", lost, "archive", F.lit("at"), "record_offset")
+        .alias("message"))
+    return summary.problems(
+        ("error", errors, "archive", "error"),
+        ("error", loaded.rejected_table(spark), "definition", "reason"),
+        ("error", unexported, "definition", "message"),
+        ("warning", summary.archives_without_records(counts.select("archive"), seen),
+         "archive", "'no records found'"))
+
+
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
                     extract: bool = False, extract_format: str = "zip",
                     search_binary: bool = False, dialect: str = "auto",
@@ -320,30 +338,14 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
             winners, n = _winners(spark, matches.where("exportable"), f"{staging}/winners",
                                   zip_bytes)
             if extract_format == "zip":
-                failed = _export_zip(spark, winners, n, staged,
-                                     f"{run_dir}/exports")["failed"]
+                failed = _export_zip(spark, winners, n, staged, f"{run_dir}/exports")["failed"]
             else:
                 _export_table(spark, winners, n, staged, f"{run_dir}/exports")
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
-        errors = staged.where("error is not null and record_position is null") \
-            .select("archive", "error")
-        seen = counts.where("records_read > 0").select("archive") \
-            .unionByName(errors.select("archive"))
-        lost = F.when(F.col("name").isNull(), "no name to export under:") \
-            .otherwise("too large to export:")
-        unexported = matches.where("not exportable" if extract else "false").select(
-            "definition", F.concat_ws(" ", lost, "archive", F.lit("at"), "record_offset")
-            .alias("message"))
-        problems = summary.problems(
-            ("error", errors, "archive", "error"),
-            ("error", loaded.rejected_table(spark), "definition", "reason"),
-            ("error", unexported, "definition", "message"),
-            ("warning", summary.archives_without_records(counts.select("archive"), seen),
-             "archive", "'no records found'"))
+        problems = _problems(spark, staged, matches, counts, loaded, extract)
         problems.write.json(f"{run_dir}/problems")
-
         written = spark.read.schema(problems.schema).json(f"{run_dir}/problems")
         seconds = F.lit(time.time() - started)
         summary.run_totals(counts, written).select(
