@@ -20,6 +20,11 @@ def resolve(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), os.path.abspath(path)
 
 
+def spark_path(path: str) -> str:
+    """``path`` as Spark must be given it to mean the same place."""
+    return path if ":" in path.split("/")[0] else f"file:{os.path.abspath(path)}"
+
+
 def list_files(directory: str, suffix: str) -> list[tuple[str, int]]:
     """Path and size of the files directly in ``directory``, sorted by path.
 

@@ -9,7 +9,7 @@ import pytest
 
 from conftest import warc_record, write_archive
 from gleanery.plans.job import read_records
-from gleanery.sources.files import list_archives
+from gleanery.sources.files import list_archives, spark_path
 from gleanery.sources.warc import WarcReader, read_payload
 
 
@@ -35,6 +35,15 @@ def test_only_direct_gz_files(tmp_path):
     assert list_archives(str(tmp_path / "b.gz")) == [(f"{tmp_path}/b.gz", 0)]
 
 
+def test_paths_mean_the_same_to_spark(tmp_path):
+    assert spark_path("/a/b") == spark_path("/a/./b") == "file:/a/b"
+    assert spark_path("s3://bucket/a") == "s3://bucket/a"
+    assert spark_path("file:///a") == "file:///a" and spark_path("file:/a") == "file:/a"
+    (tmp_path / "x.gz").write_bytes(b"")
+    for path in (str(tmp_path), f"file:{tmp_path}", f"file://{tmp_path}"):
+        assert [size for _, size in list_archives(path)] == [0]
+
+
 def test_response_records_and_bodies(spark, tmp_path):
     write_archive(tmp_path / "a.gz", [
         warc_record("warcinfo", None, b"software: x", "application/warc-fields"),
