@@ -37,8 +37,10 @@ def prepare(records: DataFrame, keys: list[str], name: Column, payload: Column,
 def _hit(definition: regex.Definition) -> Column:
     return F.struct(
         F.lit(definition.definition).alias("definition"),
-        regex.find_all(F.col("name"), definition.pattern, F.col("folded_name")).alias("name_matches"),
-        regex.find_all(F.col("text"), definition.pattern, F.col("folded")).alias("content_matches"))
+        regex.find_all(F.col("name"), definition.pattern, F.col("folded_name"))
+        .alias("name_matches"),
+        regex.find_all(F.col("text"), definition.pattern, F.col("folded"))
+        .alias("content_matches"))
 
 
 def _hits(definitions, dialect: str) -> Column:

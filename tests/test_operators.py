@@ -112,7 +112,8 @@ def test_merge_exports(spark):
 
 
 def test_nameless_records_are_no_entries(spark):
-    df = spark.createDataFrame([("d", None), ("d", "http://www.x/y")], "definition string, name string")
+    df = spark.createDataFrame([("d", None), ("d", "http://www.x/y")],
+                               "definition string, name string")
     assert [r.entry_name for r in export.entries(df).collect()] == ["xy"]
 
 
