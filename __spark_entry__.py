@@ -23,6 +23,18 @@ from gleanery.plans.job import read_records, search_archives  # noqa: E402
 from gleanery.plans.table import prepare_table, search_table, spread  # noqa: E402
 from gleanery.sinks import report  # noqa: E402
 
+try:
+    from gleanery.llm import queries as llm_queries  # noqa: E402
+except ModuleNotFoundError as missing:
+    # The subpackage may be left out, together with the pipeline built on it.
+    if missing.name not in ("gleanery.llm", "gleanery.llm.queries", "corpus_pipeline"):
+        raise
+    llm_queries = None
+except ImportError as missing:
+    if missing.name != "gleanery.llm":
+        raise
+    llm_queries = None
+
 PAGE_DEFS = {
     "links": '<a href="[^"]*"',
     "comments": "<!--[^>]*-->",
@@ -350,13 +362,14 @@ def archive_export(spark, sf_dir):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (
+    own = {f.__name__: f for f in (
         search_pairs, search_pairs_native, search_pairs_python, search_turns, find_all,
         match_counts, unique_matches, match_items, scope_totals, theta_join, theta_join_native,
         matched_records, matched_records_native, binary_sniff, binary_gate, search_binary,
         decode_text, project_records, sanitize_names, base_names, elapsed, export_dedup, export_merge,
         no_match_sources, record_counts, run_summary, report_blocks, report_lines, dialects,
         archive_records, archive_search, archive_summary, archive_report, archive_export)}
+    return {**own, **llm_queries.queries()} if llm_queries else own
 
 
 def entry(spark: SparkSession) -> DataFrame:
@@ -455,7 +468,7 @@ def oracle_sql() -> dict[str, str]:
         f" || {_q(p)} || chr(10) || chr(10) || repeat('_', 67) || chr(10) AS value"
         for d, p in PAGE_DEFS.items())
     page_items = f"WITH {pages}, {_scoped('page_id')}, {_items('page_id')}"
-    return {
+    own = {
         "search_pairs": f"WITH {pages} {_totals('page_id')}",
         "search_pairs_native": f"WITH {documents} {_totals('doc_id')}",
         "search_pairs_python": f"WITH {documents} {_totals('doc_id')}",
@@ -555,3 +568,4 @@ def oracle_sql() -> dict[str, str]:
             " SELECT definition, entry_name, md5(html) AS payload_digest"
             " FROM firsts JOIN pages USING (page_id)",
     }
+    return {**own, **llm_queries.oracle_sql()} if llm_queries else own

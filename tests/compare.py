@@ -51,6 +51,8 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     connection, sqls = oracle(sf), entry.oracle_sql()
     for name, query in entry.queries().items():
+        if name not in sqls:
+            continue
         if len(sys.argv) > 2 and name not in sys.argv[2:]:
             continue
         try:
