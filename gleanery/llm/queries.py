@@ -6,14 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import chat, language, mixing, secrets, sharding
-from gleanery.llm.common import WORD, table
+import corpus_pipeline
+from gleanery.llm import (
+    chat, decontamination, embeddings, language, mixing, near_dup, secrets, sharding, suffix_tree,
+    token_counts)
+from gleanery.llm.common import table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.score_documents(table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"),
+                                        table(spark, sf_dir, "benchmark"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.section_tokens(table(spark, sf_dir, "documents"))
+
+
+def op5_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"), k=2)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_documents(table(spark, sf_dir, "documents"))
 
@@ -31,9 +51,19 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.identify(table(spark, sf_dir, "documents"))
 
 
+def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
-        op1_sharding, op6_mixing, op7_chat_format, op8_secret_scan, op9_language_id)}
+        op1_sharding, op2_suffix_tree, op3_decontamination, op4_token_counts, op5_near_dup,
+        op6_mixing, op7_chat_format, op8_secret_scan, op9_language_id, op10_embeddings,
+        pipeline)}
 
 
 # ------------------------------------------------------------------ SQL side
@@ -112,4 +142,5 @@ def _secrets_sql() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql()}
+    own = {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql()}
+    return {**own, "pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own
