@@ -77,8 +77,8 @@ def assemble(turns, encoding) -> tuple[np.ndarray, np.ndarray]:
         add(encoding.encode_ordinary(escape(text)), role == LEARNED_ROLE)
         add([reserved["</s>"]])
     ids = np.array([i for part in parts for i in part], np.int64)
-    ends = np.cumsum(np.array(lengths, np.int64))
-    learned = np.array(learned, bool)
+    lengths, learned = np.array(lengths, np.int64), np.array(learned, bool)
+    ends = np.cumsum(lengths)
     change = np.zeros(len(ids) + 1, np.int64)
     np.add.at(change, (ends - lengths)[learned], 1)
     np.add.at(change, ends[learned], -1)

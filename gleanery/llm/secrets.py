@@ -76,7 +76,8 @@ def peak_entropy(text: Column, window: int = WINDOW) -> Column:
     ``counts`` holds one number per character code; each step adds the
     character that comes in and takes off the one that goes out.
     """
-    table = _entropy_table(window)
+    # One more than the window holds: a character comes in before one goes out.
+    table = _entropy_table(window + 1)
 
     def change(state, code, by):
         """``state`` with one more, or one less, of the character ``code``."""

@@ -1,0 +1,97 @@
+import heapq
+import random
+
+import numpy as np
+import pytest
+
+from gleanery.llm import mixing
+from llm.conftest import words_of
+
+
+def brute_targets(sizes, weights, share, limit):
+    """Reshare the excess of capped sources by weight until none is above."""
+    names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode())
+    names += [None] if None in sizes else []
+    weight = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    goal, capped = share * sum(sizes.values()), {}
+    while True:
+        open_ = [s for s in names if s not in capped]
+        left = goal - sum(capped.values())
+        total = sum(weight[s] for s in open_)
+        given = {s: left * weight[s] / total for s in open_} if total else {}
+        over = [s for s in open_ if given[s] > limit * sizes[s]]
+        if not over:
+            return {**capped, **given}
+        capped |= {s: float(limit * sizes[s]) for s in over}
+
+
+@pytest.mark.parametrize("sizes", [
+    {"a": 100, "b": 100, "c": 100}, {"a": 10, "b": 500, "c": 90, "d": 7, None: 60},
+    {"a": 0, "b": 3}, {"z": 5}, {"é": 40, "z": 1000, "a": 1, "b": 2, "c": 3}])
+def test_targets(spark, sizes):
+    totals = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
+    got = {r["source"]: r["target"] for r in mixing.targets(totals).collect()}
+    assert got == pytest.approx(brute_targets(sizes, (5, 2, 1), 1.5, 2))
+
+
+def brute_seats(votes, seats):
+    got, heap = [0] * len(votes), [(-v, i) for i, v in enumerate(votes) if v > 0]
+    heapq.heapify(heap)
+    for _ in range(seats if heap else 0):
+        _, i = heapq.heappop(heap)
+        got[i] += 1
+        heapq.heappush(heap, (-votes[i] / (2 * got[i] + 1), i))
+    return got
+
+
+def test_sainte_lague_is_the_order_of_quotients():
+    rng = random.Random(4)
+    for _ in range(200):
+        votes = [rng.choice([0, 1, 2, 5, rng.random() * 1000]) for _ in range(rng.randint(1, 9))]
+        seats = rng.randint(0, 60)
+        assert mixing.sainte_lague(np.array(votes), seats).tolist() == brute_seats(votes, seats)
+    # Many small parties against a large one.
+    votes = [1000.0] + [6.0] * 100
+    assert mixing.sainte_lague(np.array(votes), 160).tolist() == brute_seats(votes, 160)
+
+
+def test_mix_of_a_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = mixing.mix_documents(docs).collect()
+    assert sorted(rows) == sorted(mixing.mix_documents(docs).collect())
+    texts = {r["doc_id"]: (r["source"], len(words_of(r["text"]))) for r in docs.collect()}
+    taken, target, size = {}, {}, {}
+    for r in rows:
+        source, n = texts[r["doc_id"]]
+        assert r["size"] == n and 0 <= r["taken"] <= 2 * n
+        taken[source] = taken.get(source, 0) + r["taken"]
+        target[source], size[source] = r["target"], r["source_size"]
+    assert len(rows) == len(texts)
+    for s in taken:
+        assert abs(taken[s] - target[s]) <= max(0.01 * target[s], 300)
+        assert size[s] == sum(n for source, n in texts.values() if source == s)
+    assert sum(target.values()) == pytest.approx(1.5 * sum(size.values()))
+
+
+def test_odd_rows(documents):
+    rows = [(1, None, "en", "a"), (2, "", "en", "a"), (None, "one two", "en", None),
+            (3, "w " * 5000, "en", "b"), (4, "x y z", None, "b"), (4, "x y z", None, "b")]
+    frame = documents([(*r, 9, 9) for r in rows], ", size int, taken int")
+    found = mixing.mix_documents(frame).collect()
+    assert len(found) == len(rows)
+    assert all(r["taken"] == 0 for r in found if r["doc_id"] in (1, 2))
+    assert all(r["taken"] <= 2 * r["size"] for r in found)
+    mixed = mixing.mixed_documents(frame)
+    assert mixed.columns == frame.columns
+    assert all(r["text"] for r in mixed.collect())
+    assert mixing.mix_documents(documents([])).collect() == []
+    assert mixing.mixed_documents(documents([])).collect() == []
+
+
+def test_documents_are_copied_as_taken(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    copies = {r["doc_id"]: r["count"] for r in
+              mixing.mixed_documents(docs).groupBy("doc_id").count().collect()}
+    for r in mixing.mix_documents(docs).collect():
+        whole = r["taken"] / r["size"]
+        assert abs(copies.get(r["doc_id"], 0) - whole) <= 0.5
