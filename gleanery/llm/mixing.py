@@ -128,6 +128,13 @@ def mix_sizes(sized: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float
                          taken.cast("bigint").alias("taken"))
 
 
+def _marks(documents: DataFrame) -> list[Column]:
+    """Two hashes of all columns."""
+    columns = [F.col(f"`{c}`") for c in documents.columns]
+    return [F.xxhash64(F.lit(1), *columns).alias("mark"),
+            F.xxhash64(F.lit(2), *columns).alias("check")]
+
+
 def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -141,8 +148,7 @@ def mix_documents(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     sized = scratch.save(documents.select(
-        "doc_id", word_count("text").alias("size"), "source",
-        F.xxhash64("text").alias("mark")), "sizes")
+        "doc_id", word_count("text").alias("size"), "source", _marks(documents)[0]), "sizes")
     return mix_sizes(sized, scratch).select("doc_id", "size", "source_size", "target", "taken")
 
 
@@ -157,16 +163,13 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     """
     scratch = Scratch(documents.sparkSession, "mixing")
     columns = [F.col(f"`{c}`") for c in documents.columns]
-    mark, check = F.xxhash64(F.lit(1), *columns), F.xxhash64(F.lit(2), *columns)
     sized = scratch.save(documents.select(
-        "doc_id", word_count("text").alias("size"), "source", mark.alias("mark"),
-        check.alias("check")), "sizes")
+        "doc_id", word_count("text").alias("size"), "source", *_marks(documents)), "sizes")
     copies = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
     taken = mix_sizes(sized, scratch).where("size > 0").groupBy("mark", "check") \
         .agg(F.sum(copies).cast("int").alias("copies")).where("copies > 0")
     first = Window.partitionBy("mark", "check").orderBy("copies")
-    return documents.select(mark.alias("mark"), check.alias("check"),
-                            F.struct(*columns).alias("row")) \
+    return documents.select(*_marks(documents), F.struct(*columns).alias("row")) \
         .join(taken, ["mark", "check"]) \
         .withColumn("nth", F.row_number().over(first)).where("nth = 1") \
         .select("row", F.explode(F.sequence(F.lit(1), "copies"))).select("row.*")
