@@ -10,7 +10,7 @@ import os
 import sys
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -20,8 +20,9 @@ from archive_fixture import (  # noqa: E402
 from gleanery.functions import regex, text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
-from gleanery.plans.table import prepare_table, search_table, spread  # noqa: E402
+from gleanery.plans.table import prepare_table, search_table  # noqa: E402
 from gleanery.sinks import report  # noqa: E402
+from gleanery.sources.definitions import load_definitions  # noqa: E402
 
 try:
     from gleanery.llm import queries as llm_queries  # noqa: E402
@@ -60,27 +61,27 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _texts(spark, sf_dir, name, *columns) -> DataFrame:
-    return spread(_table(spark, sf_dir, name).select(*columns),
-                  spark.sparkContext.defaultParallelism)
-
-
 def _pages(spark, sf_dir):
-    return _texts(spark, sf_dir, "pages", "page_id", "url", "html")
+    return _table(spark, sf_dir, "pages").select("page_id", "url", "html")
 
 
 def _documents(spark, sf_dir):
-    return _texts(spark, sf_dir, "documents", "doc_id", "source", "text")
+    return _table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+
+
+def _tasks(spark):
+    """The tables come as single files, which one task would search alone."""
+    return spark.sparkContext.defaultParallelism
 
 
 def _page_pairs(spark, sf_dir, dialect="auto", definitions=PAGE_DEFS):
     return search_table(_pages(spark, sf_dir), ["page_id"], "url", "html", definitions,
-                        dialect=dialect)
+                        dialect=dialect, redistribute=_tasks(spark))
 
 
 def _document_pairs(spark, sf_dir, dialect="auto"):
     return search_table(_documents(spark, sf_dir), ["doc_id"], "source", "text", DOC_DEFS,
-                        dialect=dialect)
+                        dialect=dialect, redistribute=_tasks(spark))
 
 
 def _long(column, name):
@@ -105,15 +106,15 @@ def search_pairs_python(spark, sf_dir):
 
 
 def search_turns(spark, sf_dir):
-    turns = _texts(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    pairs = search_table(turns, ["conv_id", "turn"], "role", "text", TURN_DEFS)
+    pairs = search_table(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "role",
+                         "text", TURN_DEFS, redistribute=_tasks(spark))
     return _pair_totals(pairs, "conv_id", "turn")
 
 
 def find_all(spark, sf_dir):
     """Patterns that match the empty string, and one that cannot overlap."""
-    texts = _texts(spark, sf_dir, "benchmark", "item_id", "text")
-    pairs = search_table(texts, ["item_id"], F.lit(None).cast("string"), "text",
+    pairs = search_table(_table(spark, sf_dir, "benchmark"), ["item_id"],
+                         F.lit(None).cast("string"), "text",
                          {"empty": "", "stars": "a*", "overlap": "ere|ene"})
     return pairs.select("item_id", "definition", _long(F.size("content_matches"), "total"),
                         F.array_join("content_matches", "|").alias("found"))
@@ -149,22 +150,26 @@ def scope_totals(spark, sf_dir):
 
 
 def theta_join(spark, sf_dir):
-    prepared = prepare_table(_pages(spark, sf_dir), ["page_id"], "url", "html")
+    prepared = prepare_table(_pages(spark, sf_dir), ["page_id"], "url", "html",
+                             redistribute=_tasks(spark))
     return search.matching_definitions(prepared, ["page_id"], PAGE_DEFS)
 
 
 def theta_join_native(spark, sf_dir):
-    prepared = prepare_table(_documents(spark, sf_dir), ["doc_id"], "source", "text")
+    prepared = prepare_table(_documents(spark, sf_dir), ["doc_id"], "source", "text",
+                             redistribute=_tasks(spark))
     return search.matching_definitions(prepared, ["doc_id"], DOC_DEFS, "native")
 
 
 def matched_records(spark, sf_dir):
-    prepared = prepare_table(_documents(spark, sf_dir), ["doc_id"], "source", "text")
+    prepared = prepare_table(_documents(spark, sf_dir), ["doc_id"], "source", "text",
+                             redistribute=_tasks(spark))
     return search.records_with_a_match(prepared, DOC_DEFS).select("doc_id", "name")
 
 
 def matched_records_native(spark, sf_dir):
-    prepared = prepare_table(_pages(spark, sf_dir), ["page_id"], "url", "html")
+    prepared = prepare_table(_pages(spark, sf_dir), ["page_id"], "url", "html",
+                             redistribute=_tasks(spark))
     return search.records_with_a_match(
         prepared, {"org": PAGE_DEFS["org"], "phone": PAGE_DEFS["phone"]}, "native") \
         .select("page_id", "name")
@@ -222,13 +227,6 @@ def base_names(spark, sf_dir):
         text.export_name(base).alias("export"))
 
 
-def _stored(spark, df):
-    """``df`` by way of a table, where a plan would evaluate it twice."""
-    path = f"{work_dir(spark)}/table"
-    df.write.parquet(path)
-    return spark.read.parquet(path)
-
-
 def elapsed(spark, sf_dir):
     """Text lengths, taken for hundredths of a second."""
     return _table(spark, sf_dir, "documents").select(
@@ -240,31 +238,42 @@ def _host(name):
     return F.regexp_extract(name, "^(https?://[^/]*)", 1)
 
 
-def _host_entries(pages):
-    pairs = search_table(pages, ["page_id"], "url", "html", PAGE_DEFS)
-    return export.entries(pairs.withColumn("name", _host("name")))
-
-
 def export_dedup(spark, sf_dir):
     pairs = _page_pairs(spark, sf_dir).withColumn("name", _host("name"))
     return export.first_per_entry(export.entries(pairs), ["page_id"])
 
 
+def _host_exports(pages):
+    """Every page with a match, exported under its host: entries repeat."""
+    pairs = search_table(pages, ["page_id"], "url", "html", PAGE_DEFS)
+    named = export.entries(pairs.withColumn("name", _host("name")))
+    payload = pages.select("page_id", F.md5(F.encode("html", "UTF-8")).alias("payload"))
+    return named.select("definition", "entry_name", "page_id").join(payload, "page_id")
+
+
 def export_merge(spark, sf_dir):
     """An earlier export of the https pages, merged with one of all pages."""
     pages = _pages(spark, sf_dir)
 
     def exported(some):
-        named = _host_entries(some).select("definition", "entry_name", "page_id")
-        winners = export.first_per_entry(named, ["page_id"])
-        payload = some.select("page_id", F.md5(F.encode("html", "UTF-8")).alias("payload"))
-        return _stored(spark, winners.join(payload, "page_id"))
+        rows = _host_exports(some)
+        return rows.join(export.first_per_entry(rows, ["page_id"]),
+                         ["definition", "entry_name", "page_id"], "left_semi")
 
     merged = export.merge_exports(
         [exported(pages.where("url like 'https:%'")), exported(pages)], ["page_id"])
     return merged.select("definition", "entry_name", "page_id", "payload")
 
 
+def export_merge_repeats(spark, sf_dir):
+    """Parts that hold an entry several times, some rows without an order."""
+    rows = _host_exports(_pages(spark, sf_dir)).withColumn(
+        "place", F.expr("case when page_id % 5 <> 0 then page_id end"))
+    parts = [rows.where("page_id % 2 = 1"), rows]
+    merged = export.merge_exports(parts, ["place", "page_id"])
+    return merged.select("definition", "entry_name", "page_id", "payload")
+
+
 def no_match_sources(spark, sf_dir):
     sources = _table(spark, sf_dir, "documents").select("source").distinct()
     found = _document_pairs(spark, sf_dir).where("definition in ('secret', 'year')")
@@ -301,7 +310,7 @@ def report_blocks(spark, sf_dir):
 
 def report_lines(spark, sf_dir):
     definitions = spark.createDataFrame(list(PAGE_DEFS.items()), "definition string, pattern string")
-    return report.report_lines(_stored(spark, _page_pairs(spark, sf_dir)), definitions,
+    return report.report_lines(_page_pairs(spark, sf_dir), definitions,
                                ["page_id"], F.lit("pages"), F.lit(CREATED))
 
 
@@ -314,27 +323,50 @@ def dialects(spark, sf_dir):
     return totals("native").join(totals("python"), "definition")
 
 
-def _archives(spark, sf_dir):
-    """The pages as web archives, in the order of their ids."""
+def _archives(spark, sf_dir, *more, cut=None):
+    """The pages as web archives, in the order of their ids; or, with ``cut``,
+    dealt over eight archives by id.  ``more``: further columns of a record."""
     directory = work_dir(spark)
-    pages = _table(spark, sf_dir, "pages") \
-        .repartitionByRange(spark.sparkContext.defaultParallelism, "page_id") \
-        .sortWithinPartitions("page_id")
-    write_archives(pages.select("url", F.encode("html", "UTF-8")), f"{directory}/archives")
+    pages = _table(spark, sf_dir, "pages")
+    dealt = pages.repartitionByRange(_tasks(spark), "page_id") if cut is None \
+        else pages.repartitionById(8, F.expr("cast(page_id % 8 as int)"))
+    write_archives(dealt.sortWithinPartitions("page_id").select(
+        F.col("url").alias("name"), F.encode("html", "UTF-8").alias("payload"),
+        *[F.expr(column) for column in more]), f"{directory}/archives", cut)
     return directory
 
 
-def archive_records(spark, sf_dir):
-    records = read_records(spark, f"{_archives(spark, sf_dir)}/archives")
+def _digests(records):
     return records.where("error is null").select(
         "name", "warc_type", F.md5("payload").alias("payload_digest"))
 
 
-def _archive_search(spark, sf_dir, **options):
-    directory = _archives(spark, sf_dir)
-    write_definitions(PAGE_DEFS, f"{directory}/definitions")
+def archive_records(spark, sf_dir):
+    return _digests(read_records(spark, f"{_archives(spark, sf_dir)}/archives"))
+
+
+def archive_records_split(spark, sf_dir):
+    """Read in ranges, some payloads without an HTTP header block."""
+    directory = _archives(spark, sf_dir, "page_id % 4 <> 0 as http")
+    return _digests(read_records(spark, f"{directory}/archives", split_bytes=20_000))
+
+
+def archive_types(spark, sf_dir):
+    """Archives in which only every third record is a response."""
+    kind = "element_at(array('response', 'request', 'warcinfo'), cast(page_id % 3 + 1 as int))"
+    directory = _archives(spark, sf_dir, f"{kind} as kind")
+    return _digests(read_records(spark, f"{directory}/archives"))
+
+
+def _search(spark, directory, definitions=PAGE_DEFS, **options):
+    write_definitions(definitions, f"{directory}/definitions")
     return search_archives(spark, f"{directory}/archives", f"{directory}/definitions",
-                           make_dir(f"{directory}/out"), split_bytes=1 << 20, **options)
+                           make_dir(f"{directory}/out"), split_bytes=1 << 20, shared_files=True,
+                           **options)
+
+
+def _archive_search(spark, sf_dir, **options):
+    return _search(spark, _archives(spark, sf_dir), **options)
 
 
 def archive_search(spark, sf_dir):
@@ -345,6 +377,30 @@ def archive_summary(spark, sf_dir):
     return _archive_search(spark, sf_dir).summary.select("records_read", "errors", "warnings")
 
 
+def archive_errors(spark, sf_dir):
+    """Eight archives, of which 1, 4 and 7 break off in their last record and 2
+    and 5 hold requests only."""
+    directory = _archives(spark, sf_dir, "if(page_id % 8 in (2, 5), 'request', 'response') as kind",
+                          cut=20)
+    return _search(spark, directory).summary.select("archives", "records_read", "errors", "warnings")
+
+
+def archive_error_records(spark, sf_dir):
+    """The records of archives that break off, up to the break."""
+    return _digests(read_records(spark, f"{_archives(spark, sf_dir, cut=20)}/archives"))
+
+
+def rejected_definitions(spark, sf_dir):
+    """Benchmark texts as patterns, of which every third lacks a bracket."""
+    directory = work_dir(spark)
+    items = _table(spark, sf_dir, "benchmark").where("item_id is not null")
+    write_definitions({f"item{r.item_id}": "[" * (r.item_id % 3 == 0) + "a+"
+                       for r in items.select("item_id").toLocalIterator()},
+                      f"{directory}/definitions")
+    rejected = load_definitions(f"{directory}/definitions").rejected_table(spark)
+    return rejected.select("definition", F.lit("error").alias("severity"))
+
+
 def archive_report(spark, sf_dir):
     """The reports as written, counted per line."""
     lines = spark.read.text(f"{_archive_search(spark, sf_dir).run_dir}/reports")
@@ -352,15 +408,43 @@ def archive_report(spark, sf_dir):
     return kept.groupBy("report", "value").agg(F.count(F.lit(1)).alias("lines"))
 
 
-def archive_export(spark, sf_dir):
-    """The zip exports as written."""
-    result = _archive_search(spark, sf_dir, extract=True, zip_bytes=1 << 20)
+def report_order(spark, sf_dir):
+    """Where the block of every record stands in its report as written."""
+    parts = spark.read.option("wholetext", True).text(
+        f"{_archive_search(spark, sf_dir).run_dir}/reports").select(
+        "report", F.input_file_name().alias("part"), "value")
+    blocks = parts.select("report", "part", F.posexplode(F.split("value", "(?m)^_{67}$")))
+    named = blocks.withColumn("name", F.regexp_extract("col", r"\[File: (.*)\]", 1)) \
+        .where("name <> ''")
+    place = Window.partitionBy("report").orderBy("part", "pos")
+    return named.select("report", "name", _long(F.row_number().over(place), "position"))
+
+
+def _unzipped(spark, result):
     zips = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip") \
-        .load(f"{result.run_dir}/exports").select("path", "content")
+        .option("recursiveFileLookup", True).load(f"{result.run_dir}/exports") \
+        .select("path", "content")
     return zips.mapInArrow(unzip, "definition string, entry_name string, payload binary") \
         .select("definition", "entry_name", F.md5("payload").alias("payload_digest"))
 
 
+def archive_export(spark, sf_dir):
+    """The zip exports as written."""
+    return _unzipped(spark, _archive_search(spark, sf_dir, extract=True, zip_bytes=1 << 20))
+
+
+def archive_export_large(spark, sf_dir):
+    """The same with most payloads too large for a row."""
+    return _unzipped(spark, _archive_search(spark, sf_dir, extract=True, max_payload_bytes=1000))
+
+
+def archive_export_table(spark, sf_dir):
+    """The export as a table."""
+    run_dir = _archive_search(spark, sf_dir, extract=True, extract_format="table").run_dir
+    return spark.read.parquet(f"{run_dir}/exports").where("piece = 0").select(
+        "definition", "entry_name", F.md5("payload").alias("payload_digest"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     own = {f.__name__: f for f in (
         search_pairs, search_pairs_native, search_pairs_python, search_turns, find_all,
@@ -368,7 +452,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         matched_records, matched_records_native, binary_sniff, binary_gate, search_binary,
         decode_text, project_records, sanitize_names, base_names, elapsed, export_dedup, export_merge,
         no_match_sources, record_counts, run_summary, report_blocks, report_lines, dialects,
-        archive_records, archive_search, archive_summary, archive_report, archive_export)}
+        archive_records, archive_records_split, archive_types, archive_search, archive_summary,
+        archive_errors, archive_error_records, rejected_definitions, archive_report, report_order,
+        archive_export, archive_export_large, archive_export_table, export_merge_repeats)}
     return {**own, **llm_queries.queries()} if llm_queries else own
 
 
@@ -467,6 +553,8 @@ def oracle_sql() -> dict[str, str]:
         f" || '[Created: {CREATED}]' || chr(10) || chr(10) || '[Regex used]' || chr(10)"
         f" || {_q(p)} || chr(10) || chr(10) || repeat('_', 67) || chr(10) AS value"
         for d, p in PAGE_DEFS.items())
+    records = ("SELECT url AS name, 'response' AS warc_type, md5(html) AS payload_digest FROM pages"
+               " WHERE {}")
     page_items = f"WITH {pages}, {_scoped('page_id')}, {_items('page_id')}"
     own = {
         "search_pairs": f"WITH {pages} {_totals('page_id')}",
@@ -547,8 +635,28 @@ def oracle_sql() -> dict[str, str]:
         "dialects":
             f"WITH {documents} SELECT definition, CAST(sum(len(cm)) AS BIGINT) AS native_total,"
             " CAST(sum(len(cm)) AS BIGINT) AS python_total FROM pairs GROUP BY definition",
-        "archive_records":
-            "SELECT url AS name, 'response' AS warc_type, md5(html) AS payload_digest FROM pages",
+        "archive_records": records.format("true"),
+        "archive_records_split": records.format("true"),
+        "archive_types": records.format("page_id % 3 = 0"),
+        "archive_error_records": records.format(
+            "NOT (page_id % 8 IN (1, 4, 7) AND page_id IN (SELECT max(page_id) FROM pages"
+            " GROUP BY page_id % 8))"),
+        "archive_errors":
+            "SELECT CAST(8 AS BIGINT) AS archives, count(*) - 3 AS records_read,"
+            " CAST(3 AS BIGINT) AS errors, CAST(2 AS BIGINT) AS warnings FROM pages"
+            " WHERE page_id % 8 NOT IN (2, 5)",
+        "rejected_definitions":
+            "SELECT 'item' || item_id AS definition, 'error' AS severity FROM benchmark"
+            " WHERE item_id % 3 = 0",
+        "report_order":
+            f"WITH {pages} SELECT definition || '_results.txt' AS report, name, row_number() OVER"
+            " (PARTITION BY definition ORDER BY page_id) AS position FROM pairs",
+        "export_merge_repeats":
+            f"WITH {pages}, named AS (SELECT definition, {host_entry} AS entry_name, page_id"
+            " FROM pairs), ranked AS (SELECT *, row_number() OVER (PARTITION BY definition,"
+            " entry_name ORDER BY page_id % 2 DESC, CASE WHEN page_id % 5 <> 0 THEN page_id END"
+            " NULLS FIRST, page_id) AS nth FROM named) SELECT definition, entry_name, page_id,"
+            " md5(html) AS payload FROM ranked JOIN pages USING (page_id) WHERE nth = 1",
         "archive_search": f"WITH {pages} {_totals('name')}",
         "archive_summary":
             "SELECT count(*) AS records_read, CAST(0 AS BIGINT) AS errors,"
@@ -561,11 +669,12 @@ def oracle_sql() -> dict[str, str]:
             " FROM scoped UNION ALL SELECT definition, '\"' || match || '\"' FROM items)"
             " SELECT definition || '_results.txt' AS report, value, count(*) AS lines"
             " FROM lines GROUP BY ALL",
-        "archive_export":
+        **dict.fromkeys(
+            ("archive_export", "archive_export_large", "archive_export_table"),
             f"WITH {pages}, named AS (SELECT definition, {_ENTRY.format('name')} AS entry_name,"
             " page_id FROM pairs), firsts AS (SELECT definition, entry_name,"
             " min(page_id) AS page_id FROM named GROUP BY ALL)"
             " SELECT definition, entry_name, md5(html) AS payload_digest"
-            " FROM firsts JOIN pages USING (page_id)",
+            " FROM firsts JOIN pages USING (page_id)"),
     }
     return {**own, **llm_queries.oracle_sql()} if llm_queries else own

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.sources.files import resolve
+from gleanery.sources.files import resolve, spark_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -27,13 +27,16 @@ def make_dir(path: str) -> str:
 
 
 def work_dir(spark: SparkSession) -> str:
-    """A new directory that all executors see."""
+    """A new directory that all executors see, gone when the session ends."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if shared is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("set spark.checkpoint.dir to a folder all executors see")
         shared = tempfile.gettempdir()
-    return make_dir(f"{shared.rstrip('/')}/gleanery-{uuid.uuid4().hex}")
+    made = make_dir(f"{shared.rstrip('/')}/gleanery-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(spark_path(made))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return made
 
 
 def write_definitions(definitions: dict[str, str], directory: str) -> None:
@@ -43,28 +46,41 @@ def write_definitions(definitions: dict[str, str], directory: str) -> None:
             out.write(pattern.encode())
 
 
-def write_archives(pages: DataFrame, directory: str) -> int:
+def write_archives(pages: DataFrame, directory: str, cut: int | None = None) -> int:
     """One archive per partition of (name string, payload binary); returns the
-    number of records written."""
+    number of records written.
+
+    A column ``kind`` gives the record type (response), a false one ``http``
+    leaves the HTTP header block out.  With ``cut``, archives whose number leaves
+    1 when divided by 3 break off within the last ``cut`` bytes.
+    """
     make_dir(directory)
+    names = pages.columns
+
+    def member(row):
+        block = (HTTP if row.get("http", True) else b"") + row["payload"]
+        return gzip.compress((
+            f"WARC/1.0\r\nWARC-Type: {row.get('kind', 'response')}\r\n"
+            f"WARC-Target-URI: {row['name']}\r\n"
+            "Content-Type: application/http; msgtype=response\r\n"
+            f"Content-Length: {len(block)}\r\n\r\n").encode() + block + b"\r\n\r\n")
 
     def write(batches):
         filesystem, inner = resolve(directory)
-        path = f"{inner}/part-{TaskContext.get().partitionId():05d}.warc.gz"
-        attempt, count = f"{path}.{uuid.uuid4().hex}", 0
+        number = TaskContext.get().partitionId()
+        path = f"{inner}/part-{number:05d}.warc.gz"
+        attempt, count, held = f"{path}.{uuid.uuid4().hex}", 0, b""
         with filesystem.open_output_stream(attempt) as out:
             for batch in batches:
-                for name, payload in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-                    block = HTTP + payload
-                    out.write(gzip.compress(
-                        (f"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: {name}\r\n"
-                         "Content-Type: application/http; msgtype=response\r\n"
-                         f"Content-Length: {len(block)}\r\n\r\n").encode()
-                        + block + b"\r\n\r\n"))
+                for row in batch.to_pylist():
+                    out.write(held)
+                    held = member(row)
                     count += 1
+            out.write(held[:-cut] if cut and number % 3 == 1 else held)
         filesystem.move(attempt, path)
         yield pa.RecordBatch.from_pydict({"records": pa.array([count], pa.int64())})
 
+    assert names[:2] == ["name", "payload"], names
     written = pages.mapInArrow(write, "records bigint")
     return written.agg({"records": "sum"}).first()[0]
 
@@ -73,7 +89,7 @@ def unzip(batches):
     """(path, content) of zip exports to (definition, entry_name, payload)."""
     for batch in batches:
         for path, content in zip(*(batch.column(i).to_pylist() for i in (0, 1))):
-            definition = path.rsplit("/", 1)[1].split("_results")[0]
+            definition = path.rsplit("/", 2)[1][len("export="):].split("_results")[0]
             with zipfile.ZipFile(BytesIO(content)) as z:
                 for name in z.namelist():
                     yield pa.RecordBatch.from_pydict({

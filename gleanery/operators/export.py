@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
@@ -32,12 +32,21 @@ def first_per_entry(rows: DataFrame, order: Sequence[str],
 
 
 def merge_exports(parts: Sequence[DataFrame], order: Sequence[str] = ()) -> DataFrame:
-    """Union of exports; the earliest part that has an entry supplies it.
+    """Union of exports, one row per entry; the earliest part that has an entry
+    supplies it.
 
-    ``order`` decides within a part that holds an entry more than once.
+    ``order`` decides within a part that holds an entry more than once (nulls
+    first), then a hash of the row.  Each part is read once and each row moves
+    once, after those of its task have been compared.  No parts: an empty table
+    of the key columns.
     """
+    if not parts:
+        spark = SparkSession.active()
+        return spark.createDataFrame([], ", ".join(f"{c} string" for c in ENTRY_KEY))
     numbered = [part.withColumn("part", F.lit(i)) for i, part in enumerate(parts)]
     union = reduce(DataFrame.unionByName, numbered)
-    position = ["part", *order]
-    winners = first_per_entry(union.select(*ENTRY_KEY, *position), position)
-    return union.join(winners, [*ENTRY_KEY, *position], "left_semi").drop("part")
+    columns = [c for c in union.columns if c not in (*ENTRY_KEY, "part")]
+    row = F.struct(*columns) if columns else F.struct(F.lit(0).alias("none"))
+    position = F.struct("part", *order, F.xxhash64(*ENTRY_KEY, *columns).alias("hash"))
+    first = union.groupBy(*ENTRY_KEY).agg(F.min_by(row, position).alias("first"))
+    return first.select(*ENTRY_KEY, *[F.col(f"first.`{c}`").alias(c) for c in columns])

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import json
+import codecs
 import re
 import time
 import uuid
@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import regex, text
 from gleanery.operators import export, search, summary
-from gleanery.plans.table import scan_bytes
 from gleanery.sinks import report, zip_export
 from gleanery.sources.definitions import load_definitions, require_valid
 from gleanery.sources.files import list_archives, resolve, spark_path
-from gleanery.sources.warc import MAX_PAYLOAD, TRAILER_SCHEMA, WarcDataSource, read_payload
+from gleanery.sources.warc import (
+    MAX_PAYLOAD, RECORD_SCHEMA, TRAILER_SCHEMA, Payloads, WarcDataSource, WarcReader, read_pieces)
 
 RECORD_KEY = ["archive", "record_offset", "record_position"]
 SPLIT = ["archive", "split_start"]
@@ -29,6 +29,8 @@ ZIP_BYTES = 256 << 20
 PARTITION_BYTES = 128 << 20
 # A row that names a split is about 100 bytes.
 MAX_BROADCAST_SPLITS = 100_000
+# Splits that one task reads again.
+SPLITS_PER_TASK = 4
 
 # Fixed value: the time stamp in the name of a run directory.
 RUN_FORMAT = "%m-%d-%y_%H_%M_%S"
@@ -48,9 +50,7 @@ def register(spark: SparkSession) -> None:
     spark.dataSource.register(zip_export.ZipDataSource)
 
 
-def read_records(spark: SparkSession, archives: str, **options) -> DataFrame:
-    """The response records of a directory of archives.  ``error`` is set on
-    the rows that report an archive, or a record, that could not be read."""
+def _scan(spark: SparkSession, archives: str, **options) -> DataFrame:
     register(spark)
     pushdown = spark.conf.get("spark.sql.python.filterPushdown.enabled", "false")
     return spark.read.format("warc").option("filter_pushdown", pushdown) \
@@ -58,6 +58,45 @@ def read_records(spark: SparkSession, archives: str, **options) -> DataFrame:
         .options(**options).load(archives)
 
 
+def _reread(spark: SparkSession, splits: DataFrame, archives: str, **options) -> DataFrame:
+    """The ranges of ``splits`` (archive, split_start, split_end, first), read
+    where the rows are: their number is not the driver's business."""
+    reader = WarcReader({"path": archives, **{k: str(v) for k, v in options.items()}})
+    trailers = f", {TRAILER_SCHEMA}" if reader.trailers else ""
+    n = max(spark.sparkContext.defaultParallelism, -(-splits.count() // SPLITS_PER_TASK))
+    return splits.select("archive", "split_start", "split_end", "first").repartition(n) \
+        .mapInArrow(reader.read_ranges, RECORD_SCHEMA + trailers)
+
+
+def read_records(spark: SparkSession, archives: str, **options) -> DataFrame:
+    """The response records of a directory of archives.  ``error`` is set on
+    the rows that report an archive that could not be read further.
+
+    With ``split_bytes``, ranges are first gone through without payloads, to
+    find where each really begins, and then read; so the rows are those of
+    whole archives.  Needs ``spark.checkpoint.dir`` for the table of ranges.
+    """
+    split_bytes = int(options.pop("split_bytes", 0))
+    if not split_bytes:
+        return _scan(spark, archives, **options)
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        raise ValueError("split_bytes needs spark.checkpoint.dir, a folder all executors see")
+    root = f"{shared.rstrip('/')}/_ranges_{uuid.uuid4().hex}"
+    _delete_on_exit(spark, root)
+    look = {"trailers": "true", "payload": "false"}
+
+    def stage(rows, number):
+        rows.where("records_read is not null").write.parquet(f"{root}/rows/pass={number}")
+        return spark.read.parquet(f"{root}/rows")
+
+    splits = _settle(spark, archives, root, stage, look,
+                     _scan(spark, archives, split_bytes=split_bytes, **look))
+    places = splits.where("after_stop = 0").withColumn(
+        "first", F.coalesce("first_start", "split_end"))
+    return _reread(spark, places, archives, **options)
+
+
 def new_run_dir(out: str, now: datetime) -> str:
     """A fresh directory below ``out``, which must exist."""
     filesystem, inner = resolve(out)
@@ -70,6 +109,19 @@ def new_run_dir(out: str, now: datetime) -> str:
     return f"{out.rstrip('/')}/{name}"
 
 
+def _delete_on_exit(spark: SparkSession, path: str) -> None:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(hadoop_path)
+
+
+def require_shared(spark: SparkSession, path: str) -> None:
+    """Refuse a folder that every executor would have for itself."""
+    local = spark.sparkContext.master.split("[")[0] == "local"
+    if not local and spark_path(path).startswith("file:"):
+        raise ValueError(f"executors do not share the local folder {path}; if it is mounted on"
+                         " all of them, say so by shared_files=True")
+
+
 def _staging_dir(spark: SparkSession, run_dir: str) -> str:
     shared = spark.conf.get("spark.checkpoint.dir", None)
     return f"{(shared or spark_path(run_dir)).rstrip('/')}/_staging_{uuid.uuid4().hex}"
@@ -80,33 +132,37 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def _stage(spark, archives, definitions, path, *, extract, search_binary, dialect,
-           redistribute, options):
-    """Read, decode and search everything once; keep what later steps need.
+def _stage(records, definitions, path, *, search_binary, redistribute, max_payload_bytes):
+    """Decode and search records once; keep what later steps need.
 
-    One row per matched record with all its hits (and its payload, if it is to
-    be exported), plus the error and trailer rows of the source.
+    One row per matched record with all its hits, plus the error and trailer
+    rows of the source, records with a note, and those whose payload is too
+    large for a row.  Payloads are not kept.
     """
     trailer = [c.split()[0] for c in TRAILER_SCHEMA.split(", ")]
-    records = read_records(spark, archives, trailers="true", **options)
     if redistribute:
         records = records.repartition(redistribute)
-    carry = ["error", *trailer, F.octet_length("payload").cast("bigint").alias("payload_size")]
-    if extract:
-        carry.append("payload")
-    prepared = search.prepare(records, RECORD_KEY, F.col("name"), F.col("payload"),
-                              search_binary=search_binary, carry=carry)
+    large = F.coalesce(F.col("payload").isNull() & (F.col("payload_size") > max_payload_bytes),
+                       F.lit(False))
+    records = records.withColumn("large", large)
+    prepared = search.prepare(
+        records, RECORD_KEY, F.when(~F.col("large"), F.col("name")), F.col("payload"),
+        search_binary=search_binary,
+        carry=["error", "note", *trailer, "payload_size", "large",
+               F.col("name").alias("record_name")])
     found = search.search_records(
-        prepared, definitions, dialect,
-        keep=F.col("error").isNotNull() | F.col("records_read").isNotNull())
+        prepared, definitions, "auto",
+        keep=F.coalesce("error", "note").isNotNull() | F.col("records_read").isNotNull()
+        | F.col("large"))
     found.write.parquet(path)
 
 
 def _large_records(spark, staged, definitions, search_binary) -> DataFrame:
     """Matches of the records whose payload is too large for a row.
 
-    Each is read and searched where it lies, by its place in the archive; only
-    its matches become rows.
+    Each is read and searched where it lies, by its place in the archive, those
+    of one gzip member in one pass; only matches become rows.  The engine is the
+    one that ``auto`` equals.
     """
     find = regex.python_search(definitions)
     binary = re.compile(text.BINARY_BYTES.encode("latin-1"))
@@ -116,22 +172,33 @@ def _large_records(spark, staged, definitions, search_binary) -> DataFrame:
         ("record_position", pa.int64()), ("name", pa.string()), ("payload_size", pa.int64()),
         ("definition", pa.string()), ("name_matches", strings), ("content_matches", strings)])
 
+    def content(pieces):
+        """The text, decoded as it is read; None if it is binary."""
+        head, decoder, parts = b"", codecs.getincrementaldecoder("utf-8")("ignore"), []
+        for piece in pieces:
+            if len(head) < text.SNIFF_BYTES:
+                head += piece[:text.SNIFF_BYTES - len(head)]
+                if not search_binary and binary.search(head):
+                    return None
+            parts.append(decoder.decode(piece))
+        return "".join(parts) + decoder.decode(b"", final=True)
+
     def search_in_place(batches):
+        payloads = Payloads()
         for batch in batches:
             for archive, offset, position, name in zip(*(c.to_pylist() for c in batch.columns)):
-                payload = read_payload(archive, offset, position)
-                content = None
-                if search_binary or not binary.search(payload[:text.SNIFF_BYTES]):
-                    content = payload.decode("utf-8", "ignore")
-                rows = [(archive, offset, position, name, len(payload), *hit)
-                        for hit in find(name, content)]
+                size, pieces = payloads.open(archive, offset, position)
+                rows = [(archive, offset, position, name, size, *hit)
+                        for hit in find(name, content(pieces))]
                 if rows:
                     columns = [pa.array(column, f.type) for column, f in zip(zip(*rows), fields)]
                     yield pa.RecordBatch.from_arrays(columns, schema=fields)
+        payloads.close()
 
-    large = staged.where("error is not null and record_position is not null")
-    places = large.select(*RECORD_KEY, "name") \
-        .repartition(spark.sparkContext.defaultParallelism, *RECORD_KEY)
+    member = ["archive", "record_offset"]
+    places = staged.where("large").select(*RECORD_KEY, F.col("record_name").alias("name")) \
+        .repartition(spark.sparkContext.defaultParallelism, *member) \
+        .sortWithinPartitions(*RECORD_KEY)
     return places.mapInArrow(search_in_place, (
         "archive string, record_offset bigint, record_position bigint, name string,"
         " payload_size bigint, definition string, name_matches array<string>,"
@@ -141,8 +208,10 @@ def _large_records(spark, staged, definitions, search_binary) -> DataFrame:
 def _splits(staged: DataFrame) -> DataFrame:
     """The latest reading of every split, with the place where it had to begin.
 
-    A split of an archive is right if it began where the one before it left
-    off.  By induction from the first split, which begins at byte 0, all are.
+    A split of an archive is right if it began where those before it left off,
+    which is the furthest place any of them read up to: a record that covers
+    several splits leaves all of them empty.  By induction from the first
+    split, which begins at byte 0, all are.
     The windows hold one short row per split of one archive: some 4,000 for an
     archive of 1 TB.
     """
@@ -154,8 +223,7 @@ def _splits(staged: DataFrame) -> DataFrame:
     current = trailers.withColumn("newest", F.row_number().over(latest)).where("newest = 1")
     placed = current.select(
         *SPLIT, "split_end", "first_start", "records_read", "pass",
-        F.coalesce(F.last("next_start", ignorenulls=True).over(before), F.lit(0))
-        .alias("expected"),
+        F.coalesce(F.max("next_start").over(before), F.lit(0)).alias("expected"),
         F.coalesce(F.max("stopped").over(before), F.lit(0)).alias("after_stop"))
     begins = F.when(F.col("expected") < F.col("split_end"), F.col("expected"))
     return placed.withColumn("wrong", (F.col("split_start") > 0) & (F.col("after_stop") == 0)
@@ -177,11 +245,38 @@ def _valid(staged: DataFrame, splits: DataFrame, repaired: bool) -> DataFrame:
     return staged.join(bad, [*SPLIT, "pass"], "left_anti")
 
 
+def _settle(spark, archives, root, stage, options, records) -> DataFrame:
+    """Stage ``records``, then again those splits that began in a wrong place
+    (inside an archive stored within an archive) until none is left; the splits
+    as they are then.  ``stage`` writes a pass and gives all rows so far."""
+    passes = 0
+    while True:
+        staged = stage(records, passes)
+        passes += 1
+        # A small table, read several times below; the rows are many files.
+        _splits(staged).write.parquet(f"{root}/splits{passes}")
+        splits = spark.read.parquet(f"{root}/splits{passes}")
+        wrong = splits.where("wrong").select(
+            *SPLIT, "split_end", F.col("expected").alias("first"))
+        if wrong.isEmpty():
+            return splits.withColumn("passes", F.lit(passes))
+        records = _reread(spark, wrong, archives, **options)
+
+
 def _partitions(spark: SparkSession, size: int) -> int:
     """Partitions for ``size`` bytes, and no fewer than there are cores."""
     return max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism)
 
 
+def _text_bytes(matches: DataFrame) -> int:
+    """Bytes of the report blocks of ``matches``, about."""
+    def length(column):
+        return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, m: a + F.octet_length(m) + 40)
+
+    size = length("name_matches") + length("content_matches") + 200
+    return matches.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+
+
 def _place(sizes: list[tuple[str, int]], shard_bytes: int, cores: int):
     """``{definition: (shards, first partition)}`` and the number of partitions.
 
@@ -207,7 +302,8 @@ def _winners(spark, matches, path, shard_bytes) -> tuple[DataFrame, int]:
 
     One row per definition and entry name, with its ``shard`` out of ``shards``,
     as many per definition as its size calls for, and its ``partition``.  Keys
-    and sizes only; a hot definition is spread by entry name.
+    and sizes only: a payload is read by its place where it is written.  The
+    records of one gzip member are in one shard, so it is gone through once.
     """
     named = export.entries(matches.select(*RECORD_KEY, "name", "definition", "payload_size"))
     export.first_per_entry(named, [*RECORD_KEY, "payload_size"]).write.parquet(path)
@@ -221,143 +317,134 @@ def _winners(spark, matches, path, shard_bytes) -> tuple[DataFrame, int]:
     place = F.create_map(*[c for d, (shards, first) in places.items() for c in (
         F.lit(d), F.struct(F.lit(shards).alias("shards"), F.lit(first).alias("first")))])
     placed = winners.withColumn("place", place[F.col("definition")])
-    shard = F.pmod(F.xxhash64("entry_name"), F.col("place.shards")).cast("int")
-    return placed.select(
-        *winners.columns, F.col("place.shards").alias("shards"), shard.alias("shard"),
-        (F.col("place.first") + shard).alias("partition")), max(n, 1)
+    shard = F.pmod(F.xxhash64("archive", "record_offset"), F.col("place.shards")).cast("int")
+    return placed.select(*winners.columns, shard.alias("shard"),
+                         (F.col("place.first") + shard).alias("partition")), max(n, 1)
 
 
-def _with_payload(spark, winners, staged) -> DataFrame:
-    """Winners with their payloads.
+def _dealt(winners: DataFrame, n: int, *first: str) -> DataFrame:
+    return winners.repartitionById(n, F.col("partition")).sortWithinPartitions(*first, *RECORD_KEY)
 
-    A record is on the payload side once, however many definitions it matches,
-    so the keys of this join are not skewed.
-    """
-    payloads = staged.where("hits is not null and error is null")
-    size = payloads.agg(F.coalesce(F.sum("payload_size"), F.lit(0))).first()[0]
-    n = _partitions(spark, size)
-    return winners.repartition(n, *RECORD_KEY).join(
-        payloads.select(*RECORD_KEY, "payload").repartition(n, *RECORD_KEY), RECORD_KEY)
-
-
-def _export_zip(spark, winners, n, staged, path) -> dict[str, int]:
-    """Write one zip per definition, or several where one would be too large."""
-    base = text.base_name(text.report_name(F.col("definition")))
-    file = F.when(F.col("shards") == 1, text.export_name(F.col("definition"))).otherwise(
-        F.format_string("%s-%05d-of-%05d.zip", base, "shard", "shards"))
-    _with_payload(spark, winners, staged) \
-        .select(file.alias("file"), "entry_name", "payload", "partition") \
-        .repartitionById(n, F.col("partition")).sortWithinPartitions("file", "entry_name") \
-        .drop("partition").write.format("zip").mode("append").save(path)
-    return zip_export.read_summary(path)
-
-
-def _export_table(spark, winners, n, staged, path) -> None:
-    """Write the exported records as a table partitioned by definition."""
-    _with_payload(spark, winners, staged).repartitionById(n, F.col("partition")) \
-        .drop("shard", "shards", "partition").write.partitionBy("definition").parquet(path)
-
-
-def _problems(spark, staged, matches, counts, loaded, extract) -> DataFrame:
-    errors = staged.where("error is not null and record_position is null") \
-        .select("archive", "error")
+
+def _export_zip(spark, winners, n, path) -> None:
+    """Write the zips of each definition into a directory of its own."""
+    file = F.format_string("export=%s/part-%05d.zip", text.export_name(F.col("definition")), "shard")
+    _dealt(winners.withColumn("file", file), n, "file") \
+        .select("file", "entry_name", *RECORD_KEY) \
+        .write.format("zip").mode("append").save(path)
+
+
+def _export_table(winners, n, path) -> None:
+    """Write the exported records as a table partitioned by definition, a row
+    for each piece of a payload."""
+    rows = _dealt(winners, n).select("definition", "entry_name", *RECORD_KEY, "payload_size")
+    rows.mapInArrow(read_pieces, (
+        "definition string, entry_name string, archive string, record_offset bigint,"
+        " record_position bigint, payload_size bigint, piece int, payload binary")) \
+        .write.partitionBy("definition").parquet(path)
+
+
+def _problems(spark, staged, matches, counts, loaded, extract, failures) -> DataFrame:
+    errors = staged.where("error is not null").select("archive", "error")
+    notes = staged.where("note is not null").select("archive", F.concat_ws(
+        " ", "note", F.lit("at"), "record_offset").alias("message"))
     seen = counts.where("records_read > 0").select("archive") \
         .unionByName(errors.select("archive"))
-    lost = F.when(F.col("name").isNull(), "no name to export under:") \
-        .otherwise("too large to export:")
     unexported = matches.where("not exportable" if extract else "false").select(
-        "definition", F.concat_ws(" ", lost, "archive", F.lit("at"), "record_offset")
-        .alias("message"))
+        "definition", F.concat_ws(" ", F.lit("no name to export under: archive"), "archive",
+                                  F.lit("at"), "record_offset").alias("message"))
     return summary.problems(
         ("error", errors, "archive", "error"),
         ("error", loaded.rejected_table(spark), "definition", "reason"),
         ("error", unexported, "definition", "message"),
+        ("error", failures, "file", "concat_ws(': ', error, entry_name)"),
+        ("warning", notes, "archive", "message"),
         ("warning", summary.archives_without_records(counts.select("archive"), seen),
          "archive", "'no records found'"))
 
 
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
                     extract: bool = False, extract_format: str = "zip",
-                    search_binary: bool = False, dialect: str = "auto",
-                    split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES,
-                    redistribute: int = 0,
-                    max_payload_bytes: int = MAX_PAYLOAD) -> SearchResult:
+                    search_binary: bool = False, split_bytes: int = SPLIT_BYTES,
+                    zip_bytes: int = ZIP_BYTES, redistribute: int = 0,
+                    max_payload_bytes: int = MAX_PAYLOAD,
+                    shared_files: bool = False) -> SearchResult:
     """Search all archives of a directory with all definitions of another.
 
     Writes below a fresh directory in ``out``: ``matches`` (table), ``reports``
     (text), ``exports`` (with ``extract``), ``problems`` and ``summary``.
-    The archives are read once.
+    The archives are read once, and the records to export once more by their
+    places.
 
     An archive that is one single gzip member can only be decompressed by one
     task; ``redistribute`` then spreads the search over that many tasks, at
     the price of a shuffle of the payloads.  Payloads above
-    ``max_payload_bytes`` are searched outside of rows, and not exported.
+    ``max_payload_bytes`` do not become rows: they are searched and exported
+    where they lie, with the same result.
+
+    Off local mode ``out`` and ``spark.checkpoint.dir`` must be folders that all
+    executors see; ``shared_files`` says that a ``file:`` path is one.
     """
     if extract_format not in ("zip", "table"):
         raise ValueError("extract_format must be 'zip' or 'table'")
+    if not shared_files:
+        require_shared(spark, out)
     started, now = time.time(), datetime.now()
     loaded = load_definitions(definitions)
     require_valid(loaded)
     archive_count = len(list_archives(archives))
     run_dir = new_run_dir(out, now)
     staging, target = _staging_dir(spark, run_dir), spark_path(run_dir)
-    how = dict(extract=extract, search_binary=search_binary, dialect=dialect,
-               redistribute=redistribute)
+    how = dict(search_binary=search_binary, redistribute=redistribute,
+               max_payload_bytes=max_payload_bytes)
+
+    def stage(records, number):
+        _stage(records, loaded.definitions, f"{staging}/rows/pass={number}", **how)
+        return spark.read.parquet(f"{staging}/rows")
 
     try:
-        size_limit = {"max_payload_bytes": max_payload_bytes}
-        options, passes = {"split_bytes": split_bytes, **size_limit}, 0
-        while True:
-            _stage(spark, archives, loaded.definitions, f"{staging}/rows/pass={passes}",
-                   options=options, **how)
-            passes += 1
-            staged = spark.read.parquet(f"{staging}/rows")
-            # A small table, read several times below; the rows are many files.
-            _splits(staged).write.parquet(f"{staging}/splits{passes}")
-            splits = spark.read.parquet(f"{staging}/splits{passes}")
-            # Splits that began inside an archive stored within an archive.
-            wrong = splits.where("wrong").select(*SPLIT, "split_end", "expected").collect()
-            if not wrong:
-                break
-            options = {"ranges": json.dumps([list(row) for row in wrong]), **size_limit}
-
-        staged = _valid(staged, splits, repaired=passes > 1)
+        options = {"trailers": "true", "max_payload_bytes": max_payload_bytes}
+        splits = _settle(spark, archives, staging, stage, options,
+                         _scan(spark, archives, split_bytes=split_bytes, **options))
+        repaired = splits.select(F.max("passes")).first()[0] or 1
+        staged = _valid(spark.read.parquet(f"{staging}/rows"), splits, repaired=repaired > 1)
         columns = [*RECORD_KEY, "name", "payload_size"]
-        small = staged.where("hits is not null and error is null") \
-            .select(*columns, F.col("name").isNotNull().alias("exportable"), F.inline("hits"))
+        small = staged.where("hits is not null").withColumn("name", F.col("record_name")) \
+            .select(*columns, F.inline("hits"))
         large = _large_records(spark, staged, loaded.definitions, search_binary)
-        small.unionByName(large.withColumn("exportable", F.lit(False))) \
+        small.unionByName(large).withColumn("exportable", F.col("name").isNotNull()) \
             .write.parquet(f"{target}/matches")
         matches = spark.read.parquet(f"{target}/matches")
 
         created = F.lit(now.strftime(report.CREATED_FORMAT))
         lines = report.report_lines(matches, loaded.definitions_table(spark), RECORD_KEY,
                                     F.col("archive"), created,
-                                    _partitions(spark, scan_bytes(matches)))
+                                    _partitions(spark, _text_bytes(matches)))
         report.write_reports(lines, f"{target}/reports")
 
-        failed = 0
+        failures = spark.createDataFrame([], zip_export.FAILURE_SCHEMA)
         if extract:
             winners, n = _winners(spark, matches.where("exportable"), f"{staging}/winners",
                                   zip_bytes)
             if extract_format == "zip":
-                failed = _export_zip(spark, winners, n, staged, f"{target}/exports")["failed"]
+                _export_zip(spark, winners, n, f"{target}/exports")
+                failures = zip_export.read_failures(spark, f"{target}/exports")
             else:
-                _export_table(spark, winners, n, staged, f"{target}/exports")
+                _export_table(winners, n, f"{target}/exports")
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
-        problems = _problems(spark, staged, matches, counts, loaded, extract)
+        problems = _problems(spark, staged, matches, counts, loaded, extract, failures)
         problems.write.json(f"{target}/problems")
         written = spark.read.schema(problems.schema).json(f"{target}/problems")
         seconds = F.lit(time.time() - started)
-        summary.run_totals(counts, written).select(
-            F.lit(archive_count).alias("archives"), "records_read",
-            (F.col("errors") + failed).alias("errors"), "warnings",
-            seconds.alias("elapsed_seconds"),
-            text.elapsed_text(seconds).alias("elapsed")) \
-            .write.json(f"{target}/summary")
+        totals = summary.run_totals(counts, written).select(
+            F.lit(archive_count).cast("bigint").alias("archives"), "records_read", "errors",
+            "warnings", seconds.alias("elapsed_seconds"),
+            text.elapsed_text(seconds).alias("elapsed"))
+        totals.write.json(f"{target}/summary")
     finally:
         _delete(spark, staging)
 
-    return SearchResult(run_dir, matches, spark.read.json(f"{target}/summary"))
+    return SearchResult(run_dir, matches,
+                        spark.read.schema(totals.schema).json(f"{target}/summary"))

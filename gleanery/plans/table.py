@@ -13,36 +13,30 @@ def _column(c: Column | str) -> Column:
 
 
 def prepare_table(df: DataFrame, keys: list[str], name: Column | str, text: Column | str,
-                  *, search_binary: bool = False, is_text: bool = True) -> DataFrame:
+                  *, search_binary: bool = False, is_text: bool = True,
+                  redistribute: int = 0) -> DataFrame:
     """Keys, name and searchable text of every row.
 
     ``is_text`` says that ``text`` is a string already; otherwise it is a
     binary payload, to be decoded.
     """
+    if redistribute:
+        df = df.select(*keys, _column(name).alias("name"), _column(text).alias("text")) \
+            .repartition(redistribute)
+        name, text = "name", "text"
     return search.prepare(df, keys, _column(name), _column(text),
                           search_binary=search_binary, is_text=is_text)
 
 
 def search_table(df: DataFrame, keys: list[str], name: Column | str, text: Column | str,
                  definitions, *, search_binary: bool = False, is_text: bool = True,
-                 dialect: str = "auto") -> DataFrame:
+                 dialect: str = "auto", redistribute: int = 0) -> DataFrame:
     """One row per (row of ``df``, definition) with a match in name or text:
-    ``keys``, ``name``, ``definition``, ``name_matches``, ``content_matches``."""
-    prepared = prepare_table(df, keys, name, text,
-                             search_binary=search_binary, is_text=is_text)
-    return search.search_pairs(prepared, keys, definitions, dialect)
-
-
-def scan_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the size of ``df``; for a scan, of its files."""
-    return df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    ``keys``, ``name``, ``definition``, ``name_matches``, ``content_matches``.
 
-
-def spread(df: DataFrame, partitions: int, below_bytes: int = 1 << 30) -> DataFrame:
-    """``df`` over ``partitions`` tasks if it is a small scan.
-
-    A small file has fewer row groups than there are cores, and a search is
-    bound by the processor.  A large table has enough splits as it is, and its
-    texts are not shuffled.
+    ``redistribute`` spreads the rows over that many tasks first, for tables of
+    fewer splits than there are cores; it shuffles the texts.
     """
-    return df.repartition(partitions) if scan_bytes(df) < below_bytes else df
+    prepared = prepare_table(df, keys, name, text, search_binary=search_binary,
+                             is_text=is_text, redistribute=redistribute)
+    return search.search_pairs(prepared, keys, definitions, dialect)

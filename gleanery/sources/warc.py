@@ -5,7 +5,9 @@
 
 A record is known by its archive, the offset of the gzip member it begins in
 (``record_offset``) and the place in the decompressed member
-(``record_position``).  An ``error`` without a position ends its archive.
+(``record_position``).  An ``error`` ends its archive; a ``note`` says what was
+odd about a record.  A payload too large for a row is NULL in it, with its
+``payload_size``; ``Payloads`` reads it by its place, piece by piece.
 
 Small archives share a partition and large ones can be cut into byte ranges
 (``split_bytes``), since web archives hold one gzip member per record and a
@@ -14,11 +16,11 @@ reader may start at any member.
 
 from __future__ import annotations
 
-import json
 import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
+from itertools import chain
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputP
 from gleanery.sources.files import list_archives, resolve
 
 RECORD_SCHEMA = ("archive string, record_offset bigint, record_position bigint, warc_type string,"
-                 " name string, payload binary, error string")
+                 " name string, payload binary, payload_size bigint, note string, error string")
 TRAILER_SCHEMA = ("split_start bigint, split_end bigint, first_start bigint,"
                   " next_start bigint, records_read bigint, stopped bigint")
 
@@ -38,16 +40,21 @@ MIN_SPLIT_BYTES = 4 << 20
 # An Arrow batch is handed to Spark at this many rows or payload bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
-# What is taken for a header line at most; more is no archive.
-MAX_LINE = 64 << 20
-# Larger payloads stay out of the rows: a row cannot exceed 2 GiB, and holds the
-# payload up to three times over while it is searched.
+# What is kept of a header line at most; the rest of it is passed over.
+MAX_LINE = 1 << 20
+# An HTTP header block ends within so many bytes, or there is none.
+MAX_HEAD = 16 << 20
+# Larger payloads stay out of the rows, which cannot exceed 2 GiB.
 MAX_PAYLOAD = 512 << 20
+# Payloads are read by place in pieces of this size at most.
+PIECE_BYTES = 64 << 20
+NO_HTTP_END = "HTTP header block without an end"
 
 _READ_AHEAD = 4 << 20
 _CHUNK = 64 << 10
 _MAGIC = b"\x1f\x8b\x08"
 _RECORD = b"WARC/"
+_HTTP = b"HTTP/"
 _HTTP_END = re.compile(rb"\r?\n\r?\n")
 
 
@@ -67,12 +74,30 @@ class Split(NamedTuple):
     first: int | None
 
 
+class _Ahead:
+    """Reads a file on from an offset, in blocks that grow; the file stays the
+    caller's, who may read elsewhere in between."""
+
+    def __init__(self, file, offset: int):
+        self._file, self._at, self._size = file, offset, _CHUNK
+        self._block, self._cursor = b"", 0
+
+    def read(self, n: int) -> bytes:
+        if self._cursor == len(self._block):
+            self._file.seek(self._at)
+            self._block, self._cursor = self._file.read(self._size), 0
+            self._at += len(self._block)
+            self._size = min(2 * self._size, _READ_AHEAD)
+        part = self._block[self._cursor:self._cursor + n]
+        self._cursor += len(part)
+        return part
+
+
 class Members:
     """Decompressed bytes of consecutive gzip members, with their offsets."""
 
     def __init__(self, file, offset: int):
-        file.seek(offset)
-        self._source = pa.BufferedInputStream(file, _READ_AHEAD)
+        self._source = _Ahead(file, offset)
         self._raw, self._raw_at = b"", offset
         self._inflater = None
         self._buffer, self._cursor = b"", 0
@@ -135,31 +160,36 @@ class Members:
         begin, offset = self._starts[0]
         return offset, position - begin
 
+    def consumed(self) -> int:
+        """Decompressed bytes taken so far."""
+        return self._total - (len(self._buffer) - self._cursor)
+
     def line(self) -> bytes:
-        searched = self._cursor
-        while (at := self._buffer.find(b"\n", searched)) < 0:
-            seen = len(self._buffer) - self._cursor
-            if seen > MAX_LINE:
-                raise ArchiveError("header line without an end")
-            if not self._fill():
-                at = len(self._buffer) - 1
+        """The next line with its end; of a very long one the first part."""
+        parts, room = [], MAX_LINE
+        while self._cursor < len(self._buffer) or self._fill():
+            at = self._buffer.find(b"\n", self._cursor)
+            end = at + 1 or len(self._buffer)
+            parts.append(self._buffer[self._cursor:min(end, self._cursor + room)])
+            room -= len(parts[-1])
+            self._cursor = end
+            if at >= 0:
                 break
-            searched = self._cursor + seen
-        line = self._buffer[self._cursor:at + 1]
-        self._cursor = at + 1
-        return line
+        return b"".join(parts)
 
-    def take(self, n: int, keep: bool) -> bytes:
-        parts = []
+    def pieces(self, n: int) -> Iterator[bytes]:
+        """The next ``n`` bytes, as they are decompressed."""
         while n:
             if self._cursor == len(self._buffer) and not self._fill():
                 raise ArchiveError("last record is cut off")
             piece = self._buffer[self._cursor:self._cursor + n]
             self._cursor += len(piece)
             n -= len(piece)
-            if keep:
-                parts.append(piece)
-        return b"".join(parts)
+            yield piece
+
+    def skip(self, n: int) -> None:
+        for _ in self.pieces(n):
+            pass
 
 
 def read_headers(members: Members) -> dict[str, str]:
@@ -183,14 +213,6 @@ def read_headers(members: Members) -> dict[str, str]:
             headers[last] = value.strip()
 
 
-def http_body(payload: bytes, headers: dict[str, str]) -> bytes:
-    """The payload without its HTTP header block."""
-    if not headers.get("content-type", "").lower().startswith("application/http"):
-        return payload
-    end = _HTTP_END.search(payload)
-    return payload[end.end():] if end else b""
-
-
 def payload_length(headers: dict[str, str]) -> int:
     try:
         length = int(headers["content-length"])
@@ -201,14 +223,85 @@ def payload_length(headers: dict[str, str]) -> int:
     return length
 
 
+def open_payload(members: Members, headers: dict[str, str], http_headers: bool = False):
+    """(size, note, pieces) of the payload that comes next, without its HTTP
+    header block if it begins with one.  A block without an end stays."""
+    length = payload_length(headers)
+    kind = headers.get("content-type", "").lower()
+    if http_headers or not kind.startswith("application/http"):
+        return length, None, members.pieces(length)
+    head = bytearray()
+    while True:
+        more = min(_CHUNK if head else len(_HTTP), length - len(head))
+        searched = max(len(head) - 3, 0)
+        head += b"".join(members.pieces(more))
+        rest = members.pieces(length - len(head))
+        if not head.startswith(_HTTP):
+            return length, None, chain([bytes(head)], rest)
+        if end := _HTTP_END.search(head, searched):
+            return length - end.end(), None, chain([bytes(head[end.end():])], rest)
+        if len(head) == length or len(head) >= MAX_HEAD:
+            return length, NO_HTTP_END, chain([bytes(head)], rest)
+
+
+class Payloads:
+    """Payloads by the place of their records.
+
+    Places of one gzip member that are asked for in order are reached by one
+    pass over the member.
+    """
+
+    def __init__(self):
+        self._archive = self._offset = self._file = self._members = None
+
+    def open(self, archive: str, offset: int, position: int) -> tuple[int, Iterator[bytes]]:
+        """Size and pieces of the payload."""
+        if archive != self._archive:
+            self.close()
+            filesystem, inner = resolve(archive)
+            self._file, self._archive = filesystem.open_input_file(inner), archive
+        if offset != self._offset or self._members.consumed() > position:
+            self._members, self._offset = Members(self._file, offset), offset
+        self._members.skip(position - self._members.consumed())
+        size, _, pieces = open_payload(self._members, read_headers(self._members))
+        return size, pieces
+
+    def close(self) -> None:
+        if self._file is not None:
+            self._file.close()
+        self._archive = self._offset = self._file = self._members = None
+
+
 def read_payload(archive: str, offset: int, position: int) -> bytes:
     """The payload, without HTTP headers, of one record of known place."""
-    filesystem, inner = resolve(archive)
-    with filesystem.open_input_file(inner) as file:
-        members = Members(file, offset)
-        members.take(position, keep=False)
-        headers = read_headers(members)
-        return http_body(members.take(payload_length(headers), keep=True), headers)
+    payloads = Payloads()
+    try:
+        return b"".join(payloads.open(archive, offset, position)[1])
+    finally:
+        payloads.close()
+
+
+def read_pieces(batches) -> Iterator[pa.RecordBatch]:
+    """Rows with a record's place, with ``piece`` (from 0) and ``payload`` added:
+    a row per piece of the payload, one for an empty one."""
+    payloads = Payloads()
+    for batch in batches:
+        places = (batch.column(c).to_pylist()
+                  for c in ("archive", "record_offset", "record_position"))
+        for i, place in enumerate(zip(*places)):
+            held, number = bytearray(), 0
+            for piece in chain(payloads.open(*place)[1], [None]):
+                if piece is None or len(held) + len(piece) > PIECE_BYTES:
+                    if held or (piece is None and not number):
+                        row = batch.slice(i, 1)
+                        yield pa.RecordBatch.from_arrays(
+                            [*row.columns, pa.array([number], pa.int32()),
+                             pa.array([bytes(held)], pa.binary())],
+                            [*row.schema.names, "piece", "payload"])
+                        number += 1
+                    held = bytearray()
+                held += piece or b""
+    payloads.close()
 
 
 def find_member(file, start: int, end: int) -> int | None:
@@ -242,7 +335,6 @@ class WarcReader(DataSourceReader):
         self.split_bytes = int(options.get("split_bytes", "0"))
         self.min_split_bytes = min(self.split_bytes, MIN_SPLIT_BYTES)
         self.parallelism = max(int(options.get("parallelism", "1")), 1)
-        self.ranges = json.loads(options.get("ranges", "[]"))
         self.payload = flag("payload", "true")
         self.max_payload = int(options.get("max_payload_bytes", MAX_PAYLOAD))
         self.http_headers = flag("http_headers", "false")
@@ -254,8 +346,6 @@ class WarcReader(DataSourceReader):
         return max(min(limit, -(-total // self.parallelism)), 1)
 
     def _splits(self) -> list[Split]:
-        if self.ranges:
-            return [Split(*r) for r in self.ranges]
         archives = list_archives(self.path)
         total = sum(size for _, size in archives)
         splits = []
@@ -284,9 +374,19 @@ class WarcReader(DataSourceReader):
         return [InputPartition(group) for group in packed]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        yield from self.read_splits(Split(*split) for split in partition.value)
+
+    def read_ranges(self, batches) -> Iterator[pa.RecordBatch]:
+        """The same from a table (archive, split_start, split_end, first)."""
+        names = ("archive", "split_start", "split_end", "first")
+        yield from self.read_splits(
+            Split(*row) for batch in batches
+            for row in zip(*(batch.column(c).to_pylist() for c in names)))
+
+    def read_splits(self, splits: Iterator[Split]) -> Iterator[pa.RecordBatch]:
         batch, filled = [], 0
-        for split in partition.value:
-            for row in self._read_split(Split(*split)):
+        for split in splits:
+            for row in self._read_split(split):
                 batch.append(row)
                 filled += len(row[5] or b"")
                 if len(batch) >= BATCH_ROWS or filled >= BATCH_BYTES:
@@ -299,7 +399,7 @@ class WarcReader(DataSourceReader):
         text, number = pa.string(), pa.int64()
         fields = [("archive", text), ("record_offset", number), ("record_position", number),
                   ("warc_type", text), ("name", text), ("payload", pa.binary()),
-                  ("error", text)]
+                  ("payload_size", number), ("note", text), ("error", text)]
         if self.trailers:
             fields += [(c.split()[0], number) for c in TRAILER_SCHEMA.split(", ")]
         columns = zip(*rows)
@@ -318,10 +418,10 @@ class WarcReader(DataSourceReader):
             state.update(next=None, stopped=1)
             if self.errors:
                 offset = at[0] if at else split.start
-                yield (split.archive, offset, None, None, None, None,
+                yield (split.archive, offset, None, None, None, None, None, None,
                        f"{type(e).__name__}: {e}", *here)
         if self.trailers:
-            yield (split.archive, None, None, None, None, None, None, split.start, split.end,
+            yield (split.archive, *[None] * 8, split.start, split.end,
                    state["first"], state["next"], state["read"], state["stopped"])
 
     def _records(self, split: Split, state: dict) -> Iterator[tuple]:
@@ -354,22 +454,21 @@ class WarcReader(DataSourceReader):
                     yield place, row
 
     def _record(self, members: Members) -> tuple | None:
-        """(warc_type, name, payload, error) of the next record, if wanted."""
+        """(warc_type, name, payload, size, note, error) of the next record, if
+        wanted."""
         headers = read_headers(members)
         kind = headers.get("warc-type", "").lower()
-        length = payload_length(headers)
         name = headers.get("warc-target-uri")
-        if self.types is not None and kind not in self.types:
-            members.take(length, keep=False)
-            return None
-        if not self.payload:
-            members.take(length, keep=False)
-            return kind, name, None, None
-        if length > self.max_payload:
-            members.take(length, keep=False)
-            return kind, name, None, f"payload of {length} bytes is left out"
-        payload = members.take(length, keep=True)
-        return kind, name, payload if self.http_headers else http_body(payload, headers), None
+        if self.types is not None and kind not in self.types or not self.payload:
+            members.skip(payload_length(headers))
+            wanted = self.types is None or kind in self.types
+            return (kind, name, None, None, None, None) if wanted else None
+        size, note, pieces = open_payload(members, headers, self.http_headers)
+        if size > self.max_payload:
+            for _ in pieces:
+                pass
+            return kind, name, None, size, note, None
+        return kind, name, b"".join(pieces), size, note, None
 
 
 class PushdownWarcReader(WarcReader):
@@ -393,19 +492,17 @@ class WarcDataSource(DataSource):
     ``split_bytes`` (0): cut archives into ranges of this size; 0 keeps each
     archive whole.  A range begins at the first member found in it, which is
     wrong only if an archive stores another one uncompressed; ``trailers``
-    gives what is needed to notice, and ``search`` does.
+    gives what is needed to notice, and ``read_records`` does.
     ``parallelism`` (1): the number of partitions to aim for if the archives
     are small.
     ``payload`` (true): false leaves the payload out if only names matter.
-    ``max_payload_bytes`` (512 MiB): a larger payload is left out, and the row
-    of its record says so in ``error``.
+    ``max_payload_bytes`` (512 MiB): a larger payload is NULL in the row of its
+    record, to be read by its place (``read_pieces``).
     ``http_headers`` (false): true keeps the HTTP header block in the payload.
     ``trailers`` (false): adds one row per range with the number of records
     read, the member offsets it began and ended at, and whether it broke off.
     ``filter_pushdown`` (false): true makes the reader apply filters on
     ``warc_type``; needs ``spark.sql.python.filterPushdown.enabled``.
-    ``ranges``: JSON list of [archive, start, end, first member] to read
-    instead of the whole path.
     """
 
     @classmethod
