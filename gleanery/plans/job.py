@@ -222,12 +222,15 @@ def _splits(staged: DataFrame) -> DataFrame:
         *SPLIT, "split_end", "first_start", "next_start", "stopped", "records_read", "pass")
     current = trailers.withColumn("newest", F.row_number().over(latest)).where("newest = 1")
     placed = current.select(
-        *SPLIT, "split_end", "first_start", "records_read", "pass",
-        F.coalesce(F.max("next_start").over(before), F.lit(0)).alias("expected"),
-        F.coalesce(F.max("stopped").over(before), F.lit(0)).alias("after_stop"))
+        *SPLIT, "split_end", "first_start", "records_read", "pass", "stopped",
+        F.coalesce(F.max("next_start").over(before), F.lit(0)).alias("expected"))
     begins = F.when(F.col("expected") < F.col("split_end"), F.col("expected"))
-    return placed.withColumn("wrong", (F.col("split_start") > 0) & (F.col("after_stop") == 0)
-                             & ~F.col("first_start").eqNullSafe(begins))
+    # A reading from a wrong place may well break off; the archive does not.
+    judged = placed.withColumn("misled", (F.col("split_start") > 0)
+                               & ~F.col("first_start").eqNullSafe(begins))
+    stop = F.when(~F.col("misled"), F.col("stopped"))
+    return judged.withColumn("after_stop", F.coalesce(F.max(stop).over(before), F.lit(0))) \
+        .withColumn("wrong", F.col("misled") & (F.col("after_stop") == 0))
 
 
 def _valid(staged: DataFrame, splits: DataFrame, repaired: bool) -> DataFrame:

@@ -11,7 +11,7 @@ from gleanery.plans.table import search_table
 from gleanery.sinks import report
 from gleanery.sources.definitions import load_definitions, require_valid
 
-MATCHES = ["foo", "bar", "foo", "baz", "bar"]
+MATCHES = ["4711", "0815", "4711", "4711", "2001", "0815"]
 
 
 def pairs_of(spark, name_matches, content_matches):
@@ -25,9 +25,9 @@ def test_counts_and_numbering(spark):
     pairs = pairs_of(spark, [], MATCHES)
     row = matches.match_counts(pairs).collect()
     assert [(r.scope, r.total, r.unique, r.duplicates) for r in row] == [
-        ("file contents", 5, ["foo", "bar", "baz"], 2)]
+        ("file contents", 6, ["4711", "0815", "2001"], 3)]
     items = matches.match_items(pairs).orderBy("item").collect()
-    assert [(r.item, r.match) for r in items] == [(1, "foo"), (2, "bar"), (3, "baz")]
+    assert [(r.item, r.match) for r in items] == [(1, "4711"), (2, "0815"), (3, "2001")]
     case = matches.match_counts(pairs_of(spark, ["Foo", "foo"], [])).first()
     assert (case.scope, case.total, case.duplicates) == ("file name", 2, 0)
     assert matches.match_counts(pairs_of(spark, [], [])).count() == 0
@@ -41,9 +41,9 @@ def test_record_block(spark):
         "[Archive: x.gz]\n[File: n]\n\n"
         "[Matches found in file name: 1 (0 duplicates omitted)]\n"
         '[Match #1 in file name]\n\n"a"\n\n'
-        "[Matches found in file contents: 5 (2 duplicates omitted)]\n"
-        '[Match #1 in file contents]\n\n"foo"\n\n[Match #2 in file contents]\n\n"bar"\n\n'
-        '[Match #3 in file contents]\n\n"baz"\n\n' + "_" * 67 + "\n\n")
+        "[Matches found in file contents: 6 (3 duplicates omitted)]\n"
+        '[Match #1 in file contents]\n\n"4711"\n\n[Match #2 in file contents]\n\n"0815"\n\n'
+        '[Match #3 in file contents]\n\n"2001"\n\n' + "_" * 67 + "\n\n")
 
 
 @pytest.mark.parametrize("dialect", ["native", "python", "auto"])
@@ -103,12 +103,34 @@ def test_first_per_entry_with_a_hot_entry(spark):
 
 
 def test_merge_exports(spark):
-    def part(**entries):
-        return spark.createDataFrame([("d", k, v) for k, v in entries.items()],
-                                     "definition string, entry_name string, payload string")
-
-    merged = export.merge_exports([part(a="1", b="2"), part(b="3", c="4"), part(a="5")])
-    assert {r.entry_name: r.payload for r in merged.collect()} == {"a": "1", "b": "2", "c": "4"}
+    def part(*entries):
+        return spark.createDataFrame([("d", *e) for e in entries], (
+            "definition string, entry_name string, payload string, place int"))
+
+    def merged(parts, order=()):
+        rows = export.merge_exports(parts, order).collect()
+        return sorted((r.entry_name, r.payload) for r in rows)
+
+    assert merged([part(("p", "1", 0), ("q", "2", 0)), part(("q", "3", 0), ("r", "4", 0)),
+                   part(("p", "5", 0))]) == [("p", "1"), ("q", "2"), ("r", "4")]
+    # An entry that a part holds more than once, with and without an order.
+    twice = [part(("p", "late", 9), ("p", "early", 2), ("q", "x", 1)), part(("p", "other", 0))]
+    assert merged(twice, ["place"]) == [("p", "early"), ("q", "x")]
+    rows = merged(twice)
+    assert len(rows) == 2 and rows == merged(twice) and rows[0][1] in ("late", "early")
+    assert merged([part(("p", "same", 1), ("p", "same", 1))]) == [("p", "same")]
+    # Nulls in the order lose no entry.
+    assert merged([part(("p", "none", None)), part(("p", "x", 1))], ["place"]) == [("p", "none")]
+    assert merged([part(("p", "one", 1), ("p", "none", None))], ["place"]) == [("p", "none")]
+    assert export.merge_exports([]).collect() == []
+
+
+def test_a_merge_reads_parts_once_and_moves_rows_once(spark, tmp_path):
+    spark.createDataFrame([("d", "p", "1")], "definition string, entry_name string, payload string") \
+        .write.parquet(str(tmp_path / "a"))
+    part = spark.read.parquet(str(tmp_path / "a"))
+    plan = export.merge_exports([part, part])._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 2 and plan.count("Exchange") == 1 and "partial_min" in plan
 
 
 def test_nameless_records_are_no_entries(spark):
@@ -131,15 +153,15 @@ def test_summary(spark):
 
 
 def test_definitions(tmp_path):
-    for name, data in {"a.txt": b" fo+\r\nbar \n", "b.txt": b"[unclosed", "c.md": b"x",
-                       "d.txt": b"", "_e.txt": b"x", ".f.txt": b"x", "g.txt": b"\xff\xfe",
-                       "h.i.txt": b"\\w+@\\w+"}.items():
+    for name, data in {"lines.txt": b"\t(?:mon|tues)day\r\nnoon  \n", "open.txt": b"(?P<year>",
+                       "note.md": b"x", "blank.txt": b"\n", "_under.txt": b"x", ".hidden.txt": b"x",
+                       "latin.txt": b"\xe9t\xe9", "v1.2.txt": b"\\bv\\d"}.items():
         (tmp_path / name).write_bytes(data)
     (tmp_path / "dir.txt").mkdir()
     loaded = load_definitions(str(tmp_path))
     assert {d: p for d, p, _ in loaded.valid} == {
-        "a": "fo+\nbar", "d": "", "_e": "x", "h.i": r"\w+@\w+"}
-    assert {d for d, _, _ in loaded.rejected} == {"b", "g"}
+        "lines": "(?:mon|tues)day\nnoon", "blank": "", "_under": "x", "v1.2": r"\bv\d"}
+    assert {d for d, _, _ in loaded.rejected} == {"open", "latin"}
     require_valid(loaded)
     with pytest.raises(ValueError, match="no .txt files"):
         require_valid(load_definitions(str(tmp_path / "missing")))

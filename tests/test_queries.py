@@ -1,5 +1,11 @@
 """Every registered query against its SQL, and the plans they run on."""
 
+import os
+import shutil
+import subprocess
+import sys
+import tempfile
+
 import pytest
 
 import __spark_entry__ as entry
@@ -12,11 +18,39 @@ def oracle():
     return compare.oracle(SF)
 
 
-def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+EXTRA = set(entry.llm_queries.queries()) if entry.llm_queries else set()
+OWN = sorted(set(entry.queries()) - EXTRA)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+def test_every_query_has_sql():
+    assert set(OWN) == set(entry.oracle_sql()) - EXTRA
+
+
+def test_without_the_subpackage(tmp_path):
+    """The other queries are there when it, and the pipeline on it, are not."""
+    here = os.path.dirname(os.path.abspath(entry.__file__))
+    for name in os.listdir(here):
+        if name not in ("corpus_pipeline.py", "gleanery", ".git"):
+            os.symlink(f"{here}/{name}", tmp_path / name)
+    shutil.copytree(f"{here}/gleanery", tmp_path / "gleanery",
+                    ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{here}/__spark_entry__.py", tmp_path / "entry_copy.py")
+    found = subprocess.run(
+        [sys.executable, "-B", "-c", "import entry_copy as e; print(*sorted(e.queries()))"],
+        cwd=tmp_path, env={**os.environ, "PYTHONPATH": str(tmp_path)}, capture_output=True,
+        text=True, timeout=120)
+    assert found.stdout.split() == OWN, found.stderr
+
+
+def test_queries_leave_nothing_in_the_temp_folder(spark):
+    before = set(os.listdir(tempfile.gettempdir()))
+    entry.queries()["archive_search"](spark, SF).count()
+    entry.queries()["export_merge"](spark, SF).count()
+    new = set(os.listdir(tempfile.gettempdir())) - before
+    assert not [name for name in new if "glean" in name]
+
+
+@pytest.mark.parametrize("name", OWN)
 def test_query_equals_sql(spark, oracle, name):
     columns, mine, theirs, _ = compare.compare(
         spark, SF, name, entry.queries()[name], entry.oracle_sql()[name], oracle)

@@ -9,6 +9,7 @@ import pytest
 
 from conftest import warc_record, write_archive
 from gleanery.plans.job import read_records
+from gleanery.sources import warc
 from gleanery.sources.files import list_archives, spark_path
 from gleanery.sources.warc import WarcReader, read_payload
 
@@ -52,13 +53,69 @@ def test_response_records_and_bodies(spark, tmp_path):
         warc_record("response", "dns:x", b"raw\r\n\r\nkept", "text/dns", http=None),
         warc_record("response", None, b"nameless"),
         warc_record("response", "http://x/2", b"", http=b"HTTP/1.1 204 No Content\r\n"),
+        warc_record("response", "http://x/2p", b"<p>one</p>\n\n<p>two</p>", http=None,
+                    content_type="application/http"),
         warc_record("response", "http://x/3", b"lf", http=b"HTTP/1.1 200 OK\nA: b\n\n"),
         b"WARC/1.0\nwarc-type: Response\nWARC-Target-URI: http://x/\n  folded\n"
         b"junk line\nContent-Length: 3\n\nabc\n\n"])
     assert [r[3:] for r in rows(spark, tmp_path)] == [
         ("http://x/1", b"one\r\n\r\ntwo"), ("dns:x", b"raw\r\n\r\nkept"), (None, b"nameless"),
-        ("http://x/2", b""), ("http://x/3", b"lf"), ("http://x/ folded", b"abc")]
+        ("http://x/2", b"HTTP/1.1 204 No Content\r\n"),
+        ("http://x/2p", b"<p>one</p>\n\n<p>two</p>"), ("http://x/3", b"lf"), ("http://x/ folded", b"abc")]
     assert errors(spark, tmp_path) == {}
+    notes = read_records(spark, str(tmp_path)).where("note is not null").collect()
+    assert [(r.name, r.note) for r in notes] == [
+        ("http://x/2", "HTTP header block without an end")]
+
+
+def test_long_header_lines(spark, tmp_path):
+    """Longer than what is kept of a line, longer than any buffer."""
+    long = b"X-Long: " + b"z" * (3 << 20)
+    write_archive(tmp_path / "a.gz", [
+        warc_record("response", "http://x/1", b"one").replace(b"WARC-Type", long + b"\r\nWARC-Type"),
+        warc_record("response", "http://x/2", b"two")])
+    assert [r[3:] for r in rows(spark, tmp_path)] == [("http://x/1", b"one"), ("http://x/2", b"two")]
+    assert errors(spark, tmp_path) == {}
+
+
+def test_pieces_of_payloads(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(warc, "PIECE_BYTES", 100_000)
+    bodies = [b"", b"abc", os.urandom(350_000), b"x" * 100_000]
+    for name, single in (("a.gz", False), ("b.gz", True)):
+        write_archive(tmp_path / name, [
+            warc_record("response", f"http://x/{i}", b) for i, b in enumerate(bodies)],
+            single_member=single)
+    places = read_records(spark, str(tmp_path), max_payload_bytes=10).select(
+        "archive", "record_offset", "record_position", "name").coalesce(1) \
+        .sortWithinPartitions("archive", "record_offset", "record_position")
+    pieces = places.mapInArrow(warc.read_pieces, (
+        "archive string, record_offset bigint, record_position bigint, name string, piece int,"
+        " payload binary")).orderBy("archive", "name", "piece").collect()
+    for archive in {r.archive for r in pieces}:
+        for i, body in enumerate(bodies):
+            own = [r for r in pieces if r.archive == archive and r.name == f"http://x/{i}"]
+            assert b"".join(bytes(r.payload) for r in own) == body
+            assert [r.piece for r in own] == list(range(len(own)))
+            assert all(len(r.payload) <= 100_000 for r in own) and own
+
+
+def test_places_in_one_member_are_one_pass(tmp_path, monkeypatch):
+    path = str(tmp_path / "a.gz")
+    write_archive(path, [warc_record("response", f"http://x/{i}", b"%d" % i) for i in range(50)],
+                  single_member=True)
+    reader = WarcReader({"path": path})
+    found = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    opened, members = [], warc.Members
+    monkeypatch.setattr(warc, "Members", lambda *a: opened.append(a) or members(*a))
+    payloads = warc.Payloads()
+    for r in found:
+        size, pieces = payloads.open(path, r["record_offset"], r["record_position"])
+        assert (size, b"".join(pieces)) == (len(r["payload"]), r["payload"])
+    assert len(opened) == 1
+    # Backwards, and without reading what was opened.
+    payloads.open(path, found[9]["record_offset"], found[9]["record_position"])
+    assert b"".join(payloads.open(path, found[3]["record_offset"],
+                                  found[3]["record_position"])[1]) == b"3"
 
 
 def test_bad_archives_stop_alone(spark, tmp_path):
@@ -110,8 +167,10 @@ def test_split_reading_covers_every_record_once(tmp_path, layout):
     assert split == whole
     for r in whole[::9]:
         assert read_payload(path, r["record_offset"], r["record_position"]) == r["payload"]
-    large = [r for r in read(max_payload_bytes="1000") if r["error"]]
-    assert 0 < len(large) < 80 and all(r["payload"] is None for r in large)
+    small = read(max_payload_bytes="1000")
+    assert [r["payload_size"] for r in small] == [len(r["payload"]) for r in whole]
+    assert all(r["error"] is None and (r["payload"] is None) == (r["payload_size"] > 1000)
+               for r in small)
 
 
 def test_partitions_are_small(tmp_path):
