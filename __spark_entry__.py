@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from archive_fixture import (  # noqa: E402
     make_dir, unzip, work_dir, write_archives, write_definitions)
-from gleanery.functions import regex, text  # noqa: E402
+from gleanery.functions import text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
 from gleanery.plans.table import prepare_table, search_table  # noqa: E402
