@@ -118,13 +118,16 @@ def _secrets_sql() -> str:
     level = "CASE " + " ".join(f"WHEN regexp_matches(match, {_quoted(p)}) THEN {bits}"
                                for p, bits in secrets.CLASSES[:-1]) \
         + f" ELSE {secrets.CLASSES[-1][1]} END"
+    long_enough = (f"length(regexp_extract(m[i], {_quoted(secrets.ASSIGN)}, 1))"
+                   f" >= {secrets.ASSIGN_LENGTH}")
+    letter_and_digit = "regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')"
     names = "['" + "','".join(secrets.KINDS) + "']"
     joined = (f"coalesce(string_agg({names}[kind] || ':' || s || ':' || e, ',' ORDER BY s, kind, e)"
               "{}, '')")
     return (
-        f"WITH {found('a', secrets.ASSIGN, 1, '''length(regexp_extract(m[i], %s, 1)) >= %d''' % (_quoted(secrets.ASSIGN), secrets.ASSIGN_LENGTH))},"
+        f"WITH {found('a', secrets.ASSIGN, 1, long_enough)},"
         f" {found('b', secrets.ACCESS, 2, 'true')}, {found('c', secrets.HEX, 3, 'true')},"
-        f" {found('r', run, 4, '''regexp_matches(m[i], '[0-9]') AND regexp_matches(m[i], '[A-Za-z]')''')},"
+        f" {found('r', run, 4, letter_and_digit)},"
         " base AS (SELECT doc_id, kind, s, s + length(match) AS e FROM (SELECT * FROM a"
         " UNION ALL SELECT * FROM b UNION ALL SELECT * FROM c)),"
         " extra AS (SELECT doc_id, kind, s, s + length(match) AS e FROM r WHERE"
