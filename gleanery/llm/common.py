@@ -74,13 +74,8 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
     """
     current = scratch.save(edges.where("a <> b").select(
         F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}0")
-    print_of = None
     step = 0
-    while True:
-        now = current.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first()
-        if tuple(now) == print_of or now[0] == 0:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        print_of = tuple(now)
+    while not _stars(current):
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("low"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"),
@@ -94,3 +89,11 @@ def components(scratch: Scratch, edges: DataFrame, name: str = "components") ->
         step += 1
         current = scratch.save(small.distinct(), f"{name}{step}")
         scratch.drop(f"{name}{step - 1}", f"{name}{step - 1}l")
+    return current.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def _stars(edges: DataFrame) -> bool:
+    """Whether every node hangs on one other, which itself hangs on none."""
+    several = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    roots = edges.select(F.col("b").alias("a"))
+    return several.isEmpty() and edges.join(roots, "a", "left_semi").isEmpty()

@@ -3,20 +3,24 @@
 A text is its set of word shingles.  Independent trees branch the texts: at a
 node, which knows one or two coordinates of a minhash signature, a text goes to
 the child its minwise token there selects, so alike texts tend to stay
-together and others part.  Nodes of few texts are compared exhaustively, larger
-ones branch on.  At a large node all texts are first compared with one of them;
-a node whose texts are connected by then is done with, which is what becomes of
-large groups of copies.  What is still large at the greatest depth is compared
-in blocks, so nothing is dropped.
+together and others part.  Nodes of few texts are compared exhaustively.  Larger
+ones are first compared in parts; one whose texts are all connected by then is
+done with, which is what becomes of large groups of copies.  The others are
+compared in pairs of blocks, very large ones branch on first.  So nothing is
+dropped.
+
+To compare texts, short sketches find clusters of those that may be similar;
+equal clusters of different trees are one.  The whole texts of a cluster then
+meet in one group of bounded size, which finds all links at once and puts out
+no more than connects them, never pairs.
 
 Texts with equal sets are one class from the start.  A link counts only when the
-full sets of shingles, worked out from the whole texts, confirm it.
+full sets of shingles confirm it.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections import OrderedDict
 
 import numpy as np
 import pyarrow as pa
@@ -32,8 +36,11 @@ TREES, MAX_DEPTH = 16, 12
 # A second coordinate is taken at so many nodes of 256: 1 / 0.8 branches a node
 # on average, which keeps texts of just that similarity together.
 SECOND = 64
-# Texts of a node that is compared at once, and of a block.
-LEAF = 32
+# Texts that are compared at once (half of what a pair of blocks has), and texts
+# of a node from which it branches on.
+LEAF, LARGE = 256, 8192
+# Shingles of a block: what bounds it if texts are long.
+LEAF_SHINGLES = 2_000_000
 # Unlike texts share a minwise token about this often at most; nodes cannot be
 # small before that has been halved often enough, so these levels are one step.
 CHANCE = 0.04
@@ -99,7 +106,7 @@ def branch(nodes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _roots(depth: int):
-    """Nodes at ``depth`` of all trees, from (class, sign)."""
+    """Nodes at ``depth`` of all trees, from (class, n_shingles, sign)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -110,83 +117,99 @@ def _roots(depth: int):
             for _ in range(depth):
                 index, nodes = branch(nodes, signs[owner])
                 owner = owner[index]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("class").take(pa.array(owner)), pa.array(nodes.view(np.int64))],
-                ["class", "node"])
+            yield _with_nodes(batch, owner, nodes)
 
     return run
 
 
+def _with_nodes(batch, owner: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
+    owner = pa.array(owner)
+    return pa.RecordBatch.from_arrays(
+        [batch.column("class").take(owner), batch.column("n_shingles").take(owner),
+         pa.array(nodes.view(np.int64))], ["class", "n_shingles", "node"])
+
+
 def _children(batches):
-    """Nodes one level deeper, from (class, node, sign)."""
+    """Nodes one level deeper, from (class, n_shingles, node, sign)."""
     for batch in batches:
         if not batch.num_rows:
             continue
         nodes = np.asarray(batch.column("node")).view(np.uint64)
         index, child = branch(nodes, _signs(batch.column("sign")))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("class").take(pa.array(index)), pa.array(child.view(np.int64))],
-            ["class", "node"])
+        yield _with_nodes(batch, index, child)
 
 
-def _alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).sum(axis=-1) >= LEAST_AGREEING
+def _alike(signs: np.ndarray) -> np.ndarray:
+    """Which pairs of rows, the first before the second, agree enough."""
+    return np.triu((signs[:, None] == signs[None]).sum(2, np.uint8) >= LEAST_AGREEING, 1)
 
 
-def _likely(batches):
-    """Of (a, b, brief_a, brief_b), the pairs whose signatures agree enough."""
-    for batch in batches:
-        if batch.num_rows:
-            keep = _alike(_signs(batch.column("brief_a"), np.uint8),
-                          _signs(batch.column("brief_b"), np.uint8))
-            yield batch.select(["a", "b"]).filter(pa.array(keep))
+def _roots_of(near: np.ndarray) -> np.ndarray:
+    """The least row that each row is connected with."""
+    root = np.arange(len(near))
+    a, b = np.nonzero(near)
+    while True:
+        low = root.copy()
+        np.minimum.at(low, a, root[b])
+        np.minimum.at(low, b, root[a])
+        low = low[low]
+        if (low == root).all():
+            return root
+        root = low
 
 
-def _leaf_pairs(batches):
-    """Likely pairs of different components, within each row's lists."""
+def _clusters(batches):
+    """Of each row's list, the clusters of classes that may be similar and are
+    not all connected yet."""
     for batch in batches:
-        left, right = [], []
-        for group in batch.column("members"):
-            members = group.as_py()
-            signs = np.frombuffer(b"".join(m["brief"] for m in members), np.uint8) \
-                .reshape(len(members), -1)
-            comp = np.array([m["comp"] for m in members])
-            ids = np.array([m["class"] for m in members])
-            a, b = np.nonzero(np.triu(comp[:, None] != comp, 1))
-            good = _alike(signs[a], signs[b])
-            left.append(np.minimum(ids[a[good]], ids[b[good]]))
-            right.append(np.maximum(ids[a[good]], ids[b[good]]))
-        if left:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(left), pa.int64()),
-                 pa.array(np.concatenate(right), pa.int64())], ["a", "b"])
+        column = batch.column("members")
+        offsets = np.asarray(column.offsets)
+        ids, comp, brief = column.flatten().flatten()
+        ids, comp = np.asarray(ids), np.asarray(comp)
+        signs = np.frombuffer(b"".join(brief.to_pylist()), np.uint8).reshape(len(ids), -1)
+        found = []
+        for low, high in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
+            near = _alike(signs[low:high]) & (comp[low:high, None] != comp[low:high])
+            if near.any():
+                own, root = ids[low:high], _roots_of(near)
+                found += [np.sort(own[root == r]) for r in np.flatnonzero(
+                    np.bincount(root, minlength=len(own)) > 1)]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(found, pa.list_(pa.int64()))], ["cluster"])
+
+
+def similar(sets: list[np.ndarray]) -> np.ndarray:
+    """Which pairs of sets of distinct hashes, the first before the second, are
+    similar, by counting what they share, some thousand hashes at a time."""
+    n, sizes = len(sets), np.array([len(s) for s in sets], np.int64)
+    owner = np.repeat(np.arange(n), sizes)
+    values, at, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    # What only one set has is shared by none.
+    kept = times[at] > 1
+    owner, at = owner[kept], (np.cumsum(times > 1) - 1)[at[kept]]
+    order = np.argsort(at, kind="stable")
+    owner, at = owner[order], at[order]
+    shared = np.zeros((n, n))
+    width = 4096
+    for low in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        a, b = np.searchsorted(at, [low, low + width])
+        has = np.zeros((n, width), np.float32)
+        has[owner[a:b], at[a:b] - low] = 1
+        shared += has @ has.T
+    return np.triu(100 * shared >= PERCENT * (sizes[:, None] + sizes - shared), 1)
 
 
 def _confirmed(k: int):
-    """Of (a, b, text_a, text_b), the pairs whose full sets are similar."""
-    def run(batches):
-        cache: OrderedDict[int, np.ndarray] = OrderedDict()
-
-        def grams(key, text):
-            if key not in cache:
-                hashes = [h for _, _, h, _ in word_hashes(pa.array([text.as_py()], pa.string()))]
-                cache[key] = np.unique(shingles(np.concatenate(hashes), k))
-                if len(cache) > 64:
-                    cache.popitem(last=False)
-            return cache[key]
-
-        for batch in batches:
-            keep = []
-            for a, b, x, y in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(),
-                                  batch.column("text_a"), batch.column("text_b")):
-                one, two = grams(a, x), grams(b, y)
-                low, high = sorted((len(one), len(two)))
-                if 100 * low < PERCENT * high:
-                    keep.append(False)
-                    continue
-                shared = len(one) + len(two) - len(np.unique(np.concatenate([one, two])))
-                keep.append(100 * shared >= PERCENT * (len(one) + len(two) - shared))
-            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+    """The links of a cluster of (class, text), as (class, root) edges."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        ids = table.column("class").to_numpy()
+        sets = []
+        for _, _, hashes, bounds in word_hashes(table.column("text").combine_chunks()):
+            sets += [np.unique(shingles(hashes[a:b], k)) for a, b in zip(bounds[:-1], bounds[1:])]
+        root = _roots_of(similar(sets))
+        linked = root != np.arange(len(root))
+        return pa.table({"a": ids[linked], "b": ids[root[linked]]})
 
     return run
 
@@ -212,16 +235,22 @@ class Join:
             self.rows.where("mark is not null").groupBy("mark").agg(
                 F.min("row").alias("class"), F.min("text_mark").alias("text_mark"),
                 F.min("sign").alias("sign"), F.min("brief").alias("brief"),
+                F.min("n_shingles").alias("n_shingles"),
                 F.min("doc_id").alias("low")), "classes")
         self.links = []
         self.root = None
 
-    def _confirm(self, pairs: DataFrame, name: str) -> None:
-        """Keep the pairs (a, b) that are similar, and find the components anew."""
-        pairs = self.scratch.save(pairs.distinct(), f"{name}-pairs")
-        named = self.classes.select("class", "text_mark")
-        used = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct().join(
-            named, "class")
+    def _compare(self, rows: DataFrame, name: str) -> None:
+        """Find the links among the ``rows`` (class, comp) of each node, and the
+        components anew."""
+        members = self._with(rows, "brief").groupBy("node").agg(F.collect_list(
+            F.struct("class", "comp", "brief")).alias("members")).select("members")
+        # Clusters of one hash would be one group, with no harm.
+        clusters = members.mapInArrow(_clusters, "cluster array<bigint>").distinct().select(
+            F.xxhash64("cluster").alias("cluster"), F.explode("cluster").alias("class"))
+        clusters = self.scratch.save(clusters, f"{name}-clusters")
+        used = clusters.select("class").distinct().join(
+            self.classes.select("class", "text_mark"), "class")
         used = self.scratch.save(used, f"{name}-used")
         marks = used.select("text_mark")
         if used.count() <= MAX_BROADCAST:
@@ -230,14 +259,10 @@ class Join:
             F.first("text").alias("text"))
         texts = self.scratch.save(used.join(texts, "text_mark").select("class", "text"),
                                   f"{name}-texts")
-
-        def side(x):
-            return texts.select(F.col("class").alias(x), F.col("text").alias(f"text_{x}"))
-
-        found = pairs.join(side("a"), "a").join(side("b"), "b") \
-            .select("a", "b", "text_a", "text_b").mapInArrow(_confirmed(self.k), "a bigint, b bigint")
-        self.links.append(self.scratch.save(found, f"{name}-links"))
-        self.scratch.drop(f"{name}-texts", f"{name}-pairs", f"{name}-used")
+        found = clusters.join(texts, "class").groupBy("cluster").applyInArrow(
+            _confirmed(self.k), "a bigint, b bigint")
+        self.links.append(self.scratch.save(found.distinct(), f"{name}-links"))
+        self.scratch.drop(f"{name}-texts", f"{name}-clusters", f"{name}-used")
         links = self.links[0]
         for more in self.links[1:]:
             links = links.unionByName(more)
@@ -250,9 +275,8 @@ class Join:
         return rows.join(self.root, "class", "left").withColumn(
             "comp", F.coalesce("comp", "class"))
 
-    def _with(self, rows: DataFrame, column: str, key: str = "class", name: str = "") -> DataFrame:
-        return rows.join(self.classes.select(
-            F.col("class").alias(key), F.col(column).alias(name or column)), key)
+    def _with(self, rows: DataFrame, column: str) -> DataFrame:
+        return rows.join(self.classes.select("class", column), "class")
 
     def _open(self, rows: DataFrame) -> DataFrame:
         """The rows of nodes that texts of several components have."""
@@ -266,48 +290,47 @@ class Join:
         depth = 1
         while total * CHANCE ** depth > 1 and depth < MAX_DEPTH - 2:
             depth += 1
-        nodes = self.classes.select("class", "sign").mapInArrow(
-            _roots(depth), "class bigint, node bigint")
+        schema = "class bigint, n_shingles bigint, node bigint"
+        nodes = self.classes.select("class", "n_shingles", "sign").mapInArrow(
+            _roots(depth), schema)
         leaves = []
         while True:
             nodes = self.scratch.save(nodes, f"nodes{depth}")
-            sizes = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("n"),
-                                              F.min("class").alias("hub")).where("n > 1")
+            sizes = nodes.groupBy("node").agg(
+                F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")) \
+                .where("n > 1").select("node", "n", F.greatest(
+                    F.ceil(F.col("n") / LEAF), F.ceil(F.col("shingles") / LEAF_SHINGLES))
+                    .cast("int").alias("blocks"))
             live = self.scratch.save(nodes.join(sizes, "node"), f"live{depth}")
             self.scratch.drop(f"nodes{depth}")
-            leaves.append(live.where(F.col("n") <= LEAF).select("class", "node"))
-            big = live.where(F.col("n") > LEAF)
-            if big.isEmpty():
-                break
-            hubs = big.where("class <> hub").select(F.col("hub").alias("a"),
-                                                    F.col("class").alias("b")).distinct()
-            signed = self._with(self._with(hubs, "brief", "b", "brief_b"), "brief", "a", "brief_a")
-            self._confirm(signed.select("a", "b", "brief_a", "brief_b").mapInArrow(
-                _likely, "a bigint, b bigint"), f"hub{depth}")
-            big = self.scratch.save(self._open(self._with_comp(big.select("class", "node"))),
-                                    f"open{depth}")
-            if depth >= MAX_DEPTH:
-                leaves.append(self._blocks(big))
+            # The parts of a large node differ from tree to tree, so texts of
+            # different parts get connected by way of others.
+            part = F.pmod(F.xxhash64("node", "class"), "blocks")
+            parts = live.withColumn("node", F.xxhash64("node", part))
+            self._compare(self._with_comp(parts.select("class", "node")), f"part{depth}")
+            rest = self.scratch.save(self._open(self._with_comp(live.where("blocks > 1"))),
+                                     f"open{depth}")
+            self.scratch.drop(f"live{depth}")
+            leaves.append(self._blocks(rest if depth >= MAX_DEPTH
+                                       else rest.where(F.col("n") <= LARGE)))
+            large = rest.where(F.col("n") > LARGE)
+            if depth >= MAX_DEPTH or large.isEmpty():
                 break
             depth += 1
-            nodes = self._with(big, "sign").select("class", "node", "sign") \
-                .mapInArrow(_children, "class bigint, node bigint")
+            nodes = self._with(large, "sign").select("class", "n_shingles", "node", "sign") \
+                .mapInArrow(_children, schema)
         rows = leaves[0]
         for more in leaves[1:]:
             rows = rows.unionByName(more)
-        rows = self._with(self._open(self._with_comp(rows)), "brief")
-        groups = rows.groupBy("node").agg(F.collect_list(
-            F.struct("class", "comp", "brief")).alias("members")).select("members")
-        self._confirm(groups.mapInArrow(_leaf_pairs, "a bigint, b bigint"), "leaf")
+        if not rows.isEmpty():
+            self._compare(self._open(self._with_comp(rows)), "block")
         return self.root
 
-    def _blocks(self, big: DataFrame) -> DataFrame:
-        """Nodes that stay large, as pairs of blocks of up to LEAF texts each."""
-        count = big.groupBy("node").agg(
-            F.ceil(F.count(F.lit(1)) / LEAF).cast("int").alias("blocks"))
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Large nodes as pairs of blocks, a node of its own for each pair."""
         own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        return big.join(count, "node").withColumn("own", own).withColumn("other", other).select(
+        return rows.withColumn("own", own).withColumn("other", other).select(
             "class", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
             .alias("node"))
 

@@ -67,12 +67,13 @@ def family(rng, words, size, length, changes):
     return out
 
 
-@pytest.mark.parametrize("depth", [12, 3])
-def test_large_groups(documents, monkeypatch, depth):
+@pytest.mark.parametrize("depth,large", [(12, 8192), (5, 20)])
+def test_large_groups(documents, monkeypatch, depth, large):
     """Families whose members are partly similar to each other, larger than a
-    leaf; with a small depth they end in blocks."""
+    leaf: compared in blocks at once, or after branching on."""
     monkeypatch.setattr(near_dup, "MAX_DEPTH", depth)
     monkeypatch.setattr(near_dup, "LEAF", 8)
+    monkeypatch.setattr(near_dup, "LARGE", large)
     rng = random.Random(11)
     words = [f"w{i}" for i in range(500)]
     texts = family(rng, words, 120, 60, 2) + family(rng, words, 60, 60, 3) \
