@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import bound_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # The control strings, and how each is written out.
 CONTROL = ("<s>", "</s>", "[ROLE]", "[/ROLE]", "[INST]", "[/INST]")
@@ -124,6 +126,7 @@ def format_conversations(turns: DataFrame, vocabulary: str = VOCABULARY) -> Data
     are one conversation without an id, repeated rows are repeated turns.  One
     conversation is one row of the result, and so one group.
     """
+    bound_batches(turns.sparkSession)
     grouped = turns.select("conv_id", F.struct(
         "turn", F.coalesce("role", F.lit("")).alias("role"),
         F.coalesce("text", F.lit("")).alias("text")).alias("one")) \

@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 # Fixed value: what separates words, everywhere in this package.
 SPACES = r"\x20\x09-\x0D"
 WORD = f"[^{SPACES}]+"
+# Bytes of an Arrow batch that is handed to Python.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,6 +36,13 @@ def shared_dir(spark: SparkSession) -> str:
     return shared.rstrip("/")
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end by bytes as well as by rows, unless the session says
+    something of its own: ten thousand texts may be of any size."""
+    if spark.conf.get(BATCH_SETTING, None) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH_BYTES))
+
+
 class Scratch:
     """Tables of one run in the shared folder.
 
@@ -43,6 +52,7 @@ class Scratch:
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
+        bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         path = self._path(self.root)
         self._files(path).deleteOnExit(path)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import Scratch
-from gleanery.llm.words import mix, pieces, raw_texts
+from gleanery.llm.words import PIECE, mix, pieces, raw_texts
 
 NGRAM = 4
 # Fit: at most about so many documents of each language (drawn by hash of the
@@ -98,7 +98,7 @@ def ngrams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _cut(data: np.ndarray, offsets: np.ndarray):
     """Pieces of texts: (text index of each, bytes, bounds).  A long text is cut
     between code points, with the overlap its n-grams need."""
-    size = 1 << 20
+    size = PIECE
     for i, j in pieces(offsets, size):
         low, high = int(offsets[i]), int(offsets[j])
         if j > i + 1 or high - low <= size:
@@ -271,19 +271,19 @@ def in_known_language(documents: DataFrame, least_score: float = LEAST_SCORE) ->
     rows = documents.select("doc_id", "text", "lang", F.coalesce(
         held_out(), F.lit(False)).alias("held_out"))
     filters = fit(rows.where("not held_out"))
-    inner = documents.select("text", F.struct(*[F.col(f"`{c}`") for c in documents.columns])
-                             .alias("row"))
-    return predict_rows(inner, filters, least_score)
+    return confident(documents, filters, least_score)
 
 
-def predict_rows(inner: DataFrame, filters: Filters, least_score: float) -> DataFrame:
-    """The ``row`` of (text, row) rows whose score is high enough."""
-    shared = inner.sparkSession.sparkContext.broadcast(filters)
+def confident(documents: DataFrame, filters: Filters, least_score: float) -> DataFrame:
+    """The rows of ``documents`` whose score is high enough."""
+    shared = documents.sparkSession.sparkContext.broadcast(filters)
+    text = documents.columns.index("text")
+    inner = documents.toDF(*[f"c{i}" for i in range(len(documents.columns))])
 
     def run(batches):
         f = shared.value
         for batch in batches:
-            data, offsets = raw_texts(batch.column("text"))
+            data, offsets = raw_texts(batch.column(text))
             n = batch.num_rows
             passed, total = np.zeros((n, len(f.names)), np.int64), np.zeros(n, np.int64)
             letters = np.zeros(n, np.int64)
@@ -295,7 +295,6 @@ def predict_rows(inner: DataFrame, filters: Filters, least_score: float) -> Data
             keep = letters > 0
             if f.names and n:
                 keep &= f.decide(passed, total)[1] >= least_score
-            yield batch.select(["row"]).filter(pa.array(keep))
+            yield batch.filter(pa.array(keep))
 
-    schema = inner.select("row").schema
-    return inner.mapInArrow(run, schema).select("row.*")
+    return inner.mapInArrow(run, inner.schema).toDF(*documents.columns)

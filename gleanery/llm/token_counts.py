@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.llm.common import bound_batches
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # How byte-level BPE cuts a text before merging; the rule of the public vocabulary.
 SPLIT = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
@@ -98,6 +100,7 @@ def section_tokens(documents: DataFrame, fields=FIELDS, by_line=BY_LINE,
     """
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
+    bound_batches(documents.sparkSession)
     cut = [f in by_line for f in fields]
     names = ["section", "start_char", "end_char", "n_tokens", "n_crossing", "doc_tokens"]
 

@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 
 # Texts are worked on in pieces of about this many bytes.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.default_rng(20240601)
