@@ -3,8 +3,8 @@
 A seed is a mask over consecutive words; only the words under a 1 are hashed,
 so a substitution under a 0 leaves the hash as it is.  Hashes that texts and
 benchmark items share give alignments, and each alignment is compared word by
-word: the stretch around the hits in which at least ``IDENTITY`` of the words
-agree is an overlap if it is long enough.
+word: a stretch from one agreeing word to another in which at least ``IDENTITY``
+of the words agree is an overlap if it is long enough.
 """
 
 from __future__ import annotations
@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import Scratch
 from gleanery.llm.words import mix, word_hashes
 
-# Six words out of ten.
-MASKS = ("1101100101", "1110010011", "1011001101")
-SPAN = len(MASKS[0])
+# Six words each.  However the substitutions lie that ``IDENTITY`` allows, one of
+# the masks has a place between them in every stretch of LEAST_WORDS or more.
+MASKS = ("1101100101", "1110010011", "1011001101", "1100001000111", "11101000011")
 # An overlap has so many words, or all of an item that has fewer; shorter items
 # than LEAST_ITEM words are no evidence and are not looked for.
 LEAST_WORDS, LEAST_ITEM = 13, 5
@@ -30,14 +30,23 @@ MAP_BITS = 24
 MAX_BROADCAST = 200_000
 
 
-def masks_for(words: int) -> tuple[str, ...]:
-    """The masks an item of so many words is looked for with."""
-    if words >= SPAN:
-        return MASKS
-    return ("1" * words,) if words >= LEAST_ITEM else ()
+# The same for items that have to be there whole, by their words.
+SHORT = {
+    5: ("11011", "10111", "11101"),
+    6: ("110011", "101101"),
+    7: ("1011011", "1110101", "1101011"),
+    8: ("11010111", "11101011", "10111101"),
+    9: ("101100111", "110111001", "101001111"),
+    10: ("1011010011", "1101001101", "1100100111", "1010111001", "1001101011", "1110010101"),
+    11: ("10011110001", "10100001111", "11001001101", "11101000011", "11010110001"),
+    12: ("110011000011", "100100011101", "101001110001", "101100100101", "101010110001"),
+}
+ALL_MASKS = tuple(dict.fromkeys(MASKS + sum(SHORT.values(), ())))
 
 
-ALL_MASKS = MASKS + tuple("1" * n for n in range(LEAST_ITEM, SPAN))
+def masks_for(words: int) -> tuple[str, ...]:
+    """The masks an item of so many words is looked for with."""
+    return MASKS if words >= LEAST_WORDS else SHORT.get(words, ())
 
 
 def seed_hashes(hashes: np.ndarray, mask: str) -> np.ndarray:
@@ -71,8 +80,9 @@ def _item_seeds(batches):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(seeds.view(np.int64)),
                          pa.array([mark[k].as_py()] * len(seeds), pa.string()),
-                         pa.array(np.arange(len(seeds), dtype=np.int32))],
-                        ["seed", "item", "off"])
+                         pa.array(np.arange(len(seeds), dtype=np.int32)),
+                         pa.array(np.full(len(seeds), ALL_MASKS.index(mask), np.int32))],
+                        ["seed", "item", "off", "mask"])
 
 
 def _hits(shared, used):
@@ -122,6 +132,32 @@ def best_stretch(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, in
     return start, end, int(equal[start:end].sum())
 
 
+def longest_stretch(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, int, int]:
+    """(start, end, agreeing) of the longest stretch from one match to another
+    with ``identity`` of its words agreeing; of several the last."""
+    if not equal.any():
+        return 0, 0, 0
+    # What makes up for rounding is less than any real difference.
+    sums = np.concatenate([[0.0], np.cumsum(equal - identity)])
+    starts, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
+    # For every end the first start that lies no higher.
+    low = np.minimum.accumulate(sums[starts])
+    first = starts[np.minimum(np.searchsorted(-low, -(sums[ends] + 1e-6)), len(starts) - 1)]
+    best = len(ends) - 1 - int(np.argmax((ends - first)[::-1]))
+    start, end = int(first[best]), int(ends[best])
+    return start, end, int(equal[start:end].sum())
+
+
+def overlap(equal: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(start, end, agreeing) of an overlap of ``least`` words or more, if there
+    is one: the best stretch, or if that is too short the longest."""
+    for stretch in (best_stretch, longest_stretch):
+        start, end, same = stretch(equal)
+        if end - start >= least:
+            return start, end, same
+    return None
+
+
 def _words_of(text: str) -> np.ndarray:
     return np.concatenate([np.empty(0, np.uint64),
                            *(h for _, _, h, _ in word_hashes(pa.array([text], pa.string())))])
@@ -142,11 +178,11 @@ def _verify(batches):
             low, high = max(0, -diagonal), min(len(other), len(words) - diagonal)
             if high <= low:
                 continue
-            start, end, same = best_stretch(words[low + diagonal:high + diagonal]
-                                            == other[low:high])
-            length = end - start
-            if length >= min(LEAST_WORDS, len(other)) and same >= IDENTITY * length:
-                rows.append((mark, item, low + start + diagonal, low + start, length, same))
+            found = overlap(words[low + diagonal:high + diagonal] == other[low:high],
+                            min(LEAST_WORDS, len(other)))
+            if found:
+                start, end, same = found
+                rows.append((mark, item, low + start + diagonal, low + start, end - start, same))
         if rows:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -170,7 +206,7 @@ def overlaps_by_text(documents: DataFrame, benchmark: DataFrame, scratch: Scratc
     spark = documents.sparkSession
     items = benchmark.select(text_mark().alias("item"), F.col("text").alias("text")) \
         .where("text is not null").dropDuplicates(["item"])
-    seeds = scratch.save(items.mapInArrow(_item_seeds, "seed bigint, item string, off int"),
+    seeds = scratch.save(items.mapInArrow(_item_seeds, "seed bigint, item string, off int, mask int"),
                          "seeds")
     bits = seeds.select(F.explode(F.array(*_bits(F.col("seed")))).alias("bit"))
     # At most 2^18 rows, each 64 bits of the map.
@@ -180,9 +216,7 @@ def overlaps_by_text(documents: DataFrame, benchmark: DataFrame, scratch: Scratc
     for word, value in rows:
         words[word] = value
     shared = spark.sparkContext.broadcast(words.view(np.uint8))
-    sizes = {n for (n,) in seeds.groupBy("item").agg(F.max("off").alias("n")).groupBy("n").agg(
-        F.lit(1)).select("n").collect()} if rows else set()
-    used = ALL_MASKS if 0 in sizes else MASKS
+    used = [ALL_MASKS[n] for (n,) in seeds.select("mask").distinct().collect()] or MASKS
 
     texts = documents.where("text is not null").select(text_mark().alias("mark"), "text")
     hits = texts.mapInArrow(_hits(shared, used), "mark string, seed bigint, place int")

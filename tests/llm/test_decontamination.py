@@ -1,3 +1,4 @@
+import itertools
 import random
 
 import numpy as np
@@ -54,6 +55,50 @@ def test_substitutions_are_tolerated(spark, documents):
                and r["n_equal"] == 27 for r in rows)
 
 
+def test_masks_miss_no_substitutions_that_are_allowed():
+    """Every stretch that counts holds one of these lengths that counts."""
+    for n, ends in [(n, True) for n in range(5, 13)] + [(13, False), (15, False), (20, False)]:
+        places = [sum(1 << (s + i) for i, c in enumerate(mask) if c == "1")
+                  for mask in dec.masks_for(n) for s in range(n - len(mask) + 1)]
+        for gone in itertools.combinations(range(ends, n - ends), n // 5):
+            gone = sum(1 << i for i in gone)
+            assert any(not place & gone for place in places), (n, bin(gone))
+
+
+def test_longest_stretch():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        equal = rng.random(rng.integers(1, 45)) < rng.choice([0.5, 0.75, 0.85])
+        ok = [b - a for a in range(len(equal)) for b in range(a + 1, len(equal) + 1)
+              if equal[a] and equal[b - 1] and 5 * equal[a:b].sum() >= 4 * (b - a)]
+        start, end, same = dec.longest_stretch(equal)
+        assert end - start == max(ok, default=0) and same == equal[start:end].sum()
+
+
+def test_random_substitutions(spark, documents):
+    """80 to 95 % of the words of an item or passage agree, the outermost among them."""
+    words, rng = vocabulary(7), random.Random(11)
+    sizes = [(n, n // 5) for n in range(5, 13)] + [
+        (13, 1), (13, 2), (15, 2), (15, 3), (20, 1), (20, 4), (25, 5), (30, 6), (40, 2), (40, 8)]
+    items = [(i, rng.choices(words, k=n)) for i, (n, _) in enumerate(sizes)]
+    items.append((len(items), rng.choices(words, k=60)))
+    docs, planted = [], set()
+    for d in range(20 * len(sizes)):
+        n, gone = sizes[d % len(sizes)]
+        i, passage = items[d % len(sizes)] if n < 13 or d % 3 else items[-1]
+        at = rng.randrange(len(passage) - n + 1)
+        passage = passage[at:at + n]
+        for k in rng.sample(range(1, n - 1), gone):
+            passage[k] = "other"
+        docs.append((d, " ".join(rng.choices(words, k=9) + passage + rng.choices(words, k=9)),
+                     None, None))
+        planted.add((d, i))
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in items], "item_id bigint, text string")
+    rows = dec.contaminated(documents(docs), bench).collect()
+    assert {(r["doc_id"], r["item_id"]) for r in rows} == planted
+    assert all(5 * r["n_equal"] >= 4 * r["n_words"] for r in rows)
+
+
 def test_against_brute_force(spark, documents):
     """Short items, parts of items, and stretches about as long as counts."""
     words, rng = vocabulary(3, 300), random.Random(5)
