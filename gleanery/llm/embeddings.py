@@ -24,8 +24,13 @@ from gleanery.llm.common import Scratch, components
 SEED = 20240610
 COSINE = 0.93
 TABLES, PROBES = 3, 3
-# Rows of a block, and rows of a bucket from which one more axis is hashed.
+# Tables and probes by axes hashed: what further axes part, more of both bring
+# together again.
+SETTINGS = {1: (TABLES, PROBES), 2: (4, 9), 3: (5, 16)}
+# Rows of a block, and rows of a bucket from which its label has one more axis.
 BLOCK, BUCKET = 1024, 4096
+# Rows with a bucket each that a task hands on at once.
+HANDED = 90_000
 
 
 def hadamard(rows: np.ndarray) -> np.ndarray:
@@ -61,11 +66,12 @@ def nearest_axes(rotated: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarr
     return 2 * top + (value < 0), np.abs(value)
 
 
-def bucket_ids(vectors: np.ndarray, axes: int, tables: int = TABLES,
-               probes: int = PROBES) -> np.ndarray:
+def bucket_ids(vectors: np.ndarray, axes: int, tables: int | None = None,
+               probes: int | None = None) -> np.ndarray:
     """Rows by tables * probes: the buckets of every vector, the table in the
     high digits.  With several axes per table, probes are the combinations
     closest in sum of squares."""
+    tables, probes = tables or SETTINGS[axes][0], probes or SETTINGS[axes][1]
     found = []
     for table in range(tables):
         number = np.full((len(vectors), 1), table, np.int64)
@@ -90,10 +96,10 @@ def _matrix(column) -> np.ndarray:
 def _bucketed(axes: int):
     """A row per vector and bucket, with the unit vector's source and all its
     buckets."""
+    step = HANDED // (SETTINGS[axes][0] * SETTINGS[axes][1])
+
     def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in (b.slice(at, step) for b in batches for at in range(0, b.num_rows, step)):
             vectors = _matrix(batch.column("vector"))
             # Vectors of other lengths than the first are in batches of their own.
             unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
@@ -178,6 +184,16 @@ def usable() -> Column:
             & F.exists("embedding", lambda x: F.coalesce(x != 0, F.lit(False))))
 
 
+def axes_for(rows: str, dims: str) -> Column:
+    """Axes to hash a label of so many rows with."""
+    axes = F.lit(1)
+    for more in range(2, len(SETTINGS) + 1):
+        held = F.col(rows) * SETTINGS[more - 1][1] / F.pow(
+            2.0 * F.greatest(F.col(dims), F.lit(2)), F.lit(float(more - 1)))
+        axes = F.when((axes == more - 1) & (held > BUCKET), more).otherwise(axes)
+    return axes
+
+
 def near_embeddings(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     """A row per row of ``vectors`` (vec_id, embedding, label): vec_id, n_links,
     component_id, kept.
@@ -196,20 +212,17 @@ def near_embeddings(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     good = rows.where("usable").select(
         "row", F.struct(F.size("embedding").alias("size"), "label").alias("label"),
         F.col("embedding").cast("array<double>").alias("vector"))
-    # One axis separates 2 * dimensions ways; further ones are hashed as the
-    # largest label asks for it.
-    counts = good.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    found = counts.agg(F.max("n"), F.max("label.size")).first()
-    most, dims = (found[0] or 0), max(found[1] or 2, 2)
-    axes = 1
-    while axes < 3 and most * PROBES / (2 * dims) ** axes > BUCKET:
-        axes += 1
+    # One axis separates 2 * dimensions ways; labels too large for that have more.
+    deep = scratch.save(good.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(
+        "label", axes_for("n", "label.size").alias("axes")).where("axes > 1"), "deep")
+    good = good.join(deep, "label", "left").withColumn("axes", F.coalesce("axes", F.lit(1)))
+    kinds = [1, *sorted(r[0] for r in deep.select("axes").distinct().collect())]
     sizes = [r[0] for r in good.select("label.size").distinct().collect()]
     schema = ("row bigint, label bigint, vector array<double>, buckets array<bigint>,"
               " bucket bigint")
     keyed = good.withColumn("label", F.xxhash64("label"))
-    parts = [keyed.where(F.size("vector") == size).mapInArrow(_bucketed(axes), schema)
-             for size in sorted(sizes)]
+    parts = [keyed.where((F.size("vector") == size) & (F.col("axes") == axes))
+             .mapInArrow(_bucketed(axes), schema) for size in sorted(sizes) for axes in kinds]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
                            F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))

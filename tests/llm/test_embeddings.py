@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from gleanery.llm import embeddings as em
 
@@ -69,6 +70,37 @@ def test_recall_at_the_threshold():
     assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() > 0.9
 
 
+def pairs_at_the_threshold(rng, n, d, cosine=em.COSINE):
+    a = rng.normal(size=(n, d))
+    a /= np.linalg.norm(a, axis=1)[:, None]
+    n = rng.normal(size=a.shape)
+    n -= (n * a).sum(1)[:, None] * a
+    n /= np.linalg.norm(n, axis=1)[:, None]
+    return a, cosine * a + np.sqrt(1 - cosine ** 2) * n
+
+
+@pytest.mark.parametrize("axes", [1, 2, 3])
+@pytest.mark.parametrize("d", [64, 128])
+def test_recall_is_the_same_for_all_axes(axes, d):
+    a, b = pairs_at_the_threshold(np.random.default_rng(9), 4000, d)
+    x, y = em.bucket_ids(a, axes), em.bucket_ids(b, axes)
+    assert (x[:, :, None] == y[:, None, :]).any((1, 2)).mean() > 0.9995
+
+
+@pytest.mark.parametrize("bucket, axes", [(10, 2), (1, 3)])
+def test_a_large_label_changes_no_links(spark, monkeypatch, bucket, axes):
+    """Axes follow from the label alone, and pairs are found with any number."""
+    monkeypatch.setattr(em, "BUCKET", bucket)
+    rng, rows = np.random.default_rng(13), []
+    for label, n in ((1, 1000), (2, 20)):
+        for v in np.stack(pairs_at_the_threshold(rng, n, 64, 0.9301), 1).reshape(-1, 64):
+            rows.append((len(rows), v.tolist(), label))
+    sizes = spark.createDataFrame([(2000, 64), (40, 64)], "n bigint, d int")
+    assert [r[0] for r in sizes.select(em.axes_for("n", "d")).collect()] == [axes, 1]
+    out = {r[0]: r[1:] for r in found(spark, rows)}
+    assert all(out[i] == (1, i - i % 2) for i in range(len(rows)))
+
+
 def test_pairs_count_in_one_bucket_only():
     left, right = np.array([[5, 9, 2], [1, 2, 3]]), np.array([[9, 5, 7], [4, 5, 6]])
     assert em.first_common(left, right).tolist() == [5, np.iinfo(np.int64).max]
