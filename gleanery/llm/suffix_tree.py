@@ -23,9 +23,11 @@ from gleanery.llm.common import Scratch
 from gleanery.llm.words import SPACE, mix, pieces, raw_texts, word_hashes
 
 DEPTH = 5
-# A context must make up so much of the training symbols, and be seen so often:
-# at most 1 / LEAST_SHARE contexts of each length, so the tree can be broadcast.
+# A context must be seen so often.  Those that make up LEAST_SHARE of the training
+# symbols, at most 1 / LEAST_SHARE of each length, are broadcast, the others joined.
 LEAST_SHARE, LEAST_COUNT = 1e-5, 16
+# Bits of the map of the other contexts every task has: 2 MB, at any size.
+MAP_BITS = 24
 # Divergence from the shorter context: nats per symbol, and the log likelihood
 # ratio in standard deviations above what chance alone gives.
 LEAST_NATS, DEVIATIONS = 0.01, 5.0
@@ -206,8 +208,9 @@ class Tree:
         at = np.searchsorted(below[0], keys)
         return below[1][at]
 
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """Log probability of the symbols of packed keys."""
+    def log10(self, keys: np.ndarray, lengths: np.ndarray | None = None) -> np.ndarray:
+        """Log probability of the symbols of packed keys; ``lengths`` takes in how
+        long the longest state of each is."""
         n = len(keys)
         active = np.arange(n)
         where = []
@@ -215,6 +218,8 @@ class Tree:
             found = self.states[k - 1][0].find((keys[active] >> np.uint64(8)) & _mask(k))
             good = found >= 0
             active, found = active[good], found[good]
+            if lengths is not None:
+                lengths[active] = k
             where.append((active, found))
             if not len(active):
                 break
@@ -235,14 +240,14 @@ class Tree:
         return out
 
 
-def fit_tree(grams: DataFrame, scratch: Scratch) -> Tree:
-    """``grams``: (key, n) of symbols with DEPTH symbols before them.
+def fit_states(grams: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int]:
+    """``grams``: (key, n) of symbols with DEPTH symbols before them.  A table of
+    the states of each length (key, n, context, total, kinds), and the total from
+    which a state is a frequent one.
 
-    Counting, tests and closure under suffixes are joins of tables of contexts;
-    only the states come to the driver, bounded by ``LEAST_SHARE``.
+    Counting, tests and closure under suffixes are joins of tables of contexts.
     """
     total = grams.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    least = max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
     counts = []
     for k in range(DEPTH + 1):
         mask = F.lit((1 << (8 * (k + 1))) - 1)
@@ -252,7 +257,7 @@ def fit_tree(grams: DataFrame, scratch: Scratch) -> Tree:
         if k:
             seen = level.groupBy("context").agg(F.sum("n").alias("total"),
                                                 F.count(F.lit(1)).alias("kinds"))
-            level = level.join(seen.where(F.col("total") >= least), "context")
+            level = level.join(seen.where(F.col("total") >= LEAST_COUNT), "context")
         else:
             level = level.withColumn("total", F.lit(total)).withColumn("kinds", F.lit(256))
         counts.append(scratch.save(level, f"level{k}"))
@@ -278,13 +283,78 @@ def fit_tree(grams: DataFrame, scratch: Scratch) -> Tree:
                 F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("context"))).distinct()
         kept[k] = scratch.save(states, f"states{k}")
 
-    levels = []
-    for k in range(DEPTH + 1):
-        level = counts[k] if k == 0 else counts[k].join(kept[k], "context")
-        rows = level.select("key", "n").toArrow()
-        levels.append((rows.column("key").to_numpy().view(np.uint64),
-                       rows.column("n").to_numpy()))
-    return Tree(levels)
+    levels = [counts[0]] + [scratch.save(counts[k].join(kept[k], "context"), f"pairs{k}")
+                            for k in range(1, DEPTH + 1)]
+    return levels, max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
+
+
+def frequent_tree(levels: list[DataFrame], often: int) -> Tree:
+    """The frequent states; what ends a frequent state is one as well."""
+    found = []
+    for k, level in enumerate(levels):
+        rows = level.where(F.lit(k == 0) | (F.col("total") >= often)).select("key", "n").toArrow()
+        found.append((rows.column("key").to_numpy().view(np.uint64),
+                      rows.column("n").to_numpy()))
+    return Tree(found)
+
+
+def fit_tree(grams: DataFrame, scratch: Scratch) -> Tree:
+    return frequent_tree(*fit_states(grams, scratch))
+
+
+def _places(contexts: np.ndarray, lengths) -> np.ndarray:
+    """The bit of the map that contexts of so many bytes set."""
+    return mix(contexts | (np.asarray(lengths).astype(np.uint64) << np.uint64(56))) \
+        >> np.uint64(64 - MAP_BITS)
+
+
+def _map_bits(batches):
+    for batch in batches:
+        bit = _places(batch.column("context").to_numpy().view(np.uint64),
+                      batch.column("length").to_numpy()).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(bit)], ["bit"])
+
+
+def rare_map(levels: list[DataFrame], often: int) -> np.ndarray:
+    """A bit map that has all states that are not frequent."""
+    rare = None
+    for k, level in enumerate(levels[1:], 1):
+        part = level.where(F.col("total") < often).select("context", F.lit(k).alias("length"))
+        rare = part if rare is None else rare.unionByName(part)
+    # At most 2^18 rows, each 64 bits of the map.
+    rows = rare.distinct().mapInArrow(_map_bits, "bit bigint").groupBy(
+        F.shiftright("bit", 6).alias("word")).agg(
+        F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("bits")).toArrow()
+    words = np.zeros(1 << (MAP_BITS - 6), np.int64)
+    words[rows.column("word").to_numpy()] = rows.column("bits").to_numpy()
+    return words.view(np.uint8)
+
+
+def joined_log10(keys: DataFrame, levels: list[DataFrame], scratch: Scratch) -> DataFrame:
+    """(key, log10) for distinct packed ``keys``: their log probability as
+    ``Tree.log10`` has it, with all states, by joins from length to length."""
+    def low(k):
+        return F.lit((1 << (8 * k)) - 1)
+
+    total = levels[0].agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = levels[0].select(F.col("key").alias("pair"),
+                              ((F.col("n") + 1) / F.lit(total + 256.0)).alias("share"))
+    out = keys.withColumn("pair", F.col("key").bitwiseAND(low(1))).join(shares, "pair", "left") \
+        .select("key", F.log10(F.coalesce("share", F.lit(1 / (total + 256.0)))).alias("log10"))
+    for k in range(1, DEPTH + 1):
+        shorter = shares.withColumnsRenamed({"pair": "suffix", "share": "shorter"})
+        shares = scratch.save(
+            levels[k].withColumn("suffix", F.col("key").bitwiseAND(low(k))).join(shorter, "suffix")
+            .select(F.col("key").alias("pair"), ((F.col("n") + F.col("kinds") * F.col("shorter"))
+                    / (F.col("total") + F.col("kinds"))).alias("share")), f"shares{k}")
+        states = levels[k].groupBy("context").agg(F.max(F.log10(
+            F.col("kinds") / (F.col("total") + F.col("kinds")))).alias("miss"))
+        out = out.withColumn("pair", F.col("key").bitwiseAND(low(k + 1))) \
+            .withColumn("context", F.shiftrightunsigned("pair", 8)) \
+            .join(states, "context", "left").join(shares, "pair", "left") \
+            .select("key", F.coalesce(F.log10("share"), F.col("miss") + F.col("log10"), "log10")
+                    .alias("log10"))
+    return scratch.save(out, "values")
 
 
 class Frequent:
@@ -302,15 +372,25 @@ class Frequent:
         return worth, known
 
 
-def _score(tree, frequent):
+def _score(tree, frequent, rare_states):
+    masks = np.array([_mask(k) for k in range(DEPTH + 1)])
+
     def run(batches):
-        t, f = tree.value, frequent.value
+        t, f, bitmap = tree.value, frequent.value, rare_states.value
+
+        def is_open(keys, lengths):
+            """Whether the state may go on as one that is not in the tree."""
+            longer = np.minimum(lengths + 1, DEPTH)
+            bit = _places((keys >> np.uint64(8)) & masks[longer], longer)
+            on = bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
+            return (on > 0) & (lengths < DEPTH)
+
         for batch in batches:
             column = batch.column("text")
             n = batch.num_rows
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, score = np.zeros(n), np.zeros(n)
-            rare = [None] * n
+            rare, left = [None] * n, [[] for _ in range(n)]
             for i, j, hashes, bounds in word_hashes(column):
                 worth, common = f.split(hashes)
                 tokens[i:j] = np.diff(bounds)
@@ -329,18 +409,32 @@ def _score(tree, frequent):
                 at_end = np.searchsorted(real, ends, "right")
                 for at in range(0, len(real), 1 << 18):
                     part = real[at:at + (1 << 18)]
-                    logs = np.concatenate([[0.0], np.cumsum(t.log10(packed(stream, part)))])
+                    keys, longest = packed(stream, part), np.zeros(len(part), np.int64)
+                    own = t.log10(keys, longest)
+                    later = is_open(keys, longest)
+                    logs = np.concatenate([[0.0], np.cumsum(np.where(later, 0.0, own))])
                     cut = np.clip(at_end - at, 0, len(part))
+                    later = np.flatnonzero(later)
+                    bounds = np.searchsorted(later, np.concatenate([[0], cut]))
+                    for x in np.flatnonzero(np.diff(bounds)):
+                        left[i + x].append(np.unique(
+                            keys[later[bounds[x]:bounds[x + 1]]], return_counts=True))
                     sums += np.diff(np.concatenate([[0.0], logs[cut]]))
                 score[i:j] = sums
-            lengths = np.array([0, *map(len, rare)])
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.cumsum(lengths), pa.int32()),
-                pa.array(np.concatenate([np.empty(0, np.int64), *rare]), pa.int64()))
+            def lists_of(rows):
+                return pa.ListArray.from_arrays(
+                    pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()),
+                    pa.array(np.concatenate([np.empty(0, np.int64), *rows]), pa.int64()))
+
+            symbols, times = ([np.concatenate([np.empty(0, np.int64), *(
+                found[which].view(np.int64) for found in parts)]) for parts in left]
+                for which in (0, 1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens),
-                 pa.array(known), pa.array(base), pa.array(score), lists],
-                ["doc_id", "held_out", "words", "known", "base", "score", "rare"])
+                 pa.array(known), pa.array(base), pa.array(score), lists_of(rare),
+                 lists_of(symbols), lists_of(times)],
+                ["doc_id", "held_out", "words", "known", "base", "score", "rare", "symbols",
+                 "times"])
 
     return run
 
@@ -369,23 +463,32 @@ def score_documents(documents: DataFrame) -> DataFrame:
     common = words.where(F.col("n") >= often).toArrow()
     frequent = Frequent(common.column("key").to_numpy().view(np.uint64),
                         common.column("n").to_numpy())
-    tree = fit_tree(grams, scratch)
+    levels, least = fit_states(grams, scratch)
+    tree = frequent_tree(levels, least)
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
-        _score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent)), (
+        _score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent),
+               spark.sparkContext.broadcast(rare_map(levels, least))), (
             f"doc_id {kind}, held_out boolean, words bigint, known bigint, base double,"
-            " score double, rare array<bigint>")) \
+            " score double, rare array<bigint>, symbols array<bigint>, times array<bigint>")) \
         .withColumn("row", F.monotonically_increasing_id())
     scored = scratch.save(scored, "scored")
     rest = scored.select("row", F.explode("rare").alias("key")).join(
         words.where(F.col("n") < often), "key") \
         .groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"),
                             F.count(F.lit(1)).alias("also"))
+    symbols = scored.select("row", F.explode(F.arrays_zip("symbols", "times")).alias("s")) \
+        .select("row", F.col("s.symbols").alias("key"), F.col("s.times").alias("times"))
+    values = joined_log10(symbols.select("key").distinct(), levels, scratch)
+    late = symbols.join(values, "key").groupBy("row").agg(
+        F.sum(F.col("times") * F.col("log10")).alias("late"))
     n_tokens = F.col("words") + 1
     ends = math.log10(texts + 1)
-    return scored.drop("rare").join(rest, "row", "left").select(
+    return scored.drop("rare", "symbols", "times").join(rest, "row", "left") \
+        .join(late, "row", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("also", F.lit(0)) + (1 if texts else 0)).cast("bigint")
         .alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base") + F.coalesce("more", F.lit(0.0)) + F.lit(ends)
-         - n_tokens * F.lit(math.log10(total + kinds + 1))).alias("base_score"), "score")
+         - n_tokens * F.lit(math.log10(total + kinds + 1))).alias("base_score"),
+        (F.col("score") + F.coalesce("late", F.lit(0.0))).alias("score"))

@@ -154,6 +154,15 @@ def test_rare_words_are_joined(spark, monkeypatch):
         assert r["base_score"] == pytest.approx(whole[r["doc_id"]]["base_score"])
 
 
+def test_rare_states_are_joined(spark, monkeypatch):
+    """Scores are the same however little of the tree is broadcast."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    whole = {r["doc_id"]: r["score"] for r in st.score_documents(docs).collect()}
+    monkeypatch.setattr(st, "LEAST_SHARE", 1e-2)
+    for r in st.score_documents(docs).collect():
+        assert r["score"] == pytest.approx(whole[r["doc_id"]])
+
+
 def test_odd_rows(spark, documents):
     text = "some words of a text that goes on "
     rows = [(i, text * 5, None, None) for i in range(30)] + [
