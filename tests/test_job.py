@@ -10,7 +10,7 @@ from types import SimpleNamespace
 
 import pytest
 
-from conftest import warc_record, write_archive
+from inputs import warc_record, write_archive
 from gleanery.plans import job
 from gleanery.plans.job import read_records, search_archives
 

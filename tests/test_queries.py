@@ -10,7 +10,7 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
-from conftest import SF
+from inputs import SF
 
 
 @pytest.fixture(scope="module")

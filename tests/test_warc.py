@@ -7,7 +7,7 @@ import random
 
 import pytest
 
-from conftest import warc_record, write_archive
+from inputs import warc_record, write_archive
 from gleanery.plans.job import read_records
 from gleanery.sources import warc
 from gleanery.sources.files import list_archives, spark_path
