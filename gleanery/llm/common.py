@@ -54,6 +54,7 @@ class Scratch:
         self.spark = spark
         bound_batches(spark)
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+        self.sorted = set()
         path = self._path(self.root)
         self._files(path).deleteOnExit(path)
 
@@ -63,12 +64,28 @@ class Scratch:
     def _files(self, path):
         return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
-    def save(self, frame: DataFrame, name: str) -> DataFrame:
-        frame.write.parquet(f"{self.root}/{name}")
+    def save(self, frame: DataFrame, name: str, partition: str | None = None) -> DataFrame:
+        """``frame`` as written; with ``partition``, in folders by that column."""
+        frame.write.parquet(f"{self.root}/{name}", partitionBy=partition)
         return self.spark.read.schema(frame.schema).parquet(f"{self.root}/{name}")
 
+    def _sorted_name(self, name: str) -> str:
+        return f"{self.root.rsplit('/', 1)[1].replace('-', '_')}_{name}"
+
+    def save_sorted(self, frame: DataFrame, name: str, by: list[str], buckets: int) -> None:
+        """``frame`` in ``buckets``, each sorted; ``sorted_table`` reads it."""
+        frame.write.bucketBy(buckets, *by).sortBy(*by).option(
+            "path", f"{self.root}/{name}").saveAsTable(self._sorted_name(name))
+        self.sorted.add(name)
+
+    def sorted_table(self, name: str) -> DataFrame:
+        return self.spark.table(self._sorted_name(name))
+
     def drop(self, *names: str) -> None:
         for name in names:
+            if name in self.sorted:
+                self.sorted.remove(name)
+                self.spark.sql(f"DROP TABLE {self._sorted_name(name)}")
             path = self._path(f"{self.root}/{name}")
             self._files(path).delete(path, True)
 

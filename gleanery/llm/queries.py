@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from gleanery.llm import (
-    chat, decontamination, embeddings, language, mixing, near_dup, secrets, sharding, suffix_tree,
-    token_counts)
+    chat, decontamination, embeddings, language, line_dedup, mixing, near_dup, secrets, sharding,
+    suffix_tree, token_counts)
 from gleanery.llm.common import table
 
 
@@ -55,6 +55,10 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digests(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf_dir)
 
@@ -63,7 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_suffix_tree, op3_decontamination, op4_token_counts, op5_near_dup,
         op6_mixing, op7_chat_format, op8_secret_scan, op9_language_id, op10_embeddings,
-        pipeline)}
+        op13_line_dedup, pipeline)}
 
 
 # ------------------------------------------------------------------ SQL side
@@ -144,6 +148,21 @@ def _secrets_sql() -> str:
         " coalesce(spans, '') AS spans FROM documents LEFT JOIN marks USING (doc_id)")
 
 
+def _lines_sql() -> str:
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    return (
+        "WITH split AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents),"
+        " lines AS (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS place FROM split),"
+        f" keyed AS (SELECT *, translate(trim(line, {spaces}), '{upper}', '{lower}') AS key FROM lines),"
+        " common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key"
+        " HAVING count(DISTINCT doc_id) >= 10)"
+        " SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE c.key IS NOT NULL) AS n_dropped,"
+        " sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (WHERE c.key IS NULL), ''))"
+        " AS kept_sha256 FROM keyed LEFT JOIN common c USING (key) GROUP BY doc_id")
+
+
 def oracle_sql() -> dict[str, str]:
-    own = {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql()}
+    own = {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql(),
+           "op13_line_dedup": _lines_sql()}
     return {**own, "pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own
