@@ -190,7 +190,7 @@ def without_common_lines(documents: DataFrame, least_documents: int = 10,
         runs.add(lines.where(F.col("batch") == batch))
     common = runs.common()
     runs.close()
-    known = join_by_weight(lines.select("doc_id", "mark", "line"), common, "line", "n",
+    known = join_by_weight(lines.select("doc_id", "mark", "line"), common, ["line"], "n",
                            lines.count())
     gone = scratch.save(
         known.groupBy("doc_id", "mark").agg(F.collect_set("line").alias("gone")), "gone")

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from gleanery.llm import (
-    chat, decontamination, embeddings, language, line_dedup, mixing, near_dup, secrets, sharding,
-    suffix_tree, token_counts)
+    chat, decontamination, embeddings, language, line_dedup, merkle, mixing, near_dup, prefix_trie,
+    secrets, sharding, suffix_tree, token_counts)
 from gleanery.llm.common import table
 
 
@@ -55,6 +55,14 @@ def op10_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embeddings.near_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest_proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.prefix_nodes(table(spark, sf_dir, "conversations"))
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digests(table(spark, sf_dir, "documents"))
 
@@ -67,7 +75,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_sharding, op2_suffix_tree, op3_decontamination, op4_token_counts, op5_near_dup,
         op6_mixing, op7_chat_format, op8_secret_scan, op9_language_id, op10_embeddings,
-        op13_line_dedup, pipeline)}
+        op11_merkle_manifest, op12_prefix_trie, op13_line_dedup, pipeline)}
 
 
 # ------------------------------------------------------------------ SQL side
@@ -148,6 +156,98 @@ def _secrets_sql() -> str:
         " coalesce(spans, '') AS spans FROM documents LEFT JOIN marks USING (doc_id)")
 
 
+def _crc_sql(digits: str) -> str:
+    """CRC-32 of a short ASCII text, bit by bit."""
+    byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:" \
+        " xor(x >> 1, CASE WHEN x & 1 = 1 THEN 3988292384 ELSE 0 END))"
+    codes = f"list_transform(range(1, length({digits}) + 1), lambda i: ascii(substr({digits}, i, 1)))"
+    return (f"xor(list_reduce(list_prepend(4294967295::BIGINT, {codes}::BIGINT[]),"
+            f" lambda c, b: {byte}), 4294967295)")
+
+
+def _merkle_sql(levels: int = 5, top_levels: int = 3) -> str:
+    """The trees level by level; every leaf climbs with the runs it is in."""
+    def field(column):
+        value = f"CAST({column} AS VARCHAR)"
+        return f"CASE WHEN {column} IS NULL THEN '-' ELSE strlen({value}) || ':' || {value} END"
+
+    fields = " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = f"translate(text, '{merkle.UPPER}', '{merkle.LOWER}')"
+    lowered = f"CASE WHEN text IS NULL THEN '-' ELSE strlen({lower}) || ':' || {lower} END"
+    parts = [
+        f"marked AS (SELECT doc_id, source, sha256({fields} || {field('text')}) AS leaf,"
+        f" CASE WHEN {_crc_sql('CAST(doc_id AS VARCHAR)')} % 5 = 0"
+        f" THEN sha256({fields} || {lowered}) END AS changed FROM documents)",
+        "placed AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s,"
+        " row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i,"
+        " count(*) OVER (PARTITION BY source) AS n FROM marked)",
+        "t0 AS (SELECT s, i, n, leaf AS h FROM placed)",
+        "c0 AS (SELECT doc_id, s, i, leaf, coalesce(changed, leaf) AS own, '' AS proof FROM placed)"]
+
+    def climb(at, tree, climber):
+        parts.append(
+            f"r{at} AS (SELECT s, i // 16 AS j, any_value(n) AS n, list(h ORDER BY i) AS hs"
+            f" FROM {tree} GROUP BY s, i // 16)")
+        parts.append(
+            f"t{at + 1} AS (SELECT s, j AS i, (n + 15) // 16 AS n, CASE WHEN n > 1"
+            f" THEN sha256(array_to_string(hs, '')) ELSE hs[1] END AS h FROM r{at})")
+        parts.append(
+            f"c{at + 1} AS (SELECT doc_id, s, i // 16 AS i, leaf, CASE WHEN n > 1 THEN"
+            " sha256(array_to_string(hs[1:i % 16], '') || own || array_to_string(hs[i % 16 + 2:], ''))"
+            " ELSE own END AS own, proof || CASE WHEN n > 1 THEN array_to_string(hs[1:i % 16], '')"
+            f" || array_to_string(hs[i % 16 + 2:], '') ELSE '' END AS proof {{}} FROM {climber}"
+            f" JOIN r{at} USING (s) WHERE i // 16 = j)")
+
+    for at in range(levels):
+        climb(at, f"t{at}", f"c{at}")
+        parts[-1] = parts[-1].format("")
+    parts += [
+        f"subroots AS (SELECT s AS place, h AS subroot FROM t{levels})",
+        "u AS (SELECT 0 AS s, place AS i, count(*) OVER () AS n, subroot AS h FROM subroots)",
+        f"v AS (SELECT doc_id, 0 AS s, s AS i, leaf, own, proof, subroot FROM c{levels}"
+        " JOIN subroots ON s = place)"]
+    tree, climber = "u", "v"
+    for at in range(levels + 1, levels + 1 + top_levels):
+        climb(at, tree, climber)
+        parts[-1] = parts[-1].format(", subroot")
+        tree, climber = f"t{at + 1}", f"c{at + 1}"
+    return (f"WITH {', '.join(parts)} SELECT doc_id, leaf, subroot, h AS root,"
+            f" sha256(proof) AS proof_sha256, own AS folded_root, own = h AS verified"
+            f" FROM {climber} JOIN {tree} USING (s)")
+
+
+def _trie_sql() -> str:
+    """Every prefix of every rebuilt conversation as a list of turns."""
+    h = _crc_sql("CAST(conv_id AS VARCHAR)")
+    return (
+        "WITH own AS (SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')}"
+        " ORDER BY turn NULLS FIRST) AS turns FROM conversations WHERE conv_id IS NOT NULL"
+        f" GROUP BY conv_id), opened AS (SELECT *, {h} % 6 AS h FROM own),"
+        " rebuilt AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:o.h], []), o.turns[o.h + 1:])"
+        " AS turns FROM opened o LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 100),"
+        " prefixes AS (SELECT conv_id, len(turns) AS length, unnest(range(len(turns) + 1)) AS depth,"
+        " turns FROM rebuilt),"
+        " named AS (SELECT conv_id, length, depth, turns[depth].text AS last, CASE WHEN depth = 0"
+        " THEN '' ELSE md5(CAST(turns[1:depth] AS VARCHAR)) END AS name, CASE WHEN depth < 2 THEN ''"
+        " ELSE md5(CAST(turns[1:depth - 1] AS VARCHAR)) END AS parent FROM prefixes),"
+        " nodes AS (SELECT depth, name, any_value(parent) AS parent, min(conv_id) AS conv_id,"
+        " count(*) AS n_convs, coalesce(length(any_value(last)), 0) AS chars,"
+        " sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)"
+        " FILTER (WHERE length = depth), '')) AS ends_sha256 FROM named GROUP BY depth, name),"
+        " children AS (SELECT p.depth, p.name, count(c.name) AS n_children FROM nodes p LEFT JOIN"
+        " nodes c ON c.parent = p.name AND c.depth = p.depth + 1 GROUP BY p.depth, p.name),"
+        " below AS (SELECT DISTINCT up.depth, up.name, lo.depth AS d, lo.name AS node FROM named up"
+        " JOIN named lo ON up.conv_id = lo.conv_id AND lo.depth >= up.depth),"
+        " sums AS (SELECT b.depth, b.name, sum((n.n_convs - 1) * n.chars) AS saved_tokens,"
+        " count(*) FILTER (WHERE c.n_children = 0) AS n_leaves FROM below b JOIN nodes n"
+        " ON n.depth = b.d AND n.name = b.node JOIN children c ON c.depth = b.d AND c.name = b.node"
+        " GROUP BY b.depth, b.name)"
+        " SELECT n.conv_id, n.depth, p.conv_id AS parent_conv_id, n.n_convs, c.n_children, s.n_leaves,"
+        " CAST(s.saved_tokens AS BIGINT) AS saved_tokens, n.ends_sha256 FROM nodes n"
+        " JOIN children c USING (depth, name) JOIN sums s USING (depth, name)"
+        " LEFT JOIN nodes p ON p.name = n.parent AND p.depth = n.depth - 1")
+
+
 def _lines_sql() -> str:
     spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -164,5 +264,6 @@ def _lines_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     own = {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql(),
+           "op11_merkle_manifest": _merkle_sql(), "op12_prefix_trie": _trie_sql(),
            "op13_line_dedup": _lines_sql()}
     return {**own, "pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own

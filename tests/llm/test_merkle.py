@@ -1,0 +1,146 @@
+import random
+import zlib
+from hashlib import sha256
+
+import pytest
+from pyspark.sql import functions as F
+
+from gleanery.llm import merkle
+
+
+def digest(text):
+    return sha256(text.encode()).hexdigest()
+
+
+def leaf_of(doc_id, text, lang, source, n_chars):
+    return digest("".join("-" if v is None else f"{len(str(v).encode())}:{v}"
+                          for v in (doc_id, source, lang, n_chars, text)))
+
+
+def climb(nodes, at):
+    """Root, and the siblings of node ``at`` on the way there."""
+    seen = []
+    while len(nodes) > 1:
+        low = at - at % 16
+        seen += [(nodes[low:at], nodes[at + 1:low + 16])]
+        nodes = [digest("".join(nodes[i:i + 16])) for i in range(0, len(nodes), 16)]
+        at //= 16
+    return nodes[0], seen
+
+
+def lowered(text):
+    return text and "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+
+
+def brute(rows):
+    """(doc_id, leaf, subroot, root, proof, folded, verified) of every row."""
+    sources = {}
+    for doc_id, text, lang, source, n_chars in rows:
+        leaf = leaf_of(doc_id, text, lang, source, n_chars)
+        changed = doc_id is not None and zlib.crc32(str(doc_id).encode()) % 5 == 0
+        own = leaf_of(doc_id, lowered(text), lang, source, n_chars) if changed else leaf
+        sources.setdefault(source, []).append((doc_id is not None, doc_id or 0, leaf, own, doc_id))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    for leaves in sources.values():
+        leaves.sort(key=lambda r: r[:3])
+    subroots = [climb([r[2] for r in sources[s]], 0)[0] for s in order]
+    found = []
+    for place, source in enumerate(order):
+        nodes = [r[2] for r in sources[source]]
+        root, upper = climb(subroots, place)
+        for at, (_, _, leaf, own, doc_id) in enumerate(sources[source]):
+            proof = climb(nodes, at)[1] + upper
+            for left, right in proof:
+                own = digest("".join([*left, own, *right]))
+            joined = "".join("".join(left + right) for left, right in proof)
+            found.append((doc_id, leaf, subroots[place], root, digest(joined), own, own == root))
+    return sorted(found, key=repr)
+
+
+def frame_of(spark, rows, more=""):
+    return spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint" + more)
+
+
+def got(frame):
+    return sorted((tuple(r) for r in frame.select(
+        "doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified").collect()),
+        key=repr)
+
+
+def made(seed, sizes):
+    rng, rows, doc_id = random.Random(seed), [], 0
+    for source, n in sizes.items():
+        for _ in range(n):
+            doc_id += rng.randrange(1, 4)
+            rows.append((doc_id, rng.choice(["Abc", "abc", "ÄÉ x", "Z\n"]) + str(doc_id),
+                         rng.choice(["en", None]), source, doc_id))
+    rng.shuffle(rows)
+    return rows
+
+
+def test_brute_force_with_nulls_ties_and_repeated_rows(spark):
+    rows = made(1, {"a": 300, "b": 17, "c": 16, "é": 1, "Z": 2, None: 33, "": 5})
+    rows += [(None, None, None, None, None), (None, "Text", "en", "a", 3), (5, None, "en", "a", 0)]
+    rows += [(900, "Same", "en", "b", 4)] * 20 + [(900, "Other", "en", "b", 5)]
+    found = got(merkle.manifest_proofs(frame_of(spark, rows).repartition(5)))
+    assert found == brute(rows)
+    assert {v for *_, v in found} == {True, False}
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 16}, {"a": 17}, {"a": 1, "b": 1}, {"x": 257}])
+def test_small_trees(spark, sizes):
+    rows = made(2, sizes)
+    assert got(merkle.manifest_proofs(frame_of(spark, rows))) == brute(rows)
+
+
+def test_a_source_of_several_blocks_and_many_sources(spark):
+    """4096 leaves are a block; the second one begins with a lone leaf."""
+    rows = made(3, {"hot": 4097, **{f"s{i}": 1 for i in range(300)}})
+    assert got(merkle.manifest_proofs(frame_of(spark, rows).repartition(3))) == brute(rows)
+
+
+def test_empty_table_long_text_and_clashing_columns(spark):
+    assert got(merkle.manifest_proofs(frame_of(spark, []))) == []
+    rows = [(i, "Word " * 300_000 if i == 3 else "W", "en", "s", 1, "x", 2.0, i) for i in range(9)]
+    more = ", hash string, index double, tree bigint"
+    frame = frame_of(spark, rows, more)
+    assert got(merkle.manifest_proofs(frame)) == brute([r[:5] for r in rows])
+
+
+def test_versions_share_what_did_not_change(spark):
+    """A version is the tree as it was, but for the nodes it has of its own."""
+    rows = made(4, {"a": 280, "b": 20, "c": 1})
+    made_of = merkle.Manifest(frame_of(spark, rows), altered=F.col("doc_id") % 40 == 0,
+                              text=F.lit("other"))
+    key = ["tree", "level", "index"]
+    base = {(r["tree"], r["level"], r["index"]): r.hash for r in made_of.nodes().collect()}
+    assert len(base) == made_of.nodes().count()
+    versions = {}
+    for r in made_of.versions().select("version", *key, "hash").collect():
+        assert (r["tree"], r["level"], r["index"]) not in versions.setdefault(r.version, {})
+        versions[r.version][r["tree"], r["level"], r["index"]] = r.hash
+    changed = [r for r in rows if r[0] % 40 == 0]
+    assert len(versions) == len(changed) > 3
+    top = max(key for key in base if key[0] == merkle.TOP)
+    assert base[top] == brute(rows)[0][3]
+    for row in changed:
+        after = [r if r is not row else (r[0], "other", *r[2:]) for r in rows]
+        fresh = merkle.Manifest(frame_of(spark, after)).nodes() if row is changed[0] else None
+        whole = {**base, **versions[row[0]]}
+        # The first one node by node, the others by their root.
+        if fresh is not None:
+            assert whole == {(r["tree"], r["level"], r["index"]): r.hash for r in fresh.collect()}
+        sources = {}
+        for doc_id, text, lang, source, n in after:
+            sources.setdefault(source, []).append((doc_id, leaf_of(doc_id, text, lang, source, n)))
+        roots = [climb([h for _, h in sorted(sources[s])], 0)[0] for s in sorted(sources)]
+        assert whole[top] == climb(roots, 0)[0]
+        # Only ancestors are copied: leaf, its source's levels, the level above.
+        assert len(versions[row[0]]) <= 1 + merkle.height(280) + 2
+
+
+def test_blocks_shuffle_no_texts(spark):
+    frame = frame_of(spark, made(5, {"a": 40}))
+    plan = merkle.Manifest(frame).proofs()._jdf.queryExecution().executedPlan().toString()
+    assert "text" not in plan
