@@ -20,7 +20,8 @@ from archive_fixture import (  # noqa: E402
 from gleanery.functions import text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
-from gleanery.plans.table import prepare_table, search_table  # noqa: E402
+from gleanery.plans.table import (  # noqa: E402
+    prepare_table, search_table, search_table_chunks)
 from gleanery.sinks import report  # noqa: E402
 from gleanery.sources.definitions import load_definitions  # noqa: E402
 
@@ -51,6 +52,10 @@ DOC_DEFS = {
     "secret": "(?:key|token|secret|password)[a-z0-9_]*",
     "address": "[0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}[.][0-9]{1,3}",
 }
+#: More of them than a plan has literals for; each needs a text of its own.
+CALL_DEFS = {f"call{n}": f"track[(]{n}[)]" for n in range(1000)}
+#: Bounded and unbounded ones, to be searched in windows.
+WINDOW_DEFS = {**DOC_DEFS, "sentence": "[a-z, ]{20,}[.]", "line": "[^\n]*ende[^\n]*", "letter": "[q-z]"}
 TURN_DEFS = {"user": "^user$", "answer": "assist[a-z]+", "with": "with [a-z]+", "tion": "[a-z]+tion"}
 CREATED = "2024.01.01 00:00:00"
 
@@ -149,6 +154,41 @@ def scope_totals(spark, sf_dir):
         F.sum("duplicates").alias("duplicates"))
 
 
+def _document_chunks(spark, sf_dir, definitions=DOC_DEFS, **how):
+    return search_table_chunks(_documents(spark, sf_dir), ["doc_id"], "source", "text",
+                               definitions, redistribute=_tasks(spark), **how)
+
+
+def _chunk_sums(chunks, *keys):
+    """Totals of pairs whose matches may lie in several rows."""
+    return chunks.groupBy(*keys, "definition").agg(
+        F.sum(F.size("name_matches")).alias("name_total"),
+        F.sum(F.size("content_matches")).alias("content_total"))
+
+
+def search_windows(spark, sf_dir):
+    """Texts gone through 300 characters at a time."""
+    return _chunk_sums(_document_chunks(spark, sf_dir, WINDOW_DEFS, window=300), "doc_id")
+
+
+def search_many(spark, sf_dir):
+    """A thousand definitions, by one automaton over their literals."""
+    return _page_pairs(spark, sf_dir, "python", CALL_DEFS).select(
+        "page_id", "definition", _long(F.size("content_matches"), "total"))
+
+
+def chunk_totals(spark, sf_dir):
+    """Counts over matches that come three to a row."""
+    totals = matches.chunk_totals(_document_chunks(spark, sf_dir, chunk_matches=3))
+    return totals.select("doc_id", "definition", "scope", "total",
+                         F.col("uniques").alias("n_unique"), "duplicates")
+
+
+def chunk_items(spark, sf_dir):
+    items = matches.chunk_items(_document_chunks(spark, sf_dir, chunk_matches=3))
+    return items.select("doc_id", "definition", "scope", "item", "match")
+
+
 def theta_join(spark, sf_dir):
     prepared = prepare_table(_pages(spark, sf_dir), ["page_id"], "url", "html",
                              redistribute=_tasks(spark))
@@ -373,6 +413,16 @@ def archive_search(spark, sf_dir):
     return _pair_totals(_archive_search(spark, sf_dir).matches, "name")
 
 
+def archive_search_native(spark, sf_dir):
+    return _pair_totals(_archive_search(spark, sf_dir, dialect="native").matches, "name")
+
+
+def archive_search_windows(spark, sf_dir):
+    """Most payloads searched in windows where they lie, five matches to a row."""
+    result = _archive_search(spark, sf_dir, max_payload_bytes=1000, window=500, chunk_matches=5)
+    return _chunk_sums(result.matches, "name")
+
+
 def archive_summary(spark, sf_dir):
     return _archive_search(spark, sf_dir).summary.select("records_read", "errors", "warnings")
 
@@ -408,6 +458,15 @@ def archive_report(spark, sf_dir):
     return kept.groupBy("report", "value").agg(F.count(F.lit(1)).alias("lines"))
 
 
+def archive_report_chunks(spark, sf_dir):
+    """The reports as written, two matches to a row; all lines that are not empty, but
+    for the paths of the archives and the time."""
+    lines = spark.read.text(f"{_archive_search(spark, sf_dir, chunk_matches=2).run_dir}/reports")
+    value = F.regexp_replace("value", r"^\[(Archive|Created): .*", "[$1]").alias("value")
+    return lines.where("value <> ''").select("report", value) \
+        .groupBy("report", "value").agg(F.count(F.lit(1)).alias("lines"))
+
+
 def report_order(spark, sf_dir):
     """Where the block of every record stands in its report as written."""
     parts = spark.read.option("wholetext", True).text(
@@ -454,7 +513,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         no_match_sources, record_counts, run_summary, report_blocks, report_lines, dialects,
         archive_records, archive_records_split, archive_types, archive_search, archive_summary,
         archive_errors, archive_error_records, rejected_definitions, archive_report, report_order,
-        archive_export, archive_export_large, archive_export_table, export_merge_repeats)}
+        archive_export, archive_export_large, archive_export_table, export_merge_repeats,
+        search_windows, search_many, chunk_totals, chunk_items, archive_search_native,
+        archive_search_windows, archive_report_chunks)}
     return {**own, **llm_queries.queries()} if llm_queries else own
 
 
@@ -555,6 +616,12 @@ def oracle_sql() -> dict[str, str]:
         for d, p in PAGE_DEFS.items())
     records = ("SELECT url AS name, 'response' AS warc_type, md5(html) AS payload_digest FROM pages"
                " WHERE {}")
+    report_lines = (
+        "lines AS (SELECT definition, '[File: ' || name || ']' AS value"
+        " FROM pairs UNION ALL SELECT definition, '[Match #' || item || ' in ' || scope || ']'"
+        " FROM items UNION ALL SELECT definition, '[Matches found in ' || scope || ': '"
+        " || len(m) || ' (' || (len(m) - len(list_distinct(m))) || ' duplicates omitted)]'"
+        " FROM scoped UNION ALL SELECT definition, '\"' || match || '\"' FROM items)")
     page_items = f"WITH {pages}, {_scoped('page_id')}, {_items('page_id')}"
     own = {
         "search_pairs": f"WITH {pages} {_totals('page_id')}",
@@ -648,6 +715,33 @@ def oracle_sql() -> dict[str, str]:
         "rejected_definitions":
             "SELECT 'item' || item_id AS definition, 'error' AS severity FROM benchmark"
             " WHERE item_id % 3 = 0",
+        "search_windows":
+            f"WITH {_pairs('documents', 'doc_id', 'source', 'text', WINDOW_DEFS)}"
+            f" {_totals('doc_id')}",
+        "search_many":
+            "SELECT page_id, 'call' || n AS definition, count(*) AS total FROM (SELECT page_id,"
+            " unnest(regexp_extract_all(html, 'track[(]([0-9]+)[)]', 1, 'i')) AS n FROM pages)"
+            " WHERE n = CAST(CAST(n AS HUGEINT) AS VARCHAR) AND CAST(n AS HUGEINT) < 1000"
+            " GROUP BY page_id, n",
+        "chunk_totals":
+            f"WITH {documents}, {_scoped('doc_id')} SELECT doc_id, definition, scope,"
+            " CAST(len(m) AS BIGINT) AS total, CAST(len(list_distinct(m)) AS BIGINT) AS n_unique,"
+            " CAST(len(m) - len(list_distinct(m)) AS BIGINT) AS duplicates FROM scoped",
+        "chunk_items":
+            f"WITH {documents}, {_scoped('doc_id')}, {_items('doc_id')}"
+            " SELECT doc_id, definition, scope, item, match FROM items",
+        "archive_search_native": f"WITH {pages} {_totals('name')}",
+        "archive_search_windows": f"WITH {pages} {_totals('name')}",
+        "archive_report_chunks":
+            f"{page_items}, {report_lines}, heads AS (SELECT definition || '_results.txt' AS report,"
+            " definition, pattern FROM (VALUES "
+            + ", ".join(f"({_q(d)}, {_q(p)})" for d, p in PAGE_DEFS.items())
+            + ") AS d(definition, pattern)), more AS (SELECT definition, '[Archive]' AS value"
+            " FROM pairs UNION ALL SELECT definition, repeat('_', 67) FROM pairs"
+            " UNION ALL SELECT definition, unnest(['[' || report || ']', '[Created]', '[Regex used]',"
+            " pattern, repeat('_', 67)]) FROM heads)"
+            " SELECT definition || '_results.txt' AS report, value, count(*) AS lines"
+            " FROM (SELECT * FROM lines UNION ALL SELECT * FROM more) GROUP BY ALL",
         "report_order":
             f"WITH {pages} SELECT definition || '_results.txt' AS report, name, row_number() OVER"
             " (PARTITION BY definition ORDER BY page_id) AS position FROM pairs",
@@ -662,11 +756,7 @@ def oracle_sql() -> dict[str, str]:
             "SELECT count(*) AS records_read, CAST(0 AS BIGINT) AS errors,"
             " CAST(0 AS BIGINT) AS warnings FROM pages",
         "archive_report":
-            f"{page_items}, lines AS (SELECT definition, '[File: ' || name || ']' AS value"
-            " FROM pairs UNION ALL SELECT definition, '[Match #' || item || ' in ' || scope || ']'"
-            " FROM items UNION ALL SELECT definition, '[Matches found in ' || scope || ': '"
-            " || len(m) || ' (' || (len(m) - len(list_distinct(m))) || ' duplicates omitted)]'"
-            " FROM scoped UNION ALL SELECT definition, '\"' || match || '\"' FROM items)"
+            f"{page_items}, {report_lines}"
             " SELECT definition || '_results.txt' AS report, value, count(*) AS lines"
             " FROM lines GROUP BY ALL",
         **dict.fromkeys(

@@ -15,12 +15,16 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
-from operator import or_
+from operator import itemgetter, or_
 from re import _constants as ops
 from re import _parser as parser
 from typing import NamedTuple
 
 import pyarrow as pa
+try:
+    import ahocorasick
+except ImportError:  # literals are then looked for one by one
+    ahocorasick = None
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +46,11 @@ FOLDS_TO_ASCII = ("\u0130", "\u0131", "\u017f")
 # at 20 definitions.  Measured; see the README.
 MAX_NATIVE = 2
 
+# From this many literals on, one automaton for all is faster than a substring
+# search for each.  Measured; see the README.
+MIN_AUTOMATON = 24
+_NUMBER = itemgetter(1)
+
 HIT_TYPE = "struct<definition:string,name_matches:array<string>,content_matches:array<string>>"
 
 # The shapes on which the two engines agree: ASCII literals, escaped
@@ -203,45 +212,91 @@ def contains(text: Column, pattern: str, folded: Column | None = None) -> Column
     return F.coalesce(occurs, F.lit(False))
 
 
-def _compile(definitions: Sequence[Definition]):
-    return [(d.definition, re.compile(d.pattern, re.IGNORECASE), required_literals(d.pattern))
-            for d in definitions]
-
-
 def _python_fold(value: str | None) -> str | None:
     if value is None or any(c in value for c in FOLDS_TO_ASCII):
         return None
     return value.lower()
 
 
-def _may_hold(literals: tuple[str, ...], value: str | None, folded: str | None) -> bool:
-    if value is None or not literals or folded is None:
-        return value is not None
-    return any(literal in folded for literal in literals)
-
+class Matcher:
+    """Definitions as the Python workers search with them.
 
-def python_search(definitions: Sequence[Definition]):
-    """A function of name and text that gives the hits as tuples."""
-    compiled = _compile(definitions)
+    Patterns are compiled when a text first needs them, and the literals of many
+    definitions are looked for all at once, by one automaton.
+    """
 
-    def found(rx, literals, value, folded):
-        if not _may_hold(literals, value, folded):
+    def __init__(self, definitions: Sequence[Definition]):
+        self.definitions = list(definitions)
+        self.literals = [required_literals(d.pattern) for d in self.definitions]
+        #: Definitions that may match any text.
+        self.always = [i for i, texts in enumerate(self.literals) if not texts]
+        self._compiled, self._automaton = {}, None
+
+    def __getstate__(self):
+        return {**self.__dict__, "_compiled": {}, "_automaton": None}
+
+    def pattern(self, i: int) -> re.Pattern:
+        if i not in self._compiled:
+            self._compiled[i] = re.compile(self.definitions[i].pattern, re.IGNORECASE)
+        return self._compiled[i]
+
+    def _literal_automaton(self):
+        """The automaton and, for each literal by number, the definitions it is of."""
+        if self._automaton is None:
+            owners = {}
+            for i, texts in enumerate(self.literals):
+                for literal in texts:
+                    owners.setdefault(literal, []).append(i)
+            automaton = None
+            if len(owners) >= MIN_AUTOMATON and ahocorasick is not None:
+                automaton = ahocorasick.Automaton()
+                for number, literal in enumerate(owners):
+                    automaton.add_word(literal, number)
+                automaton.make_automaton()
+            self._automaton = automaton, list(owners.items())
+        return self._automaton
+
+    def candidates(self, value: str | None) -> list[int]:
+        """The definitions that may match ``value``, in order."""
+        if value is None:
             return []
-        if rx.groups:
-            return [m.group() for m in rx.finditer(value)]
-        return rx.findall(value)
-
-    def search(name: str | None, text: str | None) -> list[tuple]:
-        folded_name, folded = _python_fold(name), _python_fold(text)
+        folded = _python_fold(value)
+        if folded is None:
+            return list(range(len(self.definitions)))
+        automaton, owners = self._literal_automaton()
+        if automaton is None:
+            held = {i for literal, of in owners if literal in folded for i in of}
+        else:
+            numbers = set(map(_NUMBER, automaton.iter(folded)))
+            held = {i for number in numbers for i in owners[number][1]}
+        return sorted(held.union(self.always))
+
+    def find_all(self, i: int, value: str | None) -> list[str]:
+        rx = self.pattern(i)
+        return [m.group() for m in rx.finditer(value)] if rx.groups else rx.findall(value)
+
+    def search(self, name: str | None, text: str | None) -> list[tuple]:
+        """(definition, matches in name, matches in text) of what matches."""
+        in_name, in_text = set(self.candidates(name)), set(self.candidates(text))
         hits = []
-        for definition, rx, literals in compiled:
-            in_name = found(rx, literals, name, folded_name)
-            in_text = found(rx, literals, text, folded)
-            if in_name or in_text:
-                hits.append((definition, in_name, in_text))
+        for i in sorted(in_name | in_text):
+            names = self.find_all(i, name) if i in in_name else []
+            texts = self.find_all(i, text) if i in in_text else []
+            if names or texts:
+                hits.append((self.definitions[i].definition, names, texts))
         return hits
 
-    return search
+    def matching(self, name: str | None, text: str | None) -> list[str]:
+        """The definitions that match."""
+        def occurring(value):
+            return {i for i in self.candidates(value) if self.pattern(i).search(value)}
+
+        return [self.definitions[i].definition for i in sorted(occurring(name) | occurring(text))]
+
+
+def python_search(definitions: Sequence[Definition]):
+    """A function of name and text that gives the hits as tuples."""
+    return Matcher(definitions).search
 
 
 def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -> Column:
@@ -261,18 +316,11 @@ def python_hits(name: Column, text: Column, definitions: Sequence[Definition]) -
 
 def python_matching(name: Column, text: Column, definitions: Sequence[Definition]) -> Column:
     """Names of the definitions that match anywhere, by Python ``re``."""
-    compiled = _compile(definitions)
-
-    def occurs(rx, literals, value, folded):
-        return _may_hold(literals, value, folded) and rx.search(value) is not None
+    matcher = Matcher(definitions)
 
     @F.arrow_udf("array<string>")
     def matching(names: pa.Array, texts: pa.Array) -> pa.Array:
-        rows = []
-        for n, t in zip(names.to_pylist(), texts.to_pylist()):
-            folded_n, folded_t = _python_fold(n), _python_fold(t)
-            rows.append([d for d, rx, lits in compiled
-                         if occurs(rx, lits, n, folded_n) or occurs(rx, lits, t, folded_t)])
+        rows = [matcher.matching(n, t) for n, t in zip(names.to_pylist(), texts.to_pylist())]
         return pa.array(rows, type=pa.list_(pa.string()))
 
     return matching(name, text)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import regex, text
+from gleanery.functions.chunks import CHUNK_MATCHES, CHUNK_SCHEMA, ChunkSearch
 
 SCOPE_NAME = "file name"
 SCOPE_CONTENTS = "file contents"
@@ -15,6 +18,9 @@ SCOPE_CONTENTS = "file contents"
 # More searches than this in one generated method exceed what the JVM compiles.
 MAX_GENERATED = 32
 
+# An Arrow batch of chunks is handed to Spark at this many rows or characters.
+BATCH_ROWS, BATCH_CHARS = 10_000, 16 << 20
+
 _SEARCH_ONLY = ("text", "folded_name", "folded")
 
 
@@ -90,6 +96,85 @@ def search_records(prepared: DataFrame, definitions, dialect: str = "auto",
     return found.where(wanted if keep is None else wanted | keep)
 
 
+def chunk_batch(chunks: list[tuple]) -> list[pa.Array]:
+    """The columns of ``CHUNK_SCHEMA``."""
+    strings = pa.list_(pa.string())
+    kinds = (pa.string(), pa.int64(), pa.bool_(), strings, strings)
+    columns = zip(*chunks) if chunks else ((),) * len(kinds)
+    return [pa.array(column, kind) for column, kind in zip(columns, kinds)]
+
+
+def _searched(definitions, chunk_matches: int, window: int | None, dropped: tuple[str, ...]):
+    """Rows with ``name``, ``text`` and ``kept`` to their chunks."""
+    searcher = ChunkSearch(definitions, chunk_matches)
+    if window:
+        searcher.window = window
+
+    def chunks_of(name, value):
+        if window and value is not None:
+            pieces = (value[i:i + window] for i in range(0, len(value), window))
+            return searcher.pieces(name, pieces)
+        return searcher.whole(name, value)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            passed = [c for c in batch.schema.names if c not in dropped]
+            names, texts, kept = (batch.column(c).to_pylist() for c in ("name", "text", "kept"))
+
+            def handed(owners, chunks):
+                at = pa.array(owners, pa.int64())
+                return pa.RecordBatch.from_arrays(
+                    [batch.column(c).take(at) for c in passed] + chunk_batch(chunks),
+                    [*passed, *(field.split()[0] for field in CHUNK_SCHEMA.split(", "))])
+
+            owners, chunks, size = [], [], 0
+            for at, (name, value, keep) in enumerate(zip(names, texts, kept)):
+                if keep:
+                    owners.append(at)
+                    chunks.append((None, None, None, None, None))
+                for chunk in chunks_of(name, value):
+                    owners.append(at)
+                    chunks.append(chunk)
+                    size += sum(map(len, chunk[3])) + sum(map(len, chunk[4]))
+                    if len(chunks) >= BATCH_ROWS or size >= BATCH_CHARS:
+                        yield handed(owners, chunks)
+                        owners, chunks, size = [], [], 0
+            yield handed(owners, chunks)
+
+    return run
+
+
+def search_chunks(prepared: DataFrame, definitions, *, chunk_matches: int = CHUNK_MATCHES,
+                  window: int | None = None, keep: Column | None = None) -> DataFrame:
+    """One row per chunk of the matches of a record and definition (see ``chunks``),
+    with Python ``re``; so a row is bounded however many matches there are.
+
+    All columns of ``prepared`` but the texts stay.  A record for which ``keep`` holds
+    also has a row without a definition.  With ``window``, texts are searched in
+    windows of that many characters, with the same result.
+    """
+    passed = [c for c in prepared.columns if c not in _SEARCH_ONLY]
+    kept = F.lit(False) if keep is None else F.coalesce(keep, F.lit(False))
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in prepared.select(*passed).schema]
+    return prepared.select(*passed, "text", kept.alias("kept")).mapInArrow(
+        _searched(regex.as_definitions(definitions), chunk_matches, window, ("text", "kept")),
+        ", ".join([*fields, CHUNK_SCHEMA]))
+
+
+def as_chunks(found: DataFrame, keep: Column) -> DataFrame:
+    """Records with their ``hits`` (``search_records``) in the form of
+    ``search_chunks``, each pair one chunk."""
+    none = F.array().cast(f"array<{regex.HIT_TYPE}>")
+    first = F.when(keep, F.array(F.lit(None).cast(regex.HIT_TYPE))).otherwise(none)
+    hits = F.concat(first, F.coalesce("hits", none))
+    kept = [c for c in found.columns if c != "hits"]
+    rows = found.select(*kept, F.explode(hits).alias("hit"))
+    single = F.col("hit").isNotNull()
+    return rows.select(*kept, "hit.definition", F.when(single, 0).cast("bigint").alias("chunk"),
+                       F.when(single, True).alias("whole"), "hit.name_matches",
+                       "hit.content_matches")
+
+
 def matching_definitions(prepared: DataFrame, keys: list[str], definitions,
                          dialect: str = "auto") -> DataFrame:
     """The pairs that match, without the matches themselves.

@@ -15,6 +15,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import regex, text
+from gleanery.functions.chunks import CHUNK_MATCHES, CHUNK_SCHEMA, ChunkSearch
+from gleanery.functions.windows import WINDOW
 from gleanery.operators import export, search, summary
 from gleanery.sinks import report, zip_export
 from gleanery.sources.definitions import load_definitions, require_valid
@@ -132,12 +134,13 @@ def _delete(spark: SparkSession, path: str) -> None:
     hadoop_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop_path, True)
 
 
-def _stage(records, definitions, path, *, search_binary, redistribute, max_payload_bytes):
+def _stage(records, definitions, path, *, dialect, search_binary, redistribute,
+           max_payload_bytes, chunk_matches):
     """Decode and search records once; keep what later steps need.
 
-    One row per matched record with all its hits, plus the error and trailer
-    rows of the source, records with a note, and those whose payload is too
-    large for a row.  Payloads are not kept.
+    One row per matched record, definition and chunk, plus, without a definition, the
+    error and trailer rows of the source, records with a note, and those whose payload
+    is too large for a row.  Payloads are not kept.
     """
     trailer = [c.split()[0] for c in TRAILER_SCHEMA.split(", ")]
     if redistribute:
@@ -150,59 +153,66 @@ def _stage(records, definitions, path, *, search_binary, redistribute, max_paylo
         search_binary=search_binary,
         carry=["error", "note", *trailer, "payload_size", "large",
                F.col("name").alias("record_name")])
-    found = search.search_records(
-        prepared, definitions, "auto",
-        keep=F.coalesce("error", "note").isNotNull() | F.col("records_read").isNotNull()
-        | F.col("large"))
+    keep = F.coalesce("error", "note").isNotNull() | F.col("records_read").isNotNull() \
+        | F.col("large")
+    if dialect == "native":
+        found = search.as_chunks(search.search_records(prepared, definitions, dialect, keep), keep)
+    else:
+        found = search.search_chunks(prepared, definitions, chunk_matches=chunk_matches, keep=keep)
     found.write.parquet(path)
 
 
-def _large_records(spark, staged, definitions, search_binary) -> DataFrame:
+def _large_records(spark, staged, definitions, search_binary, chunk_matches, window) -> DataFrame:
     """Matches of the records whose payload is too large for a row.
 
     Each is read and searched where it lies, by its place in the archive, those
-    of one gzip member in one pass; only matches become rows.  The engine is the
-    one that ``auto`` equals.
+    of one gzip member in one pass; only chunks of matches become rows.  A text is
+    held in windows, whole only for definitions that may look any far.
     """
-    find = regex.python_search(definitions)
+    searcher = ChunkSearch(definitions, chunk_matches, window)
     binary = re.compile(text.BINARY_BYTES.encode("latin-1"))
-    strings = pa.list_(pa.string())
-    fields = pa.schema([
-        ("archive", pa.string()), ("record_offset", pa.int64()),
-        ("record_position", pa.int64()), ("name", pa.string()), ("payload_size", pa.int64()),
-        ("definition", pa.string()), ("name_matches", strings), ("content_matches", strings)])
+    fields = [("archive", pa.string()), ("record_offset", pa.int64()),
+              ("record_position", pa.int64()), ("name", pa.string()), ("payload_size", pa.int64())]
 
     def content(pieces):
-        """The text, decoded as it is read; None if it is binary."""
-        head, decoder, parts = b"", codecs.getincrementaldecoder("utf-8")("ignore"), []
+        """The text, decoded as it is read; nothing if it is binary."""
+        head, waiting = b"", []
+        decoder = codecs.getincrementaldecoder("utf-8")("ignore")
         for piece in pieces:
             if len(head) < text.SNIFF_BYTES:
                 head += piece[:text.SNIFF_BYTES - len(head)]
                 if not search_binary and binary.search(head):
-                    return None
-            parts.append(decoder.decode(piece))
-        return "".join(parts) + decoder.decode(b"", final=True)
+                    return
+                waiting.append(piece)
+                if len(head) < text.SNIFF_BYTES:
+                    continue
+                piece = b"".join(waiting)
+                waiting.clear()
+            yield decoder.decode(piece)
+        yield decoder.decode(b"".join(waiting), final=True)
 
     def search_in_place(batches):
         payloads = Payloads()
         for batch in batches:
             for archive, offset, position, name in zip(*(c.to_pylist() for c in batch.columns)):
                 size, pieces = payloads.open(archive, offset, position)
-                rows = [(archive, offset, position, name, size, *hit)
-                        for hit in find(name, content(pieces))]
-                if rows:
-                    columns = [pa.array(column, f.type) for column, f in zip(zip(*rows), fields)]
-                    yield pa.RecordBatch.from_arrays(columns, schema=fields)
+                record = (archive, offset, position, name, size)
+                for chunk in searcher.pieces(name, content(pieces)):
+                    columns = [pa.array([value], kind) for value, (_, kind) in zip(record, fields)]
+                    yield pa.RecordBatch.from_arrays(
+                        columns + search.chunk_batch([chunk]),
+                        [*(field for field, _ in fields),
+                         *(field.split()[0] for field in CHUNK_SCHEMA.split(", "))])
         payloads.close()
 
     member = ["archive", "record_offset"]
-    places = staged.where("large").select(*RECORD_KEY, F.col("record_name").alias("name")) \
+    places = staged.where("large and definition is null") \
+        .select(*RECORD_KEY, F.col("record_name").alias("name")) \
         .repartition(spark.sparkContext.defaultParallelism, *member) \
         .sortWithinPartitions(*RECORD_KEY)
     return places.mapInArrow(search_in_place, (
         "archive string, record_offset bigint, record_position bigint, name string,"
-        " payload_size bigint, definition string, name_matches array<string>,"
-        " content_matches array<string>"))
+        f" payload_size bigint, {CHUNK_SCHEMA}"))
 
 
 def _splits(staged: DataFrame) -> DataFrame:
@@ -347,17 +357,23 @@ def _export_table(winners, n, path) -> None:
         .write.partitionBy("definition").parquet(path)
 
 
-def _problems(spark, staged, matches, counts, loaded, extract, failures) -> DataFrame:
-    errors = staged.where("error is not null").select("archive", "error")
-    notes = staged.where("note is not null").select("archive", F.concat_ws(
+def _problems(spark, staged, matches, counts, loaded, extract, failures, refused) -> DataFrame:
+    """``refused`` says that records whose payload is no row were not searched."""
+    rows = staged.where("definition is null")
+    errors = rows.where("error is not null").select("archive", "error")
+    notes = rows.where("note is not null").select("archive", F.concat_ws(
         " ", "note", F.lit("at"), "record_offset").alias("message"))
+    unsearched = rows.where("large" if refused else "false").select("archive", F.concat_ws(
+        " ", F.lit("payload too large for a row, which the native dialect searches only: at"),
+        "record_offset").alias("message"))
     seen = counts.where("records_read > 0").select("archive") \
         .unionByName(errors.select("archive"))
-    unexported = matches.where("not exportable" if extract else "false").select(
+    unexported = matches.where("not exportable and chunk = 0" if extract else "false").select(
         "definition", F.concat_ws(" ", F.lit("no name to export under: archive"), "archive",
                                   F.lit("at"), "record_offset").alias("message"))
     return summary.problems(
         ("error", errors, "archive", "error"),
+        ("error", unsearched, "archive", "message"),
         ("error", loaded.rejected_table(spark), "definition", "reason"),
         ("error", unexported, "definition", "message"),
         ("error", failures, "file", "concat_ws(': ', error, entry_name)"),
@@ -368,9 +384,10 @@ def _problems(spark, staged, matches, counts, loaded, extract, failures) -> Data
 
 def search_archives(spark: SparkSession, archives: str, definitions: str, out: str, *,
                     extract: bool = False, extract_format: str = "zip",
-                    search_binary: bool = False, split_bytes: int = SPLIT_BYTES,
-                    zip_bytes: int = ZIP_BYTES, redistribute: int = 0,
-                    max_payload_bytes: int = MAX_PAYLOAD,
+                    search_binary: bool = False, dialect: str = "auto",
+                    split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES,
+                    redistribute: int = 0, max_payload_bytes: int = MAX_PAYLOAD,
+                    chunk_matches: int = CHUNK_MATCHES, window: int = WINDOW,
                     shared_files: bool = False) -> SearchResult:
     """Search all archives of a directory with all definitions of another.
 
@@ -383,7 +400,13 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
     task; ``redistribute`` then spreads the search over that many tasks, at
     the price of a shuffle of the payloads.  Payloads above
     ``max_payload_bytes`` do not become rows: they are searched and exported
-    where they lie, with the same result.
+    where they lie, in windows of ``window`` characters, with the same result.
+
+    ``matches`` has a row per record and definition; one with more than
+    ``chunk_matches`` matches has several, numbered by ``chunk``, and ``whole`` is
+    false in them.  ``dialect`` is ``python`` (``auto`` is the same here), or
+    ``native`` for Java's regular expressions, which search rows only: records
+    above ``max_payload_bytes`` are errors then.
 
     Off local mode ``out`` and ``spark.checkpoint.dir`` must be folders that all
     executors see; ``shared_files`` says that a ``file:`` path is one.
@@ -392,14 +415,17 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
         raise ValueError("extract_format must be 'zip' or 'table'")
     if not shared_files:
         require_shared(spark, out)
+    if dialect not in regex.DIALECTS:
+        raise ValueError(f"dialect must be one of {regex.DIALECTS}, not {dialect!r}")
     started, now = time.time(), datetime.now()
     loaded = load_definitions(definitions)
     require_valid(loaded)
     archive_count = len(list_archives(archives))
     run_dir = new_run_dir(out, now)
     staging, target = _staging_dir(spark, run_dir), spark_path(run_dir)
-    how = dict(search_binary=search_binary, redistribute=redistribute,
-               max_payload_bytes=max_payload_bytes)
+    native = dialect == "native"
+    how = dict(dialect=dialect, search_binary=search_binary, redistribute=redistribute,
+               max_payload_bytes=max_payload_bytes, chunk_matches=chunk_matches)
 
     def stage(records, number):
         _stage(records, loaded.definitions, f"{staging}/rows/pass={number}", **how)
@@ -411,11 +437,13 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
                          _scan(spark, archives, split_bytes=split_bytes, **options))
         repaired = splits.select(F.max("passes")).first()[0] or 1
         staged = _valid(spark.read.parquet(f"{staging}/rows"), splits, repaired=repaired > 1)
-        columns = [*RECORD_KEY, "name", "payload_size"]
-        small = staged.where("hits is not null").withColumn("name", F.col("record_name")) \
-            .select(*columns, F.inline("hits"))
-        large = _large_records(spark, staged, loaded.definitions, search_binary)
-        small.unionByName(large).withColumn("exportable", F.col("name").isNotNull()) \
+        chunk = [field.split()[0] for field in CHUNK_SCHEMA.split(", ")]
+        found = staged.where("definition is not null").withColumn("name", F.col("record_name")) \
+            .select(*RECORD_KEY, "name", "payload_size", *chunk)
+        if not native:
+            found = found.unionByName(_large_records(
+                spark, staged, loaded.definitions, search_binary, chunk_matches, window))
+        found.withColumn("exportable", F.col("name").isNotNull()) \
             .write.parquet(f"{target}/matches")
         matches = spark.read.parquet(f"{target}/matches")
 
@@ -437,7 +465,7 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
-        problems = _problems(spark, staged, matches, counts, loaded, extract, failures)
+        problems = _problems(spark, staged, matches, counts, loaded, extract, failures, native)
         problems.write.json(f"{target}/problems")
         written = spark.read.schema(problems.schema).json(f"{target}/problems")
         seconds = F.lit(time.time() - started)

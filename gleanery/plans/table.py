@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.functions.chunks import CHUNK_MATCHES
 from gleanery.operators import search
 
 
@@ -40,3 +41,14 @@ def search_table(df: DataFrame, keys: list[str], name: Column | str, text: Colum
     prepared = prepare_table(df, keys, name, text, search_binary=search_binary,
                              is_text=is_text, redistribute=redistribute)
     return search.search_pairs(prepared, keys, definitions, dialect)
+
+
+def search_table_chunks(df: DataFrame, keys: list[str], name: Column | str, text: Column | str,
+                        definitions, *, search_binary: bool = False, is_text: bool = True,
+                        chunk_matches: int = CHUNK_MATCHES, window: int | None = None,
+                        redistribute: int = 0) -> DataFrame:
+    """``search_table`` for rows with any number of matches: one row per chunk of
+    ``chunk_matches``, with ``chunk`` and ``whole`` (see ``functions.chunks``)."""
+    prepared = prepare_table(df, keys, name, text, search_binary=search_binary,
+                             is_text=is_text, redistribute=redistribute)
+    return search.search_chunks(prepared, definitions, chunk_matches=chunk_matches, window=window)

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text
+from gleanery.operators import matches as match_tables
 from gleanery.operators.search import SCOPE_CONTENTS, SCOPE_NAME
 
 RULE = "_" * 67
@@ -56,25 +57,60 @@ def report_header(definition: Column, pattern: Column, created: Column) -> Colum
     return fill(HEADER, report=text.report_name(definition), created=created, pattern=pattern)
 
 
+def _chunked_lines(chunks: DataFrame, order: list[str], archive: Column) -> DataFrame:
+    """The blocks of pairs in several chunks, a row for each piece: heading, the
+    count and the items of each scope, rule.  ``section`` and ``item`` order them."""
+    pairs = chunks.where("chunk = 0").select("definition", *order, archive.alias("in_archive"),
+                                             "name")
+    kept = chunks.select("definition", *order, archive.alias("in_archive"), "name", "chunk",
+                         "whole", "name_matches", "content_matches")
+    place = ["definition", *order]
+
+    def piece(section: Column, item: Column, value: Column) -> list[Column]:
+        return [*place, section.cast("int").alias("section"), item.cast("bigint").alias("item"),
+                value.alias("piece")]
+
+    scope = F.when(F.col("scope") == SCOPE_NAME, 1).otherwise(2)
+    zero = F.lit(0)
+    heading = pairs.select(*piece(zero, zero, fill(
+        RECORD, archive=F.col("in_archive"), name=F.col("name"))))
+    counts = match_tables.chunk_totals(kept).select(*piece(scope, zero, fill(
+        COUNT, scope=F.col("scope"), total=F.col("total"), duplicates=F.col("duplicates"))))
+    items = match_tables.chunk_items(kept).select(*piece(scope, F.col("item"), fill(
+        MATCH, item=F.col("item"), scope=F.col("scope"), match=F.col("match"))))
+    rule = pairs.select(*piece(F.lit(3), zero, F.lit(RULE + "\n\n")))
+    return heading.unionByName(counts).unionByName(items).unionByName(rule)
+
+
 def report_lines(pairs: DataFrame, definitions: DataFrame, order: list[str], archive: Column,
                  created: Column, partitions: int | None = None) -> DataFrame:
     """All reports as (``report``, ``value``), range-partitioned in report order.
 
     Ranges and not a hash of the definition, so that the report of a definition
     that matches a third of all records is spread over many tasks.  The text is
-    put together after the shuffle, which moves the matches only.
+    put together after the shuffle, which moves the matches only.  Pairs may be
+    chunks; those of several are put out piece by piece.
 
     ``pairs`` should be a stored table: finding the ranges samples it, which
     would otherwise run the search once more.
     """
     report = F.coalesce(text.report_name(F.col("definition")), F.lit(""))
-    body = pairs.select(report.alias("report"), *order, archive.alias("in_archive"), "name",
-                        "name_matches", "content_matches",
-                        F.lit(None).cast("string").alias("header"))
+    single = pairs
+    chunked = "whole" in pairs.columns and not pairs.where("not whole").isEmpty()
+    if chunked:
+        single = pairs.where("whole")
+    body = single.select(report.alias("report"), *order, archive.alias("in_archive"), "name",
+                         "name_matches", "content_matches",
+                         F.lit(None).cast("string").alias("header"))
     header = definitions.select(report.alias("report"), report_header(
         F.col("definition"), F.col("pattern"), created).alias("header"))
     rows = body.unionByName(header, allowMissingColumns=True)
     position = ["report", *[F.col(c).asc_nulls_first() for c in order]]
+    if chunked:
+        pieces = _chunked_lines(pairs.where("not whole"), order, archive).select(
+            report.alias("report"), *order, "section", "item", F.col("piece").alias("header"))
+        rows = rows.unionByName(pieces, allowMissingColumns=True)
+        position += ["section", "item"]
     by = position if partitions is None else [partitions, *position]
     ordered = rows.repartitionByRange(*by).sortWithinPartitions(*position)
     block = F.coalesce("header", record_block(

@@ -40,15 +40,17 @@ MIN_SPLIT_BYTES = 4 << 20
 # An Arrow batch is handed to Spark at this many rows or payload bytes.
 BATCH_ROWS = 1000
 BATCH_BYTES = 8 << 20
-# What is kept of a header line at most; the rest of it is passed over.
-MAX_LINE = 1 << 20
-# An HTTP header block ends within so many bytes, or there is none.
+# A longer header line, which could not be a name in a row, ends its archive with an
+# error.
+MAX_LINE = 512 << 20
+# An HTTP header block that goes on beyond so many bytes stays in the payload.
 MAX_HEAD = 16 << 20
 # Larger payloads stay out of the rows, which cannot exceed 2 GiB.
 MAX_PAYLOAD = 512 << 20
 # Payloads are read by place in pieces of this size at most.
 PIECE_BYTES = 64 << 20
 NO_HTTP_END = "HTTP header block without an end"
+LONG_HTTP = "HTTP header block without an end in its first {} bytes"
 
 _READ_AHEAD = 4 << 20
 _CHUNK = 64 << 10
@@ -165,16 +167,18 @@ class Members:
         return self._total - (len(self._buffer) - self._cursor)
 
     def line(self) -> bytes:
-        """The next line with its end; of a very long one the first part."""
-        parts, room = [], MAX_LINE
+        """The next line with its end, whole."""
+        parts, size = [], 0
         while self._cursor < len(self._buffer) or self._fill():
             at = self._buffer.find(b"\n", self._cursor)
             end = at + 1 or len(self._buffer)
-            parts.append(self._buffer[self._cursor:min(end, self._cursor + room)])
-            room -= len(parts[-1])
+            parts.append(self._buffer[self._cursor:end])
+            size += len(parts[-1])
             self._cursor = end
             if at >= 0:
                 break
+            if size > MAX_LINE:
+                raise ArchiveError(f"header line of more than {MAX_LINE} bytes")
         return b"".join(parts)
 
     def pieces(self, n: int) -> Iterator[bytes]:
@@ -194,9 +198,9 @@ class Members:
 
 def read_headers(members: Members) -> dict[str, str]:
     """The header block of one record; names in lower case, LF alone will do."""
-    version = members.line()
-    if not version.startswith(_RECORD):
-        raise ArchiveError(f"no record header: {version[:40]!r}")
+    if members.peek(len(_RECORD)) != _RECORD:
+        raise ArchiveError(f"no record header: {members.peek(40)!r}")
+    members.line()
     headers, last = {}, None
     while True:
         line = members.line()
@@ -240,8 +244,10 @@ def open_payload(members: Members, headers: dict[str, str], http_headers: bool =
             return length, None, chain([bytes(head)], rest)
         if end := _HTTP_END.search(head, searched):
             return length - end.end(), None, chain([bytes(head[end.end():])], rest)
-        if len(head) == length or len(head) >= MAX_HEAD:
+        if len(head) == length:
             return length, NO_HTTP_END, chain([bytes(head)], rest)
+        if len(head) >= MAX_HEAD:
+            return length, LONG_HTTP.format(len(head)), chain([bytes(head)], rest)
 
 
 class Payloads:

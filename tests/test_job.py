@@ -349,3 +349,54 @@ def test_type_filter_reaches_the_source(spark, dirs):
         ("http://x", None)]
     raw = read_records(spark, str(dirs / "in"), http_headers="true").where("error is null")
     assert bytes(raw.first().payload).startswith(b"HTTP/1.1 200 OK\r\n")
+
+
+def _merged(result):
+    """Matches by record and definition, of all chunks in order."""
+    found = {}
+    for r in sorted(result.matches.collect(), key=lambda r: r.chunk):
+        held = found.setdefault((os.path.basename(r.archive), r.record_offset, r.name, r.definition),
+                                ([], []))
+        held[0].extend(r.name_matches)
+        held[1].extend(r.content_matches)
+    return found
+
+
+def test_chunks_and_windows_change_nothing(spark, dirs):
+    """Few matches to a chunk, payloads in rows or in windows: one result."""
+    define(dirs, any="", word="[a-z]+", line="(?m)^.*$", twice=r"(\w)\1", none="zzz")
+    write_archive(dirs / "in" / "a.warc.gz", [
+        response("http://x/1", b"Foo foobar Foo 12\nbook \xc3\xa9\xff book\n" * 30),
+        response("http://x/2", b"\x00 binary aa"), response("http://x/3", b""),
+        response(None, b"nameless aa bb aa")])
+    write_archive(dirs / "in" / "b.warc.gz", [response("http://x/1", b"aa other " * 40)],
+                  single_member=True)
+    plain = run(spark, dirs, extract=True)
+    assert {r.chunk for r in plain.matches.collect()} == {0}
+    for how in (dict(chunk_matches=2), dict(max_payload_bytes=20, window=7),
+                dict(chunk_matches=3, max_payload_bytes=20, window=50)):
+        other = run(spark, dirs, extract=True, **how)
+        assert _merged(other) == _merged(plain)
+        for definition in ("any", "word", "line", "twice", "none"):
+            texts = [re.sub(r"\[Created: .*\]", "", report_text(r, definition))
+                     for r in (plain, other)]
+            assert texts[0] == texts[1]
+            assert exported(plain, definition) == exported(other, definition)
+        assert other.summary.select("records_read", "errors", "warnings").collect() == \
+            plain.summary.select("records_read", "errors", "warnings").collect()
+
+
+def test_dialects_of_the_job(spark, dirs):
+    define(dirs, mail="[a-z]+@[a-z]+", word=r"\w+")
+    write_archive(dirs / "in" / "a.warc.gz", [response("http://x/1", "ab@cd é1".encode()),
+                                              response("http://x/2", b"long@text " * 50)])
+    python, auto = run(spark, dirs, dialect="python"), run(spark, dirs)
+    assert _merged(python) == _merged(auto)
+    native = run(spark, dirs, dialect="native")
+    assert _merged(native) == _merged(auto)
+    refused = run(spark, dirs, dialect="native", max_payload_bytes=100, extract=True)
+    assert {name for _, _, name, _ in _merged(refused)} == {"http://x/1"}
+    errors = [p["message"] for p in problems(refused) if p["severity"] == "error"]
+    assert len(errors) == 1 and "native dialect" in errors[0]
+    with pytest.raises(ValueError, match="dialect"):
+        run(spark, dirs, dialect="java")

@@ -4,6 +4,7 @@ import gzip
 import os
 import pickle
 import random
+import re
 
 import pytest
 
@@ -69,15 +70,33 @@ def test_response_records_and_bodies(spark, tmp_path):
 
 
 def test_long_header_lines(spark, tmp_path):
-    """Longer than what is kept of a line, longer than any buffer."""
-    long = b"X-Long: " + b"z" * (3 << 20)
+    """Longer than any buffer; a name is kept whole."""
+    long, uri = b"X-Long: " + b"z" * (3 << 20), "http://x/" + "u" * (2 << 20) + "/end"
     write_archive(tmp_path / "a.gz", [
         warc_record("response", "http://x/1", b"one").replace(b"WARC-Type", long + b"\r\nWARC-Type"),
-        warc_record("response", "http://x/2", b"two")])
-    assert [r[3:] for r in rows(spark, tmp_path)] == [("http://x/1", b"one"), ("http://x/2", b"two")]
+        warc_record("response", uri, b"two")])
+    assert [r[3:] for r in rows(spark, tmp_path)] == [("http://x/1", b"one"), (uri, b"two")]
     assert errors(spark, tmp_path) == {}
 
 
+def test_bounds_of_headers_are_told(tmp_path, monkeypatch):
+    """A line beyond the bound ends the archive, a long HTTP block leaves a note."""
+    monkeypatch.setattr(warc, "MAX_LINE", 100_000)
+    monkeypatch.setattr(warc, "MAX_HEAD", 100_000)
+    path = str(tmp_path / "a.gz")
+    head = b"HTTP/1.1 200 OK\r\nX: " + os.urandom(200_000).replace(b"\n", b"") + b"\r\n\r\n"
+    write_archive(path, [warc_record("response", "http://x/1", b"one", http=head),
+                         warc_record("response", "http://x/" + "u" * 900_000, b"two"),
+                         warc_record("response", "http://x/3", b"three")])
+    reader = WarcReader({"path": path})
+    found = [r for part in reader.partitions() for b in reader.read(part) for r in b.to_pylist()]
+    assert [r["name"] for r in found] == ["http://x/1", None]
+    assert found[0]["payload"] == head + b"one"
+    assert re.fullmatch("HTTP header block without an end in its first [0-9]+ bytes",
+                        found[0]["note"])
+    assert found[1]["error"] == "ArchiveError: header line of more than 100000 bytes"
+
+
 def test_pieces_of_payloads(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(warc, "PIECE_BYTES", 100_000)
     bodies = [b"", b"abc", os.urandom(350_000), b"x" * 100_000]
