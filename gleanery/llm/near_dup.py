@@ -3,16 +3,20 @@
 A text is its set of word shingles.  Independent trees branch the texts: at a
 node, which knows one or two coordinates of a minhash signature, a text goes to
 the child its minwise token there selects, so alike texts tend to stay
-together and others part.  Nodes of few texts are compared exhaustively.  Larger
-ones are first compared in parts; one whose texts are all connected by then is
-done with, which is what becomes of large groups of copies.  The others are
-compared in pairs of blocks, very large ones branch on first.  So nothing is
-dropped.
+together and others part.  Nodes of few texts are compared exhaustively, larger
+ones in random parts.
 
-To compare texts, short sketches find clusters of those that may be similar;
-equal clusters of different trees are one.  The whole texts of a cluster then
-meet in one group of bounded size, which finds all links at once and puts out
-no more than connects them, never pairs.
+The trees come in waves.  After each one the texts found to be connected are one
+component, and a node whose texts are all of one is done with, which is what becomes
+of large groups of copies after the first wave.  Large nodes that hold several
+components when all trees have been are compared in pairs of blocks, but for blocks
+of one component; the texts of very large ones go through more trees of greater
+depth first.  So nothing is dropped.
+
+To compare texts, short sketches find clusters of those that may be similar and are
+not connected yet.  The whole texts of a cluster then meet in one group of bounded
+size, which finds all links at once and puts out no more than connects components,
+never pairs.
 
 Texts with equal sets are one class from the start.  A link counts only when the
 full sets of shingles confirm it.
@@ -21,10 +25,11 @@ full sets of shingles confirm it.
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import Scratch, components
@@ -32,7 +37,11 @@ from gleanery.llm.words import mix, shingles, word_hashes
 
 # Similar: 100 * shared shingles >= PERCENT * all shingles of both.
 PERCENT = 80
-TREES, MAX_DEPTH = 16, 12
+# Trees, and more of them for each level beyond which fewer pairs stay together; what
+# a pair of just that similarity meets in is then 0.9999 at every depth.
+TREES, MORE_TREES, FULL_DEPTH, MAX_DEPTH = 16, 4, 6, 12
+# Trees of a wave, the last size for all further ones; levels that one more phase adds.
+WAVES, DEEPER = (2, 2, 4, 8), 2
 # A second coordinate is taken at so many nodes of 256: 1 / 0.8 branches a node
 # on average, which keeps texts of just that similarity together.
 SECOND = 64
@@ -55,6 +64,12 @@ _ADD = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64, endpoint=False)
 _TIMES = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def _blocks_of(texts, shingles):
+    """Blocks that so many texts with so many shingles call for."""
+    texts, shingles = (F.col(c) if isinstance(c, str) else c for c in (texts, shingles))
+    return F.greatest(F.ceil(texts / LEAF), F.ceil(shingles / LEAF_SHINGLES)).cast("bigint")
+
+
 def signature(grams: np.ndarray) -> np.ndarray:
     """16 bits of the least value of each of the random orders of the shingles."""
     least = np.full(COORDINATES, np.iinfo(np.uint64).max)
@@ -105,40 +120,40 @@ def branch(nodes: np.ndarray, signs: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return index, mix(chosen[index] ^ mix((at.astype(np.uint64) << np.uint64(16)) + token))
 
 
-def _roots(depth: int):
-    """Nodes at ``depth`` of all trees, from (class, n_shingles, sign)."""
+def trees_for(depth: int) -> int:
+    return TREES + MORE_TREES * max(depth - FULL_DEPTH, 0)
+
+
+def waves(first: int, trees: int) -> list[range]:
+    """Numbers of the trees of each wave."""
+    found, end = [], first + trees
+    while first < end:
+        size = WAVES[min(len(found), len(WAVES) - 1)]
+        found.append(range(first, min(first + size, end)))
+        first += size
+    return found
+
+
+def _roots(trees: range, depth: int):
+    """Nodes at ``depth`` of some trees, from (class, comp, n_shingles, sign)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
             signs = _signs(batch.column("sign"))
-            owner = np.tile(np.arange(len(signs)), TREES)
-            nodes = mix(np.repeat(np.arange(1, TREES + 1, dtype=np.uint64), len(signs)))
+            owner = np.tile(np.arange(len(signs)), len(trees))
+            nodes = mix(np.repeat(np.array(trees, np.uint64), len(signs)))
             for _ in range(depth):
                 index, nodes = branch(nodes, signs[owner])
                 owner = owner[index]
-            yield _with_nodes(batch, owner, nodes)
+            owner = pa.array(owner)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c).take(owner) for c in ("class", "comp", "n_shingles")),
+                 pa.array(nodes.view(np.int64))], ["class", "comp", "n_shingles", "node"])
 
     return run
 
 
-def _with_nodes(batch, owner: np.ndarray, nodes: np.ndarray) -> pa.RecordBatch:
-    owner = pa.array(owner)
-    return pa.RecordBatch.from_arrays(
-        [batch.column("class").take(owner), batch.column("n_shingles").take(owner),
-         pa.array(nodes.view(np.int64))], ["class", "n_shingles", "node"])
-
-
-def _children(batches):
-    """Nodes one level deeper, from (class, n_shingles, node, sign)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        nodes = np.asarray(batch.column("node")).view(np.uint64)
-        index, child = branch(nodes, _signs(batch.column("sign")))
-        yield _with_nodes(batch, index, child)
-
-
 def _alike(signs: np.ndarray) -> np.ndarray:
     """Which pairs of rows, the first before the second, agree enough."""
     return np.triu((signs[:, None] == signs[None]).sum(2, np.uint8) >= LEAST_AGREEING, 1)
@@ -160,22 +175,26 @@ def _roots_of(near: np.ndarray) -> np.ndarray:
 
 def _clusters(batches):
     """Of each row's list, the clusters of classes that may be similar and are
-    not all connected yet."""
+    not all connected yet, with their components."""
     for batch in batches:
         column = batch.column("members")
         offsets = np.asarray(column.offsets)
         ids, comp, brief = column.flatten().flatten()
         ids, comp = np.asarray(ids), np.asarray(comp)
         signs = np.frombuffer(b"".join(brief.to_pylist()), np.uint8).reshape(len(ids), -1)
-        found = []
+        found, comps = [], []
         for low, high in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
             near = _alike(signs[low:high]) & (comp[low:high, None] != comp[low:high])
             if near.any():
-                own, root = ids[low:high], _roots_of(near)
-                found += [np.sort(own[root == r]) for r in np.flatnonzero(
-                    np.bincount(root, minlength=len(own)) > 1)]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(found, pa.list_(pa.int64()))], ["cluster"])
+                root = _roots_of(near)
+                for r in np.flatnonzero(np.bincount(root, minlength=high - low) > 1):
+                    own = np.flatnonzero(root == r) + low
+                    own = own[np.argsort(ids[own])]
+                    found.append(ids[own])
+                    comps.append(comp[own])
+        kind = pa.list_(pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(found, kind), pa.array(comps, kind)],
+                                         ["cluster", "comps"])
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -200,16 +219,22 @@ def similar(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def _confirmed(k: int):
-    """The links of a cluster of (class, text), as (class, root) edges."""
+    """The links of a cluster of (class, comp, text) between components, no more of
+    them than connect these."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        ids = table.column("class").to_numpy()
+        comps = table.column("comp").to_numpy()
         sets = []
         for _, _, hashes, bounds in word_hashes(table.column("text").combine_chunks()):
             sets += [np.unique(shingles(hashes[a:b], k)) for a, b in zip(bounds[:-1], bounds[1:])]
-        root = _roots_of(similar(sets))
-        linked = root != np.arange(len(root))
-        return pa.table({"a": ids[linked], "b": ids[root[linked]]})
+        names, at = np.unique(comps, return_inverse=True)
+        linked = np.zeros((len(names), len(names)), bool)
+        a, b = np.nonzero(similar(sets))
+        linked[at[a], at[b]] = True
+        np.fill_diagonal(linked, False)
+        root = _roots_of(linked)
+        joined = root != np.arange(len(root))
+        return pa.table({"a": names[joined], "b": names[root[joined]]})
 
     return run
 
@@ -237,37 +262,52 @@ class Join:
                 F.min("sign").alias("sign"), F.min("brief").alias("brief"),
                 F.min("n_shingles").alias("n_shingles"),
                 F.min("doc_id").alias("low")), "classes")
-        self.links = []
+        #: The component of the classes that do not name theirs.
         self.root = None
+        self.roots = 0
 
     def _compare(self, rows: DataFrame, name: str) -> None:
-        """Find the links among the ``rows`` (class, comp) of each node, and the
-        components anew."""
+        """Find the links among the ``rows`` (class, comp, node) of each node, and
+        the components anew."""
         members = self._with(rows, "brief").groupBy("node").agg(F.collect_list(
             F.struct("class", "comp", "brief")).alias("members")).select("members")
-        # Clusters of one hash would be one group, with no harm.
-        clusters = members.mapInArrow(_clusters, "cluster array<bigint>").distinct().select(
-            F.xxhash64("cluster").alias("cluster"), F.explode("cluster").alias("class"))
+        # Equal clusters of different trees are one; clusters of one hash would be one
+        # group, with no harm.
+        clusters = members.mapInArrow(_clusters, "cluster array<bigint>, comps array<bigint>") \
+            .distinct().select(F.xxhash64("cluster").alias("cluster"), F.explode(
+                F.arrays_zip(F.col("cluster").alias("class"), F.col("comps").alias("comp")))
+                .alias("x")).select("cluster", "x.class", "x.comp")
         clusters = self.scratch.save(clusters, f"{name}-clusters")
         used = clusters.select("class").distinct().join(
             self.classes.select("class", "text_mark"), "class")
         used = self.scratch.save(used, f"{name}-used")
-        marks = used.select("text_mark")
-        if used.count() <= MAX_BROADCAST:
-            marks = F.broadcast(marks)
-        texts = self.documents.join(marks, "text_mark", "left_semi").groupBy("text_mark").agg(
-            F.first("text").alias("text"))
-        texts = self.scratch.save(used.join(texts, "text_mark").select("class", "text"),
-                                  f"{name}-texts")
-        found = clusters.join(texts, "class").groupBy("cluster").applyInArrow(
-            _confirmed(self.k), "a bigint, b bigint")
-        self.links.append(self.scratch.save(found.distinct(), f"{name}-links"))
-        self.scratch.drop(f"{name}-texts", f"{name}-clusters", f"{name}-used")
-        links = self.links[0]
-        for more in self.links[1:]:
-            links = links.unionByName(more)
-        self.root = components(self.scratch, links, f"{name}-components").select(
+        times = used.count()
+        if times:
+            marks = used.select("text_mark")
+            if times <= MAX_BROADCAST:
+                marks = F.broadcast(marks)
+            texts = self.documents.join(marks, "text_mark", "left_semi").groupBy("text_mark") \
+                .agg(F.first("text").alias("text"))
+            texts = self.scratch.save(used.join(texts, "text_mark").select("class", "text"),
+                                      f"{name}-texts")
+            found = clusters.join(texts, "class").groupBy("cluster").applyInArrow(
+                _confirmed(self.k), "a bigint, b bigint")
+            self._contract(found, name)
+            self.scratch.drop(f"{name}-texts")
+        self.scratch.drop(f"{name}-clusters", f"{name}-used")
+
+    def _contract(self, links: DataFrame, name: str) -> None:
+        """Join the components that ``links`` (a, b) connect."""
+        merged = components(self.scratch, links, f"{name}-components").select(
             F.col("node").alias("class"), F.col("root").alias("comp"))
+        if self.root is None:
+            self.root = merged
+            return
+        onto = merged.select(F.col("class").alias("comp"), F.col("comp").alias("onto"))
+        moved = self.root.join(onto, "comp", "left").select(
+            "class", F.coalesce("onto", "comp").alias("comp"))
+        self.roots += 1
+        self.root = self.scratch.save(moved.unionByName(merged), f"root{self.roots}")
 
     def _with_comp(self, rows: DataFrame) -> DataFrame:
         if self.root is None:
@@ -279,60 +319,100 @@ class Join:
         return rows.join(self.classes.select("class", column), "class")
 
     def _open(self, rows: DataFrame) -> DataFrame:
-        """The rows of nodes that texts of several components have."""
-        mixed = rows.groupBy("node").agg(F.min("comp").alias("x"), F.max("comp").alias("y")) \
-            .where("x < y").select("node")
+        """The rows (class, comp, n_shingles, node) of nodes that several components
+        have, with the number of texts and of blocks."""
+        mixed = rows.groupBy("node").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"),
+            F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(
+            "node", "n", _blocks_of("n", "shingles").alias("blocks"))
         return rows.join(mixed, "node")
 
+    def _wave(self, classes: DataFrame, trees: range, depth: int) -> DataFrame | None:
+        """Compare the texts of ``classes`` that meet in some trees, those of a large
+        node in parts; the rows of the large nodes."""
+        name = f"trees{trees.start}"
+        nodes = self._with_comp(classes).select("class", "comp", "n_shingles", "sign").mapInArrow(
+            _roots(trees, depth), "class bigint, comp bigint, n_shingles bigint, node bigint")
+        nodes = self.scratch.save(nodes, f"{name}-nodes")
+        live = self.scratch.save(self._open(nodes), f"{name}-live")
+        self.scratch.drop(f"{name}-nodes")
+        if live.isEmpty():
+            return None
+        # The parts of a large node differ from tree to tree, so texts of different
+        # parts get connected by way of others.
+        part = F.pmod(F.xxhash64("node", "class"), "blocks")
+        self._compare(live.select("class", "comp", F.xxhash64("node", part).alias("node")), name)
+        large = live.where("blocks > 1")
+        if large.isEmpty():
+            self.scratch.drop(f"{name}-live")
+            return None
+        return large.select("class", "n_shingles", "node")
+
+    def _reopened(self, rows: DataFrame, name: str) -> DataFrame:
+        """What is open of the rows of large nodes as components are now."""
+        return self.scratch.save(self._open(self._with_comp(rows)), name)
+
     def run(self) -> DataFrame:
         """Rows (class, comp) for all classes that are linked with others."""
-        total = self.classes.count()
-        depth = 1
+        classes, total = self.classes, self.classes.count()
+        depth, first = 1, 1
         while total * CHANCE ** depth > 1 and depth < MAX_DEPTH - 2:
             depth += 1
-        schema = "class bigint, n_shingles bigint, node bigint"
-        nodes = self.classes.select("class", "n_shingles", "sign").mapInArrow(
-            _roots(depth), schema)
-        leaves = []
         while True:
-            nodes = self.scratch.save(nodes, f"nodes{depth}")
-            sizes = nodes.groupBy("node").agg(
-                F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles")) \
-                .where("n > 1").select("node", "n", F.greatest(
-                    F.ceil(F.col("n") / LEAF), F.ceil(F.col("shingles") / LEAF_SHINGLES))
-                    .cast("int").alias("blocks"))
-            live = self.scratch.save(nodes.join(sizes, "node"), f"live{depth}")
-            self.scratch.drop(f"nodes{depth}")
-            # The parts of a large node differ from tree to tree, so texts of
-            # different parts get connected by way of others.
-            part = F.pmod(F.xxhash64("node", "class"), "blocks")
-            parts = live.withColumn("node", F.xxhash64("node", part))
-            self._compare(self._with_comp(parts.select("class", "node")), f"part{depth}")
-            rest = self.scratch.save(self._open(self._with_comp(live.where("blocks > 1"))),
-                                     f"open{depth}")
-            self.scratch.drop(f"live{depth}")
-            leaves.append(self._blocks(rest if depth >= MAX_DEPTH
-                                       else rest.where(F.col("n") <= LARGE)))
-            large = rest.where(F.col("n") > LARGE)
-            if depth >= MAX_DEPTH or large.isEmpty():
-                break
-            depth += 1
-            nodes = self._with(large, "sign").select("class", "n_shingles", "node", "sign") \
-                .mapInArrow(_children, schema)
-        rows = leaves[0]
-        for more in leaves[1:]:
-            rows = rows.unionByName(more)
-        if not rows.isEmpty():
-            self._compare(self._open(self._with_comp(rows)), "block")
-        return self.root
+            found = [self._wave(classes.select("class", "n_shingles", "sign"), trees, depth)
+                     for trees in waves(first, trees_for(depth))]
+            first += trees_for(depth)
+            large = [rows for rows in found if rows is not None]
+            deeper = []
+            for at, rows in enumerate(large):
+                rows = self._reopened(rows, f"open{depth}-{at}")
+                if rows.isEmpty():
+                    continue
+                last = depth >= MAX_DEPTH
+                near = rows if last else rows.where(F.col("n") <= LARGE)
+                if not near.isEmpty():
+                    self._compare(self._blocks(near), f"block{depth}-{at}")
+                if not last:
+                    deeper.append(rows.where(F.col("n") > LARGE).select("class"))
+            again = self.scratch.save(reduce(DataFrame.unionByName, deeper).distinct(),
+                                      f"deeper{depth}") if deeper else None
+            if again is None or again.isEmpty():
+                return self.root
+            classes = self.classes.join(again, "class")
+            depth = min(depth + DEEPER, MAX_DEPTH)
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
-        """Large nodes as pairs of blocks, a node of its own for each pair."""
-        own = F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int")
-        other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-        return rows.withColumn("own", own).withColumn("other", other).select(
-            "class", F.xxhash64("node", F.least("own", "other"), F.greatest("own", "other"))
-            .alias("node"))
+        """Open nodes as pairs of blocks, a node of its own for each pair.
+
+        A large component has blocks of its own, and a pair of these is none; the
+        texts of the others share blocks.
+        """
+        sizes = rows.groupBy("node", "comp").agg(
+            F.count(F.lit(1)).alias("own_n"), F.sum("n_shingles").alias("shingles"))
+        sizes = sizes.withColumn("own_blocks", _blocks_of("own_n", "shingles"))
+        before = Window.partitionBy("node").orderBy("comp").rowsBetween(
+            Window.unboundedPreceding, -1)
+        large = sizes.where("own_blocks > 1").select(
+            "node", "comp", "own_blocks", F.coalesce(F.sum("own_blocks").over(before), F.lit(0))
+            .alias("start"))
+        small = F.col("own_blocks") == 1
+        totals = sizes.groupBy("node").agg(
+            F.sum(F.when(~small, F.col("own_blocks")).otherwise(0)).alias("large_blocks"),
+            F.greatest(F.lit(1), _blocks_of(
+                F.coalesce(F.sum(F.when(small, F.col("own_n"))), F.lit(0)),
+                F.coalesce(F.sum(F.when(small, F.col("shingles"))), F.lit(0))))
+            .alias("small_blocks"))
+        placed = rows.join(totals, "node").join(large, ["node", "comp"], "left")
+        spot = F.xxhash64("class")
+        own = F.when(F.col("start").isNull(),
+                     F.col("large_blocks") + F.pmod(spot, F.col("small_blocks"))).otherwise(
+            F.col("start") + F.pmod(spot, F.coalesce("own_blocks", F.lit(1))))
+        others = F.explode(F.sequence(F.lit(0).cast("bigint"),
+                                      F.col("large_blocks") + F.col("small_blocks") - 1))
+        paired = placed.withColumn("own", own).withColumn("other", others).where(
+            "start is null or other < start or other >= start + own_blocks")
+        return paired.select("class", "comp", F.xxhash64(
+            "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
 
     def labelled(self) -> DataFrame:
         """All rows with doc_id, text_mark, n_shingles, row and comp (null if the
