@@ -8,10 +8,11 @@ ones in random parts.
 
 The trees come in waves.  After each one the texts found to be connected are one
 component, and a node whose texts are all of one is done with, which is what becomes
-of large groups of copies after the first wave.  Large nodes that hold several
-components when all trees have been are compared in pairs of blocks, but for blocks
-of one component; the texts of very large ones go through more trees of greater
-depth first.  So nothing is dropped.
+of large groups of copies after the first wave.  Texts that look alike, though they
+are not all similar, are a bunch: its pairs are compared once and for all, so that
+later trees pass them over.  Large nodes that then still hold undecided pairs are
+compared in pairs of blocks, but for blocks of one component or bunch; the texts of
+very large ones go through more trees of greater depth.  So nothing is dropped.
 
 To compare texts, short sketches find clusters of those that may be similar and are
 not connected yet.  The whole texts of a cluster then meet in one group of bounded
@@ -47,18 +48,25 @@ WAVES, DEEPER = (2, 2, 4, 8), 2
 SECOND = 64
 # Texts that are compared at once (half of what a pair of blocks has), and texts
 # of a node from which it branches on.
-LEAF, LARGE = 256, 8192
+LEAF, LARGE = 1024, 8192
+# Bunches of fewer texts are compared anew in each tree.  Bunches are made in so many
+# waves of a phase.
+LEAST_BUNCH, BUNCHED = 16, 2
 # Shingles of a block: what bounds it if texts are long.
 LEAF_SHINGLES = 2_000_000
 # Unlike texts share a minwise token about this often at most; nodes cannot be
 # small before that has been halved often enough, so these levels are one step.
 CHANCE = 0.04
 COORDINATES = 64
-# Of 32 bytes of two signatures so many must agree before texts are compared:
+# Of the low bytes of two signatures so many must agree before texts are compared:
 # 5 standard deviations below what a similarity of 0.8 has.
-BRIEF, LEAST_AGREEING = 32, 14
+LEAST_AGREEING = 35
 MAX_BROADCAST = 200_000
 
+# What is known of a class: its component, and its bunch ``done``, whose pairs are
+# all decided.
+STATE = ("class", "comp", "done")
+
 _rng = np.random.default_rng(20240605)
 _ADD = _rng.integers(0, 1 << 64, COORDINATES, dtype=np.uint64, endpoint=False)
 _TIMES = _rng.integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -92,7 +100,7 @@ def _sets(k: int):
                                  if len(grams) else None)
                     sign = signature(grams) if len(grams) else None
                     signs.append(sign.tobytes() if len(grams) else None)
-                    briefs.append(sign[:BRIEF].astype(np.uint8).tobytes() if len(grams) else None)
+                    briefs.append(sign.astype(np.uint8).tobytes() if len(grams) else None)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_mark"), pa.array(sizes, pa.int64()),
                  pa.array(marks, pa.binary()), pa.array(signs, pa.binary()),
@@ -135,7 +143,7 @@ def waves(first: int, trees: int) -> list[range]:
 
 
 def _roots(trees: range, depth: int):
-    """Nodes at ``depth`` of some trees, from (class, comp, n_shingles, sign)."""
+    """Nodes at ``depth`` of some trees, from (class, comp, done, n_shingles, sign)."""
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -148,15 +156,19 @@ def _roots(trees: range, depth: int):
                 owner = owner[index]
             owner = pa.array(owner)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c).take(owner) for c in ("class", "comp", "n_shingles")),
-                 pa.array(nodes.view(np.int64))], ["class", "comp", "n_shingles", "node"])
+                [*(batch.column(c).take(owner) for c in (*STATE, "n_shingles")),
+                 pa.array(nodes.view(np.int64))], [*STATE, "n_shingles", "node"])
 
     return run
 
 
 def _alike(signs: np.ndarray) -> np.ndarray:
     """Which pairs of rows, the first before the second, agree enough."""
-    return np.triu((signs[:, None] == signs[None]).sum(2, np.uint8) >= LEAST_AGREEING, 1)
+    near = np.empty((len(signs), len(signs)), bool)
+    for low in range(0, len(signs), 32):
+        part = signs[low:low + 32, None] == signs[None]
+        near[low:low + 32] = part.sum(2, dtype=np.uint8) >= LEAST_AGREEING
+    return np.triu(near, 1)
 
 
 def _roots_of(near: np.ndarray) -> np.ndarray:
@@ -175,26 +187,26 @@ def _roots_of(near: np.ndarray) -> np.ndarray:
 
 def _clusters(batches):
     """Of each row's list, the clusters of classes that may be similar and are
-    not all connected yet, with their components."""
+    not all connected yet, with what is known of them."""
     for batch in batches:
         column = batch.column("members")
         offsets = np.asarray(column.offsets)
-        ids, comp, brief = column.flatten().flatten()
-        ids, comp = np.asarray(ids), np.asarray(comp)
+        *state, brief = column.flatten().flatten()
+        ids, comp, done = map(np.asarray, state)
         signs = np.frombuffer(b"".join(brief.to_pylist()), np.uint8).reshape(len(ids), -1)
-        found, comps = [], []
+        found = []
         for low, high in zip(offsets[:-1] - offsets[0], offsets[1:] - offsets[0]):
-            near = _alike(signs[low:high]) & (comp[low:high, None] != comp[low:high])
+            near = _alike(signs[low:high]) & (comp[low:high, None] != comp[low:high]) \
+                & (done[low:high, None] != done[low:high])
             if near.any():
                 root = _roots_of(near)
                 for r in np.flatnonzero(np.bincount(root, minlength=high - low) > 1):
                     own = np.flatnonzero(root == r) + low
-                    own = own[np.argsort(ids[own])]
-                    found.append(ids[own])
-                    comps.append(comp[own])
+                    found.append(own[np.argsort(ids[own])])
         kind = pa.list_(pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(found, kind), pa.array(comps, kind)],
-                                         ["cluster", "comps"])
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([values[own] for own in found], kind) for values in (ids, comp, done)],
+            list(STATE))
 
 
 def similar(sets: list[np.ndarray]) -> np.ndarray:
@@ -264,37 +276,38 @@ class Join:
                 F.min("doc_id").alias("low")), "classes")
         #: The component of the classes that do not name theirs.
         self.root = None
-        self.roots = 0
+        #: The bunch of a class, where it is in one.
+        self.done = None
+        self.saved = 0
 
-    def _compare(self, rows: DataFrame, name: str) -> None:
-        """Find the links among the ``rows`` (class, comp, node) of each node, and
-        the components anew."""
+    def _compare(self, rows: DataFrame, name: str) -> DataFrame | None:
+        """Find the links among the ``rows`` (class, comp, done, node) of each node, and
+        the components anew; the clusters, if there were any."""
         members = self._with(rows, "brief").groupBy("node").agg(F.collect_list(
-            F.struct("class", "comp", "brief")).alias("members")).select("members")
+            F.struct(*STATE, "brief")).alias("members")).select("members")
         # Equal clusters of different trees are one; clusters of one hash would be one
         # group, with no harm.
-        clusters = members.mapInArrow(_clusters, "cluster array<bigint>, comps array<bigint>") \
-            .distinct().select(F.xxhash64("cluster").alias("cluster"), F.explode(
-                F.arrays_zip(F.col("cluster").alias("class"), F.col("comps").alias("comp")))
-                .alias("x")).select("cluster", "x.class", "x.comp")
-        clusters = self.scratch.save(clusters, f"{name}-clusters")
-        used = clusters.select("class").distinct().join(
-            self.classes.select("class", "text_mark"), "class")
-        used = self.scratch.save(used, f"{name}-used")
+        clusters = members.mapInArrow(_clusters, ", ".join(f"{c} array<bigint>" for c in STATE)) \
+            .distinct().select(F.xxhash64("class").alias("cluster"), F.explode(
+                F.arrays_zip(*STATE)).alias("x")).select("cluster", "x.*")
+        clusters = self._kept(clusters, f"{name}-clusters")
+        used = self._kept(clusters.select("class").distinct().join(
+            self.classes.select("class", "text_mark"), "class"), f"{name}-used")
         times = used.count()
-        if times:
-            marks = used.select("text_mark")
-            if times <= MAX_BROADCAST:
-                marks = F.broadcast(marks)
-            texts = self.documents.join(marks, "text_mark", "left_semi").groupBy("text_mark") \
-                .agg(F.first("text").alias("text"))
-            texts = self.scratch.save(used.join(texts, "text_mark").select("class", "text"),
-                                      f"{name}-texts")
-            found = clusters.join(texts, "class").groupBy("cluster").applyInArrow(
-                _confirmed(self.k), "a bigint, b bigint")
-            self._contract(found, name)
-            self.scratch.drop(f"{name}-texts")
-        self.scratch.drop(f"{name}-clusters", f"{name}-used")
+        if not times:
+            return None
+        marks = used.select("text_mark")
+        if times <= MAX_BROADCAST:
+            marks = F.broadcast(marks)
+        texts = self.documents.join(marks, "text_mark", "left_semi").groupBy("text_mark") \
+            .agg(F.first("text").alias("text"))
+        texts = self.scratch.save(used.join(texts, "text_mark").select("class", "text"),
+                                  f"{name}-texts")
+        found = clusters.join(texts, "class").groupBy("cluster").applyInArrow(
+            _confirmed(self.k), "a bigint, b bigint")
+        self._contract(found, name)
+        self.scratch.drop(f"{name}-texts")
+        return clusters
 
     def _contract(self, links: DataFrame, name: str) -> None:
         """Join the components that ``links`` (a, b) connect."""
@@ -306,8 +319,11 @@ class Join:
         onto = merged.select(F.col("class").alias("comp"), F.col("comp").alias("onto"))
         moved = self.root.join(onto, "comp", "left").select(
             "class", F.coalesce("onto", "comp").alias("comp"))
-        self.roots += 1
-        self.root = self.scratch.save(moved.unionByName(merged), f"root{self.roots}")
+        self.root = self._kept(moved.unionByName(merged), "root")
+
+    def _kept(self, frame: DataFrame, name: str) -> DataFrame:
+        self.saved += 1
+        return self.scratch.save(frame, f"{name}{self.saved}")
 
     def _with_comp(self, rows: DataFrame) -> DataFrame:
         if self.root is None:
@@ -315,42 +331,76 @@ class Join:
         return rows.join(self.root, "class", "left").withColumn(
             "comp", F.coalesce("comp", "class"))
 
+    def _with_state(self, rows: DataFrame) -> DataFrame:
+        rows = self._with_comp(rows)
+        # A class by itself is a bunch of its own.
+        own = F.xxhash64(F.lit("done"), "class")
+        if self.done is None:
+            return rows.withColumn("done", own)
+        return rows.join(self.done, "class", "left").withColumn("done", F.coalesce("done", own))
+
+    def _bunch(self, clusters: DataFrame, name: str) -> None:
+        """Make the bunches that ``clusters`` connect one, compare all their pairs, and
+        note them.  Very large ones stay apart, for deeper trees."""
+        low = clusters.groupBy("cluster").agg(F.min("done").alias("b"))
+        links = clusters.select("cluster", F.col("done").alias("a")).join(low, "cluster")
+        onto = components(self.scratch, links.select("a", "b"), f"{name}-bunches")
+        known = clusters.select("class", "done").distinct()
+        if self.done is not None:
+            known = known.unionByName(self.done).distinct()
+        members = known.join(onto, known["done"] == onto["node"], "left").select(
+            "class", F.coalesce("root", "done").alias("node"))
+        sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(
+            F.col("size").between(LEAST_BUNCH, LARGE))
+        members = self.scratch.save(members.join(sizes.select("node"), "node"), f"{name}-members")
+        rows = self._open(self._with_state(self._with(members, "n_shingles")))
+        if not rows.isEmpty():
+            self._compare(self._blocks(rows), f"{name}-bunch")
+        kept = members.select("class", F.col("node").alias("done"))
+        if self.done is not None:
+            kept = kept.unionByName(self.done.join(kept.select("class"), "class", "left_anti"))
+        self.done = self._kept(kept, "done")
+        self.scratch.drop(f"{name}-members")
+
     def _with(self, rows: DataFrame, column: str) -> DataFrame:
         return rows.join(self.classes.select("class", column), "class")
 
     def _open(self, rows: DataFrame) -> DataFrame:
-        """The rows (class, comp, n_shingles, node) of nodes that several components
-        have, with the number of texts and of blocks."""
+        """The rows (class, comp, done, n_shingles, node) of nodes that have pairs to
+        compare, with the number of texts and of blocks."""
         mixed = rows.groupBy("node").agg(
             F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("shingles"),
-            F.min("comp").alias("x"), F.max("comp").alias("y")).where("x < y").select(
+            F.min("comp").alias("x"), F.max("comp").alias("y"),
+            F.min("done").alias("u"), F.max("done").alias("v")).where("x < y and u < v").select(
             "node", "n", _blocks_of("n", "shingles").alias("blocks"))
         return rows.join(mixed, "node")
 
-    def _wave(self, classes: DataFrame, trees: range, depth: int) -> DataFrame | None:
-        """Compare the texts of ``classes`` that meet in some trees, those of a large
-        node in parts; the rows of the large nodes."""
-        name = f"trees{trees.start}"
-        nodes = self._with_comp(classes).select("class", "comp", "n_shingles", "sign").mapInArrow(
-            _roots(trees, depth), "class bigint, comp bigint, n_shingles bigint, node bigint")
+    def _wave(self, classes: DataFrame, trees: range, depth: int, bunch: bool) -> DataFrame | None:
+        """Compare the texts of ``classes`` that meet in some trees, but for nodes too
+        large for it; the classes of these, if there are any."""
+        name, rest = f"trees{trees.start}", None
+        nodes = self._with_state(classes).select(*STATE, "n_shingles", "sign").mapInArrow(
+            _roots(trees, depth),
+            "class bigint, comp bigint, done bigint, n_shingles bigint, node bigint")
         nodes = self.scratch.save(nodes, f"{name}-nodes")
         live = self.scratch.save(self._open(nodes), f"{name}-live")
         self.scratch.drop(f"{name}-nodes")
-        if live.isEmpty():
-            return None
-        # The parts of a large node differ from tree to tree, so texts of different
-        # parts get connected by way of others.
-        part = F.pmod(F.xxhash64("node", "class"), "blocks")
-        self._compare(live.select("class", "comp", F.xxhash64("node", part).alias("node")), name)
-        large = live.where("blocks > 1")
-        if large.isEmpty():
-            self.scratch.drop(f"{name}-live")
-            return None
-        return large.select("class", "n_shingles", "node")
-
-    def _reopened(self, rows: DataFrame, name: str) -> DataFrame:
-        """What is open of the rows of large nodes as components are now."""
-        return self.scratch.save(self._open(self._with_comp(rows)), name)
+        if not live.isEmpty():
+            # Random parts of a large node connect most of what belongs together.
+            part = F.pmod(F.xxhash64("node", "class"), "blocks")
+            clusters = self._compare(
+                live.select(*STATE, F.xxhash64("node", part).alias("node")), name)
+            if bunch and clusters is not None:
+                self._bunch(clusters, name)
+            large = live.where("blocks > 1").select("class", "n_shingles", "node")
+            still = self.scratch.save(self._open(self._with_state(large)), f"{name}-still")
+            if not still.isEmpty():
+                limit = F.lit(True) if depth >= MAX_DEPTH else F.col("n") <= LARGE
+                self._compare(self._blocks(still.where(limit)), f"{name}-blocks")
+                rest = self._kept(still.where(~limit).select("class").distinct(), "rest")
+            self.scratch.drop(f"{name}-still")
+        self.scratch.drop(f"{name}-live")
+        return rest
 
     def run(self) -> DataFrame:
         """Rows (class, comp) for all classes that are linked with others."""
@@ -359,41 +409,36 @@ class Join:
         while total * CHANCE ** depth > 1 and depth < MAX_DEPTH - 2:
             depth += 1
         while True:
-            found = [self._wave(classes.select("class", "n_shingles", "sign"), trees, depth)
-                     for trees in waves(first, trees_for(depth))]
+            found = [self._wave(classes.select("class", "n_shingles", "sign"), trees, depth,
+                                at < BUNCHED)
+                     for at, trees in enumerate(waves(first, trees_for(depth)))]
             first += trees_for(depth)
-            large = [rows for rows in found if rows is not None]
-            deeper = []
-            for at, rows in enumerate(large):
-                rows = self._reopened(rows, f"open{depth}-{at}")
-                if rows.isEmpty():
-                    continue
-                last = depth >= MAX_DEPTH
-                near = rows if last else rows.where(F.col("n") <= LARGE)
-                if not near.isEmpty():
-                    self._compare(self._blocks(near), f"block{depth}-{at}")
-                if not last:
-                    deeper.append(rows.where(F.col("n") > LARGE).select("class"))
-            again = self.scratch.save(reduce(DataFrame.unionByName, deeper).distinct(),
-                                      f"deeper{depth}") if deeper else None
-            if again is None or again.isEmpty():
+            found = [rows for rows in found if rows is not None and not rows.isEmpty()]
+            if not found:
                 return self.root
-            classes = self.classes.join(again, "class")
+            classes = self.classes.join(
+                self._kept(reduce(DataFrame.unionByName, found).distinct(), "deeper"), "class")
             depth = min(depth + DEEPER, MAX_DEPTH)
 
     def _blocks(self, rows: DataFrame) -> DataFrame:
         """Open nodes as pairs of blocks, a node of its own for each pair.
 
-        A large component has blocks of its own, and a pair of these is none; the
-        texts of the others share blocks.
+        A large component or bunch has blocks of its own, and a pair of these is none;
+        the texts of the others share blocks.
         """
-        sizes = rows.groupBy("node", "comp").agg(
+        for kind in ("comp", "done"):
+            counted = rows.groupBy("node", kind).agg(F.count(F.lit(1)).alias(f"{kind}_n"))
+            rows = rows.join(counted, ["node", kind])
+        rows = rows.withColumn("group", F.when(
+            F.col("done_n") > F.col("comp_n"), F.xxhash64(F.lit("done"), "done"))
+            .otherwise(F.xxhash64(F.lit("comp"), "comp")))
+        sizes = rows.groupBy("node", "group").agg(
             F.count(F.lit(1)).alias("own_n"), F.sum("n_shingles").alias("shingles"))
         sizes = sizes.withColumn("own_blocks", _blocks_of("own_n", "shingles"))
-        before = Window.partitionBy("node").orderBy("comp").rowsBetween(
+        before = Window.partitionBy("node").orderBy("group").rowsBetween(
             Window.unboundedPreceding, -1)
         large = sizes.where("own_blocks > 1").select(
-            "node", "comp", "own_blocks", F.coalesce(F.sum("own_blocks").over(before), F.lit(0))
+            "node", "group", "own_blocks", F.coalesce(F.sum("own_blocks").over(before), F.lit(0))
             .alias("start"))
         small = F.col("own_blocks") == 1
         totals = sizes.groupBy("node").agg(
@@ -402,7 +447,7 @@ class Join:
                 F.coalesce(F.sum(F.when(small, F.col("own_n"))), F.lit(0)),
                 F.coalesce(F.sum(F.when(small, F.col("shingles"))), F.lit(0))))
             .alias("small_blocks"))
-        placed = rows.join(totals, "node").join(large, ["node", "comp"], "left")
+        placed = rows.join(totals, "node").join(large, ["node", "group"], "left")
         spot = F.xxhash64("class")
         own = F.when(F.col("start").isNull(),
                      F.col("large_blocks") + F.pmod(spot, F.col("small_blocks"))).otherwise(
@@ -411,7 +456,7 @@ class Join:
                                       F.col("large_blocks") + F.col("small_blocks") - 1))
         paired = placed.withColumn("own", own).withColumn("other", others).where(
             "start is null or other < start or other >= start + own_blocks")
-        return paired.select("class", "comp", F.xxhash64(
+        return paired.select(*STATE, F.xxhash64(
             "node", F.least("own", "other"), F.greatest("own", "other")).alias("node"))
 
     def labelled(self) -> DataFrame:
