@@ -4,7 +4,10 @@ A text is written as its words, A-Z as a-z, one space between two words and one
 end symbol behind the last.  The tree has as states the contexts (up to
 ``DEPTH`` bytes) after which the next symbol is distributed differently enough
 from what it is after the context without its oldest byte: a divergence test on
-counts over all training texts.  The next symbol is scored in the longest
+counts over all training texts.  It compares the likelihood of the symbols under the
+shorter context with that under any distribution, these weighed around it; that such
+a ratio is above x has a chance of 1 / x at most, however few or uneven the counts
+are, so the level is divided by the contexts that are tested.  The next symbol is scored in the longest
 suffix of what precedes it that is a state, smoothed towards the shorter ones.
 
 Also the probability of a text by its single words alone, for comparison.
@@ -16,7 +19,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import Scratch
@@ -28,9 +31,11 @@ DEPTH = 5
 LEAST_SHARE, LEAST_COUNT = 1e-5, 16
 # Bits of the map of the other contexts every task has: 2 MB, at any size.
 MAP_BITS = 24
-# Divergence from the shorter context: nats per symbol, and the log likelihood
-# ratio in standard deviations above what chance alone gives.
-LEAST_NATS, DEVIATIONS = 0.01, 5.0
+# Divergence from the shorter context: nats per symbol, and the chance that any context
+# of a length passes though its symbols come as they do after the shorter one.
+LEAST_NATS, CHANCE = 0.01, 0.01
+# How many symbols' weight the shorter context has in the test.
+PRIOR = 4.0
 # Counts of at most so many words go to every task; the others are joined.
 MAX_FREQUENT = 2_000_000
 # Distinct values a task holds before it hands on its counts.
@@ -240,6 +245,22 @@ class Tree:
         return out
 
 
+def _log_gamma(x: Column) -> Column:
+    """By Stirling's series, six steps up; exact to 2e-7."""
+    up = x + 6
+    steps = F.log(x * (x + 1) * (x + 2)) + F.log((x + 3) * (x + 4) * (x + 5))
+    return (up - 0.5) * F.log(up) - up + 0.5 * math.log(2 * math.pi) + 1 / (12 * up) \
+        - 1 / (360 * up * up * up) - steps
+
+
+def divergence(n: Column, total: Column, share: Column) -> Column:
+    """Log of the likelihood ratio of one context, an aggregate over its symbols:
+    ``n`` of ``total``, and the ``share`` that the shorter context gives them."""
+    own = _log_gamma(PRIOR * share + n) - _log_gamma(PRIOR * share) - n * F.log(share)
+    every = F.max(total)
+    return F.sum(own) + math.lgamma(PRIOR) - _log_gamma(every + PRIOR)
+
+
 def fit_states(grams: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int]:
     """``grams``: (key, n) of symbols with DEPTH symbols before them.  A table of
     the states of each length (key, n, context, total, kinds), and the total from
@@ -271,13 +292,13 @@ def fit_states(grams: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int
             F.lit((1 << (8 * k)) - 1))).join(shorter, "suffix")
         gain = F.sum(F.col("n") * F.log((F.col("n") / F.col("total"))
                                         / (F.col("m") / F.col("all"))))
-        free = F.max("kinds") - 1
-        tested = paired.groupBy("context").agg(
-            gain.alias("gain"), F.max("total").alias("total"), free.alias("free"))
-        states = tested.where(
-            (F.col("gain") >= LEAST_NATS * F.col("total"))
-            & (2 * F.col("gain") >= F.col("free") + DEVIATIONS * F.sqrt(2.0 * F.col("free")))) \
-            .select("context")
+        tested = scratch.save(paired.groupBy("context").agg(
+            gain.alias("gain"), F.max("total").alias("total"), divergence(
+                F.col("n"), F.col("total"), F.col("m") / F.col("all")).alias("evidence")),
+            f"tested{k}")
+        level = math.log(max(tested.count(), 1) / CHANCE)
+        states = tested.where((F.col("gain") >= LEAST_NATS * F.col("total"))
+                              & (F.col("evidence") >= level)).select("context")
         if k < DEPTH:
             states = states.unionByName(kept[k + 1].select(
                 F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("context"))).distinct()
