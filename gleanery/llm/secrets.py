@@ -29,8 +29,8 @@ ASSIGN_LENGTH = 8
 KINDS = ("assign", "access", "hex", "entropy")
 
 WINDOW = 20
-# Runs with a letter and a digit, at least as long as the window.
-CANDIDATE = r"(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
+# Runs at least as long as the window; those with a letter and a digit are candidates.
+CANDIDATE = "[A-Za-z0-9+/_=-]{20,}"
 # Bits per character from which a window counts, by the class of the candidate.
 # No window of 20 has exactly these.
 CLASSES = (("^[0-9a-fA-F]+$", 3.05), ("^[A-Z0-9]+$", 3.55), ("^[a-z0-9]+$", 3.55),
@@ -73,34 +73,40 @@ def peak_entropy(text: Column, window: int = WINDOW) -> Column:
     """The highest entropy, in bits per character, of any ``window`` consecutive
     characters of an ASCII string that has at least as many.
 
-    ``counts`` holds one number per character code; each step adds the
-    character that comes in and takes off the one that goes out.
+    ``total`` is the sum of n * log2(n) over the counts in the window.  Each step adds
+    the character that comes in and takes off the one that goes out; how often the
+    window has these two is all that changes it.
     """
     # One more than the window holds: a character comes in before one goes out.
     table = _entropy_table(window + 1)
 
-    def change(state, code, by):
-        """``state`` with one more, or one less, of the character ``code``."""
-        old = F.element_at(state.counts, code)
-        counts = F.concat(F.slice(state.counts, 1, code - 1), F.array(old + by),
-                          F.slice(state.counts, code + 1, 128 - code))
-        total = state.total - F.element_at(table, old + 1) + F.element_at(table, old + by + 1)
-        return F.struct(counts.alias("counts"), total.alias("total"), state.least.alias("least"))
+    def times(held, char):
+        return F.length(held) - F.length(F.replace(held, char, F.lit("")))
 
-    def code(i):
-        return F.ascii(F.substring(text, i, F.lit(1)))
+    def over(chars):
+        def slide(state, i):
+            came = F.element_at(chars, i)
+            low = F.greatest(i - window, F.lit(1))
+            held = F.array_join(F.slice(chars, low, i - low), "")
 
-    def slide(state, i):
-        came = let(change(state, code(i), 1), lambda s: F.when(
-            i > window, change(s, code(i - window), -1)).otherwise(s))
-        return let(came, lambda s: F.struct(
-            s.counts.alias("counts"), s.total.alias("total"),
-            F.when(i >= window, F.least(s.least, s.total)).otherwise(s.least).alias("least")))
+            def step(now):
+                n = times(now.held, now.came)
+                total = state.total - F.element_at(table, n + 1) + F.element_at(table, n + 2)
+                gone = F.element_at(chars, low)
+                m = times(now.held, gone) + F.when(gone == now.came, 1).otherwise(0)
+                return F.when(i > window, total - F.element_at(table, m + 1)
+                              + F.element_at(table, m)).otherwise(total)
 
-    start = F.struct(F.array_repeat(F.lit(0), 128).alias("counts"), F.lit(0.0).alias("total"),
-                     F.lit(1e9).alias("least"))
-    least = F.aggregate(F.sequence(F.lit(1), F.length(text)), start, slide).least
-    return math.log2(window) - least / window
+            total = let(F.struct(held.alias("held"), came.alias("came")), step)
+            return let(total, lambda t: F.struct(t.alias("total"), F.when(
+                i >= window, F.least(state.least, t)).otherwise(state.least).alias("least")))
+
+        start = F.struct(F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
+        return F.aggregate(F.sequence(F.lit(1), F.size(chars)), start, slide).least
+
+    # One array of the characters, as places in a string are found by counting.
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return math.log2(window) - let(chars, over) / window
 
 
 def high_entropy(text: Column, classes=CLASSES, allowed=ALLOWED) -> Column:
@@ -123,8 +129,8 @@ def find_secrets(frame: DataFrame, text: str = "text") -> DataFrame:
     """``frame`` with ``base`` (spans of the named patterns) and ``extra`` (of
     high entropy, where no named pattern has found anything), both arrays of
     (start, kind, end), start and end in code points, kind numbered from 1 as in
-    ``KINDS``.  A null text is an empty one.  Columns named base or extra are
-    replaced.
+    ``KINDS``.  A null text is an empty one, one of any length is gone through in time
+    in proportion to it.  Columns named base or extra are replaced.
     """
     body = F.coalesce(F.col(text), F.lit(""))
 
@@ -138,8 +144,8 @@ def find_secrets(frame: DataFrame, text: str = "text") -> DataFrame:
     base = F.concat(spans(located(body, ASSIGN, long_enough), 1),
                     spans(located(body, ACCESS), 2), spans(located(body, HEX), 3))
     found = frame.withColumn("base", base)
-    fresh = located(body, CANDIDATE, lambda m: ~F.exists(
-        "base", lambda b: (b.start < m.end) & (m.start < b.end)))
+    fresh = located(body, CANDIDATE, lambda m: m.match.rlike("[0-9]") & m.match.rlike("[A-Za-z]")
+                    & ~F.exists("base", lambda b: (b.start < m.end) & (m.start < b.end)))
     random = F.filter(fresh, lambda m: high_entropy(m.match))
     return found.withColumn("extra", F.when(F.size(fresh) > 0, spans(random, 4)).otherwise(
         F.array().cast("array<struct<start:int,kind:int,end:int>>")))

@@ -1,6 +1,7 @@
 import hashlib
 import math
 import re
+import time
 
 from pyspark.sql import functions as F
 
@@ -86,3 +87,23 @@ def test_empty_and_repeats(documents):
     assert secrets.secret_report(documents([])).collect() == []
     twice = secrets.secret_report(documents([(1, TEXTS[3], None, None)] * 2)).collect()
     assert len(twice) == 2 and twice[0] == twice[1]
+
+
+def test_very_long_runs_take_time_in_proportion(spark, documents):
+    """A run of a million letters, and of 100,000 letters and digits."""
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" * 20_000
+    mixed = "q7Zp3LmX9vB2kRt8YwHc" * 5_000
+    texts = [letters, mixed, "z1" * 40_000, f"{letters} {mixed[:999]} password=abcdefgh"]
+    found = secrets.secret_report(documents([(i, t, None, None) for i, t in enumerate(texts)]))
+    start = time.time()
+    rows = {r["doc_id"]: r["spans"] for r in found.collect()}
+    assert time.time() - start < 60
+    assert rows[0] == rows[2] == ""
+    assert rows[1] == f"entropy:0:{len(mixed)}"
+    assert rows[3].startswith(f"entropy:{len(letters) + 1}:") and "assign:" in rows[3]
+
+
+def test_clashing_columns(spark):
+    frame = spark.createDataFrame([(1, TEXTS[3], "x", 2, 3.0)],
+                                  "doc_id bigint, text string, spans string, kind int, start double")
+    assert tuple(secrets.secret_report(frame).first())[1:] == brute(TEXTS[3])
