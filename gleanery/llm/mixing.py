@@ -1,11 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Every source is a stream of documents in seeded order, dealt out over shards
-and cut into blocks of equally many words.  Each shard hands its blocks to the
-sources one by one, always to the highest quotient target / (2 * blocks + 1),
-so that quotas are whole blocks; a source then gives the first blocks of its
-stream in that shard, and goes round a second time if its quota asks for more
-than there is.
+and cut into blocks of equally many words.  Blocks are handed to the sources one by
+one, always to the highest quotient target / (2 * blocks + 1), and those of a source
+to its shards in the same way, so that quotas are whole blocks and a source as a whole
+is within one of its target.  In a shard a source then gives the first blocks of its
+stream, and goes round a second time if its quota asks for more than there is.
 """
 
 from __future__ import annotations
@@ -25,6 +25,9 @@ BLOCK_WORDS = 32
 # Words of a shard aimed at, and the least and greatest number of shards.
 SHARD_WORDS = 200_000_000
 MIN_SHARDS, MAX_SHARDS = 64, 65536
+# Words of a source for each of its shards, at least: many blocks.
+CELL_WORDS = 1 << 16
+MAX_BROADCAST = 200_000
 
 
 def targets(totals: DataFrame, weights=WEIGHTS, share: float = SHARE,
@@ -75,12 +78,25 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return got
 
 
-def _quotas(block: int):
-    """Blocks for the sources of one shard: a row per source, no documents."""
+def _seats(block: int):
+    """Blocks for the sources: a row per source, no documents."""
+    def deal(totals: pd.DataFrame) -> pd.DataFrame:
+        totals = totals.sort_values("place", ignore_index=True)
+        blocks = sainte_lague(totals["target"], round(totals["target"].sum() / block))
+        return totals.assign(blocks=blocks)[["source", "source_size", "target", "shards", "blocks"]]
+
+    return deal
+
+
+def _quotas(block: int, limit: float):
+    """Words for the shards of one source: a row per shard, no documents.  A source
+    that gives all it may gives it everywhere."""
     def deal(cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("place", ignore_index=True)
-        blocks = sainte_lague(cells["votes"], round(cells["votes"].sum() / block))
-        return cells.assign(quota=blocks * block)[
+        cells = cells.sort_values("shard", ignore_index=True)
+        most = np.floor(limit * cells["cell_size"]).astype(np.int64)
+        seats = sainte_lague(cells["cell_size"], int(cells["blocks"].iloc[0]))
+        full = cells["target"].iloc[0] >= limit * cells["source_size"].iloc[0]
+        return cells.assign(quota=most if full else np.minimum(seats * block, most))[
             ["source", "shard", "source_size", "target", "cell_size", "quota"]]
 
     return deal
@@ -95,24 +111,31 @@ def mix_sizes(sized: DataFrame, scratch: Scratch, weights=WEIGHTS, share: float
     """``sized``: (doc_id, size, source, mark, ...).  Adds source_size, target
     and taken.  ``mark`` sets apart rows of one id in the seeded order; rows
     equal in both are interchangeable, so reruns agree."""
-    totals = scratch.save(targets(sized.groupBy("source").agg(
-        F.sum("size").alias("source_size")), weights, share, limit), "targets")
+    totals = targets(sized.groupBy("source").agg(
+        F.sum("size").alias("source_size")), weights, share, limit)
+    kind = totals.schema["source"].dataType.simpleString()
+    totals = scratch.save(totals, "targets")
     words = totals.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
     shards = min(max(MIN_SHARDS, -(-words // SHARD_WORDS)), MAX_SHARDS)
+    # A small source is in fewer shards, since each rounds to blocks.
+    own_shards = F.least(F.lit(shards), F.greatest(
+        F.lit(1), F.floor(F.col("source_size") / CELL_WORDS))).cast("int")
+    totals = scratch.save(totals.select(
+        "*", own_shards.alias("shards"),
+        F.coalesce(F.xxhash64(F.lit(seed), "source"), F.lit(0)).alias("place"))
+        .groupBy().applyInPandas(_seats(block), (
+            f"source {kind}, source_size bigint, target double, shards int, blocks bigint")), "seats")
+    few = totals.select(F.col("source").alias("of"), "shards")
+    if totals.count() <= MAX_BROADCAST:
+        few = F.broadcast(few)
     key = F.xxhash64(F.lit(seed), "doc_id", "mark")
-    dealt = sized.withColumn("key", key).withColumn(
-        "shard", F.pmod("key", F.lit(shards)).cast("int")).withColumn(
-        "order", F.xxhash64(F.lit(seed + 1), "key"))
+    dealt = sized.withColumn("key", key).join(few, F.col("source").eqNullSafe(F.col("of"))) \
+        .withColumn("shard", F.pmod("key", "shards").cast("int")).withColumn(
+        "order", F.xxhash64(F.lit(seed + 1), "key")).drop("of", "shards")
     cells = dealt.groupBy("source", "shard").agg(F.sum("size").alias("cell_size"))
-    # One row per source here, so the join is small on one side; a hot source
-    # is as many rows as there are shards.
     votes = cells.join(totals.withColumnRenamed("source", "of"),
-                       F.col("source").eqNullSafe(F.col("of"))).drop("of").withColumn(
-        "votes", F.col("target") * F.col("cell_size")
-        / F.greatest(F.col("source_size"), F.lit(1))).withColumn(
-        "place", F.coalesce(F.xxhash64(F.lit(seed), "source"), F.lit(0)))
-    kind = votes.schema["source"].dataType.simpleString()
-    quotas = votes.groupBy("shard").applyInPandas(_quotas(block), (
+                       F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    quotas = votes.groupBy("source").applyInPandas(_quotas(block, limit), (
         f"source {kind}, shard int, source_size bigint, target double, cell_size bigint,"
         " quota bigint"))
     stream = Window.partitionBy("source", "shard").orderBy("order", "key", "doc_id", "size") \

@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import mixing
 from llm.conftest import words_of
@@ -95,3 +96,63 @@ def test_documents_are_copied_as_taken(spark):
     for r in mixing.mix_documents(docs).collect():
         whole = r["taken"] / r["size"]
         assert abs(copies.get(r["doc_id"], 0) - whole) <= 0.5
+
+
+def brute_taken(rows, totals):
+    """Words taken of each (key, doc_id, size, source, order), stream by stream."""
+    block, limit = mixing.BLOCK_WORDS, mixing.LIMIT
+    place = sorted(totals, key=lambda s: totals[s]["place"])
+    seats = dict(zip(place, brute_seats([totals[s]["target"] for s in place],
+                                        round(sum(t["target"] for t in totals.values()) / block))))
+    taken = {}
+    for source, total in totals.items():
+        shards = min(mixing.MIN_SHARDS, max(1, total["size"] // mixing.CELL_WORDS))
+        cells = {}
+        for row in rows:
+            if row[3] == source:
+                cells.setdefault(row[0] % shards, []).append(row)
+        order = sorted(cells)
+        sizes = [sum(r[2] for r in cells[c]) for c in order]
+        for cell, size, got in zip(order, sizes, brute_seats(sizes, seats[source])):
+            full = total["target"] >= limit * total["size"]
+            quota = limit * size if full else min(got * block, limit * size)
+            low = 0
+            for key, doc_id, n, _, _ in sorted(cells[cell], key=lambda r: (r[4], r[0], r[1])):
+                taken[doc_id] = sum(max(0, min(n, left - low)) for left in (quota, quota - size))
+                low += n
+    return taken
+
+
+def test_taken_is_the_first_blocks_of_each_stream(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "CELL_WORDS", 2000)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    key = F.xxhash64(F.lit(mixing.SEED), "doc_id", mixing._marks(docs)[0])
+    keyed = docs.select("doc_id", "source", key.alias("key"),
+                        F.xxhash64(F.lit(mixing.SEED + 1), key).alias("order"), "text").collect()
+    rows = [(r["key"], r["doc_id"], len(words_of(r["text"])), r["source"], r["order"]) for r in keyed]
+    found = mixing.mix_documents(docs).collect()
+    target = {r["doc_id"]: r for r in found}
+    place = {r[0]: r[1] for r in docs.select("source", F.xxhash64(
+        F.lit(mixing.SEED), "source")).distinct().collect()}
+    totals = {r[3]: {"target": target[r[1]]["target"], "size": target[r[1]]["source_size"],
+                     "place": place[r[3]]} for r in rows}
+    assert {r["doc_id"]: r["taken"] for r in found} == brute_taken(rows, totals)
+
+
+def test_sources_of_few_or_short_texts_come_near_their_targets(documents):
+    """Each within a block of its target, beside one large source."""
+    sources = {"large": (300, 400), "a": (60, 7), "b": (200, 5), "c": (64, 15), "d": (500, 3),
+               "e": (3, 2), "f": (1000, 20)}
+    rows, doc_id = [], 0
+    for source, (n, words) in sources.items():
+        for _ in range(n):
+            rows.append((doc_id, "w " * words, "en", source))
+            doc_id += 1
+    of = {r[0]: r[3] for r in rows}
+    taken, target = {}, {}
+    for r in mixing.mix_documents(documents(rows)).collect():
+        source = of[r["doc_id"]]
+        taken[source] = taken.get(source, 0) + r["taken"]
+        target[source] = r["target"]
+    for source in sources:
+        assert abs(taken[source] - target[source]) <= mixing.BLOCK_WORDS, source
