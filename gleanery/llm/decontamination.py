@@ -3,8 +3,8 @@
 A seed is a mask over consecutive words; only the words under a 1 are hashed,
 so a substitution under a 0 leaves the hash as it is.  Hashes that texts and
 benchmark items share give alignments, and each alignment is compared word by
-word: a stretch from one agreeing word to another in which at least ``IDENTITY``
-of the words agree is an overlap if it is long enough.
+word: a stretch in which at least ``IDENTITY`` of the words agree is an overlap if it
+is long enough, whatever words it begins and ends with.
 """
 
 from __future__ import annotations
@@ -20,26 +20,32 @@ from gleanery.llm.words import mix, word_hashes
 # Six words each.  However the substitutions lie that ``IDENTITY`` allows, one of
 # the masks has a place between them in every stretch of LEAST_WORDS or more.
 MASKS = ("1101100101", "1110010011", "1011001101", "1100001000111", "11101000011")
-# An overlap has so many words, or all of an item that has fewer; shorter items
-# than LEAST_ITEM words are no evidence and are not looked for.
-LEAST_WORDS, LEAST_ITEM = 13, 5
+# An overlap has so many words, or all of an item that has fewer; items of one or two
+# words are no evidence and are not looked for.
+LEAST_WORDS, LEAST_ITEM = 13, 3
 IDENTITY = 0.8
 # Bits of the map of benchmark hashes every task has: 2 MB, at any size.
 MAP_BITS = 24
-# Broadcast up to so many marks of texts, or seeds; 100 bytes each at most.
-MAX_BROADCAST = 200_000
+# Broadcast up to so many marks of texts, or seeds, of 100 bytes each at most, and item
+# texts of so many bytes.
+MAX_BROADCAST, MAX_BROADCAST_BYTES = 200_000, 32 << 20
+# Items that one copy of a text is compared with.
+ITEMS = 256
 
 
-# The same for items that have to be there whole, by their words.
+# The same for items that have to be there whole, by their words.  However the
+# substitutions lie, a mask of the item has a place between them.
 SHORT = {
-    5: ("11011", "10111", "11101"),
-    6: ("110011", "101101"),
-    7: ("1011011", "1110101", "1101011"),
-    8: ("11010111", "11101011", "10111101"),
-    9: ("101100111", "110111001", "101001111"),
-    10: ("1011010011", "1101001101", "1100100111", "1010111001", "1001101011", "1110010101"),
-    11: ("10011110001", "10100001111", "11001001101", "11101000011", "11010110001"),
-    12: ("110011000011", "100100011101", "101001110001", "101100100101", "101010110001"),
+    3: ("111",),
+    4: ("1111",),
+    5: ("1111", "11101", "11011", "10111"),
+    6: ("1111", "11011"),
+    7: ("11111", "111011", "110111"),
+    8: ("111111", "1111011", "1101111"),
+    9: ("1111011", "1101111"),
+    10: ("1111011", "11001111", "110110011", "11110101", "10101111"),
+    11: ("1110111", "111001011", "1011111", "111111"),
+    12: ("11101011", "101100111", "111111"),
 }
 ALL_MASKS = tuple(dict.fromkeys(MASKS + sum(SHORT.values(), ())))
 
@@ -133,18 +139,18 @@ def best_stretch(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, in
 
 
 def longest_stretch(equal: np.ndarray, identity: float = IDENTITY) -> tuple[int, int, int]:
-    """(start, end, agreeing) of the longest stretch from one match to another
-    with ``identity`` of its words agreeing; of several the last."""
-    if not equal.any():
-        return 0, 0, 0
+    """(start, end, agreeing) of the longest stretch with ``identity`` of its words
+    agreeing; of several the last."""
     # What makes up for rounding is less than any real difference.
     sums = np.concatenate([[0.0], np.cumsum(equal - identity)])
-    starts, ends = np.flatnonzero(equal), np.flatnonzero(equal) + 1
     # For every end the first start that lies no higher.
-    low = np.minimum.accumulate(sums[starts])
-    first = starts[np.minimum(np.searchsorted(-low, -(sums[ends] + 1e-6)), len(starts) - 1)]
-    best = len(ends) - 1 - int(np.argmax((ends - first)[::-1]))
-    start, end = int(first[best]), int(ends[best])
+    low = np.minimum.accumulate(sums[:-1])
+    first = np.searchsorted(-low, -(sums[1:] + 1e-6))
+    length = np.arange(1, len(sums)) - first
+    if not len(length) or length.max() <= 0:
+        return 0, 0, 0
+    end = len(length) - int(np.argmax(length[::-1]))
+    start = int(first[end - 1])
     return start, end, int(equal[start:end].sum())
 
 
@@ -164,25 +170,28 @@ def _words_of(text: str) -> np.ndarray:
 
 
 def _verify(batches):
-    """Overlaps of (mark, text, item, item_text, diagonal) rows."""
+    """Overlaps of (mark, text, items) rows, an item with its text and diagonals."""
     for batch in batches:
-        rows, last, words, items = [], None, None, {}
-        for mark, text, item, item_text, diagonal in zip(
-                *(batch.column(c) for c in ("mark", "text", "item", "item_text", "diagonal"))):
-            mark, item, diagonal = mark.as_py(), item.as_py(), diagonal.as_py()
+        rows, last, words, known = [], None, None, {}
+        for mark, text, items in zip(*(batch.column(c) for c in ("mark", "text", "items"))):
+            mark = mark.as_py()
             if mark != last:
                 last, words = mark, _words_of(text.as_py())
-            if item not in items:
-                items[item] = _words_of(item_text.as_py())
-            other = items[item]
-            low, high = max(0, -diagonal), min(len(other), len(words) - diagonal)
-            if high <= low:
-                continue
-            found = overlap(words[low + diagonal:high + diagonal] == other[low:high],
-                            min(LEAST_WORDS, len(other)))
-            if found:
-                start, end, same = found
-                rows.append((mark, item, low + start + diagonal, low + start, end - start, same))
+            for held in items.as_py():
+                item = held["item"]
+                if item not in known:
+                    known[item] = _words_of(held["item_text"])
+                other = known[item]
+                for diagonal in held["diagonals"]:
+                    low, high = max(0, -diagonal), min(len(other), len(words) - diagonal)
+                    if high <= low:
+                        continue
+                    found = overlap(words[low + diagonal:high + diagonal] == other[low:high],
+                                    min(LEAST_WORDS, len(other)))
+                    if found:
+                        start, end, same = found
+                        rows.append((mark, item, low + start + diagonal, low + start,
+                                     end - start, same))
         if rows:
             kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays(
@@ -195,6 +204,12 @@ def _small(frame: DataFrame) -> DataFrame:
     return F.broadcast(frame) if frame.count() <= MAX_BROADCAST else frame
 
 
+def _small_texts(frame: DataFrame, text: str) -> DataFrame:
+    """The same, by the bytes of its texts."""
+    size = frame.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    return F.broadcast(frame) if size <= MAX_BROADCAST_BYTES else frame
+
+
 def text_mark(text: str = "text") -> Column:
     """Equal texts are looked at once."""
     return F.md5(F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8"))
@@ -227,9 +242,15 @@ def overlaps_by_text(documents: DataFrame, benchmark: DataFrame, scratch: Scratc
     one = texts.join(wanted, "mark", "left_semi").groupBy("mark").agg(
         F.first("text").alias("text"))
     item_texts = items.select("item", F.col("text").alias("item_text"))
-    pairs = one.join(diagonals, "mark").join(_small(item_texts), "item") \
-        .select("mark", "text", "item", "item_text", "diagonal")
-    found = pairs.mapInArrow(_verify, (
+    held = diagonals.groupBy("mark", "item").agg(F.collect_set("diagonal").alias("diagonals")) \
+        .join(_small_texts(item_texts, "item_text"), "item")
+    # A text that holds very many items is worked on in copies with some of them each.
+    many = diagonals.groupBy("mark").agg(F.count_distinct("item").alias("n")).where(
+        F.col("n") > ITEMS).select("mark", F.ceil(F.col("n") / ITEMS).alias("copies"))
+    copy = F.pmod(F.xxhash64("item"), F.coalesce("copies", F.lit(1)))
+    gathered = held.join(many, "mark", "left").groupBy("mark", copy.alias("copy")).agg(
+        F.collect_list(F.struct("item", "item_text", "diagonals")).alias("items"))
+    found = one.join(gathered, "mark").select("mark", "text", "items").mapInArrow(_verify, (
         "mark string, item string, start_word bigint, item_word bigint, n_words bigint,"
         " n_equal bigint"))
     best = F.max(F.struct("n_equal", "n_words", (-F.col("start_word")).alias("early"), "item_word"))
