@@ -353,7 +353,8 @@ class Join:
         sizes = members.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where(
             F.col("size").between(LEAST_BUNCH, LARGE))
         members = self.scratch.save(members.join(sizes.select("node"), "node"), f"{name}-members")
-        rows = self._open(self._with_state(self._with(members, "n_shingles")))
+        stated = self._kept(self._with_state(self._with(members, "n_shingles")), "stated")
+        rows = self._open(stated)
         if not rows.isEmpty():
             self._compare(self._blocks(rows), f"{name}-bunch")
         kept = members.select("class", F.col("node").alias("done"))
@@ -393,7 +394,8 @@ class Join:
             if bunch and clusters is not None:
                 self._bunch(clusters, name)
             large = live.where("blocks > 1").select("class", "n_shingles", "node")
-            still = self.scratch.save(self._open(self._with_state(large)), f"{name}-still")
+            stated = self._kept(self._with_state(large), "stated")
+            still = self.scratch.save(self._open(stated), f"{name}-still")
             if not still.isEmpty():
                 limit = F.lit(True) if depth >= MAX_DEPTH else F.col("n") <= LARGE
                 self._compare(self._blocks(still.where(limit)), f"{name}-blocks")
@@ -426,12 +428,14 @@ class Join:
         A large component or bunch has blocks of its own, and a pair of these is none;
         the texts of the others share blocks.
         """
+        # Written, as they are used several times below.
+        rows = self._kept(rows.select(*STATE, "n_shingles", "node"), "open")
         for kind in ("comp", "done"):
             counted = rows.groupBy("node", kind).agg(F.count(F.lit(1)).alias(f"{kind}_n"))
             rows = rows.join(counted, ["node", kind])
-        rows = rows.withColumn("group", F.when(
+        rows = self._kept(rows.withColumn("group", F.when(
             F.col("done_n") > F.col("comp_n"), F.xxhash64(F.lit("done"), "done"))
-            .otherwise(F.xxhash64(F.lit("comp"), "comp")))
+            .otherwise(F.xxhash64(F.lit("comp"), "comp"))), "grouped")
         sizes = rows.groupBy("node", "group").agg(
             F.count(F.lit(1)).alias("own_n"), F.sum("n_shingles").alias("shingles"))
         sizes = sizes.withColumn("own_blocks", _blocks_of("own_n", "shingles"))
