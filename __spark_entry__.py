@@ -19,6 +19,7 @@ from archive_fixture import (  # noqa: E402
     make_dir, unzip, work_dir, write_archives, write_definitions)
 from gleanery.functions import text  # noqa: E402
 from gleanery.operators import export, matches, search, summary  # noqa: E402
+from gleanery.operators.pattern_join import join_patterns  # noqa: E402
 from gleanery.plans.job import read_records, search_archives  # noqa: E402
 from gleanery.plans.table import (  # noqa: E402
     prepare_table, search_table, search_table_chunks)
@@ -110,6 +111,12 @@ def search_pairs_python(spark, sf_dir):
     return _pair_totals(_document_pairs(spark, sf_dir, "python"), "doc_id")
 
 
+def search_pairs_in_place(spark, sf_dir):
+    """Rows searched where they are read, without a shuffle."""
+    return _pair_totals(search_table(_documents(spark, sf_dir), ["doc_id"], "source", "text",
+                                     DOC_DEFS), "doc_id")
+
+
 def search_turns(spark, sf_dir):
     pairs = search_table(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "role",
                          "text", TURN_DEFS, redistribute=_tasks(spark))
@@ -201,6 +208,21 @@ def theta_join_native(spark, sf_dir):
     return search.matching_definitions(prepared, ["doc_id"], DOC_DEFS, "native")
 
 
+def pattern_join(spark, sf_dir):
+    """A table of definitions: the call of each page, the words in front of each
+    benchmark text, and some that may match anything."""
+    pages = _pages(spark, sf_dir)
+    calls = pages.selectExpr("concat('call', page_id) as definition",
+                             "concat('track[(]', page_id, '[)]') as pattern")
+    starts = _table(spark, sf_dir, "benchmark").selectExpr(
+        "concat('item', item_id) as definition",
+        "regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+', 0) as pattern").where("pattern <> ''")
+    open_ones = spark.createDataFrame([("phone", PAGE_DEFS["phone"]), ("vowels", "[aeiou]{6}")],
+                                      "definition string, pattern string")
+    prepared = prepare_table(pages, ["page_id"], "url", "html")
+    return join_patterns(prepared, ["page_id"], calls.unionByName(starts).unionByName(open_ones))
+
+
 def matched_records(spark, sf_dir):
     prepared = prepare_table(_documents(spark, sf_dir), ["doc_id"], "source", "text",
                              redistribute=_tasks(spark))
@@ -423,6 +445,37 @@ def archive_search_windows(spark, sf_dir):
     return _chunk_sums(result.matches, "name")
 
 
+def _continued(spark, sf_dir, **options):
+    """Archives of the pages with even ids are searched, then, appending to that, a
+    directory to which those of the others have come."""
+    directory = work_dir(spark)
+    pages = _table(spark, sf_dir, "pages")
+
+    def write(rows, prefix):
+        write_archives(rows.repartitionByRange(_tasks(spark), "page_id")
+                       .sortWithinPartitions("page_id")
+                       .select(F.col("url").alias("name"), F.encode("html", "UTF-8").alias("payload")),
+                       f"{directory}/archives", prefix=prefix)
+
+    write(pages.where("page_id % 2 = 0"), "a")
+    first = _search(spark, directory, **options)
+    write(pages.where("page_id % 2 = 1"), "b")
+    return search_archives(spark, f"{directory}/archives", f"{directory}/definitions",
+                           f"{directory}/out", append_to=first.run_dir, shared_files=True, **options)
+
+
+def archive_continue(spark, sf_dir):
+    return _pair_totals(_continued(spark, sf_dir).matches, "name")
+
+
+def archive_continue_export(spark, sf_dir):
+    return _unzipped(spark, _continued(spark, sf_dir, extract=True))
+
+
+def archive_continue_summary(spark, sf_dir):
+    return _continued(spark, sf_dir).summary.select("records_read", "errors", "warnings")
+
+
 def archive_summary(spark, sf_dir):
     return _archive_search(spark, sf_dir).summary.select("records_read", "errors", "warnings")
 
@@ -515,7 +568,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         archive_errors, archive_error_records, rejected_definitions, archive_report, report_order,
         archive_export, archive_export_large, archive_export_table, export_merge_repeats,
         search_windows, search_many, chunk_totals, chunk_items, archive_search_native,
-        archive_search_windows, archive_report_chunks)}
+        archive_search_windows, archive_report_chunks, pattern_join, archive_continue,
+        archive_continue_export, archive_continue_summary, search_pairs_in_place)}
     return {**own, **llm_queries.queries()} if llm_queries else own
 
 
@@ -627,6 +681,7 @@ def oracle_sql() -> dict[str, str]:
         "search_pairs": f"WITH {pages} {_totals('page_id')}",
         "search_pairs_native": f"WITH {documents} {_totals('doc_id')}",
         "search_pairs_python": f"WITH {documents} {_totals('doc_id')}",
+        "search_pairs_in_place": f"WITH {documents} {_totals('doc_id')}",
         "search_turns": f"WITH {turns} {_totals('conv_id, turn')}",
         "find_all": " UNION ALL ".join(
             f"SELECT item_id, '{d}' AS definition,"
@@ -730,6 +785,26 @@ def oracle_sql() -> dict[str, str]:
         "chunk_items":
             f"WITH {documents}, {_scoped('doc_id')}, {_items('doc_id')}"
             " SELECT doc_id, definition, scope, item, match FROM items",
+        "pattern_join":
+            "WITH defs AS (SELECT 'call' || page_id AS definition, 'track(' || page_id || ')' AS part"
+            " FROM pages UNION ALL SELECT 'item' || item_id,"
+            " lower(regexp_extract(text, '^[a-zA-Z]+ [a-zA-Z]+')) FROM benchmark"
+            " WHERE regexp_matches(text, '^[a-zA-Z]+ [a-zA-Z]+'))"
+            " SELECT DISTINCT page_id, definition FROM pages JOIN defs"
+            " ON contains(lower(html), part) OR contains(lower(url), part)"
+            + "".join(f" UNION ALL SELECT page_id, '{d}' FROM pages WHERE regexp_matches(html, {_q(p)},"
+                      f" 'i') OR regexp_matches(url, {_q(p)}, 'i')"
+                      for d, p in (("phone", PAGE_DEFS["phone"]), ("vowels", "[aeiou]{6}"))),
+        "archive_continue": f"WITH {pages} {_totals('name')}",
+        "archive_continue_export":
+            f"WITH {pages}, named AS (SELECT definition, {_ENTRY.format('name')} AS entry_name,"
+            " page_id FROM pairs), ranked AS (SELECT *, row_number() OVER (PARTITION BY definition,"
+            " entry_name ORDER BY page_id % 2, page_id) AS nth FROM named) SELECT definition,"
+            " entry_name, md5(html) AS payload_digest FROM ranked JOIN pages USING (page_id)"
+            " WHERE nth = 1",
+        "archive_continue_summary":
+            "SELECT count(*) AS records_read, CAST(0 AS BIGINT) AS errors,"
+            " CAST(0 AS BIGINT) AS warnings FROM pages",
         "archive_search_native": f"WITH {pages} {_totals('name')}",
         "archive_search_windows": f"WITH {pages} {_totals('name')}",
         "archive_report_chunks":

@@ -46,13 +46,15 @@ def write_definitions(definitions: dict[str, str], directory: str) -> None:
             out.write(pattern.encode())
 
 
-def write_archives(pages: DataFrame, directory: str, cut: int | None = None) -> int:
+def write_archives(pages: DataFrame, directory: str, cut: int | None = None,
+                   prefix: str = "part") -> int:
     """One archive per partition of (name string, payload binary); returns the
     number of records written.
 
     A column ``kind`` gives the record type (response), a false one ``http``
     leaves the HTTP header block out.  With ``cut``, archives whose number leaves
-    1 when divided by 3 break off within the last ``cut`` bytes.
+    1 when divided by 3 break off within the last ``cut`` bytes.  Names of archives
+    begin with ``prefix``.
     """
     make_dir(directory)
     names = pages.columns
@@ -68,7 +70,7 @@ def write_archives(pages: DataFrame, directory: str, cut: int | None = None) ->
     def write(batches):
         filesystem, inner = resolve(directory)
         number = TaskContext.get().partitionId()
-        path = f"{inner}/part-{number:05d}.warc.gz"
+        path = f"{inner}/{prefix}-{number:05d}.warc.gz"
         attempt, count, held = f"{path}.{uuid.uuid4().hex}", 0, b""
         with filesystem.open_output_stream(attempt) as out:
             for batch in batches:

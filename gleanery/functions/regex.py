@@ -235,6 +235,11 @@ class Matcher:
     def __getstate__(self):
         return {**self.__dict__, "_compiled": {}, "_automaton": None}
 
+    @staticmethod
+    def fold(value: str | None) -> str | None:
+        """Lower case for substring tests, None where those are not decisive."""
+        return _python_fold(value)
+
     def pattern(self, i: int) -> re.Pattern:
         if i not in self._compiled:
             self._compiled[i] = re.compile(self.definitions[i].pattern, re.IGNORECASE)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import codecs
+import json
 import re
 import time
 import uuid
@@ -11,7 +12,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import regex, text
@@ -20,7 +21,7 @@ from gleanery.functions.windows import WINDOW
 from gleanery.operators import export, search, summary
 from gleanery.sinks import report, zip_export
 from gleanery.sources.definitions import load_definitions, require_valid
-from gleanery.sources.files import list_archives, resolve, spark_path
+from gleanery.sources.files import list_archives, read_lines, resolve, spark_path, states
 from gleanery.sources.warc import (
     MAX_PAYLOAD, RECORD_SCHEMA, TRAILER_SCHEMA, Payloads, WarcDataSource, WarcReader, read_pieces)
 
@@ -34,6 +35,11 @@ MAX_BROADCAST_SPLITS = 100_000
 # Splits that one task reads again.
 SPLITS_PER_TASK = 4
 
+MATCH_SCHEMA = ("archive string, record_offset bigint, record_position bigint, name string,"
+                f" payload_size bigint, {CHUNK_SCHEMA}, exportable boolean")
+SUMMARY_SCHEMA = ("archives bigint, records_read bigint, errors bigint, warnings bigint,"
+                  " elapsed_seconds double, elapsed string")
+
 # Fixed value: the time stamp in the name of a run directory.
 RUN_FORMAT = "%m-%d-%y_%H_%M_%S"
 
@@ -281,13 +287,13 @@ def _partitions(spark: SparkSession, size: int) -> int:
     return max(-(-size // PARTITION_BYTES), spark.sparkContext.defaultParallelism)
 
 
-def _text_bytes(matches: DataFrame) -> int:
-    """Bytes of the report blocks of ``matches``, about."""
+def _text_bytes():
+    """Bytes of the report blocks of matches, about, as an aggregate."""
     def length(column):
         return F.aggregate(column, F.lit(0).cast("bigint"), lambda a, m: a + F.octet_length(m) + 40)
 
     size = length("name_matches") + length("content_matches") + 200
-    return matches.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0]
+    return F.coalesce(F.sum(size), F.lit(0))
 
 
 def _place(sizes: list[tuple[str, int]], shard_bytes: int, cores: int):
@@ -310,15 +316,19 @@ def _place(sizes: list[tuple[str, int]], shard_bytes: int, cores: int):
     return places, n
 
 
-def _winners(spark, matches, path, shard_bytes) -> tuple[DataFrame, int]:
+def _winners(spark, matches, path, shard_bytes, earlier=None) -> tuple[DataFrame, int]:
     """The records to export, and the number of partitions to write them from.
 
     One row per definition and entry name, with its ``shard`` out of ``shards``,
     as many per definition as its size calls for, and its ``partition``.  Keys
     and sizes only: a payload is read by its place where it is written.  The
     records of one gzip member are in one shard, so it is gone through once.
+    Entries of the matches of ``earlier`` runs are exported already.
     """
     named = export.entries(matches.select(*RECORD_KEY, "name", "definition", "payload_size"))
+    if earlier is not None:
+        there = export.entries(earlier.select("name", "definition")).select(*export.ENTRY_KEY)
+        named = named.join(there.distinct(), list(export.ENTRY_KEY), "left_anti")
     export.first_per_entry(named, [*RECORD_KEY, "payload_size"]).write.parquet(path)
     winners = spark.read.parquet(path)
     # One row per definition, as many as the plan has literals.
@@ -339,9 +349,10 @@ def _dealt(winners: DataFrame, n: int, *first: str) -> DataFrame:
     return winners.repartitionById(n, F.col("partition")).sortWithinPartitions(*first, *RECORD_KEY)
 
 
-def _export_zip(spark, winners, n, path) -> None:
+def _export_zip(spark, winners, n, path, run) -> None:
     """Write the zips of each definition into a directory of its own."""
-    file = F.format_string("export=%s/part-%05d.zip", text.export_name(F.col("definition")), "shard")
+    part = "part-%05d.zip" if run is None else f"run-{run}-part-%05d.zip"
+    file = F.format_string(f"export=%s/{part}", text.export_name(F.col("definition")), "shard")
     _dealt(winners.withColumn("file", file), n, "file") \
         .select("file", "entry_name", *RECORD_KEY) \
         .write.format("zip").mode("append").save(path)
@@ -354,11 +365,47 @@ def _export_table(winners, n, path) -> None:
     rows.mapInArrow(read_pieces, (
         "definition string, entry_name string, archive string, record_offset bigint,"
         " record_position bigint, payload_size bigint, piece int, payload binary")) \
-        .write.partitionBy("definition").parquet(path)
+        .write.mode("append").partitionBy("definition").parquet(path)
+
 
+class Earlier(NamedTuple):
+    """What the runs before this one have in a run directory."""
 
-def _problems(spark, staged, matches, counts, loaded, extract, failures, refused) -> DataFrame:
-    """``refused`` says that records whose payload is no row were not searched."""
+    run_dir: str
+    runs: int
+    #: Size and time of change of each archive they have searched.
+    archives: dict[str, tuple[int, int]]
+    definitions: list
+
+
+def _earlier(run_dir: str) -> Earlier:
+    """The committed runs of a directory.  A run is committed by its part of the
+    manifest, which is written last."""
+    rows = [json.loads(line) for line in read_lines(f"{run_dir}/manifest")]
+    if not rows:
+        raise ValueError(f"no finished run in {run_dir}")
+    return Earlier(
+        run_dir.rstrip("/"), max(r["run"] for r in rows),
+        {r["archive"]: (r["size"], r["modified"]) for r in rows if "archive" in r},
+        next(r["definitions"] for r in rows if "definitions" in r))
+
+
+def _sweep(spark, target: str, run: str) -> None:
+    """Take away what an unfinished run of this number has left."""
+    for found in (f"{target}/matches/run={run}", f"{target}/problems/run={run}",
+                  f"{target}/summary/run={run}", f"{target}/reports/*/run={run}",
+                  f"{target}/exports/*/run-{run}-*", f"{target}/exports/*/*/run={run}"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(found)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in files.globStatus(path) or ():
+            files.delete(status.getPath(), True)
+
+
+def _problems(spark, staged, matches, counts, loaded, extract, failures, refused,
+              changed) -> DataFrame:
+    """``refused`` says that records whose payload is no row were not searched;
+    ``changed`` are archives that are not what an earlier run has searched."""
+    other = spark.createDataFrame([(path,) for path in changed], "archive string")
     rows = staged.where("definition is null")
     errors = rows.where("error is not null").select("archive", "error")
     notes = rows.where("note is not null").select("archive", F.concat_ws(
@@ -374,6 +421,7 @@ def _problems(spark, staged, matches, counts, loaded, extract, failures, refused
     return summary.problems(
         ("error", errors, "archive", "error"),
         ("error", unsearched, "archive", "message"),
+        ("error", other, "archive", "'changed since it was searched'"),
         ("error", loaded.rejected_table(spark), "definition", "reason"),
         ("error", unexported, "definition", "message"),
         ("error", failures, "file", "concat_ws(': ', error, entry_name)"),
@@ -388,7 +436,7 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
                     split_bytes: int = SPLIT_BYTES, zip_bytes: int = ZIP_BYTES,
                     redistribute: int = 0, max_payload_bytes: int = MAX_PAYLOAD,
                     chunk_matches: int = CHUNK_MATCHES, window: int = WINDOW,
-                    shared_files: bool = False) -> SearchResult:
+                    append_to: str | None = None, shared_files: bool = False) -> SearchResult:
     """Search all archives of a directory with all definitions of another.
 
     Writes below a fresh directory in ``out``: ``matches`` (table), ``reports``
@@ -408,6 +456,12 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
     ``native`` for Java's regular expressions, which search rows only: records
     above ``max_payload_bytes`` are errors then.
 
+    ``append_to`` names the run directory of an earlier search with the same
+    definitions, for a directory of archives that has grown: archives that it has
+    searched are passed over, and the others' matches, report blocks, exports, problems
+    and totals are added to what is there (``out`` is not used).  An archive that has
+    changed since is an error.  Without new ones nothing changes.
+
     Off local mode ``out`` and ``spark.checkpoint.dir`` must be folders that all
     executors see; ``shared_files`` says that a ``file:`` path is one.
     """
@@ -420,9 +474,33 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
     started, now = time.time(), datetime.now()
     loaded = load_definitions(definitions)
     require_valid(loaded)
-    archive_count = len(list_archives(archives))
-    run_dir = new_run_dir(out, now)
+    listed = {path.rsplit("/", 1)[-1]: (path, size, modified) for path, size, modified in
+              states([path for path, _ in list_archives(archives)])}
+    earlier, run, changed = None, None, []
+    patterns = sorted([d.definition, d.pattern] for d in loaded.definitions)
+    if append_to is None:
+        run_dir = new_run_dir(out, now)
+    else:
+        earlier = _earlier(append_to)
+        if earlier.definitions != patterns:
+            raise ValueError(f"the definitions are not those of {append_to}")
+        run_dir, run = earlier.run_dir, f"{earlier.runs + 1:05d}"
+        changed = [listed[name][0] for name, known in earlier.archives.items()
+                   if name in listed and listed[name][1:] != known]
+        listed = {name: one for name, one in listed.items() if name not in earlier.archives}
+        _sweep(spark, spark_path(run_dir), run)
+    skip = json.dumps(sorted(earlier.archives)) if earlier else "[]"
     staging, target = _staging_dir(spark, run_dir), spark_path(run_dir)
+
+    def place(name):
+        return f"{target}/{name}" + (f"/run={run}" if run else "")
+
+    def written(name, columns):
+        rows = spark.read.option("recursiveFileLookup", True).schema(columns)
+        return getattr(rows, "parquet" if name == "matches" else "json")(f"{target}/{name}")
+
+    if earlier and not listed and not changed:
+        return _result(spark, run_dir, written)
     native = dialect == "native"
     how = dict(dialect=dialect, search_binary=search_binary, redistribute=redistribute,
                max_payload_bytes=max_payload_bytes, chunk_matches=chunk_matches)
@@ -432,7 +510,7 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
         return spark.read.parquet(f"{staging}/rows")
 
     try:
-        options = {"trailers": "true", "max_payload_bytes": max_payload_bytes}
+        options = {"trailers": "true", "max_payload_bytes": max_payload_bytes, "skip": skip}
         splits = _settle(spark, archives, staging, stage, options,
                          _scan(spark, archives, split_bytes=split_bytes, **options))
         repaired = splits.select(F.max("passes")).first()[0] or 1
@@ -443,39 +521,68 @@ def search_archives(spark: SparkSession, archives: str, definitions: str, out: s
         if not native:
             found = found.unionByName(_large_records(
                 spark, staged, loaded.definitions, search_binary, chunk_matches, window))
+        # How much text there is only sizes the partitions of the reports.
+        seen = Observation()
         found.withColumn("exportable", F.col("name").isNotNull()) \
-            .write.parquet(f"{target}/matches")
-        matches = spark.read.parquet(f"{target}/matches")
+            .observe(seen, _text_bytes().alias("text_bytes")).write.parquet(place("matches"))
+        matches = spark.read.schema(MATCH_SCHEMA).parquet(place("matches"))
 
         created = F.lit(now.strftime(report.CREATED_FORMAT))
-        lines = report.report_lines(matches, loaded.definitions_table(spark), RECORD_KEY,
+        headed = loaded.definitions_table(spark)
+        lines = report.report_lines(matches, headed.limit(0) if run else headed, RECORD_KEY,
                                     F.col("archive"), created,
-                                    _partitions(spark, _text_bytes(matches)))
-        report.write_reports(lines, f"{target}/reports")
+                                    _partitions(spark, seen.get["text_bytes"]))
+        report.write_reports(lines, f"{target}/reports", run)
 
         failures = spark.createDataFrame([], zip_export.FAILURE_SCHEMA)
         if extract:
+            before = written("matches", MATCH_SCHEMA).join(
+                matches.select(*RECORD_KEY).distinct(), RECORD_KEY, "left_anti") if run else None
             winners, n = _winners(spark, matches.where("exportable"), f"{staging}/winners",
-                                  zip_bytes)
+                                  zip_bytes, before)
             if extract_format == "zip":
-                _export_zip(spark, winners, n, f"{target}/exports")
+                _export_zip(spark, winners, n, f"{target}/exports", run)
                 failures = zip_export.read_failures(spark, f"{target}/exports")
             else:
                 _export_table(winners, n, f"{target}/exports")
 
         counts = splits.where("after_stop = 0").groupBy("archive") \
             .agg(F.sum("records_read").alias("records_read"))
-        problems = _problems(spark, staged, matches, counts, loaded, extract, failures, native)
-        problems.write.json(f"{target}/problems")
-        written = spark.read.schema(problems.schema).json(f"{target}/problems")
+        problems = _problems(spark, staged, matches, counts, loaded if not run else
+                             loaded._replace(rejected=[]), extract, failures, native, changed)
+        problems.write.json(place("problems"))
         seconds = F.lit(time.time() - started)
-        totals = summary.run_totals(counts, written).select(
-            F.lit(archive_count).cast("bigint").alias("archives"), "records_read", "errors",
+        totals = summary.run_totals(counts, spark.read.schema(problems.schema).json(
+            place("problems"))).select(
+            F.lit(len(listed)).cast("bigint").alias("archives"), "records_read", "errors",
             "warnings", seconds.alias("elapsed_seconds"),
             text.elapsed_text(seconds).alias("elapsed"))
-        totals.write.json(f"{target}/summary")
+        totals.write.json(place("summary"))
+        _commit(spark, run_dir, earlier.runs + 1 if earlier else 1, listed,
+                None if earlier else patterns)
     finally:
         _delete(spark, staging)
 
-    return SearchResult(run_dir, matches,
-                        spark.read.schema(totals.schema).json(f"{target}/summary"))
+    return _result(spark, run_dir, written)
+
+
+def _commit(spark, run_dir, run, listed, definitions) -> None:
+    """Note the archives of a run, and the definitions of the first."""
+    rows = [{"run": run, "archive": name, "size": size, "modified": modified}
+            for name, (_, size, modified) in listed.items()]
+    rows.append({"run": run} if definitions is None else {"run": run, "definitions": definitions})
+    filesystem, inner = resolve(f"{run_dir}/manifest")
+    filesystem.create_dir(inner, recursive=True)
+    attempt, final = f"{inner}/_run-{run:05d}.json", f"{inner}/part-{run:05d}.json"
+    with filesystem.open_output_stream(attempt) as stream:
+        stream.write("".join(json.dumps(row) + "\n" for row in rows).encode())
+    filesystem.move(attempt, final)
+
+
+def _result(spark, run_dir, written) -> SearchResult:
+    """All matches and the totals of all runs."""
+    totals = written("summary", SUMMARY_SCHEMA).agg(
+        *[F.sum(c).alias(c) for c in ("archives", "records_read", "errors", "warnings",
+                                      "elapsed_seconds")])
+    return SearchResult(run_dir, written("matches", MATCH_SCHEMA), totals.withColumn(
+        "elapsed", text.elapsed_text(F.col("elapsed_seconds"))))

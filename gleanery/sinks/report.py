@@ -119,7 +119,11 @@ def report_lines(pairs: DataFrame, definitions: DataFrame, order: list[str], arc
     return ordered.select("report", F.regexp_replace(block, r"\n\z", "").alias("value"))
 
 
-def write_reports(lines: DataFrame, path: str) -> None:
-    """One directory ``report=<name>`` per report; its parts, in name order,
-    are the report."""
-    lines.write.mode("append").partitionBy("report").text(path)
+def write_reports(lines: DataFrame, path: str, run: str | None = None) -> None:
+    """One directory ``report=<name>`` per report; its parts, in name order, are the
+    report.  What a later ``run`` appends is in a directory of its own, that comes
+    behind the parts there are."""
+    if run is not None:
+        lines = lines.withColumn("run", F.lit(run))
+    by = ["report"] if run is None else ["report", "run"]
+    lines.write.mode("append").partitionBy(*by).text(path)

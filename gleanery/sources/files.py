@@ -37,6 +37,27 @@ def list_files(directory: str, suffix: str) -> list[tuple[str, int]]:
         if info.is_file and info.base_name.endswith(suffix) and info.base_name[0] != ".")
 
 
+def states(files: list[str]) -> list[tuple[str, int, int]]:
+    """Path, size and time of change (ns, 0 if unknown) of some files."""
+    found = []
+    for path in files:
+        filesystem, inner = resolve(path)
+        info = filesystem.get_file_info(inner)
+        found.append((path, info.size, info.mtime_ns or 0))
+    return found
+
+
+def read_lines(directory: str) -> list[str]:
+    """The lines of all ``part-*`` files of a directory; none if it is missing."""
+    filesystem, inner = resolve(directory)
+    lines = []
+    for info in filesystem.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+        if info.base_name.startswith("part-"):
+            with filesystem.open_input_stream(info.path) as stream:
+                lines += stream.read().decode("utf-8").splitlines()
+    return lines
+
+
 def list_archives(path: str) -> list[tuple[str, int]]:
     """The ``*.gz`` archives of a directory, or the one archive ``path`` names."""
     filesystem, inner = resolve(path)

@@ -16,6 +16,7 @@ reader may start at any member.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections import deque
@@ -336,6 +337,7 @@ class WarcReader(DataSourceReader):
             return options.get(name, default).lower() == "true"
 
         self.path = options.get("path")
+        self.skip = set(json.loads(options.get("skip", "[]")))
         types = options.get("record_types", "response").lower()
         self.types = None if types == "all" else set(types.split(","))
         self.split_bytes = int(options.get("split_bytes", "0"))
@@ -352,7 +354,8 @@ class WarcReader(DataSourceReader):
         return max(min(limit, -(-total // self.parallelism)), 1)
 
     def _splits(self) -> list[Split]:
-        archives = list_archives(self.path)
+        archives = [(archive, size) for archive, size in list_archives(self.path)
+                    if archive.rsplit("/", 1)[-1] not in self.skip]
         total = sum(size for _, size in archives)
         splits = []
         for archive, size in archives:
@@ -377,7 +380,7 @@ class WarcReader(DataSourceReader):
             # has many.
             packed[-1].append(tuple(split))
             filled += length
-        return [InputPartition(group) for group in packed]
+        return [InputPartition(group) for group in packed or [[]]]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
         yield from self.read_splits(Split(*split) for split in partition.value)
@@ -495,6 +498,7 @@ class WarcDataSource(DataSource):
 
     ``record_types`` (response): comma-separated types to keep, or ``all``;
     bodies of other records are skipped, not read.
+    ``skip`` ([]): JSON list of the names of archives to pass over.
     ``split_bytes`` (0): cut archives into ranges of this size; 0 keeps each
     archive whole.  A range begins at the first member found in it, which is
     wrong only if an archive stores another one uncompressed; ``trailers``

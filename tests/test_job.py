@@ -52,7 +52,9 @@ def problems(result):
 
 
 def report_text(result, definition):
-    parts = sorted(glob.glob(f"{result.run_dir}/reports/report={definition}_results.txt/part-*"))
+    parts = sorted(glob.glob(f"{result.run_dir}/reports/report={definition}_results.txt/**/part-*",
+                             recursive=True),
+                   key=lambda p: (os.path.dirname(p), p))
     return "".join(open(p, encoding="utf-8", newline="").read() for p in parts)
 
 
@@ -400,3 +402,55 @@ def test_dialects_of_the_job(spark, dirs):
     assert len(errors) == 1 and "native dialect" in errors[0]
     with pytest.raises(ValueError, match="dialect"):
         run(spark, dirs, dialect="java")
+
+
+def test_appending_equals_one_run(spark, dirs):
+    """Two runs over a growing directory give what one over all gives."""
+    define(dirs, word="[a-z]+", digits="[0-9]+", none="zzz", bad="[")
+    archives = {
+        "a.warc.gz": [response("http://x/1", b"Foo 12 foo"), response(None, b"nameless")],
+        "b.warc.gz": [response("http://x/2", b"bar 7")],
+        "c.warc.gz": [response("http://x/1", b"other Foo"), response("http://x/3", b"new 3")],
+        "d.warc.gz": [warc_record("warcinfo", None, b"foo")]}
+
+    def write(*names):
+        for name in names:
+            write_archive(dirs / "in" / name, archives[name])
+
+    def state(result):
+        texts = [re.sub(r"\[Created: .*\]", "", report_text(result, d))
+                 for d in ("word", "digits", "none")]
+        told = sorted((p["severity"], os.path.basename(p["subject"])) for path in glob.glob(
+            f"{result.run_dir}/problems/**/*.json", recursive=True)
+            for p in map(json.loads, open(path)))
+        return (_merged(result), texts, [exported(result, d) for d in ("word", "digits")], told,
+                result.summary.select("archives", "records_read", "errors", "warnings").collect())
+
+    write("a.warc.gz", "b.warc.gz")
+    first = run(spark, dirs, extract=True)
+    before = state(first)
+    write("c.warc.gz")
+    second = run(spark, dirs, extract=True, append_to=first.run_dir)
+    assert second.run_dir == first.run_dir and state(second) != before
+    # What a run that did not finish has left counts for nothing.
+    os.makedirs(f"{first.run_dir}/reports/report=word_results.txt/run=00003")
+    open(f"{first.run_dir}/reports/report=word_results.txt/run=00003/part-0", "w").write("half")
+    write("d.warc.gz")
+    third = run(spark, dirs, extract=True, append_to=first.run_dir)
+    nothing = run(spark, dirs, extract=True, append_to=first.run_dir)
+    whole = run(spark, dirs, extract=True)
+    assert state(third) == state(nothing) == state(whole)
+
+
+def test_appending_refuses_what_is_not_the_same(spark, dirs):
+    define(dirs, word="[a-z]+")
+    write_archive(dirs / "in" / "a.warc.gz", [response("http://x/1", b"foo")])
+    first = run(spark, dirs)
+    write_archive(dirs / "in" / "a.warc.gz", [response("http://x/1", b"something else")])
+    again = run(spark, dirs, append_to=first.run_dir)
+    assert again.summary.first().errors == 1 and again.matches.count() == 1
+    define(dirs, more="x")
+    with pytest.raises(ValueError, match="definitions"):
+        run(spark, dirs, append_to=first.run_dir)
+    with pytest.raises(ValueError, match="no finished run"):
+        run(spark, dirs, append_to=str(dirs / "out"))
