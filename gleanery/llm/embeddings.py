@@ -6,10 +6,11 @@ next closest axes are probed as well.  Several rotations make several tables.
 In a bucket all cosines are worked out in double precision, so what is linked
 is linked truly; pairs that meet in several buckets count in the first of them.
 
-Vectors are compared only within their label.  A bucket of many vectors is cut
-into blocks, and blocks are paired, so that no task gets it whole.  No pairs are
-put out: a block gives each vector its number of links, and links enough to
-connect what is connected.
+Vectors are compared only within their label, and equal ones are one class from the
+start, with their number.  A bucket of many classes is cut into blocks, and blocks are
+paired, so that no task gets it whole; buckets hold numbers, and vectors come to the
+blocks.  No pairs are put out: a block gives each vector its number of links, and links
+enough to connect what is connected.
 """
 
 from __future__ import annotations
@@ -94,8 +95,7 @@ def _matrix(column) -> np.ndarray:
 
 
 def _bucketed(axes: int):
-    """A row per vector and bucket, with the unit vector's source and all its
-    buckets."""
+    """Vectors with all their buckets."""
     step = HANDED // (SETTINGS[axes][0] * SETTINGS[axes][1])
 
     def run(batches):
@@ -104,14 +104,11 @@ def _bucketed(axes: int):
             # Vectors of other lengths than the first are in batches of their own.
             unit = vectors / np.linalg.norm(vectors, axis=1)[:, None]
             ids = bucket_ids(unit, axes)
-            n, m = ids.shape
-            each = pa.array(np.repeat(np.arange(n), m))
-            all_ids = pa.FixedSizeListArray.from_arrays(pa.array(ids.ravel()), m) \
+            buckets = pa.FixedSizeListArray.from_arrays(pa.array(ids.ravel()), ids.shape[1]) \
                 .cast(pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("row").take(each), batch.column("label").take(each),
-                 batch.column("vector").take(each), all_ids.take(each),
-                 pa.array(ids.ravel())], ["row", "label", "vector", "buckets", "bucket"])
+                [*(batch.column(c) for c in ("row", "label", "times", "vector")), buckets],
+                ["row", "label", "times", "vector", "buckets"])
 
     return run
 
@@ -130,7 +127,7 @@ def _compare(limit: float):
     """Links among the vectors of one block pair of one bucket."""
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rows = table.column("row").to_numpy()
+        rows, times = table.column("row").to_numpy(), table.column("times").to_numpy()
         vectors = _matrix(table.column("vector").combine_chunks())
         vectors = vectors / np.linalg.norm(vectors, axis=1)[:, None]
         buckets = _matrix(table.column("buckets").combine_chunks()).astype(np.int64)
@@ -151,8 +148,8 @@ def _compare(limit: float):
             for cut in range(0, len(a), 1 << 16):
                 x, y = a[cut:cut + (1 << 16)], b[cut:cut + (1 << 16)]
                 new = first_common(buckets[x], buckets[y]) == bucket
-                links += np.bincount(x[new], minlength=len(rows))
-                links += np.bincount(y[new], minlength=len(rows))
+                np.add.at(links, x[new], times[y[new]])
+                np.add.at(links, y[new], times[x[new]])
                 _join(root, x[new], y[new])
         used = np.flatnonzero(links)
         return pa.table({"row": rows[used], "links": links[used], "root": rows[root[used]]})
@@ -212,24 +209,32 @@ def near_embeddings(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     good = rows.where("usable").select(
         "row", F.struct(F.size("embedding").alias("size"), "label").alias("label"),
         F.col("embedding").cast("array<double>").alias("vector"))
+    good = good.withColumn("same", F.struct(
+        F.xxhash64("vector").alias("a"), F.xxhash64(F.lit(1), "vector").alias("b")))
+    classes = scratch.save(good.groupBy("label", "same").agg(
+        F.min("row").alias("class"), F.count(F.lit(1)).alias("times")), "classes")
+    members = good.select("row", "label", "same").join(classes, ["label", "same"]) \
+        .select("row", "class", "times")
+    unique = good.join(classes.select(F.col("class").alias("row"), "times"), "row")
     # One axis separates 2 * dimensions ways; labels too large for that have more.
-    deep = scratch.save(good.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(
+    deep = scratch.save(classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).select(
         "label", axes_for("n", "label.size").alias("axes")).where("axes > 1"), "deep")
-    good = good.join(deep, "label", "left").withColumn("axes", F.coalesce("axes", F.lit(1)))
+    unique = unique.join(deep, "label", "left").withColumn("axes", F.coalesce("axes", F.lit(1)))
     kinds = [1, *sorted(r[0] for r in deep.select("axes").distinct().collect())]
-    sizes = [r[0] for r in good.select("label.size").distinct().collect()]
-    schema = ("row bigint, label bigint, vector array<double>, buckets array<bigint>,"
-              " bucket bigint")
-    keyed = good.withColumn("label", F.xxhash64("label"))
+    sizes = [r[0] for r in classes.select("label.size").distinct().collect()]
+    schema = ("row bigint, label bigint, times bigint, vector array<double>,"
+              " buckets array<bigint>")
+    keyed = unique.withColumn("label", F.xxhash64("label"))
     parts = [keyed.where((F.size("vector") == size) & (F.col("axes") == axes))
              .mapInArrow(_bucketed(axes), schema) for size in sorted(sizes) for axes in kinds]
     if not parts:
         return rows.select("vec_id", F.lit(0).cast("bigint").alias("n_links"),
                            F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    bucketed = parts[0]
+    units = parts[0]
     for part in parts[1:]:
-        bucketed = bucketed.unionByName(part)
-    bucketed = scratch.save(bucketed, "buckets")
+        units = units.unionByName(part)
+    units = scratch.save(units, "units")
+    bucketed = units.select("row", "label", F.explode("buckets").alias("bucket"))
     held = bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n")) \
         .where("n > 1").withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
     block = F.pmod(F.xxhash64(F.lit(SEED), "row"), F.col("blocks")).cast("int")
@@ -237,15 +242,20 @@ def near_embeddings(vectors: DataFrame, limit: float = COSINE) -> DataFrame:
     paired = bucketed.join(held.drop("n"), ["label", "bucket"]).withColumn("block", block) \
         .withColumn("other", other) \
         .withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
-    linked = paired.select("label", "bucket", "low", "high", "block", "row", "vector", "buckets") \
+    linked = paired.select("label", "bucket", "low", "high", "block", "row") \
+        .join(units.drop("label"), "row") \
         .groupBy("label", "bucket", "low", "high") \
         .applyInArrow(_compare(limit), "row bigint, links bigint, root bigint")
     linked = scratch.save(linked, "links")
-    totals = linked.groupBy("row").agg(F.sum("links").alias("links"))
+    totals = linked.groupBy(F.col("row").alias("class")).agg(F.sum("links").alias("links"))
     roots = components(scratch, linked.select(F.col("row").alias("a"), F.col("root").alias("b")))
-    placed = rows.select("row", "vec_id").join(totals, "row", "left") \
-        .join(roots.select(F.col("node").alias("row"), "root"), "row", "left") \
-        .withColumn("root", F.coalesce("root", "row"))
+    of_class = classes.select("class", "times").join(totals, "class", "left") \
+        .join(roots.select(F.col("node").alias("class"), "root"), "class", "left") \
+        .select("class", (F.coalesce("links", F.lit(0)) + F.col("times") - 1).alias("links"),
+                F.coalesce("root", "class").alias("root"))
+    placed = rows.select("row", "vec_id").join(
+        members.select("row", "class").join(of_class, "class"), "row", "left") \
+        .select("vec_id", "links", F.coalesce("root", "row").alias("root"))
     named = placed.where("links > 0").groupBy("root").agg(F.min("vec_id").alias("low"))
     out = placed.join(named, "root", "left").withColumn("component_id", F.coalesce("low", "vec_id"))
     return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("bigint").alias("n_links"),

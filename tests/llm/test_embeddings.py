@@ -141,3 +141,18 @@ def test_odd_rows(spark):
     assert found(spark, [(1, None, 1)]) == [(1, 0, 1)]
     frame = spark.createDataFrame([(*r, 3, 4) for r in rows], SCHEMA + ", row int, bucket int")
     assert em.near_embeddings(frame).count() == len(rows)
+
+
+def test_very_many_equal_vectors(spark):
+    """A class of equal vectors is compared as one."""
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(4, 16))
+    near = base[0] + rng.normal(size=16) * 0.02
+    vectors = [base[0]] * 20_000 + [near] * 7 + [base[1]] * 300 + [base[2], base[3]]
+    frame = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(vectors)],
+                                  "vec_id bigint, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in
+           em.near_embeddings(frame).collect()}
+    assert got == {**{i: (20_006, 0) for i in range(20_007)},
+                   **{20_007 + i: (299, 20_007) for i in range(300)},
+                   20_307: (0, 20_307), 20_308: (0, 20_308)}
