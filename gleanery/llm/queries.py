@@ -156,6 +156,47 @@ def _secrets_sql() -> str:
         " coalesce(spans, '') AS spans FROM documents LEFT JOIN marks USING (doc_id)")
 
 
+def _components_sql(key: str) -> str:
+    """``least``: the smallest key that each one of ``links`` (a, b, both ways) reaches."""
+    return (f" reach AS (SELECT a AS {key}, a AS root FROM links UNION SELECT l.b, r.root FROM"
+            f" reach r JOIN links l ON l.a = r.{key}),"
+            f" least AS (SELECT {key}, min(root) AS root FROM reach GROUP BY {key})")
+
+
+def _near_dup_sql() -> str:
+    """All pairs that share a shingle."""
+    lower = f"translate(coalesce(text, ''), '{merkle.UPPER}', '{merkle.LOWER}')"
+    return (
+        rf"WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({lower}, '[^\x20\x09-\x0D]+') AS w"
+        " FROM documents), sets AS (SELECT doc_id, CASE WHEN len(w) > 1 THEN list_distinct("
+        "list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) ELSE w END AS s FROM w),"
+        " grams AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM sets),"
+        " shared AS (SELECT a.doc_id AS a, b.doc_id AS b, any_value(a.n) + any_value(b.n) AS n,"
+        " count(*) AS m FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id"
+        " AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n) GROUP BY a.doc_id, b.doc_id),"
+        f" links AS (SELECT a, b FROM shared WHERE 100 * m >= 80 * (n - m)), {_components_sql('doc_id')}"
+        " SELECT doc_id, len(s) AS n_shingles, coalesce(root, doc_id) AS component_id,"
+        " coalesce(root, doc_id) = doc_id AS kept FROM sets LEFT JOIN least USING (doc_id)")
+
+
+def _embeddings_sql() -> str:
+    """All pairs of a label."""
+    return (
+        "WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x:"
+        " CAST(x AS DOUBLE)) AS e FROM embeddings), ok AS (SELECT vec_id, label, e,"
+        " sqrt(list_dot_product(e, e)) AS norm FROM v WHERE label IS NOT NULL AND e IS NOT NULL"
+        " AND len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+        " AND len(list_filter(e, lambda x: x <> 0)) > 0),"
+        " links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label"
+        " AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)"
+        f" WHERE list_dot_product(a.e, b.e) / (a.norm * b.norm) >= {embeddings.COSINE}),"
+        f" {_components_sql('vec_id')}, counts AS (SELECT a AS vec_id, count(*) AS n FROM links"
+        " GROUP BY a)"
+        " SELECT vec_id, coalesce(n, 0) AS n_links, coalesce(root, vec_id) AS component_id,"
+        " coalesce(root, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN least USING (vec_id)"
+        " LEFT JOIN counts USING (vec_id)")
+
+
 def _crc_sql(digits: str) -> str:
     """CRC-32 of a short ASCII text, bit by bit."""
     byte = "list_reduce([xor(c, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y:" \
@@ -264,6 +305,7 @@ def _lines_sql() -> str:
 
 def oracle_sql() -> dict[str, str]:
     own = {"op7_chat_format": _chat_sql(), "op8_secret_scan": _secrets_sql(),
+           "op5_near_dup": _near_dup_sql(), "op10_embeddings": _embeddings_sql(),
            "op11_merkle_manifest": _merkle_sql(), "op12_prefix_trie": _trie_sql(),
            "op13_line_dedup": _lines_sql()}
     return {**own, "pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else own
