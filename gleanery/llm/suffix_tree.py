@@ -303,9 +303,12 @@ def fit_states(grams: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], int
             states = states.unionByName(kept[k + 1].select(
                 F.col("context").bitwiseAND(F.lit((1 << (8 * k)) - 1)).alias("context"))).distinct()
         kept[k] = scratch.save(states, f"states{k}")
+        scratch.drop(f"tested{k}")
 
-    levels = [counts[0]] + [scratch.save(counts[k].join(kept[k], "context"), f"pairs{k}")
-                            for k in range(1, DEPTH + 1)]
+    levels = [counts[0]]
+    for k in range(1, DEPTH + 1):
+        levels.append(scratch.save(counts[k].join(kept[k], "context"), f"pairs{k}"))
+        scratch.drop(f"level{k}", f"states{k}")
     return levels, max(LEAST_COUNT, math.ceil(LEAST_SHARE * total))
 
 
@@ -477,7 +480,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     grams = counted.where("kind = 1").select("key", "n")
     texts = learned.count()
     # The end of a text is a token too.
-    words = counted.where("kind = 0").select("key", "n")
+    words = scratch.save(counted.where("kind = 0").select("key", "n"), "words")
     seen = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     total, kinds = seen[0] + texts, seen[1] + (1 if texts else 0)
     often = max(2, math.ceil(total / MAX_FREQUENT))
@@ -485,6 +488,7 @@ def score_documents(documents: DataFrame) -> DataFrame:
     frequent = Frequent(common.column("key").to_numpy().view(np.uint64),
                         common.column("n").to_numpy())
     levels, least = fit_states(grams, scratch)
+    scratch.drop("counts")
     tree = frequent_tree(levels, least)
     kind = documents.schema["doc_id"].dataType.simpleString()
     scored = rows.mapInArrow(
