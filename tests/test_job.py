@@ -454,3 +454,23 @@ def test_appending_refuses_what_is_not_the_same(spark, dirs):
         run(spark, dirs, append_to=first.run_dir)
     with pytest.raises(ValueError, match="no finished run"):
         run(spark, dirs, append_to=str(dirs / "out"))
+
+
+def test_zips_are_unzipped_where_they_lie(spark, tmp_path, monkeypatch):
+    """Only paths come in, and batches of bounded size go out."""
+    import archive_fixture
+    import pyarrow as pa
+    monkeypatch.setattr(archive_fixture, "UNZIP_ROWS", 4)
+    folder = tmp_path / "export=calls_results.zip"
+    folder.mkdir()
+    entries = {f"e{i}": bytes([i]) * i for i in range(10)}
+    with zipfile.ZipFile(folder / "part-00000.zip", "w") as z:
+        for name, data in entries.items():
+            z.writestr(name, data)
+    with zipfile.ZipFile(folder / "part-00001.zip", "w"):
+        pass
+    paths = pa.RecordBatch.from_pydict({"path": [f"file:{folder}/part-0000{i}.zip" for i in (0, 1)]})
+    batches = list(archive_fixture.unzip([paths]))
+    assert max(b.num_rows for b in batches) == 4
+    rows = [tuple(r.values()) for b in batches for r in b.to_pylist()]
+    assert rows == [("calls", name, data) for name, data in entries.items()]
