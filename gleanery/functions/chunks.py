@@ -24,10 +24,10 @@ class _Open:
     """The chunk of a definition that still takes matches."""
 
     def __init__(self):
-        self.number, self.held, self.size = 0, ([], []), 0
+        self.number, self.held, self.count, self.size = 0, ([], []), 0, 0
 
     def next(self) -> None:
-        self.number, self.held, self.size = self.number + 1, ([], []), 0
+        self.number, self.held, self.count, self.size = self.number + 1, ([], []), 0, 0
 
 
 class ChunkSearch:
@@ -95,12 +95,16 @@ class ChunkSearch:
     def _chunks(self, found) -> Iterator[tuple]:
         open_chunks: dict[int, _Open] = {}
         for i, scope, match in found:
-            chunk = open_chunks.setdefault(i, _Open())
-            count = len(chunk.held[0]) + len(chunk.held[1])
-            if count >= self.chunk_matches or count and chunk.size + len(match) > CHUNK_CHARS:
+            chunk = open_chunks.get(i)
+            if chunk is None:
+                chunk = open_chunks[i] = _Open()
+            size = len(match)
+            if chunk.count >= self.chunk_matches \
+                    or chunk.count and chunk.size + size > CHUNK_CHARS:
                 yield self._name(i), chunk.number, False, *chunk.held
                 chunk.next()
             chunk.held[scope].append(match)
-            chunk.size += len(match)
+            chunk.count += 1
+            chunk.size += size
         for i, chunk in sorted(open_chunks.items()):
             yield self._name(i), chunk.number, chunk.number == 0, *chunk.held

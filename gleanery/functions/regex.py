@@ -13,7 +13,7 @@ are known to agree, and the UDF for everything else.
 from __future__ import annotations
 
 import re
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 from operator import itemgetter, or_
 from re import _constants as ops
@@ -68,6 +68,11 @@ _AGREED = re.compile(rf"{_TOKEN}+")
 _EMPTY_BRANCH = re.compile(r"(?:^|\(|\(\?:|\|)(?:\||\)|$)")
 
 
+# By name, as the parser's own constants cannot be sent to the workers.
+_CATEGORY = {"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s",
+             "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}
+
+
 class Definition(NamedTuple):
     """A named regular expression."""
 
@@ -218,6 +223,77 @@ def _python_fold(value: str | None) -> str | None:
     return value.lower()
 
 
+def character(op, value) -> str | None:
+    """The source of a parsed element that takes one character; None for another, or if
+    it has no source that is known here."""
+    if op.name == "ANY":
+        return "."
+    if op.name == "LITERAL":
+        return f"\\U{value:08x}"
+    if op.name == "NOT_LITERAL":
+        return f"[^\\U{value:08x}]"
+    if op.name != "IN":
+        return None
+    parts = []
+    for kind, item in value:
+        if kind is ops.NEGATE:
+            parts.append("^")
+        elif kind is ops.LITERAL:
+            parts.append(f"\\U{item:08x}")
+        elif kind is ops.RANGE:
+            parts.append(f"\\U{item[0]:08x}-\\U{item[1]:08x}")
+        elif kind is ops.CATEGORY and item.name in _CATEGORY:
+            parts.append(_CATEGORY[item.name])
+        else:
+            return None
+    return f"[{''.join(parts)}]"
+
+
+def leading_run(pattern: str) -> str | None:
+    """The source of the character of which ``pattern`` begins with any number, if it
+    does and matches no empty text."""
+    parsed = parser.parse(pattern, re.IGNORECASE)
+    if parsed.state.flags & ~(re.IGNORECASE | re.UNICODE) or not parsed.getwidth()[0]:
+        return None
+    op, value = parsed[0]
+    if op.name not in ("MAX_REPEAT", "MIN_REPEAT") or value[1] is not ops.MAXREPEAT \
+            or len(value[2]) != 1:
+        return None
+    return character(*value[2][0])
+
+
+class RunPattern:
+    """A pattern that begins with a run of a character, searched as ``re`` does, in time
+    that does not grow with the square of the runs.
+
+    Where an attempt fails, those from the later places of the same run fail too: each
+    would try what follows the run at some of the places at which the first has.  So an
+    attempt is made only where a search begins and behind another character.
+    """
+
+    groups = 0
+
+    def __init__(self, pattern: str, run: str):
+        self._here = re.compile(pattern, re.IGNORECASE)
+        self._later = re.compile(f"(?<!{run})(?:{pattern})", re.IGNORECASE)
+
+    def search(self, value: str, at: int = 0) -> re.Match | None:
+        return self._here.match(value, at) or self._later.search(value, at)
+
+    def finditer(self, value: str, at: int = 0) -> Iterator[re.Match]:
+        while (found := self.search(value, at)) is not None:
+            yield found
+            at = found.end()
+
+    def findall(self, value: str) -> list[str]:
+        return [m.group() for m in self.finditer(value)]
+
+
+def compiled(pattern: str) -> re.Pattern | RunPattern:
+    run = leading_run(pattern)
+    return re.compile(pattern, re.IGNORECASE) if run is None else RunPattern(pattern, run)
+
+
 class Matcher:
     """Definitions as the Python workers search with them.
 
@@ -240,9 +316,9 @@ class Matcher:
         """Lower case for substring tests, None where those are not decisive."""
         return _python_fold(value)
 
-    def pattern(self, i: int) -> re.Pattern:
+    def pattern(self, i: int) -> re.Pattern | RunPattern:
         if i not in self._compiled:
-            self._compiled[i] = re.compile(self.definitions[i].pattern, re.IGNORECASE)
+            self._compiled[i] = compiled(self.definitions[i].pattern)
         return self._compiled[i]
 
     def _literal_automaton(self):

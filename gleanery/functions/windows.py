@@ -17,7 +17,7 @@ from re import _constants as ops
 from re import _parser as parser
 from typing import NamedTuple
 
-from gleanery.functions.regex import Matcher
+from gleanery.functions.regex import Matcher, character
 
 # Characters that are gathered before they are searched.
 WINDOW = 1 << 20
@@ -27,8 +27,6 @@ MAX_BARRIERS = 1 << 20
 # By name, as the parser's own constants cannot be sent to the workers.
 _SINGLE = ("LITERAL", "NOT_LITERAL", "IN", "ANY")
 _REPEAT = ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT")
-_CATEGORY = {"CATEGORY_DIGIT": r"\d", "CATEGORY_NOT_DIGIT": r"\D", "CATEGORY_SPACE": r"\s",
-             "CATEGORY_NOT_SPACE": r"\S", "CATEGORY_WORD": r"\w", "CATEGORY_NOT_WORD": r"\W"}
 
 
 class Reach(NamedTuple):
@@ -47,25 +45,10 @@ class _NoReach(Exception):
 
 def _character(op, value) -> str:
     """The source of an element that takes one character."""
-    if op is ops.ANY:
-        return "."
-    if op is ops.LITERAL:
-        return f"\\U{value:08x}"
-    if op is ops.NOT_LITERAL:
-        return f"[^\\U{value:08x}]"
-    parts = []
-    for kind, item in value:
-        if kind is ops.NEGATE:
-            parts.append("^")
-        elif kind is ops.LITERAL:
-            parts.append(f"\\U{item:08x}")
-        elif kind is ops.RANGE:
-            parts.append(f"\\U{item[0]:08x}-\\U{item[1]:08x}")
-        elif kind is ops.CATEGORY and item.name in _CATEGORY:
-            parts.append(_CATEGORY[item.name])
-        else:
-            raise _NoReach
-    return f"[{''.join(parts)}]"
+    source = character(op, value)
+    if source is None:
+        raise _NoReach
+    return source
 
 
 class _Measure:
@@ -224,8 +207,11 @@ class WindowSearch:
         found = self.matcher.pattern(i).finditer(self.text, progress.at - self.begin)
         if progress.skip:
             next(found, None)
+        last, decided = None, progress.decided - self.begin
         for match in found:
-            if match.start() + self.begin > progress.decided:
-                return
-            progress.at, progress.skip = match.end() + self.begin, match.end() == match.start()
+            if match.start() > decided:
+                break
+            last = match
             yield i, match.group()
+        if last is not None:
+            progress.at, progress.skip = last.end() + self.begin, last.end() == last.start()

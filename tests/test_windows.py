@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter
 
 import pytest
@@ -180,3 +181,36 @@ def test_without_the_automaton(monkeypatch):
     monkeypatch.setattr(regex, "ahocorasick", None)
     assert regex.Matcher(definitions).search("word3x", "Word5X word99x") == expected
     assert [d for d, _, _ in expected] == ["d3", "d5", "d99"]
+
+
+def test_runs_in_front_take_no_quadratic_time():
+    """The work is counted: a run is gone through once, not once from each place."""
+    for pattern in ("[a-z, ]{20,}[.]", "[^\n]*ende[^\n]*", "[a-z0-9.+-]+@[a-z0-9-]+[.][a-z]+"):
+        text = ("ab " * 100_000 + "\n") if "@" not in pattern else "a" * 300_000 + "\n"
+        text += "so long a sentence as this one is ende.\nx@y.org\n"
+        began = time.process_time()
+        found = found_in_pieces(pattern, [text[i:i + 300] for i in range(0, len(text), 300)], 300)
+        whole = regex.Matcher([regex.Definition("d", pattern)]).find_all(0, text)
+        assert found == whole and len(whole) == 1
+        assert time.process_time() - began < 20
+
+
+def test_runs_in_front_find_what_re_finds():
+    rng = random.Random(5)
+    runs = ["a", "[ab]", "[^a]", ".", r"[\w.]", r"[^\n]", "K"]
+    counts = ["*", "+", "{2,}", "*?", "+?", "{3,}?"]
+    rests = ["b", "a", "ab", "[ab]b?", "(b|k)x?", r"\b.", "(?<=ab)k", "$.?b", "(a)\\1", "a*b", "b(?!a)", ".{2}"]
+    guarded = 0
+    for _ in range(4000):
+        source = rng.choice(runs) + rng.choice(counts) + rng.choice(rests)
+        text = "".join(rng.choice("aabbkK\u212a .\n") for _ in range(rng.randrange(30)))
+        guarded += regex.leading_run(source) is not None
+        rx, own = re.compile(source, re.IGNORECASE), regex.compiled(source)
+        at = rng.randrange(len(text) + 1)
+        assert [m.span() for m in own.finditer(text, at)] == [m.span() for m in rx.finditer(text, at)], source
+        assert bool(own.search(text)) == bool(rx.search(text))
+        assert found_in_pieces(source, list(text), 1) == [m.group() for m in rx.finditer(text)] \
+            or windows.reach(source) is None
+    assert guarded > 3000
+    for source in ("", "a*", "(?s).*b", "(a+)b", "a++b", "(?:ab)*c", "a|b+c", "a{2,5}b"):
+        assert regex.leading_run(source) is None
