@@ -74,3 +74,38 @@ def test_grams_of_all_places():
     assert len(pattern_join._grams(data, 6)) == 2 and len(pattern_join._grams(data[:2], 3)) == 0
     assert not set(pattern_join._grams(data, 6)) & set(pattern_join._grams(data, 3))
     assert regex.required_literals("licen[cs]e") == ("licen",)
+
+
+def test_long_numbers_share_no_gram(spark):
+    """Of a call with seven digits, the grams that are indexed are its own, and a row of
+    candidates has all of a record; the patterns are parsed by many tasks."""
+    table = spark.range(1_000_000, 1_004_000).selectExpr(
+        "concat('d', id) as definition", "concat('track[(]', id, '[)]') as pattern")
+    batch, = pattern_join._indexed(table.toArrow().to_batches(max_chunksize=10_000)[:1])
+    held = {}
+    for definition, gram in zip(batch["definition"].to_pylist(), batch["gram"].to_pylist()):
+        held.setdefault(gram, set()).add(definition)
+    fewest = {d: min(len(held[g]) for g, ds in held.items() if d in ds)
+              for d in batch["definition"].to_pylist()[:300:100]}
+    assert set(fewest.values()) == {1}
+    frame = spark.range(50).selectExpr(
+        "id", "'n' as name", "concat('track(', 1000000 + id, ') TRACK(', 1000100 + id, ')') as text")
+    found = pairs(join_patterns(prepare_table(frame, ["id"], "name", "text"), ["id"], table))
+    assert found == sorted((i, f"d{1000000 + i + more}") for i in range(50) for more in (0, 100))
+
+
+def test_odd_characters_join_on_grams(spark):
+    """Characters that match ASCII ones are no reason to try every definition."""
+    table = spark.createDataFrame([(f"d{i}", f"kiss{i:04}") for i in range(2000)],
+                                  "definition string, pattern string")
+    frame = spark.createDataFrame([(1, "K\u0130\u017fs0007"), (2, "k\u0131\u017f\u017f1999 \u0130"),
+                                   (3, "\u0130\u0131"), (4, "\u212a\u0131\u017f\u017f0012")], "id int, text string") \
+        .selectExpr("id", "'n' as name", "text")
+    found = pairs(join_patterns(prepare_table(frame, ["id"], "name", "text"), ["id"], table))
+    assert found == [(1, "d7"), (2, "d1999"), (4, "d12")]
+    grams = pattern_join._map(spark, spark.createDataFrame([(1,)], "gram bigint"), 1)
+    import pyarrow as pa
+    rows = pa.RecordBatch.from_pydict({"mark": [b"m"], "name": [None], "text": ["\u0130\u017f"]},
+                                      schema=pa.schema([("mark", pa.binary()), ("name", pa.string()),
+                                                        ("text", pa.string())]))
+    assert next(pattern_join._found(grams)([rows])).num_rows == 0
