@@ -433,9 +433,12 @@ def _score(tree, frequent, rare_states):
                 at_end = np.searchsorted(real, ends, "right")
                 for at in range(0, len(real), 1 << 18):
                     part = real[at:at + (1 << 18)]
-                    keys, longest = packed(stream, part), np.zeros(len(part), np.int64)
-                    own = t.log10(keys, longest)
-                    later = is_open(keys, longest)
+                    # Most symbols come again with what is before them: looked up once.
+                    keys = packed(stream, part)
+                    kinds, which = np.unique(keys, return_inverse=True)
+                    longest = np.zeros(len(kinds), np.int64)
+                    own = t.log10(kinds, longest)[which]
+                    later = is_open(kinds, longest)[which]
                     logs = np.concatenate([[0.0], np.cumsum(np.where(later, 0.0, own))])
                     cut = np.clip(at_end - at, 0, len(part))
                     later = np.flatnonzero(later)

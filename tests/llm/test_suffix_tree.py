@@ -180,3 +180,23 @@ def test_odd_rows(spark, documents):
     held_only = [(i, "x y", None, None) for i in range(200) if held(i)]
     alone = st.score_documents(documents(held_only)).collect()
     assert all(r["n_known"] == 0 and r["train_tokens"] == 0 and r["base_score"] == 0 for r in alone)
+
+
+def test_symbols_that_come_again_are_looked_up_once():
+    from types import SimpleNamespace
+
+    class Counted:
+        asked = []
+
+        def log10(self, keys, lengths):
+            self.asked.append(len(keys))
+            return -(keys & np.uint64(7)).astype(float)
+
+    texts = ["abc abc " * 500, None, "abc"]
+    frequent = st.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
+    nowhere = np.zeros(1 << (st.MAP_BITS - 3), np.uint8)
+    run = st._score(*(SimpleNamespace(value=v) for v in (Counted(), frequent, nowhere)))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "held_out": [False] * 3, "text": texts})
+    scores = next(run([batch])).column("score").to_pylist()
+    assert scores == [-sum(b & 7 for b in written(t)) for t in texts]
+    assert sum(Counted.asked) < 30
