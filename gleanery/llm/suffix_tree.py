@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.llm.common import Scratch
+from gleanery.llm.spread import WITHIN
 from gleanery.llm.words import SPACE, mix, pieces, raw_texts, word_hashes
 
 DEPTH = 5
@@ -40,6 +41,11 @@ PRIOR = 4.0
 MAX_FREQUENT = 2_000_000
 # Distinct values a task holds before it hands on its counts.
 HOLD = 4_000_000
+# Texts whose symbols in rare states are handed on together: at most so many, and no
+# more once so many symbols of theirs are held, each counted once per text.
+BLOCK_TEXTS, BLOCK_SYMBOLS = 1 << 15, 2_000_000
+# Keys of a block in a row.
+BLOCK_KEYS = 1 << 13
 
 END, PAD, BLANK = 10, 11, 32
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -378,7 +384,9 @@ def joined_log10(keys: DataFrame, levels: list[DataFrame], scratch: Scratch) ->
             .join(states, "context", "left").join(shares, "pair", "left") \
             .select("key", F.coalesce(F.log10("share"), F.col("miss") + F.col("log10"), "log10")
                     .alias("log10"))
-    return scratch.save(out, "values")
+    values = scratch.save(out, "values")
+    scratch.drop(*(f"shares{k}" for k in range(1, DEPTH + 1)))
+    return values
 
 
 class Frequent:
@@ -396,11 +404,80 @@ class Frequent:
         return worth, known
 
 
+class Block:
+    """How often the texts of a run, numbered from ``first``, have symbols (packed keys)
+    whose state is not in the tree."""
+
+    def __init__(self, first: int):
+        self.first, self.texts, self.held, self.parts = first, 0, 0, []
+
+    def add(self, kinds: np.ndarray, which: np.ndarray, texts: np.ndarray):
+        """Takes in the symbols ``kinds[which]`` of ``texts``."""
+        pairs, times = np.unique(which * BLOCK_TEXTS + texts, return_counts=True)
+        self.parts.append((kinds[pairs // BLOCK_TEXTS],
+                           (pairs % BLOCK_TEXTS).astype(np.int16), times.astype(np.int32)))
+        self.held += len(pairs)
+
+    def rows(self):
+        """Runs of (keys, counts, places, times): the distinct keys, how many pairs each
+        has, and of each pair which text it is and how often the key is in it."""
+        if not self.held:
+            return
+        keys, places, times = (np.concatenate(c) for c in zip(*self.parts))
+        order = np.lexsort((places, keys))
+        keys, places, times = keys[order], places[order], times[order]
+        starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        bounds = np.append(starts, len(keys))
+        for i in range(0, len(starts), BLOCK_KEYS):
+            own = bounds[i:i + BLOCK_KEYS + 1]
+            span = slice(own[0], own[-1])
+            yield (keys[own[:-1]].view(np.int64), np.diff(own).astype(np.int32), places[span],
+                   times[span])
+
+
+def block_sums(symbols: pa.Table, values: pa.Table) -> pa.Table:
+    """(row, late): what the symbols of a block's rows add to the scores of its texts;
+    ``values`` has (key, log10) for each of its keys."""
+    keys, counts, places, times = (
+        symbols.column(name).combine_chunks().flatten().to_numpy()
+        for name in ("keys", "counts", "places", "times"))
+    known = values.column("key").to_numpy()
+    order = np.argsort(known)
+    worth = values.column("log10").to_numpy()[order[np.searchsorted(known, keys, sorter=order)]]
+    sums = np.bincount(places, np.repeat(worth, counts) * times)
+    found = np.unique(places).astype(np.int64)
+    return pa.table({"row": found + symbols.column("block")[0].as_py(), "late": sums[found]})
+
+
 def _score(tree, frequent, rare_states):
     masks = np.array([_mask(k) for k in range(DEPTH + 1)])
 
+    def lists_of(rows, kind):
+        return pa.ListArray.from_arrays(
+            pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()),
+            pa.array(np.concatenate([np.empty(0, np.int64), *rows]), kind))
+
+    def rows_of(n, kind, **columns):
+        """``n`` rows, null in other columns."""
+        kinds = {"doc_id": kind, "held_out": pa.bool_(), "words": pa.int64(),
+                 "known": pa.int64(), "base": pa.float64(), "score": pa.float64(),
+                 "rare": pa.list_(pa.int64()), "row": pa.int64(), "block": pa.int64(),
+                 "keys": pa.list_(pa.int64()), "counts": pa.list_(pa.int32()),
+                 "places": pa.list_(pa.int16()), "times": pa.list_(pa.int32())}
+        return pa.RecordBatch.from_arrays(
+            [columns[c] if c in columns else pa.nulls(n, t) for c, t in kinds.items()],
+            list(kinds))
+
+    def block_rows(block, kind):
+        for keys, counts, places, times in block.rows():
+            yield rows_of(1, kind, block=pa.array([block.first]), keys=lists_of([keys], pa.int64()),
+                          counts=lists_of([counts], pa.int32()),
+                          places=lists_of([places], pa.int16()),
+                          times=lists_of([times], pa.int32()))
+
     def run(batches):
         t, f, bitmap = tree.value, frequent.value, rare_states.value
+        block, doc_kind = Block(0), pa.null()
 
         def is_open(keys, lengths):
             """Whether the state may go on as one that is not in the tree."""
@@ -409,12 +486,16 @@ def _score(tree, frequent, rare_states):
             on = bitmap[bit >> np.uint64(3)] >> (bit & np.uint64(7)).astype(np.uint8) & 1
             return (on > 0) & (lengths < DEPTH)
 
-        for batch in batches:
+        for batch in (b.slice(at, BLOCK_TEXTS) for b in batches
+                      for at in range(0, b.num_rows, BLOCK_TEXTS)):
             column = batch.column("text")
-            n = batch.num_rows
+            n, doc_kind = batch.num_rows, batch.column("doc_id").type
+            if block.texts + n > BLOCK_TEXTS or block.held > BLOCK_SYMBOLS:
+                yield from block_rows(block, doc_kind)
+                block = Block(block.first + block.texts)
             tokens, known = np.zeros(n, np.int64), np.zeros(n, np.int64)
             base, score = np.zeros(n), np.zeros(n)
-            rare, left = [None] * n, [[] for _ in range(n)]
+            rare = [None] * n
             for i, j, hashes, bounds in word_hashes(column):
                 worth, common = f.split(hashes)
                 tokens[i:j] = np.diff(bounds)
@@ -434,34 +515,24 @@ def _score(tree, frequent, rare_states):
                 for at in range(0, len(real), 1 << 18):
                     part = real[at:at + (1 << 18)]
                     # Most symbols come again with what is before them: looked up once.
-                    keys = packed(stream, part)
-                    kinds, which = np.unique(keys, return_inverse=True)
+                    kinds, which = np.unique(packed(stream, part), return_inverse=True)
                     longest = np.zeros(len(kinds), np.int64)
                     own = t.log10(kinds, longest)[which]
                     later = is_open(kinds, longest)[which]
                     logs = np.concatenate([[0.0], np.cumsum(np.where(later, 0.0, own))])
                     cut = np.clip(at_end - at, 0, len(part))
                     later = np.flatnonzero(later)
-                    bounds = np.searchsorted(later, np.concatenate([[0], cut]))
-                    for x in np.flatnonzero(np.diff(bounds)):
-                        left[i + x].append(np.unique(
-                            keys[later[bounds[x]:bounds[x + 1]]], return_counts=True))
+                    block.add(kinds, which[later], block.texts + i + np.searchsorted(
+                        at_end, at + later, "right"))
                     sums += np.diff(np.concatenate([[0.0], logs[cut]]))
                 score[i:j] = sums
-            def lists_of(rows):
-                return pa.ListArray.from_arrays(
-                    pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()),
-                    pa.array(np.concatenate([np.empty(0, np.int64), *rows]), pa.int64()))
-
-            symbols, times = ([np.concatenate([np.empty(0, np.int64), *(
-                found[which].view(np.int64) for found in parts)]) for parts in left]
-                for which in (0, 1))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(tokens),
-                 pa.array(known), pa.array(base), pa.array(score), lists_of(rare),
-                 lists_of(symbols), lists_of(times)],
-                ["doc_id", "held_out", "words", "known", "base", "score", "rare", "symbols",
-                 "times"])
+            yield rows_of(
+                n, doc_kind, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"),
+                words=pa.array(tokens), known=pa.array(known), base=pa.array(base),
+                score=pa.array(score), rare=lists_of(rare, pa.int64()),
+                row=pa.array(np.arange(n) + block.first + block.texts))
+            block.texts += n
+        yield from block_rows(block, doc_kind)
 
     return run
 
@@ -498,21 +569,28 @@ def score_documents(documents: DataFrame) -> DataFrame:
         _score(spark.sparkContext.broadcast(tree), spark.sparkContext.broadcast(frequent),
                spark.sparkContext.broadcast(rare_map(levels, least))), (
             f"doc_id {kind}, held_out boolean, words bigint, known bigint, base double,"
-            " score double, rare array<bigint>, symbols array<bigint>, times array<bigint>")) \
-        .withColumn("row", F.monotonically_increasing_id())
-    scored = scratch.save(scored, "scored")
+            " score double, rare array<bigint>, row bigint, block bigint, keys array<bigint>,"
+            " counts array<int>, places array<smallint>, times array<int>"))
+    # Numbered within a task so far.
+    above = F.shiftleft(F.spark_partition_id().cast("bigint"), WITHIN)
+    scored = scratch.save(scored.withColumns(
+        {"row": F.col("row") + above, "block": F.col("block") + above}), "scored")
+    blocks = scored.where("block is not null").select("block", "keys", "counts", "places", "times")
+    scored = scored.where("block is null").drop("block", "keys", "counts", "places", "times")
     rest = scored.select("row", F.explode("rare").alias("key")).join(
         words.where(F.col("n") < often), "key") \
         .groupBy("row").agg(F.sum(F.log10(F.col("n") + 1.0)).alias("more"),
                             F.count(F.lit(1)).alias("also"))
-    symbols = scored.select("row", F.explode(F.arrays_zip("symbols", "times")).alias("s")) \
-        .select("row", F.col("s.symbols").alias("key"), F.col("s.times").alias("times"))
-    values = joined_log10(symbols.select("key").distinct(), levels, scratch)
-    late = symbols.join(values, "key").groupBy("row").agg(
-        F.sum(F.col("times") * F.col("log10")).alias("late"))
+    # A block asks once for each of its symbols, and gets the answers as one group.
+    asked = blocks.select(F.col("block").alias("asker"), F.explode("keys").alias("key"))
+    values = joined_log10(asked.select("key").distinct(), levels, scratch)
+    scratch.drop(*(f"pairs{k}" for k in range(1, DEPTH + 1)))
+    answers = asked.join(values, "key")
+    late = blocks.groupBy("block").cogroup(answers.groupBy("asker")).applyInArrow(
+        block_sums, "row bigint, late double")
     n_tokens = F.col("words") + 1
     ends = math.log10(texts + 1)
-    return scored.drop("rare", "symbols", "times").join(rest, "row", "left") \
+    return scored.drop("rare").join(rest, "row", "left") \
         .join(late, "row", "left").select(
         "doc_id", "held_out", n_tokens.alias("n_tokens"),
         (F.col("known") + F.coalesce("also", F.lit(0)) + (1 if texts else 0)).cast("bigint")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 
 from gleanery.llm import suffix_tree as st
@@ -200,3 +201,41 @@ def test_symbols_that_come_again_are_looked_up_once():
     scores = next(run([batch])).column("score").to_pylist()
     assert scores == [-sum(b & 7 for b in written(t)) for t in texts]
     assert sum(Counted.asked) < 30
+
+
+@pytest.mark.parametrize("limits", [{}, {"BLOCK_SYMBOLS": 1}, {"BLOCK_TEXTS": 2}, {"BLOCK_KEYS": 3}])
+def test_texts_ask_together_for_what_is_not_in_the_tree(monkeypatch, limits):
+    """Once for a symbol that many texts have; what comes back is theirs, as often as they have it."""
+    from types import SimpleNamespace
+
+    for name, value in limits.items():
+        monkeypatch.setattr(st, name, value)
+
+    class Empty:
+        def log10(self, keys, lengths):
+            return np.zeros(len(keys))
+
+    texts = ["abc abc abd " * 40, None, "abc", "", "abc abc abd " * 40, "x" * 300_000] * 3
+    frequent = st.Frequent(np.empty(0, np.uint64), np.empty(0, np.int64))
+    everywhere = np.full(1 << (st.MAP_BITS - 3), 255, np.uint8)
+    run = st._score(*(SimpleNamespace(value=v) for v in (Empty(), frequent, everywhere)))
+    batches = [pa.RecordBatch.from_pydict({
+        "doc_id": list(range(i, i + 6)), "held_out": [False] * 6, "text": texts[i:i + 6]})
+        for i in range(0, len(texts), 6)]
+    found = pa.Table.from_batches(list(run(batches)))
+    ids = {r["row"]: r["doc_id"] for r in found.to_pylist() if r["block"] is None}
+    assert list(ids.items()) == [(i, i) for i in range(len(texts))]
+    asked, sums = Counter(), Counter()
+    blocks = found.filter(pc.is_valid(found.column("block")))
+    for block in pc.unique(blocks.column("block")).to_pylist():
+        rows = blocks.filter(pc.equal(blocks.column("block"), block))
+        keys = rows.column("keys").combine_chunks().flatten().to_numpy()
+        assert len(np.unique(keys)) == len(keys)
+        asked.update(keys.tolist())
+        values = pa.table({"key": keys[::-1], "log10": -(keys[::-1] & 7).astype(float) - 1})
+        for r in st.block_sums(rows, values).to_pylist():
+            assert r["row"] not in sums
+            sums[r["row"]] = r["late"]
+    assert sums == {i: -sum((b & 7) + 1 for b in written(t)) for i, t in enumerate(texts)}
+    if not limits or "BLOCK_KEYS" in limits:
+        assert set(asked.values()) == {1}
